@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from terravane.llm.common import map_columns
 
-#: Distinct pieces whose encoding a Python worker keeps before it starts anew.
-CACHE_PIECES = 400_000
+#: Distinct pieces, prefixes and pairs that a Python worker keeps before it starts anew.
+CACHE_PIECES, CACHE_PREFIXES, CACHE_PAIRS = 200_000, 400_000, 400_000
+#: Bytes up to which the last tokens of a piece's prefixes are shared with other pieces.
+SHARED_BYTES = 64
 
 
 class Vocabulary:
@@ -68,6 +70,8 @@ class Vocabulary:
         """Whether the two tokens, as neighbours, are the encoding of their joined bytes."""
         known = self._adjacent.get((left, right))
         if known is None:
+            if len(self._adjacent) > CACHE_PAIRS:
+                self._adjacent.clear()
             known = self._adjacent[left, right] = self._stays_apart(left, right)
         return known
 
@@ -149,22 +153,54 @@ class Prefixes:
 
 
 class Encoder(dict):
-    """Piece of text to its ids as int32 bytes; pieces are encoded once and kept."""
+    """Piece of text to its ids as int32 bytes.
+
+    Short pieces share one store of last tokens by prefix, so a piece costs only the prefixes that no
+    piece before it had; long ones get a table of their own.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern).findall
+        self.last: dict[bytes, int] = {}
+
+    def _last_token(self, prefix: bytes) -> int:
+        usable, last, adjacent = self.vocabulary.usable, self.last, self.vocabulary._adjacent
+        token = usable.get(prefix)
+        if token is None:
+            for start in range(1, len(prefix)):
+                token = usable.get(prefix[start:])
+                if token is not None:
+                    before = last.get(prefix[:start])
+                    if before is None:
+                        before = self._last_token(prefix[:start])
+                    fits = adjacent.get((before, token))
+                    if fits or (fits is None and self.vocabulary.adjacent(before, token)):
+                        break
+        last[prefix] = token
+        return token
+
+    def _ids(self, data: bytes) -> list[int]:
+        if len(data) > SHARED_BYTES:
+            return Prefixes(self.vocabulary, data).ids()
+        out, tokens, last = [], self.vocabulary.tokens, self.last
+        while data:
+            token = last.get(data)
+            if token is None:
+                token = self._last_token(data)
+            out.append(token)
+            data = data[: -len(tokens[token])]
+        return out[::-1]
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        whole = self.vocabulary.usable.get(data)
-        ids = [whole] if whole is not None else Prefixes(self.vocabulary, data).ids()
-        self[piece] = packed = np.array(ids, np.int32).tobytes()
+        self[piece] = packed = np.array(self._ids(piece.encode("utf-8")), np.int32).tobytes()
         return packed
 
     def packed(self, text: str) -> bytes:
         if len(self) > CACHE_PIECES:
             self.clear()
+        if len(self.last) > CACHE_PREFIXES:
+            self.last.clear()
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
 
@@ -192,9 +228,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     named as out is replaced. The vocabulary file lies at path on every executor.
     """
 
-    def rows(texts: list[str | None]) -> dict[str, pa.Array]:
+    def rows(texts: pa.Array) -> dict[str, pa.Array]:
         of = encoder(path, pattern)
-        return {out: lists(of.packed(t or "") for t in texts)}
+        return {out: lists(of.packed(t or "") for t in texts.to_pylist())}
 
     return map_columns(df, [text], {out: "array<int>"}, rows)
 
@@ -202,8 +238,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the bytes of every list of ids. Null or empty ids give empty bytes; an unknown or null id is an error."""
 
-    def rows(lists_of_ids: list[list[int] | None]) -> dict[str, pa.Array]:
+    def rows(lists_of_ids: pa.Array) -> dict[str, pa.Array]:
         token = vocabulary(path).tokens.__getitem__
-        return {out: pa.array([b"".join(map(token, x or ())) for x in lists_of_ids], pa.binary())}
+        each = (x.values.to_pylist() if x.is_valid else () for x in lists_of_ids)
+        return {out: pa.array([b"".join(map(token, x)) for x in each], pa.binary())}
 
     return map_columns(df, [ids], {out: "binary"}, rows)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that a Python worker turns into Python objects at once.
+CHUNK_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +33,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def map_columns(df: DataFrame, columns: list[str], outputs: dict[str, str], rows: Callable[..., dict[str, pa.Array]]) -> DataFrame:
-    """df with outputs (name: type) appended; rows gets the columns of a batch as lists and returns the arrays.
+    """df with outputs (name: type) appended; rows gets columns of a few rows as Arrow arrays and returns arrays.
 
-    Columns of df that have the name of an output are replaced.
+    Columns of df that have the name of an output are replaced. Rows go through in chunks, so that a
+    Python worker holds Python objects of few rows at a time.
     """
     kept = df.drop(*outputs)
     schema = kept.limit(0).select("*", *(F.lit(None).cast(t).alias(c) for c, t in outputs.items())).schema
@@ -41,10 +44,12 @@ def map_columns(df: DataFrame, columns: list[str], outputs: dict[str, str], rows
     selected = kept if set(columns) <= set(names) else df
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = rows(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, *(made[c] for c in outputs)], [*names, *outputs])
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(start, CHUNK_ROWS)
+                made = rows(*(batch.column(batch.schema.get_field_index(c)) for c in columns))
+                arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
+                yield pa.RecordBatch.from_arrays([*arrays, *(made[c] for c in outputs)], [*names, *outputs])
 
     return selected.mapInArrow(run, schema)
 
@@ -52,7 +57,3 @@ def map_columns(df: DataFrame, columns: list[str], outputs: dict[str, str], rows
 def fold(key: str, folds: int) -> Column:
     """The fold of a row: crc32 of the key as text, modulo folds. A null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
-
-
-def binary_array(values: list[bytes | None]) -> pa.Array:
-    return pa.array(values, pa.binary())
