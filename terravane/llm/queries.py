@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe
+from terravane.llm import bpe, simhash
 from terravane.llm.common import table
 
 
@@ -30,5 +30,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
