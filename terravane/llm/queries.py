@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe, simhash
-from terravane.llm.common import table
+from terravane.llm import bpe, fertility, simhash
+from terravane.llm.common import checkpointed, table
 
 
 def _tokenizer(name: str) -> str:
@@ -30,10 +30,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = fertility.measure(docs, _tokenizer("byte_bpe_50k.tiktoken"), _tokenizer("piece_bpe_32k.model"))
+    measured = checkpointed(measured.drop("text"))
+    judged = fertility.judge(measured, fertility.bands(measured))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "chars_per_token", "chars_per_piece", "fallback_share", "token_entropy",
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op2_fertility": op2_fertility, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
