@@ -240,7 +240,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 
     def rows(lists_of_ids: pa.Array) -> dict[str, pa.Array]:
         token = vocabulary(path).tokens.__getitem__
-        each = (x.values.to_pylist() if x.is_valid else () for x in lists_of_ids)
-        return {out: pa.array([b"".join(map(token, x)) for x in each], pa.binary())}
+        ids_of_all, ends = lists_of_ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists_of_ids.value_lengths().fill_null(0).to_pylist()])
+        return {out: pa.array([b"".join(map(token, ids_of_all[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())}
 
     return map_columns(df, [ids], {out: "binary"}, rows)
