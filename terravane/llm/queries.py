@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe, fertility, simhash
-from terravane.llm.common import checkpointed, table
+from terravane.llm import bpe, compression, fertility, simhash
+from terravane.llm.common import checkpointed, fold, table
 
 
 def _tokenizer(name: str) -> str:
@@ -41,10 +41,19 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    model = compression.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return compression.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_fertility": op2_fertility, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op2_fertility": op2_fertility, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
