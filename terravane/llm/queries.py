@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe, compression, fertility, mixing, pseudonyms, simhash
+from terravane.llm import bpe, compression, conversations, fertility, mixing, pseudonyms, simhash
 from terravane.llm.common import checkpointed, fold, table
 
 
@@ -59,6 +59,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.collapse(table(spark, sf_dir, "conversations"))
+
+
 #: Of the queries alone; a user of the operator keeps a key of their own.
 DEMONSTRATION_KEY = b"terravane demonstration key"
 
@@ -68,5 +72,5 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, DEMONSTRATION_KEY).withColumn("n_values", F.size("spans").cast("long"))
 
 
-QUERIES = {"op2_fertility": op2_fertility, "op5_pseudonyms": op5_pseudonyms, "op6_mixing": op6_mixing, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
-ORACLE_SQL = {"op6_mixing": mixing.ORACLE}
+QUERIES = {"op2_fertility": op2_fertility, "op4_conversations": op4_conversations, "op5_pseudonyms": op5_pseudonyms, "op6_mixing": op6_mixing, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
+ORACLE_SQL = {"op4_conversations": conversations.ORACLE, "op6_mixing": mixing.ORACLE}
