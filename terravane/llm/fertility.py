@@ -25,8 +25,6 @@ from terravane.llm.common import map_columns
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW_WORDS = 8
-#: Distinct words whose pieces a Python worker keeps before it starts anew.
-CACHE_WORDS = 200_000
 #: Languages that get a band of their own, most rows first; the rest is judged by script.
 LANGUAGES = 512
 #: Rows that a language or script needs for a band of its own.
@@ -70,7 +68,7 @@ SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han"
 
 @lru_cache(maxsize=1)
 def _script_patterns() -> tuple[tuple[str, regex.Pattern], ...]:
-    return tuple((s, regex.compile(rf"\p{{Script={s}}}")) for s in SCRIPTS)
+    return tuple((s, regex.compile(rf"\p{{Script={s}}}+")) for s in SCRIPTS)
 
 
 def script_of(text: str) -> str:
@@ -83,7 +81,7 @@ def script_of(text: str) -> str:
     for script, pattern in _script_patterns():
         if left <= most:
             break
-        n = len(pattern.findall(letters))
+        n = sum(map(len, pattern.findall(letters)))
         left -= n
         if n > most:
             most, name = n, script
@@ -95,10 +93,7 @@ def repeated_words(words: list[bytes], width: int = WINDOW_WORDS) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
-    numbers = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    if len(numbers) > len(words) - width:  # each window holds a word that no other window can hold
-        return 0
+    ids = np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_inverse=True)[1]
     # Windows are ranked by doubling: the rank of 2k words is the rank of the pair of k-word ranks.
     ranks, size = ids, 1
     while size < width:
@@ -120,35 +115,25 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-class Pieces(dict):
-    """Word to (BPE ids as bytes, pieces, byte-fallback pieces)."""
+class Tokenizers:
+    """The two public vocabularies, each read by its own library."""
 
-    def __init__(self, bpe_path: str, piece_path: str) -> None:
+    def __init__(self, bpe_path: str, pattern: str, piece_path: str) -> None:
         import sentencepiece
+        import tiktoken
 
-        self.encoder = bpe.Encoder(bpe.vocabulary(bpe_path), r"(?s).+")
-        self.model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.fallback = frozenset(i for i in range(self.model.vocab_size()) if self.model.is_byte(i))
-
-    def __missing__(self, word: bytes) -> tuple[bytes, int, int]:
-        ids = self.model.encode(word.decode("utf-8"), num_threads=1)
-        packed = np.array(self.encoder._ids(b" " + word), np.int32).tobytes()
-        self[word] = made = (packed, len(ids), sum(i in self.fallback for i in ids))
-        return made
-
-    def trim(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        if len(self.encoder.last) > bpe.CACHE_PREFIXES:
-            self.encoder.last.clear()
+        self.bpe = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=bpe.vocabulary(bpe_path).ranks, special_tokens={}).encode_to_numpy
+        model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        self.pieces = model.encode
+        self.fallback = np.array([model.is_byte(i) for i in range(model.vocab_size())])
 
 
 @lru_cache(maxsize=2)
-def pieces(bpe_path: str, piece_path: str) -> Pieces:
-    return Pieces(bpe_path, piece_path)
+def tokenizers(bpe_path: str, pattern: str, piece_path: str) -> Tokenizers:
+    return Tokenizers(bpe_path, pattern, piece_path)
 
 
-def _measure(text: str, of: Pieces) -> tuple:
+def _measure(text: str, of: Tokenizers) -> tuple:
     words = text.encode("utf-8").split()
     base = (
         len(words),
@@ -159,16 +144,15 @@ def _measure(text: str, of: Pieces) -> tuple:
     )
     if not words:
         return (*base, "Other", None, None, None, None)
-    made = [of[w] for w in words]
-    ids = np.frombuffer(b"".join(m[0] for m in made), np.int32)
-    n_pieces = sum(m[1] for m in made)
-    chars = base[1] + len(words)
+    ids = of.bpe(text, disallowed_special=())
+    pieces = np.array(of.pieces(text, num_threads=1), np.int64)
     counts = np.unique(ids, return_counts=True)[1]
     entropy = float(np.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
-    return (*base, script_of(text), chars / len(ids), chars / max(1, n_pieces), sum(m[2] for m in made) / max(1, n_pieces), entropy)
+    n = max(1, len(pieces))
+    return (*base, script_of(text), len(text) / len(ids), len(text) / n, float(of.fallback[pieces].sum()) / n, entropy)
 
 
-def measure(df: DataFrame, bpe_path: str, piece_path: str, text: str = "text") -> DataFrame:
+def measure(df: DataFrame, bpe_path: str, pattern: str, piece_path: str, text: str = "text") -> DataFrame:
     """df with the columns of MEASURES for each whole text.
 
     A null or wordless text has zero counts and null token figures. Columns of df that have the name of
@@ -176,11 +160,8 @@ def measure(df: DataFrame, bpe_path: str, piece_path: str, text: str = "text") -
     """
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
-        of = pieces(bpe_path, piece_path)
-        made = []
-        for t in texts.to_pylist():
-            made.append(_measure(t or "", of))
-            of.trim()
+        of = tokenizers(bpe_path, pattern, piece_path)
+        made = [_measure(t or "", of) for t in texts.to_pylist()]
         columns = zip(*made, strict=True) if made else [()] * len(MEASURES)
         kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
         return {c: pa.array(values, kinds[kind]) for (c, kind), values in zip(MEASURES.items(), columns, strict=True)}

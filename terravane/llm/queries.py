@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe, compression, conversations, fertility, mixing, pseudonyms, simhash
+from terravane.llm import bpe, compression, conversations, fertility, mixing, pseudonyms, rotated, simhash
 from terravane.llm.common import checkpointed, fold, table
 
 
@@ -31,8 +31,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = fertility.measure(docs, _tokenizer("byte_bpe_50k.tiktoken"), _tokenizer("piece_bpe_32k.model"))
+    measured = fertility.measure(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, _tokenizer("piece_bpe_32k.model"))
     measured = checkpointed(measured.drop("text"))
     judged = fertility.judge(measured, fertility.bands(measured))
     return judged.select(
@@ -59,6 +61,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated.links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.collapse(table(spark, sf_dir, "conversations"))
 
@@ -72,5 +78,5 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, DEMONSTRATION_KEY).withColumn("n_values", F.size("spans").cast("long"))
 
 
-QUERIES = {"op2_fertility": op2_fertility, "op4_conversations": op4_conversations, "op5_pseudonyms": op5_pseudonyms, "op6_mixing": op6_mixing, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
-ORACLE_SQL = {"op4_conversations": conversations.ORACLE, "op6_mixing": mixing.ORACLE}
+QUERIES = {"op2_fertility": op2_fertility, "op3_rotated_codes": op3_rotated_codes, "op4_conversations": op4_conversations, "op5_pseudonyms": op5_pseudonyms, "op6_mixing": op6_mixing, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
+ORACLE_SQL = {"op3_rotated_codes": rotated.ORACLE, "op4_conversations": conversations.ORACLE, "op6_mixing": mixing.ORACLE}
