@@ -80,17 +80,24 @@ def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> Data
         for start, length in cut
         for position in range(start, start + length)
     ]
-    rows = prints.select(value.alias("value"), F.explode(F.array(*variants)).alias("v")).select("value", (F.col("v.rest") * BITS + F.col("v.position")).alias("variant"))
+    rows = prints.select(value.alias("value"), F.explode(F.array(*variants)).alias("v"))
+    packs = max(length for _, length in cut) <= BITS - 7  # rest and position fit a long
+    if packs:
+        rows = rows.select("value", (F.col("v.rest") * BITS + F.col("v.position")).alias("variant"))
+    else:
+        rows = rows.select("value", F.col("v.rest").alias("variant"), F.col("v.position").alias("position"))
     a, b = rows.alias("a"), rows.alias("b")
     differ = F.col("a.value").bitwiseXOR(F.col("b.value"))
     few = [F.bit_count(differ.bitwiseAND(_mask(*s))) <= 1 for s in cut]
-    position = F.pmod(F.col("a.variant"), F.lit(BITS))
+    position = F.pmod(F.col("a.variant"), F.lit(BITS)) if packs else F.col("a.position")
     first = F.lit(False)
     for k, (start, length) in enumerate(cut):
         earlier = reduce(and_, (~f for f in few[:k]), F.lit(True))
         same = differ.bitwiseAND(_mask(start, length)) == 0
         first = first | ((position >= start) & (position < start + length) & earlier & (~same | (position == start)))
     met = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.value") < F.col("b.value")) & (F.bit_count(differ) <= bits) & first
+    if not packs:
+        met = met & (F.col("a.position") == F.col("b.position"))
     return a.join(b, met).select(F.col("a.value").alias("low"), F.col("b.value").alias("high"))
 
 
