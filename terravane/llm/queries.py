@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe, compression, conversations, fertility, mixing, pseudonyms, rotated, simhash
+from terravane.llm import bpe, compression, conversations, fertility, logbilinear, mixing, pseudonyms, rotated, simhash
 from terravane.llm.common import checkpointed, fold, table
 
 
@@ -30,6 +30,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 7) == 2
+    found, vocab = logbilinear.scored(docs, docs.where(~held_out))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,5 +87,5 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, DEMONSTRATION_KEY).withColumn("n_values", F.size("spans").cast("long"))
 
 
-QUERIES = {"op2_fertility": op2_fertility, "op3_rotated_codes": op3_rotated_codes, "op4_conversations": op4_conversations, "op5_pseudonyms": op5_pseudonyms, "op6_mixing": op6_mixing, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_logbilinear": op1_logbilinear, "op2_fertility": op2_fertility, "op3_rotated_codes": op3_rotated_codes, "op4_conversations": op4_conversations, "op5_pseudonyms": op5_pseudonyms, "op6_mixing": op6_mixing, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL = {"op3_rotated_codes": rotated.ORACLE, "op4_conversations": conversations.ORACLE, "op6_mixing": mixing.ORACLE}
