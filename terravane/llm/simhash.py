@@ -89,7 +89,9 @@ def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> Data
     a, b = rows.alias("a"), rows.alias("b")
     differ = F.col("a.value").bitwiseXOR(F.col("b.value"))
     few = [F.bit_count(differ.bitwiseAND(_mask(*s))) <= 1 for s in cut]
-    position = F.pmod(F.col("a.variant"), F.lit(BITS)) if packs else F.col("a.position")
+    # The greatest of two equal columns names both sides: no part of the condition goes to one side alone,
+    # so the sides stay the same plan and are shuffled once.
+    position = F.pmod(F.greatest("a.variant", "b.variant"), F.lit(BITS)) if packs else F.greatest("a.position", "b.position")
     first = F.lit(False)
     for k, (start, length) in enumerate(cut):
         earlier = reduce(and_, (~f for f in few[:k]), F.lit(True))
