@@ -106,6 +106,20 @@ def copies() -> Column:
     return F.col("epochs") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
 
 
+def mixed_rows(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **settings) -> DataFrame:
+    """The rows of df, each as often as copies() says, in no order; null and empty texts have no words and none.
+
+    All columns of df stay as they are; repeated rows count as rows of their own.
+    """
+    others = [c for c in df.columns if c not in (key, source)]
+    held = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("held"))
+    planned = plan(held, "key", "source", "text", keep=("held",), **settings)
+    taken = planned.withColumn("copies", copies().cast("int")).where("copies > 0")
+    rows = taken.select("key", "source", "held", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    named = {key: F.col("key"), source: F.col("source")}
+    return rows.select(*(named[c].alias(c) if c in named else F.col("held").getField(c).alias(c) for c in df.columns))
+
+
 ODD_SQL = ODD.replace("'", "''")
 ORACLE = f"""
 WITH sized AS (

@@ -20,17 +20,18 @@ from pyspark.sql import functions as F
 
 from terravane.llm.common import checkpointed, map_columns
 from terravane.llm.graph import components
+from terravane.llm.words import mixed
 
 BITS = 64
 #: Hashes that are unpacked into bits at once.
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str, words: int, distinct: bool = False, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles: a bit is 1 if it is set in over half of their XXH64 values."""
+def _hashes(text: str, words: int, distinct: bool, seed: int) -> np.ndarray:
+    """The XXH64 values of a text's word shingles, A-Z lower-cased; fewer words are one shingle."""
     found = text.encode("utf-8").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(found)
     starts = [0, *accumulate(len(w) + 1 for w in found)]
     width = min(words, len(found))
@@ -38,13 +39,21 @@ def fingerprint(text: str, words: int, distinct: bool = False, seed: int = 42) -
     if distinct:
         shingles = list(set(shingles))
     digest = xxhash.xxh64_intdigest
-    values = np.fromiter((digest(s, seed) for s in shingles), "<u8", len(shingles))
+    return np.fromiter((digest(s, seed) for s in shingles), "<u8", len(shingles))
+
+
+def _majority(values: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(values), BLOCK):
         counts += np.unpackbits(values[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(values), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int, distinct: bool = False, seed: int = 42) -> int:
+    """The SimHash of a text's word shingles: a bit is 1 if it is set in over half of their XXH64 values."""
+    return _majority(_hashes(text, words, distinct, seed))
+
+
 def fingerprints(df: DataFrame, text: str = "text", words: int = 4, distinct: bool = False, out: str = "fingerprint") -> DataFrame:
     """df with the fingerprint of each text as a signed long. Null and wordless texts have fingerprint zero."""
 
@@ -55,6 +64,31 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 4, distinct: bo
     return map_columns(df, [text], {out: "long"}, rows)
 
 
+def several_fingerprints(df: DataFrame, number: int, text: str = "text", words: int = 1, out: str = "prints") -> DataFrame:
+    """df with `number` fingerprints of each text, of hashes that are mixed anew for each."""
+
+    def rows(texts: pa.Array) -> dict[str, pa.Array]:
+        made = []
+        for t in texts.to_pylist():
+            values = _hashes(t or "", words, False, 42)
+            made.append([_majority(mixed(values ^ np.uint64(k)) if k else values) for k in range(number)])
+        flat = np.array(made, np.uint64).reshape(-1).view(np.int64)
+        return {out: pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * number, pa.int32()), pa.array(flat))}
+
+    return map_columns(df, [text], {out: "array<long>"}, rows)
+
+
+def shingle_sets(df: DataFrame, text: str = "text", words: int = 5, out: str = "shingles") -> DataFrame:
+    """df with the distinct hashes of each text's word shingles; wordless texts have none."""
+
+    def rows(texts: pa.Array) -> dict[str, pa.Array]:
+        made = [np.unique(_hashes(t or "", words, False, 7)).view(np.int64) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, made)])
+        return {out: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *made])))}
+
+    return map_columns(df, [text], {out: "array<long>"}, rows)
+
+
 def segments(bits: int) -> list[tuple[int, int]]:
     """(start, length) of the fewest segments of which one must differ in at most one bit: 2 * number > bits."""
     number = bits // 2 + 1
@@ -127,5 +161,88 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return prints.join(found, "fingerprint").select(key, "fingerprint", F.col("component").alias("component_id"))
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (low, high) of texts whose sets of shingles are at least so alike (Jaccard)."""
+    n = lambda side: F.size(f"{side}_set")
+    of = lambda side: sets.select(F.col("tid").alias(side), F.col("shingles").alias(f"{side}_set"))
+    both = pairs.join(of("high"), "high").join(of("low"), "low")
+    shared = F.size(F.array_intersect("low_set", "high_set"))
+    near = F.least(n("low"), n("high")) >= similarity * F.greatest(n("low"), n("high"))
+    alike = shared / F.greatest(F.lit(1), n("low") + n("high") - shared) >= similarity
+    # Equal sets are alike, empty ones included.
+    return both.where(near & (alike | (n("low") + n("high") == 0))).select("low", "high")
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct()
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, bits: int = 5, prints: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row (tid, root, low_key) for each different text: its id, its group's, and the smallest key that has the text.
+
+    Texts link if in one of `prints` fingerprints they differ in at most `bits` bits and their sets of
+    `shingle`-word shingles are at least `similarity` alike; groups are what links reach. First the texts of a
+    fingerprint are compared with one of them, and one text of each of two near fingerprints; then all
+    pairs that are still in different groups. A large group is thus joined by about as many comparisons as
+    it has texts, and no link between different groups is lost.
+    """
+    named = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tid"))
+    seen = several_fingerprints(named, prints, "text", words).select("tid", "key", "prints")
+    texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints")))
+    slots = texts.select("tid", F.posexplode("prints").alias("slot", "value"))
+    leaders = slots.groupBy("slot", "value").agg(F.min("tid").alias("leader"), F.count("*").alias("n"))
+    leaders = checkpointed(leaders)
+    near = None
+    for k in range(prints):
+        found = links(leaders.where(F.col("slot") == k).select("value"), bits, "value").select(F.lit(k).alias("slot"), "low", "high")
+        near = found if near is None else near.unionByName(found)
+    near = checkpointed(near)
+    stars = slots.join(leaders.where("n > 1").select("slot", "value", "leader"), ["slot", "value"]).select(F.col("tid").alias("a"), F.col("leader").alias("b"))
+    side = lambda end: leaders.select("slot", F.col("value").alias(end), F.col("leader").alias("a" if end == "low" else "b"))
+    across = near.join(side("low"), ["slot", "low"]).join(side("high"), ["slot", "high"]).select("a", "b")
+    first = checkpointed(_ordered(stars.unionByName(across), "a", "b"))
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("low", "high")).alias("tid")).distinct()
+        chosen = named.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]).select("tid", "text")
+        return shingle_sets(chosen, "text", shingle).select("tid", "shingles")
+
+    linked = checkpointed(_similar(first, sets(first), similarity))
+    roots = components(linked, "low", "high").select(F.col("node").alias("tid"), "root")
+
+    # What is left to compare: parts of a fingerprint, or of two near ones, that are in different groups.
+    placed = slots.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    placed = checkpointed(placed)
+    parts = placed.groupBy("slot", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    roots_of = placed.select("slot", "value", "root").distinct()
+    split = parts.where("r1 != r2").select("slot", F.col("value").alias("low"), F.col("value").alias("high"))
+    ends = lambda end: parts.select("slot", F.col("value").alias(end), F.col("r1").alias(f"{end}_1"), F.col("r2").alias(f"{end}_2"))
+    apart = near.join(ends("low"), ["slot", "low"]).join(ends("high"), ["slot", "high"]).where("low_1 != low_2 OR high_1 != high_2 OR low_1 != high_1").select("slot", "low", "high")
+    part = lambda end, name: roots_of.select("slot", F.col("value").alias(end), F.col("root").alias(name))
+    open_ = split.unionByName(apart).join(part("low", "ra"), ["slot", "low"]).join(part("high", "rb"), ["slot", "high"])
+    open_ = open_.where("ra != rb AND (low != high OR ra < rb)")
+    member = lambda end, root, name: placed.select("slot", F.col("value").alias(end), F.col("root").alias(root), F.col("tid").alias(name))
+    pairs = open_.join(member("low", "ra", "a"), ["slot", "low", "ra"]).join(member("high", "rb", "b"), ["slot", "high", "rb"])
+    second = checkpointed(_ordered(pairs, "a", "b").join(first, ["low", "high"], "left_anti"))
+    more = checkpointed(_similar(second, sets(second), similarity))
+    final = components(linked.unionByName(more), "low", "high").select(F.col("node").alias("tid"), "root")
+    return texts.join(final, "tid", "left").select("tid", F.coalesce("root", "tid").alias("root"), "low_key")
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of df that stand for their near-duplicate group (see groups): that of the smallest key.
+
+    Null and wordless texts are one group. Of rows that repeat the key and text one stays; a null key counts
+    as larger than any; of equal keys the text with the smallest MD5 counts. An empty table gives an empty
+    result. All columns stay as they are.
+    """
+    found = checkpointed(groups(df, key, text, **settings))
+    order = F.struct(F.col("low_key").isNull(), "low_key", "tid")
+    winners = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.tid").alias("winner_text"), F.col("w.low_key").alias("winner_key"))
+    own = df.withColumn("own_text", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("own_key", F.col(key))
+    kept = own.join(winners, (F.col("own_text") == F.col("winner_text")) & F.col("own_key").eqNullSafe(F.col("winner_key")), "left_semi")
+    return kept.dropDuplicates(["own_text", "own_key"]).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def hexadecimal(column: str = "fingerprint") -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
