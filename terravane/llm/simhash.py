@@ -64,13 +64,13 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 4, distinct: bo
     return map_columns(df, [text], {out: "long"}, rows)
 
 
-def several_fingerprints(df: DataFrame, number: int, text: str = "text", words: int = 1, out: str = "prints") -> DataFrame:
+def several_fingerprints(df: DataFrame, number: int, text: str = "text", words: int = 1, distinct: bool = True, out: str = "prints") -> DataFrame:
     """df with `number` fingerprints of each text, of hashes that are mixed anew for each."""
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
         made = []
         for t in texts.to_pylist():
-            values = _hashes(t or "", words, False, 42)
+            values = _hashes(t or "", words, distinct, 42)
             made.append([_majority(mixed(values ^ np.uint64(k)) if k else values) for k in range(number)])
         flat = np.array(made, np.uint64).reshape(-1).view(np.int64)
         return {out: pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * number, pa.int32()), pa.array(flat))}
@@ -177,8 +177,10 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct()
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, bits: int = 5, prints: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row (tid, root, low_key) for each different text: its id, its group's, and the smallest key that has the text.
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, distinct: bool = True, bits: int = 5, prints: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row (tid, root, low_key) for each different text: its id, its group's, and the smallest key that has it.
+
+    The fingerprints are of distinct words: with repeats, frequent words make unrelated texts alike.
 
     Texts link if in one of `prints` fingerprints they differ in at most `bits` bits and their sets of
     `shingle`-word shingles are at least `similarity` alike; groups are what links reach. First the texts of a
@@ -187,7 +189,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     it has texts, and no link between different groups is lost.
     """
     named = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tid"))
-    seen = several_fingerprints(named, prints, "text", words).select("tid", "key", "prints")
+    seen = several_fingerprints(named, prints, "text", words, distinct).select("tid", "key", "prints")
     texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints")))
     slots = texts.select("tid", F.posexplode("prints").alias("slot", "value"))
     leaders = slots.groupBy("slot", "value").agg(F.min("tid").alias("leader"), F.count("*").alias("n"))
