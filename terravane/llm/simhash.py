@@ -101,9 +101,11 @@ def _mask(start: int, length: int) -> Column:
     return F.lit(value - (1 << BITS) if value >> (BITS - 1) else value)
 
 
-def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> DataFrame:
+def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint", part: str | None = None) -> DataFrame:
     """All pairs (low, high) of different fingerprints that differ in at most `bits` bits, each once.
 
+    With a column `part`, pairs of which both have the same part (not null) are left out.
+
     prints needs each fingerprint once. A pair is reported in the first segment that differs in at most
     one bit; where the segments are equal, at their first bit.
     """
@@ -114,12 +116,13 @@ def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> Data
         for start, length in cut
         for position in range(start, start + length)
     ]
-    rows = prints.select(value.alias("value"), F.explode(F.array(*variants)).alias("v"))
+    held = ["value"] if part is None else ["value", "part"]
+    rows = prints.select(value.alias("value"), *([] if part is None else [F.col(part).alias("part")]), F.explode(F.array(*variants)).alias("v"))
     packs = max(length for _, length in cut) <= BITS - 7  # rest and position fit a long
     if packs:
-        rows = rows.select("value", (F.col("v.rest") * BITS + F.col("v.position")).alias("variant"))
+        rows = rows.select(*held, (F.col("v.rest") * BITS + F.col("v.position")).alias("variant"))
     else:
-        rows = rows.select("value", F.col("v.rest").alias("variant"), F.col("v.position").alias("position"))
+        rows = rows.select(*held, F.col("v.rest").alias("variant"), F.col("v.position").alias("position"))
     a, b = rows.alias("a"), rows.alias("b")
     differ = F.col("a.value").bitwiseXOR(F.col("b.value"))
     few = [F.bit_count(differ.bitwiseAND(_mask(*s))) <= 1 for s in cut]
@@ -134,6 +137,8 @@ def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> Data
     met = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.value") < F.col("b.value")) & (F.bit_count(differ) <= bits) & first
     if not packs:
         met = met & (F.col("a.position") == F.col("b.position"))
+    if part is not None:
+        met = met & F.coalesce(F.col("a.part") != F.col("b.part"), F.lit(True))
     return a.join(b, met).select(F.col("a.value").alias("low"), F.col("b.value").alias("high"))
 
 
@@ -161,11 +166,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return prints.join(found, "fingerprint").select(key, "fingerprint", F.col("component").alias("component_id"))
 
 
+#: Most bits by which all fingerprints of a pair may differ, for each fingerprint on average. Of measured pairs
+#: with similarity 0.8 that have one fingerprint within five bits, 99.6 % are within this.
+MEAN_BITS = 6
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (low, high) of texts whose sets of shingles are at least so alike (Jaccard)."""
     n = lambda side: F.size(f"{side}_set")
-    of = lambda side: sets.select(F.col("tid").alias(side), F.col("shingles").alias(f"{side}_set"))
-    both = pairs.join(of("high"), "high").join(of("low"), "low")
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"{side}_set"))
+    small = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES
+    placed = F.broadcast if small else (lambda x: x)
+    both = pairs.join(placed(of("high")), "high").join(placed(of("low")), "low")
     shared = F.size(F.array_intersect("low_set", "high_set"))
     near = F.least(n("low"), n("high")) >= similarity * F.greatest(n("low"), n("high"))
     alike = shared / F.greatest(F.lit(1), n("low") + n("high") - shared) >= similarity
@@ -173,62 +185,92 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(near & (alike | (n("low") + n("high") == 0))).select("low", "high")
 
 
+#: Texts up to which a list of those wanted is broadcast (16 bytes each); longer lists are joined by shuffling.
+BROADCAST_TEXTS = 200_000
+#: Shingles of sets that are broadcast (8 bytes each); more are joined by shuffling.
+BROADCAST_SHINGLES = 2_000_000
+
+
+def _sets(named: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles) of the texts in pairs."""
+    ids = pairs.select(F.explode(F.array("low", "high")).alias("id")).distinct()
+    wanted = checkpointed(texts.join(ids, "id", "left_semi").select("id", "tid", F.xxhash64("tid").alias("short")))
+    found = named
+    if wanted.count() <= BROADCAST_TEXTS:
+        found = named.withColumn("short", F.xxhash64("tid")).join(F.broadcast(wanted.select("short")), "short", "left_semi")
+    chosen = found.select("tid", "text").join(wanted.select("id", "tid"), "tid").dropDuplicates(["tid"])
+    return checkpointed(shingle_sets(chosen.select("id", "text"), "text", shingle).select("id", "shingles"))
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct()
 
 
+#: Texts of a bucket with which all others are compared first, besides the most central one.
+DRAWN = 4
+
+
+def _stars(slots: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of texts: each with a few of its buckets, if the fingerprints are near.
+
+    A bucket holds the texts of which a segment is equal. The few are the text that shares segments with
+    most texts, hence the one that copies with different edits were made from, and DRAWN more by hash.
+    """
+    value = F.col("value")
+    pieces = [F.struct(F.lit(k).alias("segment"), value.bitwiseAND(_mask(*cut)).alias("piece")) for k, cut in enumerate(segments(bits))]
+    rows = slots.select("id", "value", "slot", F.explode(F.array(*pieces)).alias("p")).select("id", "value", "slot", "p.segment", "p.piece")
+    bucket = ["slot", "segment", "piece"]
+    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpointed(rows.join(sizes, bucket))
+    scores = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    most = F.max(F.struct("score", "id", "value"))
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("score"), "id", "value")) for k in range(DRAWN)]
+    first = shared.join(scores, "id").groupBy(*bucket).agg(F.array_distinct(F.array(most, *drawn)).alias("firsts"))
+    first = first.select(*bucket, F.explode("firsts").alias("first"))
+    near = F.bit_count(value.bitwiseXOR(F.col("first.value"))) <= bits
+    return shared.join(first, bucket).where(near).select(F.col("id").alias("a"), F.col("first.id").alias("b"))
+
+
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, distinct: bool = True, bits: int = 5, prints: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row (tid, root, low_key) for each different text: its id, its group's, and the smallest key that has it.
 
-    The fingerprints are of distinct words: with repeats, frequent words make unrelated texts alike.
-
     Texts link if in one of `prints` fingerprints they differ in at most `bits` bits and their sets of
-    `shingle`-word shingles are at least `similarity` alike; groups are what links reach. First the texts of a
-    fingerprint are compared with one of them, and one text of each of two near fingerprints; then all
-    pairs that are still in different groups. A large group is thus joined by about as many comparisons as
-    it has texts, and no link between different groups is lost.
+    `shingle`-word shingles are at least `similarity` alike; groups are what links reach. The fingerprints
+    are of distinct words: with repeats, frequent words make unrelated texts alike.
+
+    First each text is compared with a few of those that share a segment; then all pairs that are still
+    in different groups. A large group is thus joined by about as many comparisons as it has texts,
+    and no link between different groups is lost.
     """
     named = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tid"))
     seen = several_fingerprints(named, prints, "text", words, distinct).select("tid", "key", "prints")
-    texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints")))
-    slots = texts.select("tid", F.posexplode("prints").alias("slot", "value"))
-    leaders = slots.groupBy("slot", "value").agg(F.min("tid").alias("leader"), F.count("*").alias("n"))
-    leaders = checkpointed(leaders)
-    near = None
-    for k in range(prints):
-        found = links(leaders.where(F.col("slot") == k).select("value"), bits, "value").select(F.lit(k).alias("slot"), "low", "high")
-        near = found if near is None else near.unionByName(found)
-    near = checkpointed(near)
-    stars = slots.join(leaders.where("n > 1").select("slot", "value", "leader"), ["slot", "value"]).select(F.col("tid").alias("a"), F.col("leader").alias("b"))
-    side = lambda end: leaders.select("slot", F.col("value").alias(end), F.col("leader").alias("a" if end == "low" else "b"))
-    across = near.join(side("low"), ["slot", "low"]).join(side("high"), ["slot", "high"]).select("a", "b")
-    first = checkpointed(_ordered(stars.unionByName(across), "a", "b"))
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("low", "high")).alias("tid")).distinct()
-        chosen = named.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]).select("tid", "text")
-        return shingle_sets(chosen, "text", shingle).select("tid", "shingles")
-
-    linked = checkpointed(_similar(first, sets(first), similarity))
-    roots = components(linked, "low", "high").select(F.col("node").alias("tid"), "root")
+    # Numbers are given to stored rows: they stay the same when a task runs again.
+    texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints"))).withColumn("id", F.monotonically_increasing_id())
+    slots = texts.select("id", "prints", F.posexplode("prints").alias("slot", "value"))
+    first = checkpointed(_ordered(_stars(slots, bits), "a", "b"))
+    linked = checkpointed(_similar(first, _sets(named, texts, first, shingle), similarity))
+    roots = components(linked, "low", "high").select(F.col("node").alias("id"), "root")
 
     # What is left to compare: parts of a fingerprint, or of two near ones, that are in different groups.
-    placed = slots.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    placed = checkpointed(placed)
-    parts = placed.groupBy("slot", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    roots_of = placed.select("slot", "value", "root").distinct()
-    split = parts.where("r1 != r2").select("slot", F.col("value").alias("low"), F.col("value").alias("high"))
-    ends = lambda end: parts.select("slot", F.col("value").alias(end), F.col("r1").alias(f"{end}_1"), F.col("r2").alias(f"{end}_2"))
-    apart = near.join(ends("low"), ["slot", "low"]).join(ends("high"), ["slot", "high"]).where("low_1 != low_2 OR high_1 != high_2 OR low_1 != high_1").select("slot", "low", "high")
-    part = lambda end, name: roots_of.select("slot", F.col("value").alias(end), F.col("root").alias(name))
-    open_ = split.unionByName(apart).join(part("low", "ra"), ["slot", "low"]).join(part("high", "rb"), ["slot", "high"])
-    open_ = open_.where("ra != rb AND (low != high OR ra < rb)")
-    member = lambda end, root, name: placed.select("slot", F.col("value").alias(end), F.col("root").alias(root), F.col("tid").alias(name))
-    pairs = open_.join(member("low", "ra", "a"), ["slot", "low", "ra"]).join(member("high", "rb", "b"), ["slot", "high", "rb"])
+    placed = checkpointed(slots.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    values = placed.groupBy("slot", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    values = checkpointed(values.select("slot", "value", F.when(F.col("r1") == F.col("r2"), F.col("r1")).alias("root")))
+    open_ = values.where("root IS NULL").select("slot", F.col("value").alias("low"), F.col("value").alias("high"))
+    for k in range(prints):
+        found = links(values.where(F.col("slot") == k), bits, "value", "root")
+        open_ = open_.unionByName(found.select(F.lit(k).alias("slot"), "low", "high"))
+    open_ = checkpointed(open_)
+    parts = placed.select("slot", "value", "root").distinct()
+    part = lambda end, name: parts.select("slot", F.col("value").alias(end), F.col("root").alias(name))
+    apart = open_.join(part("low", "ra"), ["slot", "low"]).join(part("high", "rb"), ["slot", "high"]).where("ra != rb AND (low != high OR ra < rb)")
+    member = lambda end, root, name: placed.select("slot", F.col("value").alias(end), F.col("root").alias(root), F.col("id").alias(name), F.col("prints").alias(f"{name}_prints"))
+    pairs = apart.join(member("low", "ra", "a"), ["slot", "low", "ra"]).join(member("high", "rb", "b"), ["slot", "high", "rb"])
+    distance = sum((F.bit_count(F.col("a_prints")[k].bitwiseXOR(F.col("b_prints")[k])) for k in range(prints)), F.lit(0))
+    pairs = pairs.where(distance <= MEAN_BITS * prints)
     second = checkpointed(_ordered(pairs, "a", "b").join(first, ["low", "high"], "left_anti"))
-    more = checkpointed(_similar(second, sets(second), similarity))
-    final = components(linked.unionByName(more), "low", "high").select(F.col("node").alias("tid"), "root")
-    return texts.join(final, "tid", "left").select("tid", F.coalesce("root", "tid").alias("root"), "low_key")
+    more = checkpointed(_similar(second, _sets(named, texts, second, shingle), similarity))
+    final = components(linked.unionByName(more), "low", "high").select(F.col("node").alias("id"), "root")
+    return texts.join(final, "id", "left").select("tid", F.coalesce("root", "id").alias("root"), "low_key")
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
