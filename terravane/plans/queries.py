@@ -1,23 +1,8 @@
-"""Named queries over the driver's tables, and the SQL that gives the same rows."""
+"""All queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from terravane.plans import rasters, relations, scalars  # noqa: F401  they register their queries
+from terravane.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its SQL where there is one."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle is not None:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
