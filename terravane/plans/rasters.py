@@ -90,8 +90,8 @@ _R = f"{geo.effective_radius()!r}::DOUBLE"
 @query(
     "tile_zone_skip",
     _COVER + f""", c AS (SELECT *, ((tx * 31 + ty * 17) % 300)::DOUBLE - 22.3::DOUBLE AS h, nearest + cell * 700.0::DOUBLE AS far FROM cover),
-    b AS (SELECT *, CASE WHEN h < 0 THEN least(greatest(nearest, sqrt(2 * {_R} * -h)), far) ELSE nearest END AS at FROM c)
-    SELECT id, cell, count(*) AS n, count(*) FILTER (WHERE nearest <= 15000 OR round(h / at - at / (2 * {_R}), 9) >= round(-sqrt(2 * 22.3::DOUBLE / {_R}), 9)) AS n_read FROM b GROUP BY 1, 2""",
+    b AS (SELECT *, CASE WHEN h < 0 THEN least(greatest(nearest, sqrt(2 * {_R} * -h)), far) ELSE nearest END AS spot FROM c)
+    SELECT id, cell, count(*) AS n, count(*) FILTER (WHERE nearest <= 15000 OR round(h / spot - spot / (2 * {_R}), 9) >= round(-sqrt(2 * 22.3::DOUBLE / {_R}), 9)) AS n_read FROM b GROUP BY 1, 2""",
 )
 def tile_zone_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tiles of each ring the zone map lets a sweep skip."""
