@@ -19,7 +19,7 @@ def schedule(spark: SparkSession, bands=BANDS) -> DataFrame:
     for to, step in bands:
         parts.append(F.sequence(F.lit(start + step), F.lit(to), F.lit(step)))
         start = to
-    return spark.range(1).select(F.explode(F.flatten(F.array(*parts))).cast("double").alias("d"))
+    return spark.range(1).select(F.explode(F.flatten(F.array(*parts))).alias("d")).select(F.col("d").cast("double"))
 
 
 def records(samples: DataFrame, ray: str, order: str, value: str) -> DataFrame:

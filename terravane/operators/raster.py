@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # The tile format's header, scale and nodata; the tile grid's anchor and rings (outer metres, cell, edge).
 # Header: magic, header bytes, value type, predictor, west and north edge, cell, columns, rows, scale, nodata,
 # compression, flags (1 pooled, 2 has nodata), payload bytes, least and greatest stored value.
-HEADER = struct.Struct("<4sHBBiiHHHhhBBIhh")
+HEADER, HEADER_BYTES = "<4sHBBiiHHHhhBBIhh", 36
 MAGIC, SCALE, NODATA = b"AZT1", 4, -32768
 INT16, DELTA, DEFLATE = 1, 2, 1
 ANCHOR_NORTH = 7_800_000
@@ -111,7 +111,7 @@ def _encode(row) -> bytes | None:
     flags = int(row.pooled) | 2 * int(not live.all())
     least, most = int(q[live].min()), int(q[live].max())
     west, north = row.tx * row.cell * row.width, ANCHOR_NORTH - row.ty * row.cell * row.height
-    return HEADER.pack(MAGIC, HEADER.size, INT16, DELTA, west, north, row.cell, row.width, row.height, SCALE, NODATA, DEFLATE, flags, len(body), least, most) + body
+    return struct.pack(HEADER, MAGIC, HEADER_BYTES, INT16, DELTA, west, north, row.cell, row.width, row.height, SCALE, NODATA, DEFLATE, flags, len(body), least, most) + body
 
 
 def encode_tiles(tiles: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def decode_tiles(files: DataFrame, header_only: bool = False) -> DataFrame:
         for b in batches:
             rows = []
             for data in b["content"]:
-                magic, start, _, _, west, north, cell, width, height, scale, nodata, _, flags, size, least, most = HEADER.unpack_from(data)
+                magic, start, _, _, west, north, cell, width, height, scale, nodata, _, flags, size, least, most = struct.unpack_from(HEADER, data)
                 if magic != MAGIC:
                     raise ValueError("not a terrain tile")
                 tx, ty = west // (cell * width), (ANCHOR_NORTH - north) // (cell * height)
@@ -145,7 +145,7 @@ def decode_tiles(files: DataFrame, header_only: bool = False) -> DataFrame:
                 rows.append((cell, tx, ty, width, height, bool(flags & 1), scale, least, most, v))
             yield pd.DataFrame(rows, columns=["cell", "tx", "ty", "width", "height", "pooled", "scale", "least", "most", "v"])
 
-    content = F.substring("content", 1, HEADER.size).alias("content") if header_only else F.col("content")
+    content = F.substring("content", 1, HEADER_BYTES).alias("content") if header_only else F.col("content")
     return files.select(content).mapInPandas(run, TILE_SCHEMA)
 
 

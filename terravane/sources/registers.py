@@ -68,7 +68,7 @@ def buildings(spark: SparkSession, path: str) -> DataFrame:
     """Buildings of at least 25 m or 8 levels."""
     height = text.leading_number(F.coalesce(F.nullif(_tag("height"), F.lit("")), _tag("building:height")))
     levels = text.leading_number(_tag("building:levels"))
-    rows = _elements(spark, path).where(F.coalesce(height >= 25, F.lit(False)) | F.coalesce(levels >= 8, F.lit(False)))
+    rows = _elements(spark, path).where(_tag("building").isNotNull()).where(F.coalesce(height >= 25, F.lit(False)) | F.coalesce(levels >= 8, F.lit(False)))
     return rows.select(F.lit("building").alias("cat"), "lat", "lon", height.alias("height_m"), F.when(height != 0, "osm").alias("src_h"), _tag("name").alias("name"), F.lit("osm").alias("src_pos"), levels.alias("levels"))
 
 
