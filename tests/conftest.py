@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.driver.bindAddress": "127.0.0.1",
+            "spark.driver.host": "127.0.0.1",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },
