@@ -93,15 +93,17 @@ def repeated_words(words: list[bytes], width: int = WINDOW_WORDS) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
-    ids = np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_inverse=True)[1]
-    # Windows are ranked by doubling: the rank of 2k words is the rank of the pair of k-word ranks.
-    ranks, size = ids, 1
-    while size < width:
-        step = min(size, width - size)
-        pair = ranks[: len(ranks) - step] * (len(words) + 1) + ranks[step:]
-        ranks = np.unique(pair, return_inverse=True)[1]
-        size += step
-    twice = np.bincount(ranks)[ranks] > 1
+    ids = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    ids = (ids ^ (ids >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    windows = np.zeros(n, np.uint64)
+    for k in range(width):
+        windows = windows * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
+    order = np.argsort(windows)
+    same = np.flatnonzero(windows[order[1:]] == windows[order[:-1]])
+    if not len(same):
+        return 0
+    twice = np.zeros(n, bool)
+    twice[order[same]] = twice[order[same + 1]] = True
     covered = np.zeros(len(words) + 1, np.int64)
     starts = np.flatnonzero(twice)
     np.add.at(covered, starts, 1)
@@ -146,7 +148,8 @@ def _measure(text: str, of: Tokenizers) -> tuple:
         return (*base, "Other", None, None, None, None)
     ids = of.bpe(text, disallowed_special=())
     pieces = np.array(of.pieces(text, num_threads=1), np.int64)
-    counts = np.unique(ids, return_counts=True)[1]
+    counts = np.bincount(ids)
+    counts = counts[counts > 0]
     entropy = float(np.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
     n = max(1, len(pieces))
     return (*base, script_of(text), len(text) / len(ids), len(text) / n, float(of.fallback[pieces].sum()) / n, entropy)
