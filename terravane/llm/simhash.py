@@ -166,11 +166,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return prints.join(found, "fingerprint").select(key, "fingerprint", F.col("component").alias("component_id"))
 
 
-#: Most bits by which all fingerprints of a pair may differ, for each fingerprint on average. Of measured pairs
-#: with similarity 0.8 that have one fingerprint within five bits, 99.6 % are within this.
-MEAN_BITS = 6
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (low, high) of texts whose sets of shingles are at least so alike (Jaccard)."""
     n = lambda side: F.size(f"{side}_set")
@@ -246,7 +241,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     seen = several_fingerprints(named, prints, "text", words, distinct).select("tid", "key", "prints")
     # Numbers are given to stored rows: they stay the same when a task runs again.
     texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints"))).withColumn("id", F.monotonically_increasing_id())
-    slots = texts.select("id", "prints", F.posexplode("prints").alias("slot", "value"))
+    slots = texts.select("id", F.posexplode("prints").alias("slot", "value"))
     first = checkpointed(_ordered(_stars(slots, bits), "a", "b"))
     linked = checkpointed(_similar(first, _sets(named, texts, first, shingle), similarity))
     roots = components(linked, "low", "high").select(F.col("node").alias("id"), "root")
@@ -263,10 +258,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     parts = placed.select("slot", "value", "root").distinct()
     part = lambda end, name: parts.select("slot", F.col("value").alias(end), F.col("root").alias(name))
     apart = open_.join(part("low", "ra"), ["slot", "low"]).join(part("high", "rb"), ["slot", "high"]).where("ra != rb AND (low != high OR ra < rb)")
-    member = lambda end, root, name: placed.select("slot", F.col("value").alias(end), F.col("root").alias(root), F.col("id").alias(name), F.col("prints").alias(f"{name}_prints"))
+    member = lambda end, root, name: placed.select("slot", F.col("value").alias(end), F.col("root").alias(root), F.col("id").alias(name))
     pairs = apart.join(member("low", "ra", "a"), ["slot", "low", "ra"]).join(member("high", "rb", "b"), ["slot", "high", "rb"])
-    distance = sum((F.bit_count(F.col("a_prints")[k].bitwiseXOR(F.col("b_prints")[k])) for k in range(prints)), F.lit(0))
-    pairs = pairs.where(distance <= MEAN_BITS * prints)
     second = checkpointed(_ordered(pairs, "a", "b").join(first, ["low", "high"], "left_anti"))
     more = checkpointed(_similar(second, _sets(named, texts, second, shingle), similarity))
     final = components(linked.unionByName(more), "low", "high").select(F.col("node").alias("id"), "root")

@@ -47,6 +47,17 @@ def test_representatives_as_all_pairs(spark):
     assert all(r["root"] == "kept" and r["text"] == rows[r["doc_id"]] for r in got)
 
 
+def test_pairs_far_in_most_fingerprints_link(spark):
+    """Copies without their last 20 of 120 words: of three fingerprints of words one is near, the others far."""
+    rows = []
+    for seed in (4, 5, 6, 17):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows += [" ".join(words), " ".join(words[:-20])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.representatives(df).collect()) == [0, 2, 4, 6]
+
+
 def test_representatives_edges(spark):
     schema = "doc_id long, text string"
     same = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (1, "other words are here")], schema)
