@@ -86,6 +86,15 @@ def test_recall_of_block_copies(spark):
     assert found >= 0.97
 
 
+def test_first_pass_decides_no_link(spark, monkeypatch):
+    """Groups are the same if no text is compared with a few of its bucket first."""
+    df = spark.createDataFrame(list(enumerate(t for p in block_copies(60, 8) for t in p)), "doc_id long, text string")
+    found = lambda: sorted(r["doc_id"] for r in simhash.representatives(df).collect())
+    both, stars = found(), simhash._stars
+    monkeypatch.setattr(simhash, "_stars", lambda *a: stars(*a).limit(0))
+    assert found() == both
+
+
 def test_representatives_edges(spark):
     schema = "doc_id long, text string"
     same = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (1, "other words are here")], schema)
