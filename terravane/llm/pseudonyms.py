@@ -194,11 +194,12 @@ def account(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 def token(value: str, key: bytes, back: bool = False) -> str | None:
-    """A long hexadecimal number of letters and digits."""
+    """A long hexadecimal number of letters and digits, its letters all of one case, which stays."""
     if value.isdigit() or value.isalpha():
         return None
     n = len(value)
-    return f"{permutation(key, 'token', 16**n)(int(value, 16), lambda x: not f'{x:0{n}x}'.isdigit() and not f'{x:0{n}x}'.isalpha(), back):0{n}x}"
+    other = f"{permutation(key, 'token', 16**n)(int(value, 16), lambda x: not f'{x:0{n}x}'.isdigit() and not f'{x:0{n}x}'.isalpha(), back):0{n}x}"
+    return other.upper() if value.isupper() else other
 
 
 KINDS = {"card": card, "phone": phone, "social": social, "address": address, "day": day, "mail": mail, "account": account, "token": token}
@@ -213,7 +214,7 @@ NUMBERS = re.compile(
 )
 MAILS = re.compile(r"(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 ACCOUNTS = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-TOKENS = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
+TOKENS = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")
 
 
 def _matches(text: str) -> list[tuple[int, int, str]]:
@@ -258,6 +259,11 @@ def restore(value: str, kind: str, key: bytes) -> str | None:
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "spans") -> DataFrame:
     """df with the valid personal values of every text replaced, and a column with their spans in the old text.
 
+    Covered are the formats of NUMBERS, MAILS, ACCOUNTS and TOKENS: days as y-m-d, d.m.y, m/d/y and d/m/y; IPv4
+    addresses; social security numbers; phone numbers of ten digits in groups of 3, 3 and 4, with or without a country
+    code; cards; mail addresses; IBANs; hexadecimal numbers of one case. Phone numbers in other groups (+33 1 23 45 67 89)
+    and days as y/m/d or d-m-y stay readable.
+
     Spans have kind, start and length in code points, in order. A null text stays null and has no spans;
     a text without values stays as it is. Numbers that fail validation (check digit, octet over 255, no day
     of the calendar) stay. Other columns and repeated rows stay; a column named as spans is replaced.

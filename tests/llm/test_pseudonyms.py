@@ -37,6 +37,14 @@ def test_leaves_what_is_not_valid(text):
     assert P.Pseudonyms(KEY).rewrite(text) == (text, [])
 
 
+def test_upper_case_tokens():
+    value = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"
+    text, spans = P.Pseudonyms(KEY).rewrite(f"X {value}. Y")
+    assert [(s["kind"], s["start"], s["length"]) for s in spans] == [("token", 2, 40)]
+    assert text[2:-3] != value and text[2:-3].isupper() and P.restore(text[2:-3], "token", KEY) == value
+    assert text[2:-3].lower() == P.token(value.lower(), KEY)
+
+
 def test_neighbours():
     text, spans = P.Pseudonyms(KEY).rewrite("4465758382889437 4465758382889437 +1 (826) 555-4081 190.137.223.204###")
     assert [s["kind"] for s in spans] == ["card", "card", "phone", "address"]
