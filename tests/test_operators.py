@@ -186,3 +186,10 @@ def test_plateau_takes_the_first_cell(spark):
 def test_resume(spark):
     a, b = spark.range(5), spark.range(3)
     assert sorted(r["id"] for r in sinks.resume(a, b, "id").collect()) == [3, 4]
+
+
+def test_farms_in_the_far_north(spark):
+    """At 70 N a cell of 0.05 degrees is 1,904 m wide: 1,980 m can lie two cells apart."""
+    step = 1980.0 / (111320.0 * math.cos(math.radians(70.0)))
+    sites = spark.createDataFrame([(1, 70.0, 25.0499), (2, 70.0, 25.0499 + step), (3, 70.0, 27.0)], "id long, lat double, lon double")
+    assert sorted(tuple(r) for r in labels.farms(sites).select("id", "farm").collect()) == [(1, 1), (2, 1), (3, 3)]
