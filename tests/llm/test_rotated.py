@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from terravane.llm import rotated
 
@@ -53,6 +54,20 @@ def test_bands_miss_few(spark):
     assert rotated.bands(n, 0.98)[0] > 0 and 0.98 * want <= got <= want
 
 
+@pytest.mark.parametrize(("n", "d"), [(20_000, 32), (20_000, 256), (300_000, 64)])
+def test_bands_at_the_threshold(n, d):
+    """20,000 pairs with a cosine of exactly 0.98, in the bands of a label of n vectors."""
+    rng = np.random.default_rng(n + d)
+    base = rotated.unit(rng.standard_normal((20_000, d)))
+    side = rng.standard_normal((20_000, d))
+    side = rotated.unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    bits, number = rotated.bands(n, 0.98)
+    left, right = (rotated.band_keys(x, bits, number) for x in (base, 0.98 * base + np.sqrt(1 - 0.98**2) * side))
+    missed = 1 - (left == right).any(axis=1).mean()
+    print(f"missed {n} {d} {bits} {number} {missed:.5f}")
+    assert bits > 0 and missed <= 0.003
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], SCHEMA)
     assert sorted((r["vec_id"] or 0, r["n_links"]) for r in rotated.links(df).collect()) == [(0, 0), (1, 0), (1, 0)]
