@@ -73,7 +73,7 @@ def elevation(h: Column, eye: Column, d: Column, k: float = REFRACTION) -> Colum
 
 
 def dip_tangent(eye: Column) -> Column:
-    """Tangent of the sea horizon; an eye lower than half a metre counts as that."""
+    """Tangent of the sea skyline; an eye lower than half a metre counts as that."""
     return -F.sqrt(2 * F.greatest(F.lit(0.5), eye) / effective_radius())
 
 
@@ -84,9 +84,9 @@ def best_tangent(ceiling: Column, eye: Column, near: Column, far: Column) -> Col
     return above / at - at / (2 * r)
 
 
-def refraction_state(h: Column, eye: Column, d: Column, horizon: Column) -> Column:
-    """solid, normal, marginal or mirage: by which refraction (0.07, 0.13, 0.25) a height clears the horizon."""
-    sees = [elevation(h, eye, d, k) > horizon for k in (0.07, 0.13, 0.25)]
+def refraction_state(h: Column, eye: Column, d: Column, skyline: Column) -> Column:
+    """solid, normal, marginal or mirage: by which refraction (0.07, 0.13, 0.25) a height clears the skyline."""
+    sees = [elevation(h, eye, d, k) > skyline for k in (0.07, 0.13, 0.25)]
     return F.when(sees[0], "solid").when(sees[1], "normal").when(sees[2], "marginal").otherwise("mirage")
 
 
@@ -95,9 +95,9 @@ def half_width(width: Column, d: Column) -> Column:
     return F.degrees(F.atan(width / (2 * d)))
 
 
-def unwrapped(azimuth: Column, centre: Column) -> Column:
+def unwrapped(bearing: Column, centre: Column) -> Column:
     """Degrees from a centre, -180 to 180."""
-    return F.pmod(azimuth - centre + 180, F.lit(360.0)) - 180
+    return F.pmod(bearing - centre + 180, F.lit(360.0)) - 180
 
 
 def geometric_range(h1: Column, h2: Column) -> Column:
@@ -120,10 +120,10 @@ def _pair(a: str, b: str) -> T.StructType:
 
 @F.pandas_udf(_pair("lat", "lon"))
 def direct(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """The end of a geodesic from (lat, lon) at an azimuth (degrees) and length (metres), after Vincenty."""
+    """The end of a geodesic from (lat, lon) at an bearing (degrees) and length (metres), after Vincenty."""
     minor = A * (1 - FLATTENING)
-    for lat, lon, azimuth, length in batches:
-        az, u1 = np.radians(azimuth.to_numpy()), np.arctan((1 - FLATTENING) * np.tan(np.radians(lat.to_numpy())))
+    for lat, lon, bearing, length in batches:
+        az, u1 = np.radians(bearing.to_numpy()), np.arctan((1 - FLATTENING) * np.tan(np.radians(lat.to_numpy())))
         start = np.arctan2(np.tan(u1), np.cos(az))
         sin_a = np.cos(u1) * np.sin(az)
         cos2_a = 1 - sin_a**2
@@ -145,9 +145,9 @@ def direct(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]])
         yield pd.DataFrame({"lat": np.degrees(phi), "lon": lon.to_numpy() + np.degrees(dl)})
 
 
-@F.pandas_udf(_pair("azimuth", "metres"))
+@F.pandas_udf(_pair("bearing", "metres"))
 def inverse(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Forward azimuth and length of the geodesic between two points, after Vincenty. Equal points have both zero."""
+    """Forward bearing and length of the geodesic between two points, after Vincenty. Equal points have both zero."""
     minor = A * (1 - FLATTENING)
     for lat1, lon1, lat2, lon2 in batches:
         u1, u2 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(x.to_numpy()))) for x in (lat1, lat2))
@@ -169,4 +169,4 @@ def inverse(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]
                     break
             a, b = _series(cos2_a * (A**2 - minor**2) / minor**2)
             metres = minor * a * (s - _arc_change(b, sin_s, cos_s, cos_2m))
-        yield pd.DataFrame({"azimuth": np.where(sin_s == 0, 0.0, np.degrees(np.arctan2(east, north)) % 360), "metres": np.where(sin_s == 0, 0.0, metres)})
+        yield pd.DataFrame({"bearing": np.where(sin_s == 0, 0.0, np.degrees(np.arctan2(east, north)) % 360), "metres": np.where(sin_s == 0, 0.0, metres)})

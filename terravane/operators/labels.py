@@ -30,22 +30,22 @@ def farms(sites: DataFrame, distance: float = FARM_M, size: float = 0.05) -> Dat
 
 
 def budget(seen: DataFrame, observer: str = "observer", window: float = WINDOW_DEG, most: int = BUDGET) -> DataFrame:
-    """The labels (observer, id, azimuth, size) that fit: by size, unless a window already has its budget.
+    """The labels (observer, id, bearing, size) that fit: by size, unless a window already has its budget.
 
     The choice depends on all larger labels around, so each observer's circle is replayed in one task; only
-    what can be seen from one place is in it. Labels without an azimuth are left out.
+    what can be seen from one place is in it. Labels without an bearing are left out.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[float] = []
         rows = []
         for row in pdf.sort_values(["size", "id"], ascending=[False, True]).itertuples(index=False):
-            near = sorted((a - row.azimuth + 180) % 360 - 180 for a in kept)
+            near = sorted((a - row.bearing + 180) % 360 - 180 for a in kept)
             near = [a for a in near if abs(a) <= window]
             full = any(sum(lo <= a <= lo + window for a in near) >= most for lo in [*(a for a in near if a <= 0), *(a - window for a in near if a >= 0)])
             if not full:
-                kept.append(row.azimuth)
+                kept.append(row.bearing)
                 rows.append(row)
         return pd.DataFrame(rows, columns=pdf.columns)
 
-    return seen.where(F.col("azimuth").isNotNull()).groupBy(observer).applyInPandas(choose, seen.schema)
+    return seen.where(F.col("bearing").isNotNull()).groupBy(observer).applyInPandas(choose, seen.schema)

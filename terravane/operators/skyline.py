@@ -1,4 +1,4 @@
-"""Horizon profiles: rays over terrain, the rising staircase of angles along each, and what it hides."""
+"""Skyline profiles: rays over terrain, the rising staircase of angles along each, and what it hides."""
 
 from __future__ import annotations
 
@@ -60,12 +60,12 @@ def as_of(queries: DataFrame, steps: DataFrame, ray: str, order: str, value: str
 
 
 def can_hide(ceiling: Column, eye: Column, near: Column, far: Column) -> Column:
-    """Whether a tile up to a ceiling may reach the sea horizon, or lies near enough to be read anyway."""
+    """Whether a tile up to a ceiling may reach the sea skyline, or lies near enough to be read anyway."""
     return (near <= SKIP_FROM_M) | (geo.best_tangent(ceiling, eye, near, far) >= geo.dip_tangent(eye))
 
 
 def profile(samples: DataFrame, ray: str = "bin") -> DataFrame:
-    """(ray, angle, d): the horizon of samples (ray, d, h, eye); a missing height is the sea."""
+    """(ray, angle, d): the skyline of samples (ray, d, h, eye); a missing height is the sea."""
     h = F.coalesce(F.col("h"), F.lit(0.0))
     tangent = (h - F.col("eye") - geo.drop(F.col("d"))) / F.col("d")
     best = F.max_by(F.struct(tangent.alias("t"), "d"), F.struct(F.round(tangent, 9), -F.col("d"))).alias("b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
-from terravane.operators import horizon, raster
+from terravane.operators import skyline, raster
 from terravane.plans import views
 from terravane.plans.registry import query
 from terravane.plans.views import GRID, RAYS, table
@@ -98,36 +98,36 @@ def tile_zone_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = raster.tile_cover(_observers(spark, sf_dir))
     ceiling, eye, near = ((F.col("tx") * 31 + F.col("ty") * 17) % 300).cast("double"), F.lit(22.3), F.col("nearest")
     bound = F.round(F.when(near > 0, geo.best_tangent(ceiling, eye, near, near + F.col("cell") * 700.0)), 9)
-    read = (near <= horizon.SKIP_FROM_M) | (bound >= F.round(geo.dip_tangent(eye), 9))
+    read = (near <= skyline.SKIP_FROM_M) | (bound >= F.round(geo.dip_tangent(eye), 9))
     return tiles.groupBy("id", "cell").agg(F.count("*").alias("n"), F.count_if(read).alias("n_read"))
 
 
 @query("record_high_staircase", f"WITH r AS ({RAYS}) SELECT bin, d, h FROM (SELECT *, max(h) OVER (PARTITION BY bin ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r) WHERE m IS NULL OR h > m")
 def record_high_staircase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return horizon.records(views.rays(spark, sf_dir), "bin", "d", "h")
+    return skyline.records(views.rays(spark, sf_dir), "bin", "d", "h")
 
 
 @query("ray_max", f"WITH r AS ({RAYS}) SELECT bin, max(h) AS top, min(d) FILTER (h = m) AS at FROM (SELECT *, max(h) OVER (PARTITION BY bin) AS m FROM r) GROUP BY bin")
 def ray_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return horizon.ray_top(views.rays(spark, sf_dir), "bin", "d", "h")
+    return skyline.ray_top(views.rays(spark, sf_dir), "bin", "d", "h")
 
 
 @query("staircase_thinned")
 def staircase_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = horizon.records(views.rays(spark, sf_dir), "bin", "d", "h").select("bin", "d", (F.col("h") / 100).alias("a"))
-    return horizon.thinned(steps, spacing=0.2)
+    steps = skyline.records(views.rays(spark, sf_dir), "bin", "d", "h").select("bin", "d", (F.col("h") / 100).alias("a"))
+    return skyline.thinned(steps, spacing=0.2)
 
 
 @query(
     "asof_staircase",
     f"""WITH r AS ({RAYS}), s AS (SELECT bin, d, h FROM (SELECT *, max(h) OVER (PARTITION BY bin ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r) WHERE m IS NULL OR h > m)
-    SELECT r.bin, r.d, s.h AS horizon, coalesce(r.h > s.h, true) AS visible FROM r ASOF LEFT JOIN s ON r.bin = s.bin AND r.d > s.d""",
+    SELECT r.bin, r.d, s.h AS skyline, coalesce(r.h > s.h, true) AS visible FROM r ASOF LEFT JOIN s ON r.bin = s.bin AND r.d > s.d""",
 )
 def asof_staircase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each object meets: the last step of the horizon before it, and whether it is above that."""
+    """What each object meets: the last step of the skyline before it, and whether it is above that."""
     rays = views.rays(spark, sf_dir)
-    steps = horizon.records(rays, "bin", "d", "h")
-    return horizon.as_of(rays, steps, "bin", "d", "h").select("bin", "d", F.col("step_value").alias("horizon"), F.coalesce(F.col("h") > F.col("step_value"), F.lit(True)).alias("visible"))
+    steps = skyline.records(rays, "bin", "d", "h")
+    return skyline.as_of(rays, steps, "bin", "d", "h").select("bin", "d", F.col("step_value").alias("skyline"), F.coalesce(F.col("h") > F.col("step_value"), F.lit(True)).alias("visible"))
 
 
 _SAMPLES = f"""WITH g AS ({GRID}), obs AS (SELECT DISTINCT tile FROM g), s AS (SELECT tile, b AS bin, k * 100.0::DOUBLE AS d, floor(round(32.5::DOUBLE - k * cos(radians(b * 10.0::DOUBLE)), 6))::BIGINT AS row, floor(round(32.5::DOUBLE + k * sin(radians(b * 10.0::DOUBLE)), 6))::BIGINT AS col
@@ -137,9 +137,9 @@ t AS (SELECT ray, d, (h - 22.3::DOUBLE - d * d / (2 * {_R})) / d AS t FROM h)
 SELECT ray, round(degrees(atan(t)), 6) AS angle, d FROM (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY round(t, 9) DESC, d) AS k FROM t) WHERE k = 1"""
 
 
-@query("horizon_profile", _SAMPLES)
-def horizon_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Horizons of 36 rays from the middle of every tile: rays and distances are joined with cells by tile, row and column."""
+@query("skyline_profile", _SAMPLES)
+def skyline_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skylines of 36 rays from the middle of every tile: rays and distances are joined with cells by tile, row and column."""
     cells = views.grid(spark, sf_dir)
     rays = cells.select("tile").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(35)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(30))))
     angle = F.radians(F.col("bin") * F.lit(10.0))
@@ -148,4 +148,4 @@ def horizon_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.round(32.5 - F.col("k") * F.cos(angle), 6)).alias("row"), F.floor(F.round(32.5 + F.col("k") * F.sin(angle), 6)).alias("col"),
     )
     met = samples.join(cells, ["tile", "row", "col"], "left").withColumn("h", F.col("v") / 400)
-    return horizon.profile(met, "ray").select("ray", F.round("angle", 6).alias("angle"), "d")
+    return skyline.profile(met, "ray").select("ray", F.round("angle", 6).alias("angle"), "d")

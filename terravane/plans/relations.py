@@ -235,7 +235,7 @@ def farm_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("label_budget")
 def label_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most three labels in any ten degrees around each of a few observers."""
-    seen = views.geo_base(spark, sf_dir).select(F.col("nation").alias("observer"), "id", F.pmod(F.col("id") * 37, F.lit(360)).cast("double").alias("azimuth"), F.col("height_m").alias("size"))
+    seen = views.geo_base(spark, sf_dir).select(F.col("nation").alias("observer"), "id", F.pmod(F.col("id") * 37, F.lit(360)).cast("double").alias("bearing"), F.col("height_m").alias("size"))
     return labels.budget(seen)
 
 

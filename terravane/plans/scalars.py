@@ -47,8 +47,8 @@ def tm35_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("geodesic_round_trip")
 def geodesic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vincenty's direct and inverse solution; the differences are zero to the micrometre and the microdegree."""
-    base = views.geo_base(spark, sf_dir).withColumn("azimuth", F.pmod(F.col("id") * 7, F.lit(360)).cast("double")).withColumn("length", 1000.0 + F.col("id") * 10)
-    ends = base.withColumn("end", geo.direct("lat", "lon", "azimuth", "length"))
+    base = views.geo_base(spark, sf_dir).withColumn("bearing", F.pmod(F.col("id") * 7, F.lit(360)).cast("double")).withColumn("length", 1000.0 + F.col("id") * 10)
+    ends = base.withColumn("end", geo.direct("lat", "lon", "bearing", "length"))
     back = ends.withColumn("back", geo.inverse("lat", "lon", "end.lat", "end.lon"))
     return back.select("id", F.round("end.lat", 6).alias("lat"), F.round("end.lon", 6).alias("lon"), F.round(F.abs(F.col("back.metres") - F.col("length")), 5).alias("off_m"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravane.functions import geo, text
-from terravane.operators import fuse, graph, horizon, labels, raster, spatial
+from terravane.operators import fuse, graph, skyline, labels, raster, spatial
 from terravane.sources import sinks
 
 
@@ -104,7 +104,7 @@ def test_projection_and_geodesics(spark):
     back = rows.select((lat - F.col("lat")).alias("a"), (lon - F.col("lon")).alias("b")).collect()
     assert all(abs(x) < 1e-8 for r in back for x in r)
     zero = spark.range(1).select(geo.inverse(F.lit(60.0), F.lit(25.0), F.lit(60.0), F.lit(25.0)).alias("g")).first()["g"]
-    assert (zero["azimuth"], zero["metres"]) == (0.0, 0.0)
+    assert (zero["bearing"], zero["metres"]) == (0.0, 0.0)
 
 
 def test_known_angles(spark):
@@ -143,18 +143,18 @@ def test_thinned_as_a_loop(spark):
             kept.append(records[-1])
         want |= {(b, d, a) for d, a in kept}
     df = spark.createDataFrame([(b, d, a) for b, s in rays.items() for d, a in s], "bin long, d double, a double")
-    got = horizon.thinned(horizon.records(df, "bin", "d", "a"))
+    got = skyline.thinned(skyline.records(df, "bin", "d", "a"))
     assert {tuple(r) for r in got.collect()} == want
 
 
 def test_schedule(spark):
-    assert horizon.schedule(spark).agg(F.count("*"), F.max("d")).first()[:] == (2200, 90000.0)
+    assert skyline.schedule(spark).agg(F.count("*"), F.max("d")).first()[:] == (2200, 90000.0)
 
 
 def test_label_budget(spark):
     rng = random.Random(4)
     rows = [(0, i, rng.random() * 360, rng.random()) for i in range(200)]
-    kept = [r["azimuth"] for r in labels.budget(spark.createDataFrame(rows, "observer long, id long, azimuth double, size double")).collect()]
+    kept = [r["bearing"] for r in labels.budget(spark.createDataFrame(rows, "observer long, id long, bearing double, size double")).collect()]
     assert all(sum((a - lo) % 360 <= 10 for a in kept) <= 3 for lo in kept)
     assert max(rows, key=lambda r: r[3])[2] in kept
 
