@@ -19,14 +19,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from terravane.llm.common import map_columns
+from terravane.llm.common import held, map_columns
 
 #: Distinct pieces, prefixes and pairs that a Python worker keeps before it starts anew.
-CACHE_PIECES, CACHE_PREFIXES, CACHE_PAIRS = 200_000, 400_000, 400_000
+CACHE_PIECES, CACHE_PREFIXES, CACHE_PAIRS = 1 << 16, 1 << 17, 1 << 17
 #: Bytes up to which the last tokens of a piece's prefixes are shared with other pieces.
 SHARED_BYTES = 64
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    """The ranks in a vocabulary file: a token in base 64 and its rank on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Vocabulary:
     """Ranks of byte-level BPE tokens, with the pair from which each was merged."""
 
@@ -53,8 +59,7 @@ class Vocabulary:
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+        return cls(ranks(path))
 
     def _merged(self, token: bytes, below: int) -> list[int]:
         """The ids of a token's bytes after all merges of a rank under its own."""
@@ -197,21 +202,25 @@ class Encoder(dict):
         return packed
 
     def packed(self, text: str) -> bytes:
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        if len(self.last) > CACHE_PREFIXES:
-            self.last.clear()
-        return b"".join(map(self.__getitem__, self.pieces(text)))
+        """The ids of a text. Caches are emptied when they are full, within a long text too."""
+        found, out = self.pieces(text), []
+        for start in range(0, len(found), CACHE_PIECES):
+            if len(self) > CACHE_PIECES:
+                self.clear()
+            if len(self.last) > CACHE_PREFIXES:
+                self.last.clear()
+            out.append(b"".join(map(self.__getitem__, found[start : start + CACHE_PIECES])))
+        return b"".join(out)
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary.read(path)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(Vocabulary.read(path), pattern)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(vocabulary(path), pattern)
+@lru_cache(maxsize=1)
+def _tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each id; decoding may run beside an encoder, so it is no held tool."""
+    return {rank: token for token, rank in ranks(path).items()}
 
 
 def lists(packed: Iterable[bytes]) -> pa.Array:
@@ -221,26 +230,26 @@ def lists(packed: Iterable[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", without: tuple[str, ...] = ()) -> DataFrame:
     """df with the token ids of every text, each match of the pattern encoded for itself.
 
     A null or empty text has no tokens. Rows are neither merged nor reordered; a column that is
-    named as out is replaced. The vocabulary file lies at path on every executor.
+    named as out is replaced, those in `without` are left out. The vocabulary file lies at path on every executor.
     """
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
-        of = encoder(path, pattern)
+        of = held(encoder, path, pattern)
         return {out: lists(of.packed(t or "") for t in texts.to_pylist())}
 
-    return map_columns(df, [text], {out: "array<int>"}, rows)
+    return map_columns(df, [text], {out: "array<int>"}, rows, without)
 
 
-def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded", without: tuple[str, ...] = ()) -> DataFrame:
     """df with the bytes of every list of ids. Null or empty ids give empty bytes; an unknown or null id is an error."""
 
     def rows(lists_of_ids: pa.Array) -> dict[str, pa.Array]:
-        token = vocabulary(path).tokens.__getitem__
+        token = _tokens(path).__getitem__
         ids_of_all, ends = lists_of_ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists_of_ids.value_lengths().fill_null(0).to_pylist()])
         return {out: pa.array([b"".join(map(token, ids_of_all[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())}
 
-    return map_columns(df, [ids], {out: "binary"}, rows)
+    return map_columns(df, [ids], {out: "binary"}, rows, without)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.llm import bpe
-from terravane.llm.common import map_columns
+from terravane.llm.common import free_name, held, map_columns
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -124,17 +124,12 @@ class Tokenizers:
         import sentencepiece
         import tiktoken
 
-        self.bpe = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=bpe.vocabulary(bpe_path).ranks, special_tokens={}).encode_to_numpy
+        self.bpe = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=bpe.ranks(bpe_path), special_tokens={}).encode_to_numpy
         model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.pieces = model.encode
         self.fallback = np.array([model.is_byte(i) for i in range(model.vocab_size())])
 
 
-@lru_cache(maxsize=2)
-def tokenizers(bpe_path: str, pattern: str, piece_path: str) -> Tokenizers:
-    return Tokenizers(bpe_path, pattern, piece_path)
-
-
 def _measure(text: str, of: Tokenizers) -> tuple:
     words = text.encode("utf-8").split()
     base = (
@@ -155,21 +150,21 @@ def _measure(text: str, of: Tokenizers) -> tuple:
     return (*base, script_of(text), len(text) / len(ids), len(text) / n, float(of.fallback[pieces].sum()) / n, entropy)
 
 
-def measure(df: DataFrame, bpe_path: str, pattern: str, piece_path: str, text: str = "text") -> DataFrame:
+def measure(df: DataFrame, bpe_path: str, pattern: str, piece_path: str, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns of MEASURES for each whole text.
 
     A null or wordless text has zero counts and null token figures. Columns of df that have the name of
-    a measure are replaced. The vocabulary files lie at their paths on every executor.
+    a measure are replaced, those in `without` left out; repeated rows each come back. The vocabulary files lie at their paths on every executor.
     """
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
-        of = tokenizers(bpe_path, pattern, piece_path)
+        of = held(Tokenizers, bpe_path, pattern, piece_path)
         made = [_measure(t or "", of) for t in texts.to_pylist()]
         columns = zip(*made, strict=True) if made else [()] * len(MEASURES)
         kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
         return {c: pa.array(values, kinds[kind]) for (c, kind), values in zip(MEASURES.items(), columns, strict=True)}
 
-    return map_columns(df, [text], MEASURES, rows)
+    return map_columns(df, [text], MEASURES, rows, without)
 
 
 def base_failed() -> Column:
@@ -210,20 +205,25 @@ def judge(measured: DataFrame, found: list[dict], lang: str = "lang") -> DataFra
     """measured with base_failed and kept.
 
     A row whose language and script have no band is judged by the base rules alone. A figure that is
-    null is in every band.
+    null is in every band. Columns of measured named base_failed or kept are replaced, others stay.
     """
     sides = [f"{m}_{side}" for m in BANDS for side in ("from", "to")]
     schema = T.StructType([T.StructField("band_name", T.StringType()), *(T.StructField(s, T.DoubleType()) for s in sides)])
     spark = measured.sparkSession
 
+    names = {kind: (free_name(measured, f"{kind}_band"), free_name(measured, f"{kind}_limits")) for kind in ("lang", "script")}
+
     def of(kind: str) -> DataFrame:
         rows = [(b["name"], *(b[s] for s in sides)) for b in found if b["kind"] == kind]
-        return F.broadcast(spark.createDataFrame(rows, schema).select(F.col("band_name").alias(f"{kind}_band"), F.struct(*sides).alias(f"{kind}_limits")))
+        band, limits = names[kind]
+        return F.broadcast(spark.createDataFrame(rows, schema).select(F.col("band_name").alias(band), F.struct(*sides).alias(limits)))
 
-    joined = measured.join(of("lang"), F.col(lang).cast("string") == F.col("lang_band"), "left").join(of("script"), F.col("script") == F.col("script_band"), "left")
-    limits = F.coalesce("lang_limits", "script_limits")
+    joined = measured
+    for kind, column in (("lang", lang), ("script", "script")):
+        joined = joined.join(of(kind), F.col(f"`{column}`").cast("string") == F.col(names[kind][0]), "left")
+    limits = F.coalesce(*(n[1] for n in names.values()))
     inside = F.lit(True)
     for m in BANDS:
         inside = inside & F.coalesce(F.col(m) >= limits[f"{m}_from"], F.lit(True)) & F.coalesce(F.col(m) <= limits[f"{m}_to"], F.lit(True))
     failed = base_failed()
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop("lang_band", "lang_limits", "script_band", "script_limits")
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop(*(c for n in names.values() for c in n))

@@ -20,7 +20,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = _tokenizer("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, without=("text",))
     digits = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return bpe.decode(ids, path).select(
         "doc_id",
@@ -43,8 +43,8 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = fertility.measure(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, _tokenizer("piece_bpe_32k.model"))
-    measured = checkpointed(measured.drop("text"))
+    measured = fertility.measure(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, _tokenizer("piece_bpe_32k.model"), without=("text",))
+    measured = checkpointed(measured)
     judged = fertility.judge(measured, fertility.bands(measured))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import checkpointed, map_columns
+from terravane.llm.common import checkpointed, free_name, map_columns
 from terravane.llm.graph import components
 from terravane.llm.words import mixed
 
@@ -55,13 +55,13 @@ def fingerprint(text: str, words: int, distinct: bool = False, seed: int = 42) -
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 4, distinct: bool = False, out: str = "fingerprint") -> DataFrame:
-    """df with the fingerprint of each text as a signed long. Null and wordless texts have fingerprint zero."""
+    """df with the fingerprint of each text, in place of the text, as a signed long. Null and wordless texts have fingerprint zero."""
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
         values = np.array([fingerprint(t or "", words, distinct) for t in texts.to_pylist()], np.uint64)
         return {out: pa.array(values.view(np.int64))}
 
-    return map_columns(df, [text], {out: "long"}, rows)
+    return map_columns(df, [text], {out: "long"}, rows, without=(text,))
 
 
 def _set_bits(values: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def _majorities(values: np.ndarray, number: int) -> np.ndarray:
 
 
 def several_fingerprints(df: DataFrame, number: int, text: str = "text", words: int = 5, distinct: bool = True) -> DataFrame:
-    """df with `number` fingerprints (prints) of each text, of hashes that are mixed anew for each, and the number of its shingles (size)."""
+    """df with `number` fingerprints (prints) of each text, of hashes that are mixed anew for each, and the number of its shingles (size); without the text."""
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
         values = [_hashes(t or "", words, distinct, 42) for t in texts.to_pylist()]
@@ -98,18 +98,18 @@ def several_fingerprints(df: DataFrame, number: int, text: str = "text", words:
         prints = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * number, pa.int32()), pa.array(flat))
         return {"prints": prints, "size": pa.array([len(v) for v in values], pa.int32())}
 
-    return map_columns(df, [text], {"prints": "array<long>", "size": "int"}, rows)
+    return map_columns(df, [text], {"prints": "array<long>", "size": "int"}, rows, without=(text,))
 
 
 def shingle_sets(df: DataFrame, text: str = "text", words: int = 5, out: str = "shingles") -> DataFrame:
-    """df with the distinct hashes of each text's word shingles; wordless texts have none."""
+    """df with the distinct hashes of each text's word shingles, in place of the text; wordless texts have none."""
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
         made = [np.unique(_hashes(t or "", words, False, 7)).view(np.int64) for t in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, made)])
         return {out: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *made])))}
 
-    return map_columns(df, [text], {out: "array<long>"}, rows)
+    return map_columns(df, [text], {out: "array<long>"}, rows, without=(text,))
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -131,7 +131,7 @@ def _mask(start: int, length: int) -> Column:
 def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> DataFrame:
     """All pairs (low, high) of different fingerprints that differ in at most `bits` bits, each once.
 
-    prints needs each fingerprint once. A pair is reported in the first segment that differs in at most
+    prints needs each fingerprint once; it is dealt out anew, as each row becomes one for every bit. A pair is reported in the first segment that differs in at most
     one bit; where the segments are equal, at their first bit.
     """
     pieces = segments(bits)
@@ -141,7 +141,8 @@ def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> Data
         for start, length in pieces
         for position in range(start, start + length)
     ]
-    rows = prints.select(value.alias("value"), F.explode(F.array(*variants)).alias("v"))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.select(column).repartition(tasks, column).select(value.alias("value"), F.explode(F.array(*variants)).alias("v"))
     packs = max(length for _, length in pieces) <= BITS - 7  # rest and position fit a long
     if packs:
         rows = rows.select("value", (F.col("v.rest") * BITS + F.col("v.position")).alias("variant"))
@@ -172,9 +173,14 @@ def classes(prints: DataFrame, key: str = "doc_id", column: str = "fingerprint",
     """
     found = checkpointed(prints.groupBy(F.col(column).alias("value")).agg(F.min(key).alias("low_key")))
     roots = components(links(found, bits, "value"), "low", "high")
-    joined = found.join(roots.select(F.col("node").alias("value"), "root"), "value", "left").withColumn("root", F.coalesce("root", "value"))
-    lowest = joined.groupBy("root").agg(F.min("low_key").alias("component"))
-    return joined.join(lowest, "root").select(F.col("value").alias(column), "component")
+    joined = found.join(roots.select(F.col("node").alias("value"), "root"), "value", "left")
+    # Stored, so that the join with a root of very many fingerprints reads two plain inputs, which adaptive execution can split.
+    lowest = checkpointed(joined.groupBy(F.coalesce("root", "value").alias("root")).agg(F.min("low_key").alias("component"), F.count("*").alias("n")).where("n > 1"))
+    linked = joined.where("root IS NOT NULL").join(lowest.select("root", "component"), "root").select(F.col("value").alias(column), "component")
+    # The root itself has no row in the graph's result.
+    known = lowest.select(F.col("root").alias("value"), F.col("component").alias("own"), F.lit(True).alias("is_root"))
+    rest = joined.where("root IS NULL").join(known, "value", "left")
+    return linked.unionByName(rest.select(F.col("value").alias(column), F.when(F.col("is_root"), F.col("own")).otherwise(F.col("low_key")).alias("component")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, distinct: bool = False) -> DataFrame:
@@ -214,18 +220,31 @@ BROADCAST_SHINGLES = 2_000_000
 
 
 def _sets(named: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles) of the texts in pairs."""
+    """(id, shingles) of the texts in pairs, each read from the row of its smallest key, so that its copies don't meet."""
     ids = pairs.select(F.explode(F.array("low", "high")).alias("id")).distinct()
-    wanted = checkpointed(texts.join(ids, "id", "left_semi").select("id", "tid", F.xxhash64("tid").alias("short")))
-    found = named
+    wanted = checkpointed(texts.join(ids, "id", "left_semi").select("id", "tid", F.xxhash64("tid", "low_key").alias("spot")))
+    found = named.select("tid", "text", F.xxhash64("tid", "key").alias("spot"))
     if wanted.count() <= BROADCAST_TEXTS:
-        found = named.withColumn("short", F.xxhash64("tid")).join(F.broadcast(wanted.select("short")), "short", "left_semi")
-    chosen = found.select("tid", "text").join(wanted.select("id", "tid"), "tid").dropDuplicates(["tid"])
+        found = found.join(F.broadcast(wanted.select("spot")), "spot", "left_semi")
+    # Rows that repeat key and text are left.
+    chosen = found.join(wanted, ["tid", "spot"]).dropDuplicates(["tid", "spot"])
     return checkpointed(shingle_sets(chosen.select("id", "text"), "text", shingle).select("id", "shingles"))
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct()
+    """Each pair once as (low, high); hub is the one that was in b."""
+    return pairs.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).agg(F.max(b).alias("hub"))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (node, root) with the same components as links (low, high, hub): each text's hubs and itself hang on the smallest of them.
+
+    A text has few hubs (those of its buckets); a hub's texts aren't gathered.
+    """
+    node = F.when(F.col("hub") == F.col("high"), F.col("low")).otherwise(F.col("high"))
+    around = links.groupBy(node.alias("id")).agg(F.collect_set("hub").alias("hubs")).select(F.array_append("hubs", F.col("id")).alias("all"))
+    hung = around.select(F.explode(F.array_except("all", F.array(F.array_min("all")))).alias("node"), F.array_min("all").alias("root"))
+    return hung.distinct()
 
 
 #: Texts of a bucket with which all others are compared first, besides the most central one.
@@ -293,14 +312,19 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 1
     texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints"), F.min("size").alias("size"))).withColumn("id", F.monotonically_increasing_id())
     slots = texts.select("id", "size", F.posexplode("prints").alias("slot", "value"))
     first = checkpointed(_ordered(_stars(slots, bits, similarity), "a", "b"))
-    linked = checkpointed(_similar(first, _sets(named, texts, first, shingle), similarity))
-    roots = components(linked, "low", "high").select(F.col("node").alias("id"), "root")
+    linked = _similar(first, _sets(named, texts, first, shingle), similarity).join(first, ["low", "high"])
+    roots = components(_contracted(linked), "node", "root").select(F.col("node").alias("id"), "root")
 
     placed = slots.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     second = checkpointed(_ordered(_candidates(placed, bits, similarity), "a", "b").join(first, ["low", "high"], "left_anti"))
-    more = checkpointed(_similar(second, _sets(named, texts, second, shingle), similarity))
-    final = components(linked.unionByName(more), "low", "high").select(F.col("node").alias("id"), "root")
-    return texts.join(final, "id", "left").select("tid", F.coalesce("root", "id").alias("root"), "low_key")
+    more = _similar(second, _sets(named, texts, second, shingle), similarity)
+    # Between groups only: the first pass's links are not walked again.
+    for side in ("low", "high"):
+        more = more.join(roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    final = components(more.select(F.coalesce("low_root", "low").alias("a"), F.coalesce("high_root", "high").alias("b")), "a", "b")
+    grouped = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    found = grouped.join(final.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left")
+    return found.select("tid", F.coalesce("final", "root").alias("root"), "low_key")
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -308,14 +332,15 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **se
 
     Null and wordless texts are one group. Of rows that repeat the key and text one stays; a null key counts
     as larger than any; of equal keys the text with the smallest MD5 counts. An empty table gives an empty
-    result. All columns stay as they are.
+    result. All columns stay as they are, whatever their names.
     """
     found = checkpointed(groups(df, key, text, **settings))
     order = F.struct(F.col("low_key").isNull(), "low_key", "tid")
     winners = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.tid").alias("winner_text"), F.col("w.low_key").alias("winner_key"))
-    own = df.withColumn("own_text", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("own_key", F.col(key))
-    kept = own.join(winners, (F.col("own_text") == F.col("winner_text")) & F.col("own_key").eqNullSafe(F.col("winner_key")), "left_semi")
-    return kept.dropDuplicates(["own_text", "own_key"]).select(*(F.col(f"`{c}`") for c in df.columns))
+    own_text, own_key = free_name(df, "own_text"), free_name(df, "own_key")
+    own = df.withColumn(own_text, F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn(own_key, F.col(key))
+    kept = own.join(winners, (F.col(own_text) == F.col("winner_text")) & F.col(own_key).eqNullSafe(F.col("winner_key")), "left_semi")
+    return kept.dropDuplicates([own_text, own_key]).drop(own_text, own_key)
 
 
 def hexadecimal(column: str = "fingerprint") -> Column:

@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return bpe.vocabulary(PATH)
+    return bpe.Vocabulary.read(PATH)
 
 
 def reference(vocabulary, pattern=public_tokenizers.PATTERN):
@@ -64,7 +64,7 @@ def test_columns_round_trip(spark):
     assert len(got) == len(rows)
     for r in got:
         assert bytes(r.decoded) == (r.text or "").encode()
-        assert r.token_ids == reference(bpe.vocabulary(PATH)).encode_ordinary(r.text or "")
+        assert r.token_ids == reference(bpe.Vocabulary.read(PATH)).encode_ordinary(r.text or "")
 
 
 def test_empty_table(spark):
@@ -75,7 +75,7 @@ def test_empty_table(spark):
 def test_query_against_the_library(spark):
     from terravane.llm.queries import op9_byte_bpe
 
-    want = reference(bpe.vocabulary(PATH))
+    want = reference(bpe.Vocabulary.read(PATH))
     text = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in op9_byte_bpe(spark, "/root/testdata/sf0.001").collect():
         ids = want.encode_ordinary(text[r.doc_id])
