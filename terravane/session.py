@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,14 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder of spark.checkpoint.dir (a temporary one where none is set)."""
+    """df, computed once and kept in the shared folder of spark.checkpoint.dir.
+
+    Where none is set, a session of one machine uses a temporary one; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terravane-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terravane-checkpoint-"))
     return df.checkpoint(eager=True)
