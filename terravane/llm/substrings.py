@@ -1,295 +1,301 @@
-"""Exact removal of repeated substrings, by sorting buckets of suffixes.
+"""Exact removal of repeated substrings: suffixes are sorted bucket by bucket, with ranks of a difference cover.
 
-Every byte covered by a string of `WIDTH` bytes that starts earlier in the corpus is found as a suffix
-array would find it: equal strings are neighbours after sorting. What is sorted is cut down first, without
-losing a match, and one bucket at a time, so that memory is bounded by the bucket.
+Every byte covered by a string of `WIDTH` bytes that starts earlier in the corpus is found as a suffix array
+would find it: equal strings are neighbours after sorting. Only suffixes that can matter are sorted, one bucket at
+a time, so that memory is bounded by a bucket; where they stand in a bucket follows from hashes of their bytes, as any
+order does that puts equal strings side by side.
 
-A window is the WIDTH bytes from a position. Its anchor is the position in it whose `GRAM` bytes have the
-smallest hash (the leftmost of equals), so equal windows have equal anchors at equal offsets. Consecutive windows
-with one anchor are a run. The anchors are a sample of the positions that covers all windows: the part
-that a difference cover plays, but chosen by content, so that two texts align without a common origin.
+The cover: of any `PERIOD` positions in a row those at the residues of `COVER` are sampled. Every distance is that of two
+residues, so two equal strings, wherever they start, have sampled positions at one common offset under PERIOD. From
+there they agree in at least `GRAM` bytes.
 
-1. Runs are dealt into buckets by their anchor's GRAM bytes and sorted by these, by all bytes of the run, and
-   by place. A run whose bytes stood earlier is repeated throughout. A run that is the first with its bytes
-   is settled too, unless runs with other bytes share its anchor.
-2. Only the windows of runs that are left (the ends of matches) are dealt out and sorted one by one.
+1. The samples' first GRAM bytes are sorted. A string none of whose samples is found twice is found once itself.
+2. The samples that are found twice are ranked by their first `REACH` bytes. A sample whose rank occurred earlier
+   settles the ties of all strings that start in the PERIOD positions from it: they occurred earlier too. Long matches
+   are thus decided by the ranks of the sample, without a look at their other suffixes.
+3. The strings that neither rule has decided (at the ends of matches, and first occurrences) are sorted themselves.
 
-Strings are compared by 64-bit hashes of all their bytes, the precomputed ranks of this sort.
+In each round a chunk of texts sends equal strings once, so a passage that stands everywhere meets itself as often as there
+are chunks. Strings are compared by the number of their bucket and 80 further bits of two independent hashes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.words import POWERS, _values, mixed
+from terravane.llm.words import mixed
+
+#: Bytes of the strings that count as repeated.
+WIDTH = 100
+#: A perfect difference set: the residues' differences are every number under PERIOD once.
+PERIOD, COVER = 73, np.array([1, 2, 4, 8, 16, 32, 37, 55, 64])
+GRAM, REACH = WIDTH - PERIOD + 1, WIDTH + PERIOD - 1
+#: Bytes that are hashed at once; bounds of a chunk's bytes and of a bucket's strings, within which both grow with the corpus.
+BLOCK, CHUNK_BYTES, BUCKET_STRINGS = 1 << 20, (1 << 22, 1 << 25), (1 << 19, 1 << 23)
+#: The part of a chunk's size, or a bucket's, in the whole: many chunks and buckets, but cells of some size between them.
+PARTS = 1 << 12
+GRAM_BITS, SECOND_BYTES = 40, 2
+GRAMS, RANKS, STRINGS = 1, 2, 3
+
+
+@lru_cache(maxsize=2)
+def _family(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random value for each byte, and the powers of a random odd base and of its inverse modulo 2^64."""
+    rng = np.random.default_rng([77, number])
+    values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    base = int(rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 5
+    powers = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK + REACH, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+    return values, *powers
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, number: int) -> np.ndarray:
+    """Position-free hashes of substrings of at most REACH bytes, starts ascending; `number` names one of two families."""
+    values, up, down = _family(number)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(starts, base + BLOCK))
+        block = data[base : int(stops[at:to].max())]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(values[block] * up[: len(block)], dtype=np.uint64)])
+        a, b = starts[at:to] - base, stops[at:to] - base
+        out[at:to] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
-WIDTH, GRAM = 100, 32
-#: Texts of a chunk and runs of a bucket, on average; windows that are looked at at once.
-CHUNK_TEXTS, BUCKET_RUNS, BLOCK = 1024, 1 << 19, 1 << 20
-#: Runs that a text of average length is reckoned to have; it sets only the number of buckets.
-RUNS_OF_A_TEXT = 100
-PLACE_BITS = 22
-REPEATED, OPEN = 1, 2
-#: Bytes kept of an anchor's and of a run's hash. The bucket adds bits to the first; where two anchors are
-#: taken for one, more windows are compared, and nothing else changes.
-ANCHOR_BYTES, RUN_BYTES = 5, 7
 
+def _planes(values: np.ndarray, n: int = 8) -> bytes:
+    """The low n bytes of numbers, all first bytes first: bytes that are always zero then cost nothing when compressed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
-class Hashes:
-    """Position-free hashes of any substring of a block of bytes."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        values, _, _ = _values()
-        up, self.down = POWERS.upto(len(data) + 1)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * up[: len(data)], dtype=np.uint64)])
+def _numbers(data: bytes, n: int = 8) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    return out.view("<u8").ravel()
 
-    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[stops] - self.sums[starts]) * self.down[starts])
 
-    def every(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        return mixed((self.sums[width:] - self.sums[:n]) * self.down[:n])
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Which rows of sorted keys differ from the row before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
 
 
 @dataclass
-class Runs:
-    """Runs of windows: hash of the anchor, hash of all bytes, first and last window, and text."""
+class Strings:
+    """Strings of a chunk by hash: in sorted order those that stand first in the chunk, and for each string which of these equals it."""
 
-    anchor: np.ndarray
-    whole: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
+    high: np.ndarray
+    low: np.ndarray
     text: np.ndarray
+    of: np.ndarray
+    leads: np.ndarray
 
-
-def runs_of(data: bytes) -> tuple[np.ndarray, ...]:
-    """(anchor, whole, first, last) of the runs of a text. Long texts are taken in blocks, which may cut a run in two."""
-    out = []
-    for start in range(0, max(0, len(data) - WIDTH + 1), BLOCK):
-        block = np.frombuffer(data, np.uint8)[start : start + BLOCK + WIDTH - 1]
-        hashes = Hashes(block)
-        grams = hashes.every(GRAM)
-        keys = (grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(grams), dtype=np.uint64)
-        span, size = WIDTH - GRAM + 1, 1
-        while 2 * size <= span:
-            keys = np.minimum(keys[:-size], keys[size:])
-            size *= 2
-        if size < span:
-            keys = np.minimum(keys[: size - span], keys[span - size :])
-        places = (keys & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-        last = np.concatenate([first[1:] - 1, [len(places) - 1]])
-        at = places[first]
-        whole = mixed(hashes.of(first, last + WIDTH) + ((last - first) * 1000 + (at - first)).astype(np.uint64))
-        out.append((grams[at], whole, first + start, last + start))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def window_hashes(data: bytes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows of some runs of a text."""
-    sizes = last - first + 1
-    positions = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    out = np.empty(len(positions), np.uint64)
-    block = np.frombuffer(data, np.uint8)
-    at = 0
-    while at < len(positions):
-        start = positions[at]
-        to = int(np.searchsorted(positions, start + BLOCK))
-        hashes = Hashes(block[start : positions[to - 1] + WIDTH])
-        local = positions[at:to] - start
-        out[at:to] = hashes.of(local, local + WIDTH)
-        at = to
-    return positions, out
-
-
-def earlier(keys: np.ndarray) -> np.ndarray:
-    """Whether an equal key stands before each."""
-    out = np.ones(len(keys), bool)
-    out[np.unique(keys, return_index=True)[1]] = False
-    return out
+    @classmethod
+    def sort(cls, high: np.ndarray, low: np.ndarray, text: np.ndarray) -> Strings:
+        """Strings in order of place, with 64 and 16 bits of their hashes and their texts."""
+        order = np.lexsort((low, high))
+        new = _first(high[order], low[order])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        lead = order[new]
+        leads = np.zeros(len(order), bool)
+        leads[lead] = True
+        return cls(high[lead], low[lead], text[lead], number, leads)
 
 
-@dataclass
 class Chunk:
-    """Different texts in order of place, and where each came from."""
+    """Different texts in order of place, one after the other in one array, and the sampled positions."""
 
-    places: np.ndarray
-    texts: list[bytes]
-    of_row: np.ndarray
-    runs: Runs
-    known: np.ndarray
-
-    @classmethod
-    def read(cls, table: pa.Table) -> Chunk:
+    def __init__(self, table: pa.Table) -> None:
+        self.number = table.column("chunk")[0].as_py()
         places, refs = table.column("place").to_numpy(), table.column("ref").to_numpy()
         order = np.lexsort((refs, places))
-        new = np.concatenate([[True], (places[order][1:] != places[order][:-1]) | (refs[order][1:] != refs[order][:-1])])
-        of_row = np.empty(len(order), np.int64)
-        of_row[order] = np.cumsum(new) - 1
+        new = _first(places[order], refs[order])
+        self.of_row = np.empty(len(order), np.int64)
+        self.of_row[order] = np.cumsum(new) - 1
+        self.places = places[order[new]]
         column = table.column("data").combine_chunks()
         texts = [column[int(i)].as_py() or b"" for i in order[new]]
-        parts = [runs_of(t) for t in texts]
-        anchor, whole, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-        text = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
-        runs = Runs(anchor, whole, first, last, text)
-        # A run whose bytes the chunk has in an earlier place needs no other chunk to be repeated.
-        return cls(places[order[new]], texts, of_row, runs, earlier(mixed(anchor) ^ whole))
+        self.bounds = np.cumsum([0, *map(len, texts)])
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        longest = max(map(len, texts), default=0)
+        offsets = (np.arange(0, longest + PERIOD, PERIOD)[:, None] + COVER).ravel()
+        counts = np.searchsorted(offsets, np.array([len(t) - GRAM if len(t) >= WIDTH else -1 for t in texts]), "right")
+        self.samples = np.concatenate([np.zeros(0, np.int64), *(offsets[:n] + a for n, a in zip(counts, self.bounds, strict=False))])
+        self.sample_text = np.repeat(np.arange(len(texts)), counts)
+        grams = hashes(self.data, self.samples, self.samples + GRAM, 0) >> np.uint64(64 - GRAM_BITS)
+        self.grams, self.gram_of, self.gram_counts = np.unique(grams, return_inverse=True, return_counts=True)
 
+    def _strings(self, starts: np.ndarray, stops: np.ndarray, text: np.ndarray) -> Strings:
+        low = hashes(self.data, starts, stops, 1) & np.uint64((1 << 8 * SECOND_BYTES) - 1)
+        return Strings.sort(hashes(self.data, starts, stops, 0), low, text)
 
-def _dealt(chunk: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
-    """A row for each bucket with its records' bytes, in the order they have."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else np.zeros(0, int)
-    ends = np.concatenate([cuts[1:], [len(order)]])
-    data = {c: [v[order[a:b]].tobytes() for a, b in zip(cuts, ends, strict=True)] for c, v in columns.items()}
-    return pa.table({"chunk": pa.array([chunk] * len(cuts), pa.int64()), "bucket": pa.array(bucket[order[cuts]], pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in data.items()}})
+    def rank(self, twice: np.ndarray) -> None:
+        """Take in which grams are found elsewhere; the samples of those found twice are candidates."""
+        some = (twice | (self.gram_counts > 1))[self.gram_of]
+        self.found, text = self.samples[some], self.sample_text[some]
+        self.reach = np.minimum(self.found + REACH, self.bounds[text + 1])
+        self.ranks = self._strings(self.found, self.reach, text)
+        self.found_text = text
 
+    def decide(self, earlier: np.ndarray) -> None:
+        """Take in which ranks occurred elsewhere before: strings are repeated, once, or open."""
+        n = len(self.data)
+        later = (earlier[self.ranks.of] | ~self.ranks.leads) & (self.reach - self.found >= WIDTH)
+        self.repeated = _marked(n, self.found[later], self.reach[later] - WIDTH + 1)
+        low = np.maximum(self.found - PERIOD + 1, self.bounds[self.found_text])
+        high = np.minimum(self.found, self.bounds[self.found_text + 1] - WIDTH)
+        self.open = np.flatnonzero(_marked(n, low, np.maximum(low, high + 1)) & ~self.repeated)
+        self.strings = self._strings(self.open, self.open + WIDTH, np.searchsorted(self.bounds, self.open, "right") - 1)
 
-def _low_bytes(values: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n])
+    def settle(self, earlier: np.ndarray) -> np.ndarray:
+        """Take in which open strings occurred elsewhere before; the bytes that repeated strings cover."""
+        self.repeated[self.open[earlier[self.strings.of] | ~self.strings.leads]] = True
+        starts = np.flatnonzero(self.repeated)
+        return _marked(len(self.data), starts, starts + WIDTH)
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((len(data) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
-    return out.view("<u8").ravel()
+def _marked(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which of n positions lie in an interval."""
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
+
+
+def _cells(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The buckets of ascending numbers, and where each begins and ends."""
+    cuts = np.flatnonzero(_first(bucket))
+    ends = [*cuts.tolist(), len(bucket)]
+    return bucket[cuts], list(zip(ends, ends[1:], strict=False))
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) % buckets
+def _deal(chunk: int, bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, int]]) -> pa.Table:
+    """A row for each bucket with the low bytes of its strings' numbers."""
+    found, cells = _cells(bucket)
+    data = {c: pa.array([_planes(v[a:b], n) for a, b in cells], pa.binary()) for c, (v, n) in columns.items()}
+    return pa.table({"chunk": pa.array([chunk] * len(cells), pa.int64()), "bucket": pa.array(found, pa.int64()), **data})
 
 
-def _answers(table: pa.Table, kind: int, lengths: list[int], status: np.ndarray) -> pa.Table:
-    cuts = np.cumsum([0, *lengths])
-    parts = [status[a:b].astype(np.uint8).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+def _gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams >> np.uint64(GRAM_BITS - 24)).astype(np.int64) * buckets >> 24
+
+
+def _bucket(high: np.ndarray, buckets: int) -> np.ndarray:
+    return (high >> np.uint64(40)).astype(np.int64) * buckets >> 24
+
+
+def _deal_strings(chunk: Chunk, strings: Strings, buckets: int) -> pa.Table:
+    places = chunk.places[strings.text]
+    return _deal(chunk.number, _bucket(strings.high, buckets), {"high": (strings.high, 8), "low": (strings.low, SECOND_BYTES), "place": (places, 8)})
+
+
+DEALT_GRAMS, DEALT = "chunk long, bucket long, gram binary", "chunk long, bucket long, high binary, low binary, place binary"
+ANSWER = "chunk long, kind int, bucket long, answer binary"
+
+
+def _answer(table: pa.Table, kind: int, lengths: list[int], said: np.ndarray) -> pa.Table:
+    ends = np.cumsum([0, *lengths])
+    parts = [np.packbits(said[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table.column("bucket"), "answer": pa.array(parts, pa.binary())})
 
 
-def sort_runs(table: pa.Table) -> pa.Table:
-    """For each run of a bucket: whether its bytes stood earlier, or its windows must be compared, or neither."""
-    places = [np.frombuffer(x.as_py(), np.int64) for x in table.column("place")]
-    anchor, whole = (np.concatenate([_wide(x.as_py(), n) for x in table.column(c)]) for c, n in (("anchor", ANCHOR_BYTES), ("whole", RUN_BYTES)))
-    order = np.lexsort((np.concatenate(places), whole, anchor))
-    a, w = anchor[order], whole[order]
-    other_anchor = np.concatenate([[True], a[1:] != a[:-1]])
-    other = other_anchor | np.concatenate([[True], w[1:] != w[:-1]])
-    group = np.cumsum(other_anchor) - 1
-    mixed_group = np.bincount(group, weights=other) > 1
-    status = np.zeros(len(order), np.uint8)
-    status[order] = np.where(~other, REPEATED, np.where(mixed_group[group], OPEN, 0))
-    return _answers(table, 1, [len(p) for p in places], status)
-
-
-def sort_windows(table: pa.Table) -> pa.Table:
-    """For each window of a bucket: whether an equal one stood earlier."""
-    places = [np.frombuffer(x.as_py(), np.int64) for x in table.column("place")]
-    hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("hash")])
-    order = np.lexsort((np.concatenate(places), hashes))
-    same = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]])
-    status = np.zeros(len(order), np.uint8)
-    status[order] = same
-    return _answers(table, 2, [len(p) for p in places], status)
-
-
-def _status(answers: list[dict], kind: int, bucket: np.ndarray) -> np.ndarray:
-    """The answers to what _dealt sent, in the order before dealing."""
-    parts = sorted((r["bucket"], r["answer"]) for r in answers if r["kind"] == kind)
-    out = np.zeros(len(bucket), np.uint8)
-    out[np.argsort(bucket, kind="stable")] = np.frombuffer(b"".join(p for _, p in parts), np.uint8)
-    return out
+def sort_grams(table: pa.Table) -> pa.Table:
+    """For each gram of a bucket: whether another chunk has it."""
+    parts = [np.cumsum(_numbers(x.as_py(), 5), dtype=np.uint64) for x in table.column("gram")]
+    _, of, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    return _answer(table, GRAMS, [len(p) for p in parts], (counts > 1)[of])
 
 
-def _run_status(chunk: Chunk, answers: list[dict], buckets: int) -> np.ndarray:
-    status = np.full(len(chunk.known), REPEATED, np.uint8)
-    status[~chunk.known] = _status(answers, 1, _bucket(chunk.runs.anchor[~chunk.known], buckets))
-    return status
+def _sort_strings(kind: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each string of a bucket: whether an equal one has an earlier place."""
+        parts = [_numbers(x.as_py()) for x in table.column("place")]
+        place = np.concatenate(parts).view(np.int64)
+        high, low = (np.concatenate([_numbers(x.as_py(), n) for x in table.column(c)]) for c, n in (("high", 8), ("low", SECOND_BYTES)))
+        order = np.lexsort((place, low, high))
+        said = np.empty(len(order), bool)
+        said[order] = ~_first(high[order], low[order])
+        return _answer(table, kind, [len(p) for p in parts], said)
+
+    return run
 
 
-def _windows(chunk: Chunk, status: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash, whether the chunk has it earlier) of the windows of open runs."""
-    runs, texts, positions, hashes = chunk.runs, [], [], []
-    open_ = np.flatnonzero(status == OPEN)
-    cuts = np.flatnonzero(np.concatenate([[True], runs.text[open_][1:] != runs.text[open_][:-1]])) if len(open_) else []
-    for a, b in zip(cuts, [*cuts[1:], len(open_)], strict=True):
-        some = open_[a:b]
-        t = int(runs.text[some[0]])
-        p, h = window_hashes(chunk.texts[t], runs.first[some], runs.last[some])
-        texts.append(np.full(len(p), t))
-        positions.append(p)
-        hashes.append(h)
-    if not texts:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, bool)
-    found = np.concatenate(hashes)
-    return np.concatenate(texts), np.concatenate(positions), found, earlier(found)
+def _said(answers: list[dict], kind: int, bucket: np.ndarray) -> np.ndarray:
+    """The answers to what was dealt to ascending buckets."""
+    found, cells = _cells(bucket)
+    parts = {r["bucket"]: r["answer"] for r in answers if r["kind"] == kind}
+    out = np.zeros(len(bucket), bool)
+    for number, (a, b) in zip(found.tolist(), cells, strict=True):
+        out[a:b] = np.unpackbits(np.frombuffer(parts[number], np.uint8), count=b - a).astype(bool)
+    return out
 
 
-def _runs_kernel(buckets: int):
+def _grams_kernel(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        chunk = Chunk.read(table)
-        send, runs = ~chunk.known, chunk.runs
-        return _dealt(table.column("chunk")[0].as_py(), _bucket(runs.anchor[send], buckets), {"anchor": _low_bytes(runs.anchor[send], ANCHOR_BYTES), "whole": _low_bytes(runs.whole[send], RUN_BYTES), "place": chunk.places[runs.text[send]]})
+        chunk = Chunk(table)
+        bucket = _gram_bucket(chunk.grams, buckets)
+        steps = np.diff(chunk.grams, prepend=np.uint64(0))
+        firsts = np.flatnonzero(_first(bucket))
+        steps[firsts] = chunk.grams[firsts]
+        return _deal(chunk.number, bucket, {"gram": (steps, 5)})
 
     return run
 
 
-def _windows_kernel(buckets: int):
+def _told(table: pa.Table, answers: pa.Table, buckets: int, rounds: int) -> tuple[Chunk, list[dict]]:
+    """A chunk that has taken in the answers of the first rounds."""
+    chunk, said = Chunk(table), answers.to_pylist()
+    chunk.rank(_said(said, GRAMS, _gram_bucket(chunk.grams, buckets)))
+    if rounds > 1:
+        chunk.decide(_said(said, RANKS, _bucket(chunk.ranks.high, buckets)))
+    return chunk, said
+
+
+def _deal_kernel(buckets: int, rounds: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _dealt(0, np.zeros(0, np.int64), {"hash": np.zeros(0, np.uint64), "place": np.zeros(0, np.int64)})
-        chunk = Chunk.read(table)
-        text, _, hashes, known = _windows(chunk, _run_status(chunk, answers.to_pylist(), buckets))
-        return _dealt(table.column("chunk")[0].as_py(), _bucket(hashes[~known], buckets), {"hash": hashes[~known], "place": chunk.places[text[~known]]})
+            return pa.table({c: pa.array([], pa.int64() if c in ("chunk", "bucket") else pa.binary()) for c in ("chunk", "bucket", "high", "low", "place")})
+        chunk, _ = _told(table, answers, buckets, rounds)
+        return _deal_strings(chunk, chunk.ranks if rounds == 1 else chunk.strings, buckets)
 
     return run
 
 
-def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Which of n bytes windows from first to last cover."""
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, first, 1)
-    np.add.at(edges, last + WIDTH, -1)
-    return np.cumsum(edges[:-1]) > 0
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 def _removal_kernel(buckets: int, kept: list[str]):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
         if table.num_rows:
-            chunk, said = Chunk.read(table), answers.to_pylist()
-            status = _run_status(chunk, said, buckets)
-            text, position, hashes, known = _windows(chunk, status)
-            repeated = known.copy()
-            repeated[~known] = _status(said, 2, _bucket(hashes[~known], buckets)) > 0
-            whole = np.flatnonzero(status == REPEATED)
-            runs = chunk.runs
-            texts = np.concatenate([runs.text[whole], text[repeated]])
-            first, last = np.concatenate([runs.first[whole], position[repeated]]), np.concatenate([runs.last[whole], position[repeated]])
-            order = np.argsort(texts, kind="stable")
-            cuts = np.searchsorted(texts[order], np.arange(len(chunk.texts) + 1))
-            made = []
-            for t, data in enumerate(chunk.texts):
-                own = order[cuts[t] : cuts[t + 1]]
-                if not len(own):
-                    made.append((data, []))
-                    continue
-                gone = _covered(len(data), first[own], last[own])
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).reshape(-1, 2)
-                made.append((np.frombuffer(data, np.uint8)[~gone].tobytes(), [{"start": int(a), "length": int(b - a)} for a, b in edges]))
-            rows = [made[i] for i in chunk.of_row]
-        else:
-            rows = []
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.table({**{c: table.column(c) for c in kept}, "removed_spans": pa.array([r[1] for r in rows], spans), "kept_bytes": pa.array([r[0] for r in rows], pa.binary())})
+            chunk, said = _told(table, answers, buckets, 2)
+            gone = chunk.settle(_said(said, STRINGS, _bucket(chunk.strings.high, buckets)))
+            edge = np.zeros(len(gone) + 1, bool)
+            edge[chunk.bounds] = True
+            before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
+            starts, stops = np.flatnonzero(gone & (~before | edge[:-1])), np.flatnonzero(gone & (~after | edge[1:])) + 1
+            cuts = np.searchsorted(starts, chunk.bounds)
+            for k, (a, b) in enumerate(zip(chunk.bounds, chunk.bounds[1:], strict=False)):
+                spans = slice(cuts[k], cuts[k + 1])
+                made.append((chunk.data[a:b][~gone[a:b]].tobytes(), [{"start": int(x - a), "length": int(y - x)} for x, y in zip(starts[spans], stops[spans], strict=True)]))
+            made = [made[i] for i in chunk.of_row]
+        return pa.table({**{c: table.column(c) for c in kept}, "removed_spans": pa.array([r[1] for r in made], SPANS), "kept_bytes": pa.array([r[0] for r in made], pa.binary())})
 
     return run
 
 
+def _parts(whole: int, bounds: tuple[int, int]) -> int:
+    """Into how many parts a whole goes, of sizes within the bounds."""
+    return max(1, -(-whole // min(max(whole // PARTS, bounds[0]), bounds[1])))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (key, n_bytes, removed_spans, kept_bytes) for each row of docs.
 
@@ -298,18 +304,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     fixed by their texts. Rows that repeat key and text are one document, and each comes back; different
     texts of one key are in an order fixed by the texts. Spans are maximal. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key_"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).withColumn("ref", F.xxhash64("data"))
+    rows = docs.select(F.col(key).cast("long").alias("key_"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
+    chunks, buckets = _parts(size + 100 * n, CHUNK_BYTES), _parts(size * len(COVER) // PERIOD, BUCKET_STRINGS)
+    rows = rows.withColumn("ref", F.xxhash64("data"))
     place = F.coalesce("key_", F.lit(1 << 62) + F.shiftrightunsigned("ref", 2))
-    n = docs.count()
-    chunks, buckets = max(1, -(-n // CHUNK_TEXTS)), max(1, -(-n * RUNS_OF_A_TEXT // BUCKET_RUNS))
     rows = rows.select("key_", "ref", place.alias("place"), "data").withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("key_", "ref")), F.lit(chunks)))
     texts = rows.groupBy("chunk")
-    answer = "chunk long, kind int, bucket long, answer binary"
-    runs = texts.applyInArrow(_runs_kernel(buckets), "chunk long, bucket long, anchor binary, whole binary, place binary")
-    first = runs.groupBy("bucket").applyInArrow(sort_runs, answer)
-    windows = texts.cogroup(first.groupBy("chunk")).applyInArrow(_windows_kernel(buckets), "chunk long, bucket long, hash binary, place binary")
-    second = windows.groupBy("bucket").applyInArrow(sort_windows, answer)
-    both = first.unionByName(second)
-    out = texts.cogroup(both.groupBy("chunk")).applyInArrow(_removal_kernel(buckets, ["key_"]), "key_ long, removed_spans array<struct<start: long, length: long>>, kept_bytes binary")
+    grams = texts.applyInArrow(_grams_kernel(buckets), DEALT_GRAMS).groupBy("bucket").applyInArrow(sort_grams, ANSWER)
+    ranks = texts.cogroup(grams.groupBy("chunk")).applyInArrow(_deal_kernel(buckets, 1), DEALT).groupBy("bucket").applyInArrow(_sort_strings(RANKS), ANSWER)
+    both = grams.unionByName(ranks)
+    strings = texts.cogroup(both.groupBy("chunk")).applyInArrow(_deal_kernel(buckets, 2), DEALT).groupBy("bucket").applyInArrow(_sort_strings(STRINGS), ANSWER)
+    every = both.unionByName(strings)
+    out = texts.cogroup(every.groupBy("chunk")).applyInArrow(_removal_kernel(buckets, ["key_"]), "key_ long, removed_spans array<struct<start: long, length: long>>, kept_bytes binary")
     length = F.octet_length("kept_bytes") + F.coalesce(F.aggregate("removed_spans", F.lit(0).cast("long"), lambda s, x: s + x["length"]), F.lit(0))
     return out.select(F.col("key_").alias(key), length.cast("long").alias("n_bytes"), "removed_spans", "kept_bytes")

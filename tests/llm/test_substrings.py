@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+
 from terravane.llm import substrings as S
 
 
@@ -54,22 +56,41 @@ def test_null_key_and_small_blocks(spark):
     compare(spark, rows)
 
 
-def test_long_texts_in_blocks(monkeypatch):
-    rng = random.Random(1)
-    data = bytes(rng.randrange(97, 101) for _ in range(3000))
-    whole = S.runs_of(data)
-    windows = S.window_hashes(data, np_array([5, 2000]), np_array([40, 2100]))
-    monkeypatch.setattr(S, "BLOCK", 256)
-    cut = S.runs_of(data)
-    covered = [p for a, b in zip(cut[2], cut[3], strict=True) for p in range(a, b + 1)]
-    assert covered == list(range(len(data) - S.WIDTH + 1)) and len(cut[0]) >= len(whole[0])
-    assert all((x == y).all() for x, y in zip(windows, S.window_hashes(data, np_array([5, 2000]), np_array([40, 2100])), strict=True))
+def test_many_chunks_and_buckets(spark, monkeypatch):
+    """Copies, shifted copies and one passage everywhere, over some dozen chunks and buckets."""
+    monkeypatch.setattr(S, "CHUNK_BYTES", (1500, 1500))
+    monkeypatch.setattr(S, "BUCKET_STRINGS", (300, 300))
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghij klmnop\n") for _ in range(n))
+    common, rows = letters(230), []
+    for key in range(0, 160, 2):
+        text = letters(rng.randint(0, 60)) + common[rng.randint(0, 40) : rng.randint(120, 230)] + letters(rng.randint(50, 500))
+        rows.append((key, text))
+        rows.append((key + 1, letters(rng.randint(0, 9)) + text[rng.randint(0, 30) :] if rng.random() < 0.5 else letters(200)))
+    rows += [(1000 + i, common[:28] + letters(172)) for i in range(40)] + [(2000 + i, rows[0][1]) for i in range(20)] + [(None, rows[4][1]), (3000, "x" * 5000)]
+    compare(spark, rows)
 
 
-def np_array(x):
-    import numpy as np
+def test_cover():
+    """Every distance modulo the period is that of two residues, once."""
+    distances = sorted((a - b) % S.PERIOD for a in S.COVER for b in S.COVER if a != b)
+    assert distances == list(range(1, S.PERIOD))
+
+
+def test_hashes_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 101, 3000).astype(np.uint8)
+    data[2000:2300] = data[100:400]
+    starts = np.arange(0, 2800)
+    whole = S.hashes(data, starts, starts + S.WIDTH, 0)
+    assert (whole[2000:2201] == whole[100:301]).all() and len(set(whole.tolist())) == len({data[i : i + S.WIDTH].tobytes() for i in starts})
+    monkeypatch.setattr(S, "BLOCK", 256)
+    assert (S.hashes(data, starts, starts + S.WIDTH, 0) == whole).all()
+
 
-    return np.array(x)
+def test_planes():
+    values = np.array([0, 1, 255, 256, 1 << 39, (1 << 40) - 1], np.uint64)
+    assert (S._numbers(S._planes(values, 5), 5) == values).all() and len(S._numbers(S._planes(values[:0]))) == 0
 
 
 def test_empty(spark):
