@@ -44,11 +44,25 @@ def test_beats_the_counts_on_held_out_texts(scored):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_units_add_up_to_one(scored):
-    model = logbilinear.Model(scored[2].log_noise)
-    before = np.full((1, logbilinear.CONTEXT), logbilinear.UNITS, np.uint16)
-    each = [10 ** model.log10(np.array([u], np.uint16), before)[0] for u in range(logbilinear.UNITS)]
-    assert sum(each) == pytest.approx(1, abs=1e-4)
+def test_probabilities_add_up_to_one(scored):
+    """Over all known words, each at its unit or slot and with its share of the last slot, and the unknown words of each class."""
+    vocab = scored[2]
+    model = logbilinear.Model(vocab.log_noise, vocab.inner_noise)
+    rng = np.random.default_rng(3)
+    model.vectors += rng.standard_normal(model.vectors.shape).astype(np.float32)
+    model.inner_vectors += rng.standard_normal(model.inner_vectors.shape).astype(np.float32)
+    before = rng.integers(0, logbilinear.CONTEXTS, (1, logbilinear.CONTEXT)).astype(np.uint16)
+    p = lambda place: 10 ** model.log10(np.array([place], np.uint16), before)[0]
+    words = sum(p(u) for u in range(logbilinear.WORDS))
+    slots, rest = 0.0, np.zeros(logbilinear.CLASSES)
+    for c in range(logbilinear.CLASSES):
+        slots += sum(p(logbilinear.UNITS + 1 + c * logbilinear.SLOTS + k) for k in range(logbilinear.REST))
+        rest[c] = p(logbilinear.WORDS + c)
+    assert words + slots + rest.sum() == pytest.approx(1, abs=1e-4)
+    # The last slots' known words have the shares (c + 1) / (sum + 1), unknown ones 1 / (sum + 1).
+    others = (vocab.unit < 0) & (vocab.slot < 0)
+    assert (vocab.count[others] + 1).sum() == vocab.sums.sum() and len(vocab.frequent) == vocab.n_distinct
+    assert ((vocab.slot >= 0).sum() > logbilinear.CLASSES) and vocab.sums.min() >= 0
 
 
 def test_edges(spark):
@@ -57,6 +71,7 @@ def test_edges(spark):
     out = logbilinear.scored(docs, docs)[0].collect()
     assert len(out) == 5 and sorted(r["n_tokens"] for r in out) == [1, 1, 4, 4, 5001]
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
+    assert sorted(r["rare"] for r in out) == [0, 0, 1, 2, 3]
     empty = docs.limit(0)
     assert logbilinear.scored(empty, empty)[0].count() == 0
     assert logbilinear.scored(docs, empty)[0].where("n_known > 0").count() == 0
