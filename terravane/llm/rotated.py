@@ -166,10 +166,11 @@ def links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
         F.lit(False),
     )
     good = rows.where(sound)
-    classes = good.distinct().groupBy("label", "embedding").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    classes = checkpointed(classes.withColumn("dimension", F.size("embedding")))
+    classes = good.distinct().groupBy("label", "embedding").agg(F.min("id").alias("low_id"), F.count("*").alias("copies"))
+    # Classes have numbers of their own, given to stored rows: an id may stand under several labels.
+    classes = checkpointed(classes.withColumn("dimension", F.size("embedding"))).withColumn("class", F.monotonically_increasing_id())
     sizes = classes.groupBy(F.col("label").alias("l"), F.col("dimension").alias("d")).agg(F.count("*").alias("n"))
-    sized = classes.join(sizes, (F.col("label") == F.col("l")) & (F.col("dimension") == F.col("d"))).drop("l", "d")
+    sized = classes.drop("low_id").join(sizes, (F.col("label") == F.col("l")) & (F.col("dimension") == F.col("d"))).drop("l", "d")
     keyed = _with_keys(sized, threshold)
     bucket = ["label", "dimension", "band", "key"]
     full = keyed.groupBy(*bucket).agg(F.count("*").alias("rows")).where("rows > 1")
@@ -181,8 +182,12 @@ def links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     found = checkpointed(found)
     gained = found.groupBy("class").agg(F.sum("gained").alias("gained"))
     roots = components(found, "class", "reached").withColumnRenamed("node", "class")
-    known = classes.join(gained, "class", "left").join(roots, "class", "left")
-    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("component"))
+    rooted = classes.select("class", "low_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # Stored, so that a component of very many classes is joined from two plain inputs, which adaptive execution can split.
+    lowest = checkpointed(rooted.groupBy("root").agg(F.min("low_id").alias("component")))
+    ends = checkpointed(rooted.join(lowest, "root").select("class", "component"))
+    known = classes.join(gained, "class", "left").join(ends, "class")
+    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).alias("n_links"), "component")
     joined = rows.withColumn("sound", sound).join(known, F.col("sound") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     component = F.coalesce("component", "id")
     return joined.select(

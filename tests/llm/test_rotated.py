@@ -85,3 +85,9 @@ def test_estimates_are_unbiased():
     off = estimate - a @ b.T
     assert abs(off.mean()) < 0.002
     assert (np.abs(off) <= rotated.EPSILONS * np.sqrt((1 - factor**2) / factor**2 / 63)[:, None]).mean() > 0.999
+
+
+def test_one_id_under_two_labels(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 2), (2, [1.0, 0.001], 1), (9, [0.001, 1.0], 2)]
+    got = rotated.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(2, 1, 2), (5, 1, 2), (5, 1, 5), (9, 1, 5)]
