@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import map_columns
+from terravane.llm.common import checkpointed, map_columns
 
 #: Bytes of a piece. Each is compressed for itself, so that long texts feel the dictionary throughout.
 PIECE = 2048
@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     known = known.where("label = other").select(key, F.col("label").cast("int").alias("label"), F.xxhash64(key, F.lit(7)).alias("order"))
     chosen = known.where("label = 0").orderBy("order", key).limit(sample.rows).unionByName(known.where("label = 1").orderBy("order", key).limit(sample.rows))
     chosen = chosen.select(key, "label", "order", (F.pmod("order", F.lit(2)) == 0).alias("builds"))
-    texts = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+    # Stored once: the dictionaries and the curve read the sample, not the corpus.
+    texts = checkpointed(docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), key))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length("text") - 1), F.lit(PIECE))
     pieces = texts.where("builds").select("label", "order", F.col("text").cast("binary").alias("data"), F.posexplode(starts).alias("at", "start"))
     pieces = pieces.select("label", F.xxhash64("order", "at").alias("order"), F.substring(F.col("data"), F.col("start") + 1, F.lit(PIECE)).alias("piece"))
@@ -117,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     for value in (1, 0):
         rows = pieces.where(F.col("label") == value).orderBy("order", "piece").limit(sample.pieces).collect()
         dictionaries.append(train_dictionary([bytes(r["piece"]) for r in rows if r["piece"]]))
-    measured = differences(texts.where("NOT builds").select("text", "label"), *dictionaries).select("difference", "label").limit(4 * sample.rows).toPandas()
+    others = texts.where("NOT builds").select("text", "label", "order", F.xxhash64("text").alias("own"))
+    measured = differences(others, *dictionaries).drop("text").orderBy("order", "own").limit(4 * sample.rows).toPandas()
     return calibrated(*dictionaries, measured["difference"].to_numpy(float), measured["label"].to_numpy(float), known)
 
 
