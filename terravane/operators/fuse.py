@@ -44,6 +44,7 @@ def _may_merge(a: dict, b: dict) -> bool:
 def merge(base: DataFrame, incoming: DataFrame, radius: float) -> DataFrame:
     """base with incoming merged in: each incoming row, by seq, goes into the nearest compatible row or becomes one.
 
+    Nearest means by exact distance, of equals the one met first in a walk over the cells around (spatial.scan_order).
     Rows have seq (long, unique over both, base first), id, cat, lat, lon, height_m, src_h, srcs and any of the
     carried fields; ids are longs, unique over both. Candidates are pairs within the radius with compatible categories; which of them
     merge depends on the order, as heights change with every merge. Only rows of one component of the
@@ -54,9 +55,9 @@ def merge(base: DataFrame, incoming: DataFrame, radius: float) -> DataFrame:
     point = ["id", "seq", "lat", "lon", "cat"]
     pairs = spatial.range_join(incoming.select(*point), rows.select(*point), radius)
     edges = pairs.where((F.col("b_seq") < F.col("a_seq")) & spatial.compatible(F.col("a_cat"), F.col("b_cat")))
-    edges = edges.select("a_id", "b_id", F.round("d", 3).alias("d"))
+    edges = edges.select("a_id", "b_id", "d", spatial.scan_order("a_lat", "a_lon", "b_lat", "b_lon", "b_seq").alias("scan"))
     groups = components(edges, "a_id", "b_id").withColumnRenamed("node", "id")
-    near = edges.groupBy(F.col("a_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "b_id"))), lambda s: s["b_id"]).alias("near"))
+    near = edges.groupBy(F.col("a_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "scan", "b_id"))), lambda s: s["b_id"]).alias("near"))
     placed = rows.join(groups, "id", "left").join(near, "id", "left")
     alone = placed.where("component IS NULL").select(rows.columns)
     names = rows.columns
@@ -80,25 +81,30 @@ def merge(base: DataFrame, incoming: DataFrame, radius: float) -> DataFrame:
 def collapse(marks: DataFrame, radius: float = COLLAPSE_M) -> DataFrame:
     """marks with those at one place made one: the highest kind stays and takes what it lacks from the others.
 
-    Rows have id, lat, lon, vayla_type and the folded fields. In order of kind, then height, then id, each mark
-    goes to the first kept one within the radius (by kind, height and id), or is kept. Replayed by component.
+    Rows have id, lat, lon, vayla_type and the folded fields. In order of kind, then height, then id, each mark goes
+    to a kept one within the radius, or is kept. Of several it is the first in a walk over the cells around, then
+    by kind, height and id; not the nearest. Replayed by component.
     """
     hint = F.greatest(F.col("focal_agl_m"), F.col("daymark_agl_m"), F.col("focal_m"))
     rank = F.coalesce(*(F.when(F.col("vayla_type") == t, F.lit(r)) for t, r in MARK_RANK.items()), F.lit(0))
     rows = marks.withColumn("rank", rank).withColumn("hint", F.coalesce(hint, F.lit(0.0)))
     point = rows.select("id", "lat", "lon")
-    pairs = spatial.range_join(point, point, radius).where("a_id != b_id").select("a_id", "b_id")
+    cell = lambda c: F.floor(F.col(c) / spatial.CELL_DEG)
+    pairs = spatial.range_join(point, point, radius).where("a_id != b_id")
+    pairs = pairs.select("a_id", "b_id", (cell("b_lat") - cell("a_lat")).alias("i"), (cell("b_lon") - cell("a_lon")).alias("j"))
     groups = components(pairs, "a_id", "b_id").withColumnRenamed("node", "id")
-    near = pairs.groupBy(F.col("a_id").alias("id")).agg(F.collect_set("b_id").alias("near"))
+    near = pairs.groupBy(F.col("a_id").alias("id")).agg(F.collect_set(F.struct("i", "j", "b_id")).alias("near"))
     placed = rows.join(groups, "id", "left").join(near, "id", "left")
     names = marks.columns
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         held: dict[int, dict] = {}
+        order: dict[int, int] = {}
         for row in pdf.sort_values(["rank", "hint", "id"], ascending=[False, False, True]).to_dict("records"):
-            close = set(row["near"]) if row["near"] is not None else set()
-            into = next((h for i, h in held.items() if i in close), None)
+            close = [] if row["near"] is None else [n for n in row["near"] if n["b_id"] in held]
+            into = held[min(close, key=lambda n: (n["i"], n["j"], order[n["b_id"]]))["b_id"]] if close else None
             if into is None:
+                order[row["id"]] = len(held)
                 held[row["id"]] = row
                 continue
             for c in FOLDED:

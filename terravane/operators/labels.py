@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from math import cos, radians
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.functions import geo
 from terravane.operators import spatial
 from terravane.operators.graph import components
 
@@ -17,18 +14,19 @@ LEAST_M, LEAST_DEG, WINDOW_DEG, BUDGET, FARM_M = 3000.0, 0.15, 10.0, 3, 2000.0
 
 
 def farms(sites: DataFrame, distance: float = FARM_M, size: float = 0.05) -> DataFrame:
-    """(id, farm): single-link clusters of sites (id, lat, lon); a site alone is its own farm.
-
-    Cells are at least `size` degrees, and wide enough for the distance at the highest latitude.
-    """
+    """(id, farm): single-link clusters of sites (id, lat, lon), at any latitude; a site alone is its own farm."""
     point = sites.select("id", "lat", "lon")
-    highest = point.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    size = max(size, 1.001 * distance / (geo.DEGREE_M * max(cos(radians(highest)), 1e-3)))
     pairs = spatial.range_join(point, point, distance, size).where("a_id < b_id")
     found = components(pairs, "a_id", "b_id")
     return sites.join(found, sites["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("farm"))
 
 
+def farm_labels(sites: DataFrame, distance: float = FARM_M) -> DataFrame:
+    """(farm, n, lat, lon): one label for each farm, at the mean of its sites."""
+    joined = sites.join(farms(sites, distance), "id")
+    return joined.groupBy("farm").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+
+
 def budget(seen: DataFrame, observer: str = "observer", window: float = WINDOW_DEG, most: int = BUDGET) -> DataFrame:
     """The labels (observer, id, bearing, size) that fit: by size, unless a window already has its budget.
 
