@@ -89,16 +89,29 @@ def _majorities(values: np.ndarray, number: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(values), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def several_fingerprints(df: DataFrame, number: int, text: str = "text", words: int = 5, distinct: bool = True) -> DataFrame:
-    """df with `number` fingerprints (prints) of each text, of hashes that are mixed anew for each, and the number of its shingles (size); without the text."""
+#: Longs of a set's parities: for each residue of its hashes, whether an odd number of them has it.
+PARITIES = ("odd_0", "odd_1", "odd_2", "odd_3")
+
+
+def _parities(values: np.ndarray) -> np.ndarray:
+    residues = (values >> np.uint64(7)).astype(np.int64) % (BITS * len(PARITIES))
+    return np.packbits(np.bincount(residues, minlength=BITS * len(PARITIES)).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
+def several_fingerprints(df: DataFrame, number: int, text: str = "text", words: int = 5) -> DataFrame:
+    """df with what is compared of each text's set of shingles, in place of the text.
+
+    prints: `number` fingerprints, of hashes that are mixed anew for each; size: the number of shingles; PARITIES.
+    """
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
-        values = [_hashes(t or "", words, distinct, 42) for t in texts.to_pylist()]
+        values = [_hashes(t or "", words, True, 42) for t in texts.to_pylist()]
         flat = np.concatenate([np.zeros(0, np.uint64), *(_majorities(v, number) for v in values)]).view(np.int64)
         prints = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * number, pa.int32()), pa.array(flat))
-        return {"prints": prints, "size": pa.array([len(v) for v in values], pa.int32())}
+        odd = np.array([_parities(v) for v in values], np.int64).reshape(-1, len(PARITIES))
+        return {"prints": prints, "size": pa.array([len(v) for v in values], pa.int32()), **{c: pa.array(np.ascontiguousarray(odd[:, k])) for k, c in enumerate(PARITIES)}}
 
-    return map_columns(df, [text], {"prints": "array<long>", "size": "int"}, rows, without=(text,))
+    return map_columns(df, [text], {"prints": "array<long>", "size": "int", **dict.fromkeys(PARITIES, "long")}, rows, without=(text,))
 
 
 def shingle_sets(df: DataFrame, text: str = "text", words: int = 5, out: str = "shingles") -> DataFrame:
@@ -199,6 +212,16 @@ def _sizes_near(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether the sets may be so alike, by their sizes and parities: false only if they are not.
+
+    Sets differ in at least as many elements as parities, and may differ in (1 - s) / (1 + s) of their sizes' sum.
+    """
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITIES), F.lit(0))
+    sizes = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return _sizes_near(*sizes, similarity) & (differ <= (1 - similarity) / (1 + similarity) * (sizes[0] + sizes[1]) + 1e-9)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (low, high) of texts whose sets of shingles are at least so alike (Jaccard)."""
     n = lambda side: F.size(f"{side}_set")
@@ -252,7 +275,7 @@ DRAWN = 4
 
 
 #: Segments of a fingerprint of which candidates share one, and the bits by which the first pass widens them.
-SEGMENTS, WIDER = 4, 6
+SEGMENTS, WIDER = 4, 10
 
 
 def _pieces(slots: DataFrame, wider: int) -> DataFrame:
@@ -285,11 +308,11 @@ def _stars(slots: DataFrame, bits: int, similarity: float) -> DataFrame:
 
 
 def _candidates(slots: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """All pairs (a, b) of candidates (see groups) with different roots, as often as they share a segment."""
-    rows = _pieces(slots, 0).select("id", "root", "size", "value", "bucket")
+    """All pairs (a, b) of candidates (see groups) with different roots that may be similar, as often as they share a segment."""
+    rows = _pieces(slots, 0).select("id", "root", "size", *PARITIES, "value", "bucket")
     a, b = rows.alias("a"), rows.alias("b")
     met = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    near = (F.bit_count(F.col("a.value").bitwiseXOR(F.col("b.value"))) <= bits) & _sizes_near(F.col("a.size"), F.col("b.size"), similarity)
+    near = (F.bit_count(F.col("a.value").bitwiseXOR(F.col("b.value"))) <= bits) & _may_be_similar("a", "b", similarity)
     return a.join(b, met & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
@@ -303,14 +326,15 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 1
     at most 0.152 at 0.8, where 98 % of pairs are candidates.
 
     First each text is compared with a few of those that share a segment; then all candidates that are still
-    in different groups. A large group is thus joined by about as many comparisons as it has texts,
-    and no link between different groups is lost: the first pass compares only candidates too.
+    in different groups, but those whose parities prove that they are not similar. A large group is thus joined by about
+    as many comparisons as it has texts, and no link between different groups is lost: the first pass compares only
+    candidates too, and parities rule out only pairs that the comparison would.
     """
     named = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tid"))
-    seen = several_fingerprints(named, prints, "text", shingle).select("tid", "key", "prints", "size")
+    seen = several_fingerprints(named, prints, "text", shingle).select("tid", "key", "prints", "size", *PARITIES)
     # Numbers are given to stored rows: they stay the same when a task runs again.
-    texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints"), F.min("size").alias("size"))).withColumn("id", F.monotonically_increasing_id())
-    slots = texts.select("id", "size", F.posexplode("prints").alias("slot", "value"))
+    texts = checkpointed(seen.groupBy("tid").agg(F.min("key").alias("low_key"), F.min("prints").alias("prints"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in PARITIES))).withColumn("id", F.monotonically_increasing_id())
+    slots = texts.select("id", "size", *PARITIES, F.posexplode("prints").alias("slot", "value"))
     first = checkpointed(_ordered(_stars(slots, bits, similarity), "a", "b"))
     linked = _similar(first, _sets(named, texts, first, shingle), similarity).join(first, ["low", "high"])
     roots = components(_contracted(linked), "node", "root").select(F.col("node").alias("id"), "root")
@@ -336,11 +360,14 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **se
     """
     found = checkpointed(groups(df, key, text, **settings))
     order = F.struct(F.col("low_key").isNull(), "low_key", "tid")
-    winners = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.tid").alias("winner_text"), F.col("w.low_key").alias("winner_key"))
-    own_text, own_key = free_name(df, "own_text"), free_name(df, "own_key")
+    winners = found.groupBy("root").agg(F.min(order).alias("w")).select("w.tid", "w.low_key")
+    own_text, own_key, spot = free_name(df, "own_text"), free_name(df, "own_key"), free_name(df, "spot")
     own = df.withColumn(own_text, F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn(own_key, F.col(key))
-    kept = own.join(winners, (F.col(own_text) == F.col("winner_text")) & F.col(own_key).eqNullSafe(F.col("winner_key")), "left_semi")
-    return kept.dropDuplicates([own_text, own_key]).drop(own_text, own_key)
+    # One number names text and key in the join and in what follows, so that the texts are moved once.
+    own = own.withColumn(spot, F.xxhash64(own_text, own_key))
+    winners = winners.select(F.xxhash64("tid", "low_key").alias("won"), "tid", "low_key")
+    kept = own.join(winners, (F.col(spot) == F.col("won")) & (F.col(own_text) == F.col("tid")), "left_semi")
+    return kept.dropDuplicates([spot, own_text]).drop(own_text, own_key, spot)
 
 
 def hexadecimal(column: str = "fingerprint") -> Column:

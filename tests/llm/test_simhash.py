@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -90,3 +91,16 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     want = {i: 0 for i in range(1, 300)} | {i: 1000 for i in range(1001, 1200)}
     assert got == want
+
+
+def test_parities_prove_no_similar_pair_away():
+    """Sets of many sizes and similarities: they differ in at least as many elements as parities."""
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 5, 60, 300, 2000):
+        for shared in (0.0, 0.5, 0.9, 1.0):
+            a, b = (rng.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(2))
+            both = int(size * shared)
+            b[:both] = a[:both]
+            differ = len(set(a.tolist()) ^ set(b.tolist()))
+            odd = sum(int(x).bit_count() for x in (S._parities(a) ^ S._parities(b)).view(np.uint64))
+            assert odd <= differ and (shared < 1 or odd == 0) and (not 0 < differ < 40 or odd > differ / 2)
