@@ -111,13 +111,13 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", source: str = "source", text:
 
     All columns of df stay as they are; repeated rows count as rows of their own.
     """
-    others = [c for c in df.columns if c not in (key, source)]
-    held = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("held"))
-    planned = plan(held, "key", "source", "text", keep=("held",), **settings)
-    taken = planned.withColumn("copies", copies().cast("int")).where("copies > 0")
-    rows = taken.select("key", "source", "held", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
-    named = {key: F.col("key"), source: F.col("source")}
-    return rows.select(*(named[c].alias(c) if c in named else F.col("held").getField(c).alias(c) for c in df.columns))
+    # The plan is made of numbers that stored rows have; the rows themselves are moved once, to meet their copies.
+    stored = checkpointed(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("held"))).withColumn("number", F.monotonically_increasing_id())
+    field = lambda c: F.col("held").getField(c)
+    planned = plan(stored.select("number", field(key).alias("key"), field(source).alias("source"), field(text).alias("text")), "key", "source", "text", keep=("number",), **settings)
+    taken = planned.select("number", copies().cast("int").alias("copies")).where("copies > 0")
+    rows = stored.join(taken, "number").select("held", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    return rows.select("held.*")
 
 
 ODD_SQL = ODD.replace("'", "''")
