@@ -13,13 +13,20 @@ BINS, FLOOR_DEG, SPACING_DEG = 3600, -6.0, 0.02
 SKIP_FROM_M = 15_000.0
 
 
-def schedule(spark: SparkSession, bands=BANDS) -> DataFrame:
-    """The distances at which a ray is sampled."""
+def distances(bands=BANDS, reach: float | None = None) -> Column:
+    """The distances at which a ray is sampled, up to its reach, as an array of doubles."""
     start, parts = 0, []
     for to, step in bands:
-        parts.append(F.sequence(F.lit(start + step), F.lit(to), F.lit(step)))
+        last = to if reach is None else min(to, int(reach))
+        if start + step <= last:
+            parts.append(F.sequence(F.lit(start + step), F.lit(last), F.lit(step)))
         start = to
-    return spark.range(1).select(F.explode(F.flatten(F.array(*parts))).alias("d")).select(F.col("d").cast("double"))
+    return F.flatten(F.array(*parts)).cast("array<double>")
+
+
+def schedule(spark: SparkSession, bands=BANDS) -> DataFrame:
+    """The distances at which a ray is sampled."""
+    return spark.range(1).select(F.explode(distances(bands)).alias("d"))
 
 
 def records(samples: DataFrame, ray: str, order: str, value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.functions import text
+from terravane.functions import geo, text
 from terravane.operators import fuse
 
 FOOT_M = 0.3048
@@ -132,16 +132,28 @@ def selected(all_places: DataFrame, summits: DataFrame, least_scale: int = 100_0
     return keep.unionByName(all_places.join(claimed, "id", "left_semi").join(keep.select("id"), "id", "left_anti"))
 
 
-def hills(chosen: DataFrame, summits: DataFrame) -> DataFrame:
-    """chosen with the heights of their summits (id, top, pt, x, y, d, open, claimed): accepted, refused or not sampled."""
-    s = summits.select("id", "top", "pt", F.col("x").alias("sx"), F.col("y").alias("sy"), "d", "open", "claimed", F.lit(True).alias("sampled"))
+def hills(chosen: DataFrame, summits: DataFrame, least_top: float | None = None) -> DataFrame:
+    """chosen with the heights of their summits (id, top, pt, x, y, d, open, wide, claimed): accepted, refused or not sampled.
+
+    Accepted ones stand at their summit, with the name's own place beside; refused ones stay at their name. Where the
+    model is unknown at a name the register's elevation counts. With least_top lower hills, and those of unknown
+    height, are left out. In the order of ids.
+    """
+    s = summits.select("id", "top", "pt", F.col("x").alias("sx"), F.col("y").alias("sy"), "d", F.col("open").alias("s_open"), F.col("wide").alias("s_wide"), F.col("claimed").alias("s_claimed"))
     j = chosen.join(s, "id", "left")
-    accepted = F.col("sampled") & F.col("top").isNotNull() & ~F.coalesce("open", F.lit(False))
-    refused = F.col("sampled") & F.coalesce("open", F.lit(False))
-    top = F.when(accepted, F.col("top")).when(refused, F.coalesce("pt", "ele")).otherwise(F.col("ele"))
-    moved = lambda new, old: F.when(accepted, F.col(new)).otherwise(F.col(old))
-    return j.select(
-        "id", "name", "kind", "muni", F.col("sr").alias("rank"), F.round(top, 1).alias("top_m"), F.when(accepted | refused, "dem10").otherwise("nimisto").alias("src_top"),
-        moved("sx", "x").alias("x"), moved("sy", "y").alias("y"), F.when(accepted, F.col("d")).alias("snap_m"), F.when(accepted, F.round(F.col("top") - F.col("pt"), 1)).alias("gain_m"),
-        F.when(refused, True).alias("open"), F.when(refused, F.col("claimed")).alias("claimed_by"), F.when(F.size("names") > 1, F.slice("names", 2, F.size("names"))).alias("names"),
-    ).orderBy("id")
+    known = F.col("top").isNotNull()
+    refused, accepted = known & F.coalesce("s_open", F.lit(False)), known & ~F.coalesce("s_open", F.lit(False))
+    at_name = F.coalesce("pt", "ele")
+    top = F.when(accepted, F.col("top")).when(refused, at_name).otherwise(F.col("ele"))
+    lat, lon = geo.to_degrees(F.when(accepted, F.col("sx")).otherwise(F.col("x")), F.when(accepted, F.col("sy")).otherwise(F.col("y")))
+    name_lat, name_lon = geo.to_degrees(F.col("x"), F.col("y"))
+    if_accepted = lambda v: F.when(accepted, v)
+    rows = j.select(
+        "id", F.when(F.col("typ") == PLACE_TYPES[0], "hill").otherwise("hillgroup").alias("cat"), "name", "kind", "muni", F.col("sr").alias("rank"), F.round(top, 1).alias("top_m"),
+        F.when(accepted | refused, "dem10").otherwise("nimisto").alias("src_top"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), if_accepted(F.round(name_lat, 6)).alias("name_lat"),
+        if_accepted(F.round(name_lon, 6)).alias("name_lon"), F.coalesce(if_accepted(F.col("sx")), F.col("x")).alias("x"), F.coalesce(if_accepted(F.col("sy")), F.col("y")).alias("y"), if_accepted(F.col("d")).alias("snap_m"),
+        if_accepted(F.round(F.col("top") - at_name, 1)).alias("gain_m"), if_accepted(F.when(F.col("s_wide"), True)).alias("wide"), F.when(refused, True).alias("open"), F.when(refused, F.col("s_claimed")).alias("claimed_by"),
+        F.when(F.size("names") > 1, F.slice("names", 2, F.size("names"))).alias("names"),
+    )
+    kept = rows if least_top is None else rows.where(F.col("top_m") >= least_top)
+    return kept.orderBy("id")
