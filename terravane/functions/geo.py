@@ -105,6 +105,47 @@ def geometric_range(h1: Column, h2: Column) -> Column:
     return (2 * effective_radius()) ** 0.5 / 1000 * (F.sqrt(h1) + F.sqrt(h2))
 
 
+def hidden(h: Column, eye: Column, d: Column, tangent: Column) -> Column:
+    """Whether a height at a distance stays under a line of sight of a tangent."""
+    return h <= eye + drop(d) + d * tangent
+
+
+def in_window(bearing: Column, centre: Column, span: Column) -> Column:
+    """Whether a bearing lies in a window of so many degrees around a centre, across north too."""
+    return F.abs(unwrapped(bearing, centre)) <= span / 2
+
+
+def bearing_span(bearings: Column, centre: Column) -> Column:
+    """(from, to) of the bearings of a footprint's corners, unwrapped about its centre's."""
+    turned = F.transform(bearings, lambda b: unwrapped(b, centre))
+    return F.struct((centre + F.array_min(turned)).alias("from"), (centre + F.array_max(turned)).alias("to"))
+
+
+def visible_part(top: Column, base: Column, line: Column) -> Column:
+    """Degrees of a silhouette from base to top that rise over a line of sight; none is zero."""
+    return F.greatest(F.lit(0.0), top - F.greatest(base, line))
+
+
+def position_error(metres: Column, d: Column) -> Column:
+    """Degrees by which a bearing is off if a position is off by so many metres."""
+    return F.degrees(F.atan(metres / d))
+
+
+def height_error(metres: Column, d: Column) -> Column:
+    """Degrees by which an elevation is off if a height is off by so many metres."""
+    return F.degrees(F.atan(metres / d))
+
+
+def refraction_band(d: Column, low: float = 0.07, high: float = 0.25) -> Column:
+    """Degrees between the elevations that weak and strong refraction give at a distance."""
+    return F.degrees(F.atan((drop(d, low) - drop(d, high)) / d))
+
+
+def deviation(radius_95: Column) -> Column:
+    """The accuracy that a device reports, a radius of 95 %, as one standard deviation."""
+    return radius_95 / 2
+
+
 def _series(u2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
     return a, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))

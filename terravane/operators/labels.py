@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.operators import spatial
@@ -27,6 +27,35 @@ def farm_labels(sites: DataFrame, distance: float = FARM_M) -> DataFrame:
     return joined.groupBy("farm").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
+def worth_a_label(seen: DataFrame, least_m: float = LEAST_M, least_deg: float = LEAST_DEG) -> DataFrame:
+    """Of what is seen (d, visible) what is neither too near nor too small."""
+    return seen.where((F.col("d") >= least_m) & (F.col("visible") >= least_deg))
+
+
+def table(seen: DataFrame, categories: list[str] | None = None, most_m: float | None = None, least_deg: float = 0.0, named: bool = False, confidence: list[str] | None = None) -> DataFrame:
+    """Rows of seen (id, cat, d, altitude, visible, label, conf) that pass the filters, with rank: highest altitude first, equal ones by id.
+
+    A filter that is None or false lets all pass.
+    """
+    rows = seen.where(F.col("visible") >= least_deg)
+    rows = rows if categories is None else rows.where(F.col("cat").isin(*categories))
+    rows = rows if most_m is None else rows.where(F.col("d") <= most_m)
+    rows = rows.where(F.col("label") != "") if named else rows
+    rows = rows if confidence is None else rows.where(F.col("conf").isin(*confidence))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("altitude"), "id")))
+
+
+def window_counts(seen: DataFrame, observer: str = "observer", window: float = WINDOW_DEG) -> DataFrame:
+    """(observer, bin, n) of the windows with anything in them, numbered from north."""
+    return seen.groupBy(observer, F.floor(F.pmod(F.col("bearing"), F.lit(360.0)) / window).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def busiest(counts: DataFrame, observer: str = "observer", crowded: int = 5) -> DataFrame:
+    """(observer, bin, n, crowded): the window with most, the first of equals, and how many windows have at least so many."""
+    best = F.max_by(F.struct("bin", "n"), F.struct("n", -F.col("bin"))).alias("b")
+    return counts.groupBy(observer).agg(best, F.count_if(F.col("n") >= crowded).alias("crowded")).select(observer, "b.*", "crowded")
+
+
 def budget(seen: DataFrame, observer: str = "observer", window: float = WINDOW_DEG, most: int = BUDGET) -> DataFrame:
     """The labels (observer, id, bearing, size) that fit: by size, unless a window already has its budget.
 

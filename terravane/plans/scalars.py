@@ -17,13 +17,13 @@ def _sum(terms, kind: str, x: str, y: str, sign: str = "+") -> str:
     return "".join(f" {sign} {t!r}::DOUBLE * {f}({2 * j} * {x}) * {g}({2 * j} * {y})" for j, t in enumerate(terms, 1))
 
 
-_FORWARD = f"""WITH base AS ({views.GEO_BASE}), a AS (SELECT id, radians(lat) AS phi, radians(lon - 27.0::DOUBLE) AS dl FROM base),
+GRID_FORWARD = f"""WITH base AS ({views.GEO_BASE}), a AS (SELECT id, radians(lat) AS phi, radians(lon - 27.0::DOUBLE) AS dl FROM base),
 b AS (SELECT *, sinh(atanh(sin(phi)) - {geo.E!r}::DOUBLE * atanh({geo.E!r}::DOUBLE * sin(phi))) AS t FROM a),
 c AS (SELECT id, atan(t / cos(dl)) AS x, atanh(sin(dl) / sqrt(1 + t * t)) AS y FROM b),
 g AS (SELECT id, 500000.0::DOUBLE + {geo.SCALE * geo.RECTIFYING!r}::DOUBLE * (y{_sum(geo.ALPHA, "e", "x", "y")}) AS e, {geo.SCALE * geo.RECTIFYING!r}::DOUBLE * (x{_sum(geo.ALPHA, "n", "x", "y")}) AS n FROM c)"""
 
 
-@query("tm35_forward", _FORWARD + " SELECT id, round(e, 3) AS e, round(n, 3) AS n FROM g")
+@query("tm35_forward", GRID_FORWARD + " SELECT id, round(e, 3) AS e, round(n, 3) AS n FROM g")
 def tm35_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = geo.to_grid(F.col("lat"), F.col("lon"))
     return views.geo_base(spark, sf_dir).select("id", F.round(e, 3).alias("e"), F.round(n, 3).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.functions import geo, text
@@ -125,9 +125,14 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("x IS NOT NULL AND y IS NOT NULL AND size(names) > 0").withColumn("name", F.col("names")[0]["n"]).withColumn("kind", text.kind_of(F.col("name")))
 
 
+def notable(scale: Column, least: int) -> Column:
+    """Whether a name is meant for maps of a scale, or coarser ones."""
+    return F.coalesce(scale >= least, F.lit(False))
+
+
 def selected(all_places: DataFrame, summits: DataFrame, least_scale: int = 100_000) -> DataFrame:
     """Places of a map scale, and those below it that another place's summit belongs to (claimed), each once."""
-    keep = all_places.where(F.col("sr") >= least_scale)
+    keep = all_places.where(notable(F.col("sr"), least_scale))
     claimed = summits.where("claimed IS NOT NULL").join(keep.select("id"), "id", "left_semi").select(F.col("claimed").alias("id")).distinct()
     return keep.unionByName(all_places.join(claimed, "id", "left_semi").join(keep.select("id"), "id", "left_anti"))
 
