@@ -77,3 +77,8 @@ def profile(samples: DataFrame, ray: str = "bin") -> DataFrame:
     tangent = (h - F.col("eye") - geo.drop(F.col("d"))) / F.col("d")
     best = F.max_by(F.struct(tangent.alias("t"), "d"), F.struct(F.round(tangent, 9), -F.col("d"))).alias("b")
     return samples.groupBy(ray).agg(best).select(ray, F.degrees(F.atan("b.t")).alias("angle"), F.col("b.d").alias("d"))
+
+
+def packed_angles(profile: DataFrame, ray: str = "bin") -> DataFrame:
+    """(ray, centidegrees): angles as 16-bit hundredths."""
+    return profile.select(ray, F.rint(F.col("angle") * 100).cast("short").alias("centidegrees"))

@@ -97,8 +97,7 @@ def tile_zone_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tiles of each ring the zone map lets a sweep skip."""
     tiles = raster.tile_cover(_observers(spark, sf_dir))
     ceiling, eye, near = ((F.col("tx") * 31 + F.col("ty") * 17) % 300).cast("double"), F.lit(22.3), F.col("nearest")
-    bound = F.round(F.when(near > 0, geo.best_tangent(ceiling, eye, near, near + F.col("cell") * 700.0)), 9)
-    read = (near <= skyline.SKIP_FROM_M) | (bound >= F.round(geo.dip_tangent(eye), 9))
+    read = skyline.can_hide(ceiling, eye, F.greatest(near, F.lit(1e-9)), near + F.col("cell") * 700.0)
     return tiles.groupBy("id", "cell").agg(F.count("*").alias("n"), F.count_if(read).alias("n_read"))
 
 
@@ -112,7 +111,13 @@ def ray_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skyline.ray_top(views.rays(spark, sf_dir), "bin", "d", "h")
 
 
-@query("staircase_thinned")
+@query(
+    "staircase_thinned",
+    f"""WITH RECURSIVE r AS ({RAYS}), s AS (SELECT bin, d, h / 100 AS a FROM (SELECT *, max(h) OVER (PARTITION BY bin ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r) WHERE m IS NULL OR h > m),
+    n AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY d) AS k, count(*) OVER (PARTITION BY bin) AS most FROM s WHERE a > -6),
+    fold AS (SELECT bin, k, most, d, a, a AS held, true AS kept FROM n WHERE k = 1 UNION ALL SELECT n.bin, n.k, n.most, n.d, n.a, CASE WHEN n.a > f.held + 0.2::DOUBLE THEN n.a ELSE f.held END, n.a > f.held + 0.2::DOUBLE FROM fold f JOIN n ON n.bin = f.bin AND n.k = f.k + 1)
+    SELECT bin, d::DOUBLE AS d, a FROM fold WHERE kept OR (k = most AND round_even(a * 100, 0) <> round_even(held * 100, 0))""",
+)
 def staircase_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = skyline.records(views.rays(spark, sf_dir), "bin", "d", "h").select("bin", "d", (F.col("h") / 100).alias("a"))
     return skyline.thinned(steps, spacing=0.2)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo, text
-from terravane.operators import fuse, labels, spatial
+from terravane.operators import catalogue, fuse, labels, spatial, terrain
 from terravane.plans import views
 from terravane.plans.registry import query
 from terravane.plans.views import GEO_BASE, GEO_IN, METRES, PAIRS, table
+from terravane.sources import registers, sinks
 
 
 def _pairs(spark: SparkSession, sf_dir: str, radius: float = 150.0) -> DataFrame:
@@ -47,13 +48,14 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rival_claim",
-    f"""WITH {PAIRS} SELECT a_id, b_id AS rival, d FROM (
-    SELECT a_id, b_id, round(dd, 3) AS d, row_number() OVER (PARTITION BY a_id ORDER BY round(dd, 3), b_id) AS k FROM pairs WHERE b_id % 100 <> a_id % 100 AND round(dd, 3) < 60 + a_id % 80) WHERE k = 1""",
+    f"""WITH p AS ({views.PLACES}), f AS (SELECT id, x + 40 AS x, y - 30 AS y, 50.0::DOUBLE + id % 80 AS own FROM p), g AS (SELECT f.id, q.id AS rival, sqrt((f.x - q.x) ** 2 + (f.y - q.y) ** 2) AS gap, own FROM f JOIN p q ON q.id <> f.id)
+    SELECT id, arg_min(rival, gap) AS rival FROM g WHERE gap < own GROUP BY id""",
 )
 def rival_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other place that is strictly closer than a place's own distance."""
-    closer = (F.round("d", 3) < 60 + F.col("a_id") % 80) & (F.col("b_id") % 100 != F.col("a_id") % 100)
-    return spatial.nearest(_pairs(spark, sf_dir).where(closer)).withColumnRenamed("b_id", "rival")
+    """The nearest other name that is strictly closer to a summit than its own."""
+    places = views.places(spark, sf_dir)
+    found = places.select("id", (F.col("x") + 40).alias("x"), (F.col("y") - 30).alias("y"), (F.lit(50.0) + F.col("id") % 80).alias("own"))
+    return terrain.rivals(found, places)
 
 
 @query("pair_threshold_counts", f"WITH {PAIRS} SELECT r AS radius, count(*) FILTER (dd < r) AS n FROM pairs, (SELECT unnest([30, 50, 60, 100, 150]) AS r) GROUP BY r")
@@ -81,35 +83,50 @@ def wrap32_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work that has no result yet."""
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(done, "id", "left_anti")
+    return sinks.resume(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), done, "id")
 
 
 @query(
     "semi_claimants",
-    """WITH keep AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 5000), claims AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT')
+    """WITH keep AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 5000), claims AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 1500 IN (SELECT id FROM keep))
     SELECT id, false AS claimant FROM keep UNION ALL SELECT c_custkey, true FROM customer WHERE c_custkey IN (SELECT id FROM claims) AND c_custkey NOT IN (SELECT id FROM keep)""",
 )
 def semi_claimants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the chosen tier, then those below it that claim something."""
-    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
-    keep = places.where("c_acctbal >= 5000").select("id")
-    claims = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
-    more = places.select("id").join(claims, "id", "left_semi").join(keep, "id", "left_anti")
-    return keep.withColumn("claimant", F.lit(False)).unionByName(more.withColumn("claimant", F.lit(True)))
+    """Places of the chosen tier, then those below it that own the summit of one that is chosen."""
+    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.floor("c_acctbal").alias("sr"))
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    summits = urgent.select((F.col("o_orderkey") % 1500).alias("id"), F.col("o_custkey").alias("claimed"))
+    return registers.selected(places, summits, 5000).select("id", (F.col("sr") < 5000).alias("claimant"))
 
 
 @query("position_key_join", f"WITH base AS ({GEO_BASE}) SELECT a.id AS id, count(*) AS n_same FROM base a JOIN base b ON printf('%.6f,%.6f', a.lat, a.lon) = printf('%.6f,%.6f', b.lat, b.lon) GROUP BY 1")
 def position_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = views.geo_base(spark, sf_dir).select("id", F.format_string("%.6f,%.6f", "lat", "lon").alias("key"))
+    base = views.geo_base(spark, sf_dir).select("id", catalogue.position_key(F.col("lat"), F.col("lon")).alias("key"))
     counts = base.groupBy("key").agg(F.count("*").alias("n_same"))
     return base.join(counts, "key").select("id", "n_same")
 
 
-@query("category_map", "SELECT p_partkey AS id, CASE WHEN p_type LIKE '%STEEL%' THEN 'turbine' WHEN p_type LIKE 'STANDARD%' THEN 'mast' WHEN p_type LIKE 'SMALL%' THEN 'chimney' WHEN p_type LIKE 'LARGE%' THEN 'obstower' ELSE 'other' END AS cat, CASE WHEN p_type LIKE '%STEEL%' THEN round(p_size * 143) / 100 END AS height FROM part")
+_TYPES = "['tower', 'mast', 'communications_tower', 'chimney', 'water_tower', 'lighthouse', 'flagpole']"
+_TOWER_TYPES = "['observation', 'bell_tower', 'communication', 'lighting', 'cooling']"
+
+
+@query(
+    "category_map",
+    f"""WITH t AS (SELECT p_partkey AS id, p_size, list_extract({_TYPES}, (p_partkey % 7 + 1)::INT) AS kind, list_extract({_TOWER_TYPES}, (p_partkey % 5 + 1)::INT) AS tower, p_partkey % 11 = 0 AS wind FROM part),
+    c AS (SELECT *, CASE WHEN wind THEN 'turbine' WHEN kind = 'tower' THEN CASE tower WHEN 'observation' THEN 'obstower' WHEN 'bell_tower' THEN 'belltower' WHEN 'communication' THEN 'mast' ELSE 'obstower' END
+     WHEN kind IN ('mast', 'communications_tower') THEN 'mast' WHEN kind = 'chimney' THEN 'chimney' WHEN kind = 'water_tower' THEN 'watertower' WHEN kind = 'lighthouse' THEN 'lighthouse' END AS cat FROM t WHERE tower <> 'lighting')
+    SELECT id, cat, CASE WHEN id % 2 = 0 THEN p_size * 1.0::DOUBLE WHEN cat = 'turbine' AND p_size > 0 THEN round((p_size + 0.3::DOUBLE) * 1.43::DOUBLE, 1) END AS height FROM c WHERE cat IS NOT NULL""",
+)
 def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("p_type")
-    cat = F.when(kind.contains("STEEL"), "turbine").when(kind.startswith("STANDARD"), "mast").when(kind.startswith("SMALL"), "chimney").when(kind.startswith("LARGE"), "obstower").otherwise("other")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cat.alias("cat"), F.when(cat == "turbine", F.round((F.col("p_size") * 143).cast("double")) / 100).alias("height"))
+    """Categories and heights from an object's tags: lighting towers go, a turbine's hub stands for its missing height."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    tags = {
+        "man_made": pick(("tower", "mast", "communications_tower", "chimney", "water_tower", "lighthouse", "flagpole"), 7), "tower:type": pick(("observation", "bell_tower", "communication", "lighting", "cooling"), 5),
+        "generator:source": F.when(k % 11 == 0, "wind"), "height": F.when(k % 2 == 0, F.concat(size, F.lit(" m"))), "height:hub": F.when(F.col("p_size") > 0, F.concat(size, F.lit(".3"))),
+    }
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.create_map(*(x for n, v in tags.items() for x in (F.lit(n), v))).alias("tags"))
+    return registers.categorised(rows).select("id", "cat", F.round("height", 2).alias("height"))
 
 
 @query("histogram_topk", "SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 8")
@@ -145,11 +162,17 @@ def lang_explode_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(F.array("lang", "source")).alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("name_ranking", "SELECT nat AS nation, name FROM (SELECT s_nationkey AS nat, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 <> 0, s_acctbal < 0, s_suppkey) AS k FROM supplier) WHERE k = 1")
+@query(
+    "name_ranking",
+    """WITH n AS (SELECT s_nationkey AS nat, s_name AS name, s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN '1' END AS dom, CASE WHEN s_acctbal > 0 THEN '1' ELSE '2' END AS off, CASE WHEN s_suppkey % 2 = 0 THEN 'fin' ELSE 'swe' END AS lang FROM supplier)
+    SELECT nat AS nation, string_agg(name, '|' ORDER BY coalesce(dom <> '1', true), off <> '1', lang <> 'fin', k) AS names FROM n GROUP BY 1""",
+)
 def name_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preferred name of each group, by a key of preferences."""
-    order = F.struct((F.col("s_suppkey") % 3 != 0).alias("a"), (F.col("s_acctbal") < 0).alias("b"), "s_suppkey")
-    return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min_by("s_name", order).alias("name"))
+    """The names of a place in the order of preference: dominant, official, Finnish, as they came."""
+    k = F.col("s_suppkey")
+    name = F.struct(k.alias("i"), F.col("s_name").alias("n"), F.when(k % 2 == 0, "fin").otherwise("swe").alias("lang"), F.when(F.col("s_acctbal") > 0, "1").otherwise("2").alias("off"), F.when(k % 3 == 0, "1").alias("dom"))
+    held = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(name)).alias("names"))
+    return held.select("nation", F.array_join(F.transform(registers.ranked(F.col("names")), lambda x: x["n"]), "|").alias("names"))
 
 
 @query("union_missing_columns", "SELECT s_suppkey AS id, 'supplier' AS src, s_acctbal AS height_m, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, 'customer', NULL, c_mktsegment FROM customer")
@@ -232,7 +255,18 @@ def farm_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.join(spots, ["lat", "lon"]).join(farms.withColumnRenamed("id", "spot"), "spot").select("id", "farm")
 
 
-@query("label_budget")
+_TURN = "((x - n.b + 180) % 360 + 360) % 360 - 180"
+
+
+@query(
+    "label_budget",
+    f"""WITH RECURSIVE base AS ({GEO_BASE}), n AS (SELECT nation AS observer, id, (id * 37 % 360)::DOUBLE AS b, height_m AS size, row_number() OVER (PARTITION BY nation ORDER BY height_m DESC, id) AS k FROM base),
+    f AS (SELECT observer, 0::BIGINT AS k, CAST([] AS DOUBLE[]) AS kept, NULL::BIGINT AS id, true AS crammed FROM (SELECT DISTINCT observer FROM n) UNION ALL
+      SELECT observer, k, CASE WHEN crammed THEN kept ELSE list_append(kept, b) END, id, crammed FROM (
+        SELECT *, len(list_filter(list_concat(list_filter(near, lambda x: x <= 0), list_transform(list_filter(near, lambda x: x >= 0), lambda x: x - 10)), lambda lo: len(list_filter(near, lambda a: a >= lo AND a <= lo + 10)) >= 3)) > 0 AS crammed FROM (
+          SELECT n.observer, n.k, n.id, n.b, f.kept, list_filter([{_TURN} for x in f.kept], lambda x: abs(x) <= 10) AS near FROM f JOIN n ON n.observer = f.observer AND n.k = f.k + 1)))
+    SELECT n.observer, n.id, n.b AS bearing, n.size FROM f JOIN n ON n.observer = f.observer AND n.id = f.id WHERE NOT f.crammed""",
+)
 def label_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most three labels in any ten degrees around each of a few observers."""
     seen = views.geo_base(spark, sf_dir).select(F.col("nation").alias("observer"), "id", F.pmod(F.col("id") * 37, F.lit(360)).cast("double").alias("bearing"), F.col("height_m").alias("size"))

@@ -60,14 +60,12 @@ _R = f"{geo.effective_radius()!r}::DOUBLE"
     "elevation_angle",
     f"""WITH o AS (SELECT o_orderkey AS id, 1000.0::DOUBLE + o_custkey * 37 AS d, o_totalprice / 400 AS h FROM orders),
     e AS (SELECT *, {", ".join(f"degrees(atan2(h - 22.3::DOUBLE - d * d / (2 * {geo.effective_radius(k)!r}::DOUBLE), d)) AS a{i}" for i, k in enumerate((0.07, 0.13, 0.25)))} FROM o)
-    SELECT id, round(d * d / (2 * {_R}), 4) AS fall, round(a1, 6) AS angle, CASE WHEN round(a0, 6) > 0.05 THEN 'solid' WHEN round(a1, 6) > 0.05 THEN 'normal' WHEN round(a2, 6) > 0.05 THEN 'marginal' ELSE 'mirage' END AS state FROM e""",
+    SELECT id, round(d * d / (2 * {_R}), 4) AS fall, round(a1, 6) AS angle, CASE WHEN a0 > 0.05::DOUBLE THEN 'solid' WHEN a1 > 0.05::DOUBLE THEN 'normal' WHEN a2 > 0.05::DOUBLE THEN 'marginal' ELSE 'mirage' END AS state FROM e""",
 )
 def elevation_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.lit(1000.0) + F.col("o_custkey") * 37).alias("d"), (F.col("o_totalprice") / 400).alias("h"))
     eye, d, h = F.lit(22.3), F.col("d"), F.col("h")
-    seen = [F.round(geo.elevation(h, eye, d, k), 6) for k in (0.07, 0.13, 0.25)]
-    state = F.when(seen[0] > 0.05, "solid").when(seen[1] > 0.05, "normal").when(seen[2] > 0.05, "marginal").otherwise("mirage")
-    return o.select("id", F.round(geo.drop(d), 4).alias("fall"), seen[1].alias("angle"), state.alias("state"))
+    return o.select("id", F.round(geo.drop(d), 4).alias("fall"), F.round(geo.elevation(h, eye, d), 6).alias("angle"), geo.refraction_state(h, eye, d, F.lit(0.05)).alias("state"))
 
 
 @query(

@@ -54,14 +54,19 @@ def _tag(name: str):
     return F.try_element_at("tags", F.lit(name))
 
 
-def structures(spark: SparkSession, path: str) -> DataFrame:
-    """Tall structures of a map extract. Lighting towers are left out; a turbine's hub stands for its missing height."""
+def categorised(rows: DataFrame) -> DataFrame:
+    """rows with tags, of structures alone, with cat and height: lighting towers are left out, wind counts before the kind, and a turbine's hub stands for its missing height."""
     kind, tower = _tag("man_made"), F.coalesce(_tag("tower:type"), F.lit(""))
     cat = F.when(_tag("generator:source") == "wind", "turbine").when(kind == "tower", F.coalesce(_mapped(tower, TOWERS), F.lit("obstower"))).otherwise(_mapped(kind, MAN_MADE))
-    rows = _elements(spark, path).where(tower != "lighting").withColumn("cat", cat).where("cat IS NOT NULL")
+    found = rows.where(tower != "lighting").withColumn("cat", cat).where("cat IS NOT NULL")
     hub = F.nullif(text.leading_number(_tag("height:hub")), F.lit(0.0))
-    height = F.coalesce(text.leading_number(_tag("height")), F.when(F.col("cat") == "turbine", F.round(hub * HUB_TO_TIP, 1)))
-    return rows.select("cat", "lat", "lon", height.alias("height_m"), F.when(height != 0, "osm").alias("src_h"), _tag("name").alias("name"), F.lit("osm").alias("src_pos"))
+    return found.withColumn("height", F.coalesce(text.leading_number(_tag("height")), F.when(F.col("cat") == "turbine", F.round(hub * HUB_TO_TIP, 1))))
+
+
+def structures(spark: SparkSession, path: str) -> DataFrame:
+    """Tall structures of a map extract, see categorised."""
+    height = F.col("height")
+    return categorised(_elements(spark, path)).select("cat", "lat", "lon", height.alias("height_m"), F.when(height != 0, "osm").alias("src_h"), _tag("name").alias("name"), F.lit("osm").alias("src_pos"))
 
 
 def buildings(spark: SparkSession, path: str) -> DataFrame:
@@ -107,6 +112,12 @@ def with_focal_heights(objects: DataFrame) -> DataFrame:
     return filled.withColumn("src_h", F.when(F.col("fills"), "vayla").otherwise(F.col("src_h"))).drop("fills")
 
 
+def ranked(names: Column) -> Column:
+    """Names (n, lang, off, dom) in the order of preference: locally dominant, official, Finnish, as they came."""
+    rank = lambda a: F.struct(~a["dom"].eqNullSafe("1"), ~a["off"].eqNullSafe("1"), ~a["lang"].eqNullSafe("fin"))
+    return F.transform(F.array_sort(F.transform(names, lambda a, i: F.struct(rank(a).alias("rank"), i.alias("i"), a.alias("name")))), lambda o: o["name"])
+
+
 def places(spark: SparkSession, path: str) -> DataFrame:
     """The gazetteer: one row for each place of the chosen types with a position and a name; the first name counts most."""
     raw = spark.read.text(path, lineSep=PLACE_END).withColumnRenamed("value", "x")
@@ -114,13 +125,12 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.where(x.contains(PLACE_TYPES[0]) | x.contains(PLACE_TYPES[1])).where(field("placeType").isin(*PLACE_TYPES))
     parts = F.regexp_extract_all(x, F.lit(r"(?s)<(?:\w+:)?Name(?:\s[^>]*)?>(.*?)</(?:\w+:)?Name>"), F.lit(1))
     name = lambda p: F.struct(text.tag(p, "spelling").alias("n"), text.tag(p, "language").alias("lang"), text.tag(p, "languageOfficiality").alias("off"), text.tag(p, "languageDominance").alias("dom"))
-    rank = lambda a: F.struct(~a["dom"].eqNullSafe("1"), ~a["off"].eqNullSafe("1"), ~a["lang"].eqNullSafe("fin"))
-    ordered = F.array_sort(F.transform(F.transform(parts, name), lambda a, i: F.struct(rank(a).alias("rank"), i.alias("i"), a.alias("name"))))
+    ordered = ranked(F.filter(F.transform(parts, name), lambda a: a["n"].isNotNull()))
     at = F.split(F.trim(field("pos")), r"\s+")
     rows = raw.select(
         field("placeId").try_cast("long").alias("id"), field("placeType").alias("typ"), F.get(at, 0).try_cast("double").alias("x"), F.get(at, 1).try_cast("double").alias("y"),
         field("placeElevation").try_cast("double").alias("ele"), field("municipality").alias("muni"), field("region").alias("region"),
-        F.coalesce(field("scaleRelevance").try_cast("int"), F.lit(0)).alias("sr"), F.transform(F.filter(ordered, lambda o: o["name"]["n"].isNotNull()), lambda o: o["name"]).alias("names"),
+        F.coalesce(field("scaleRelevance").try_cast("int"), F.lit(0)).alias("sr"), ordered.alias("names"),
     )
     return rows.where("x IS NOT NULL AND y IS NOT NULL AND size(names) > 0").withColumn("name", F.col("names")[0]["n"]).withColumn("kind", text.kind_of(F.col("name")))
 

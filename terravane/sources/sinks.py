@@ -19,11 +19,6 @@ def tiers(objects: DataFrame, path: str, tier: str = "tier") -> None:
     objects.write.partitionBy(tier).parquet(path)
 
 
-def packed_profile(profile: DataFrame, ray: str = "bin") -> DataFrame:
-    """(ray, centidegrees): angles as 16-bit hundredths."""
-    return profile.select(ray, F.rint(F.col("angle") * 100).cast("short").alias("centidegrees"))
-
-
 def resume(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The work whose key has no result yet; append its results to the folder that done is read from."""
     return work.join(done.select(key), key, "left_anti")
