@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# The point tables by category, and the heights' tables with the column that names the point.
+POINT_TABLES = {"masto": "mast", "savupiippu": "chimney", "tuulivoimala": "turbine", "vesitorni": "watertower", "nakotorni": "obstower", "kellotapuli": "belltower"}
+HEIGHT_TABLES = {"mast": ("mastonkorkeus", "mastoviittaus"), "chimney": ("savupiipunkorkeus", "savupiippuviittaus")}
 # Envelope bytes of a GeoPackage point by code, point types, the height that means none.
 ENVELOPES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 POINTS, WITH_Z, NO_Z = (1, 1001, 2001, 3001), (1001, 3001), -999.999
@@ -94,7 +97,7 @@ def geopackage(spark: SparkSession, path: str, table: str, rows: int = 1_000_000
     return spark.read.format("gpkg").option("path", path).option("table", table).option("rowsPerPartition", str(rows)).load()
 
 
-def topographic(spark: SparkSession, path: str, points: dict[str, str], heights: dict[str, tuple[str, str]]) -> DataFrame:
+def topographic(spark: SparkSession, path: str, points: dict[str, str] = POINT_TABLES, heights: dict[str, tuple[str, str]] = HEIGHT_TABLES) -> DataFrame:
     """Point tables (name to category) of a GeoPackage with the heights (category to table and key column) by signed id.
 
     Millimetres become metres; an accuracy of zero is unknown; of several heights of an id the last counts.

@@ -17,6 +17,8 @@ HUB_TO_TIP = 1.43
 TOWER_MARKS = ("Merimajakka", "Tunnusmajakka", "Reunamerkki")
 TAIL_MARKS = ("Linjamerkki", "Sektoriloisto", "Tutkamerkki", "Apuloisto", "Suuntaloisto")
 TAIL_LEAST_M = 20.0
+# Elements that an extract of structures or of buildings has at least, and its greatest age in days.
+LEAST_STRUCTURES, LEAST_BUILDINGS, MOST_DAYS = 1000, 200, 45.0
 WATER, LIGHT_AGL, MARK_AGL = "Korkeus vedestä", "Korkeus maasta", "Korkeus maasta (m)"
 PLACE_TYPES = ("1010210", "1010205")
 PLACE_END = "</gml:featureMember>"
@@ -50,6 +52,17 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(place("lat").alias("lat"), place("lon").alias("lon"), F.coalesce("e.tags", F.create_map().cast("map<string, string>")).alias("tags")).dropna(subset=["lat", "lon"])
 
 
+def checked(spark: SparkSession, path: str, least: int = 0, most_days: float | None = None) -> None:
+    """Raise if a map extract has fewer elements than expected, or is older than so many days; one that doesn't say its age counts as old."""
+    found = _elements(spark, path).count()
+    if found < least:
+        raise ValueError(f"{path}: {found} elements with a position, at least {least} are expected")
+    if most_days is not None:
+        age = snapshot_age(spark, path)
+        if age is None or age > most_days:
+            raise ValueError(f"{path}: {'of unknown age' if age is None else f'{age:.1f} days old'}, at most {most_days} are allowed")
+
+
 def _tag(name: str):
     return F.try_element_at("tags", F.lit(name))
 
@@ -63,14 +76,16 @@ def categorised(rows: DataFrame) -> DataFrame:
     return found.withColumn("height", F.coalesce(text.leading_number(_tag("height")), F.when(F.col("cat") == "turbine", F.round(hub * HUB_TO_TIP, 1))))
 
 
-def structures(spark: SparkSession, path: str) -> DataFrame:
-    """Tall structures of a map extract, see categorised."""
+def structures(spark: SparkSession, path: str, least: int = 0, most_days: float | None = None) -> DataFrame:
+    """Tall structures of a map extract, see categorised; the extract is checked first."""
+    checked(spark, path, least, most_days)
     height = F.col("height")
     return categorised(_elements(spark, path)).select("cat", "lat", "lon", height.alias("height_m"), F.when(height != 0, "osm").alias("src_h"), _tag("name").alias("name"), F.lit("osm").alias("src_pos"))
 
 
-def buildings(spark: SparkSession, path: str) -> DataFrame:
-    """Buildings of at least 25 m or 8 levels."""
+def buildings(spark: SparkSession, path: str, least: int = 0, most_days: float | None = None) -> DataFrame:
+    """Buildings of at least 25 m or 8 levels; the extract is checked first."""
+    checked(spark, path, least, most_days)
     height = text.leading_number(F.coalesce(F.nullif(_tag("height"), F.lit("")), _tag("building:height")))
     levels = text.leading_number(_tag("building:levels"))
     rows = _elements(spark, path).where(_tag("building").isNotNull()).where(F.coalesce(height >= 25, F.lit(False)) | F.coalesce(levels >= 8, F.lit(False)))
@@ -87,9 +102,33 @@ SEA_MARKS = """id bigint, turvalaitenumero bigint, turvalaitetyyppifi string, ni
  paivatunnusten_tiedot string, toimintatilakoodi int, omistajafi string, _collection string, _lonlat array<double>"""
 
 
+FEATURES = """features array<struct<properties: struct<id: bigint, turvalaitenumero: bigint, turvalaitetyyppifi: string, nimifi: string, nimisv: string,
+ loistojen_tiedot: string, paivatunnusten_tiedot: string, toimintatilakoodi: int, omistajafi: string>, geometry: struct<type: string, coordinates: string>>>"""
+
+
+def sea_mark_features(spark: SparkSession, collections: dict[str, str], kinds: tuple[str, ...] = TOWER_MARKS + TAIL_MARKS) -> DataFrame:
+    """Feature collections (name to path) as rows of SEA_MARKS: those of the kinds, at their point or the first of their points.
+
+    Features without a position are left out. In the order of collection and id, a missing id first.
+    """
+    found = None
+    for name, path in collections.items():
+        rows = spark.read.schema(FEATURES).json(path, multiLine=True).select(F.explode("features").alias("f")).where(F.col("f.properties.turvalaitetyyppifi").isin(*kinds))
+        # A point has two numbers, several points have lists of them.
+        one, many = F.from_json("f.geometry.coordinates", "array<double>"), F.from_json("f.geometry.coordinates", "array<array<double>>")
+        at = F.when(F.col("f.geometry.type") == "MultiPoint", F.get(many, 0)).otherwise(one)
+        rows = rows.select("f.properties.*", F.lit(name).alias("_collection"), at.alias("_lonlat")).where(F.size("_lonlat") >= 2)
+        found = rows if found is None else found.unionByName(rows)
+    return found.orderBy("_collection", F.coalesce("id", F.lit(0)))
+
+
 def sea_marks(spark: SparkSession, path: str, least: float = TAIL_LEAST_M) -> DataFrame:
-    """Sea marks that are towers: some kinds always, others from a height above their own ground."""
-    rows = spark.read.schema(SEA_MARKS).json(path)
+    """Sea marks of a file of SEA_MARKS that are towers, see tower_marks; one for each place (fuse.collapse)."""
+    return fuse.collapse(tower_marks(spark.read.schema(SEA_MARKS).json(path), least))
+
+
+def tower_marks(rows: DataFrame, least: float = TAIL_LEAST_M) -> DataFrame:
+    """Sea marks (SEA_MARKS) that are towers: some kinds always, others from a height above their own ground."""
     light, day = text.key_values(F.col("loistojen_tiedot")), text.key_values(F.col("paivatunnusten_tiedot"))
     number = lambda m, k: text.strict_number(F.try_element_at(m, F.lit(k)))
     kind = F.col("turvalaitetyyppifi")

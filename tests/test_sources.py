@@ -8,7 +8,10 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from terravane.operators import raster
 from terravane.sources import binary, registers, sinks
 
 
@@ -85,10 +88,12 @@ def test_places_and_hills(spark, tmp_path):
     df = registers.places(spark, str(path))
     got = {r["id"]: (r["name"], r["kind"], r["x"], r["sr"]) for r in df.collect()}
     assert got == {1: ("Pohjanmäki", "mäki", 300000.0, 250000), 4: ("Nordberg", "berg", 5.0, 250000)}
-    summits = spark.createDataFrame([(1, 120.04, 110.0, 1.0, 2.0, 30.0, False, None)], "id long, top double, pt double, x double, y double, d double, open boolean, claimed long")
+    summits = spark.createDataFrame([(1, 120.04, 110.0, 1.0, 2.0, 30.0, False, True, None)], "id long, top double, pt double, x double, y double, d double, open boolean, wide boolean, claimed long")
     out = {r["id"]: r for r in registers.hills(registers.selected(df, summits), summits).collect()}
     assert (out[1]["top_m"], out[1]["src_top"], out[1]["gain_m"], out[1]["x"]) == (120.0, "dem10", 10.0, 1.0)
-    assert (out[4]["top_m"], out[4]["src_top"]) == (100.0, "nimisto")
+    assert (out[1]["cat"], out[1]["wide"], out[1]["name_lat"] is not None) == ("hill", True, True)
+    assert (out[4]["top_m"], out[4]["src_top"], out[4]["cat"], out[4]["name_lat"]) == (100.0, "nimisto", "hillgroup", None)
+    assert [r["id"] for r in registers.hills(registers.selected(df, summits), summits, least_top=110.0).collect()] == [1]
 
 
 def tiff(v, packed):
@@ -126,3 +131,107 @@ def test_sinks(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "c/objects")).collect()
     assert [r["id"] for r in back] == [1, 2] and back[0]["top_m"] == 15.0
     assert spark.read.json(str(tmp_path / "c/header")).first()["n"] == 2
+
+
+def test_extracts_are_checked(spark, tmp_path):
+    path = tmp_path / "o.json"
+    path.write_text(json.dumps({"osm3s": {"timestamp_osm_base": "2020-01-01T00:00:00Z"}, "elements": [{"lat": 60.0, "lon": 25.0, "tags": {"man_made": "mast"}}]}))
+    assert registers.structures(spark, str(path), least=1).count() == 1
+    with pytest.raises(ValueError, match="at least 2"):
+        registers.structures(spark, str(path), least=2)
+    with pytest.raises(ValueError, match="days old"):
+        registers.buildings(spark, str(path), most_days=registers.MOST_DAYS)
+
+
+def test_sea_mark_features(spark, tmp_path):
+    def feature(i, kind, geometry):
+        return {"properties": {"id": i, "turvalaitetyyppifi": kind, "nimifi": "x"}, "geometry": geometry}
+
+    (tmp_path / "a.json").write_text(json.dumps({"features": [feature(7, "Merimajakka", {"type": "MultiPoint", "coordinates": [[21.0, 60.0], [1.0, 2.0]]}), feature(None, "Linjamerkki", {"type": "Point", "coordinates": [22.0, 61.0]}), feature(3, "Kummeli", {"type": "Point", "coordinates": [1, 2]})]}))
+    (tmp_path / "b.json").write_text(json.dumps({"features": [feature(1, "Merimajakka", {"type": "MultiPoint", "coordinates": []}), feature(2, "Merimajakka", None), feature(5, "Tutkamerkki", {"type": "Point", "coordinates": [23.0, 62.0, 4.0]})]}))
+    got = registers.sea_mark_features(spark, {"b": str(tmp_path / "b.json"), "a": str(tmp_path / "a.json")}).collect()
+    assert [(r["_collection"], r["id"], r["_lonlat"][:2]) for r in got] == [("a", None, [22.0, 61.0]), ("a", 7, [21.0, 60.0]), ("b", 5, [23.0, 62.0])]
+
+
+def test_stored_and_extended(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "id long, v long"
+    assert sinks.stored(spark, path, schema).count() == 0 and sinks.stored(spark, path, schema).columns == ["id", "v"]
+    seen = []
+
+    def double(work):
+        seen.append(sorted(r["id"] for r in work.collect()))
+        return work.selectExpr("id", "2 * id AS v")
+
+    sinks.extend(spark.range(3), path, "id", double, schema)
+    out = sinks.extend(spark.range(5), path, "id", double, schema)
+    assert seen == [[0, 1, 2], [3, 4]] and sorted(map(tuple, out.collect())) == [(i, 2 * i) for i in range(5)]
+
+
+def test_hills_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", None), (1, "a", 4.5)], "id long, name string, snap_m double")
+    report = sinks.hills(rows, str(tmp_path / "h"), 100_000)
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "h/hills")).collect()]
+    assert lines == ['{"id":1,"name":"a","snap_m":4.5}', '{"id":2,"name":"b"}']
+    assert report["rows"] == 2 and report["bytes"] == sum(len(x) + 1 for x in lines) and report["compressed"] > 0
+    assert spark.read.json(str(tmp_path / "h/header")).first()["min_scale"] == 100_000
+
+
+def test_blocks_and_windows(spark, tmp_path):
+    cells = spark.range(4096).selectExpr("id DIV 64 AS row", "id % 64 AS col", "CASE WHEN id = 70 THEN -9999.0D ELSE CAST(id AS double) END AS v")
+    path = str(tmp_path / "r")
+    sinks.blocks(cells, path, 16)
+    window = sinks.window(spark, path, (1, 2), (5, 20), 16)
+    got = {(r["row"], r["col"]): r["v"] for r in window.collect()}
+    assert got == {(r, c): None if r * 64 + c == 70 else float(r * 64 + c) for r in (1, 2) for c in range(5, 21)}
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "brow" in filters and "bcol" in filters
+
+
+def test_tile_files_and_index(spark, tmp_path):
+    rows = [(10, 3, 4, 2, 2, False, [1.0, 2.0, 3.0, None]), (20, 0, 0, 2, 2, False, [9.06, 0.0, 0.0, 0.0])]
+    files = raster.encode_tiles(spark.createDataFrame(rows, "cell int, tx int, ty int, width int, height int, pooled boolean, v array<double>"))
+    path = str(tmp_path / "t")
+    sinks.tile_files(files, path)
+    sinks.tile_files(files, path)
+    held = spark.read.parquet(path)
+    assert held.count() == 2
+    headers = raster.decode_tiles(held, header_only=True).join(held.select("cell", "tx", "ty", F.octet_length("content").alias("bytes")), ["cell", "tx", "ty"])
+    sinks.write_index(raster.tile_index(headers), str(tmp_path / "i"))
+    got = {(r["cell"], r["tx"], r["ty"]): (r["least_m"], r["most_m"]) for r in sinks.read_index(spark, str(tmp_path / "i")).collect()}
+    assert got == {(10, 3, 4): (1.0, 3.0), (20, 0, 0): (0.0, 9.0)}
+    (tmp_path / "page.html").write_text("<html>not here</html>")
+    with pytest.raises(ValueError, match="not a tile index"):
+        sinks.read_index(spark, str(tmp_path / "page.html"))
+
+
+def tiled_tiff(v, tile):
+    """A big-endian GeoTIFF of deflated tiles; edge tiles are padded."""
+    h, w = v.shape
+    across, down = -(-w // tile), -(-h // tile)
+    padded = np.zeros((down * tile, across * tile))
+    padded[:h, :w] = v
+    parts = [zlib.compress(padded[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile].astype(">f4").tobytes()) for i in range(down) for j in range(across)]
+    offsets, at = [], 8
+    for p in parts:
+        offsets.append(at)
+        at += len(p)
+    at += at % 2
+    entries = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (32,)), (259, 3, (8,)), (322, 3, (tile,)), (323, 3, (tile,)), (324, 4, tuple(offsets)), (325, 4, tuple(map(len, parts))), (339, 3, (3,)), (33550, 12, (10.0, 10.0, 0.0)), (33922, 12, (0.0, 0.0, 0.0, 5.0, 6.0, 0.0))]
+    base, rows, extra = at + 2 + 12 * len(entries) + 4, b"", b""
+    for tag, kind, value in entries:
+        data = struct.pack(f">{len(value)}{'H' if kind == 3 else 'I' if kind == 4 else 'd'}", *value)
+        if len(data) <= 4:
+            rows += struct.pack(">HHI", tag, kind, len(value)) + data.ljust(4, b"\0")
+        else:
+            rows += struct.pack(">HHII", tag, kind, len(value), base + len(extra))
+            extra += data
+    body = b"".join(parts)
+    return b"MM\0*" + struct.pack(">I", at) + body + b"\0" * (at - 8 - len(body)) + struct.pack(">H", len(entries)) + rows + b"\0" * 4 + extra
+
+
+def test_tiled_big_endian_geotiff():
+    v = np.arange(5 * 7, dtype=float).reshape(5, 7)
+    got = binary.geotiff(tiled_tiff(v, 4))
+    assert (got["w"], got["h"], got["px"], got["ox"], got["oy"], got["nodata"]) == (7, 5, 10.0, 5.0, 6.0, -9999.0)
+    assert got["v"].tolist() == v.ravel().tolist()
