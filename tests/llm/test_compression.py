@@ -44,3 +44,30 @@ def test_logistic():
     x = rng.standard_normal(4000)
     y = rng.random(4000) < 1 / (1 + np.exp(-(2 * x - 1)))
     assert np.allclose(compression.logistic(x, y.astype(float)), (2, -1), atol=0.25)
+
+
+def test_scores_as_compressed_plainly(spark):
+    """The query's scores against zstandard called on each piece with the model's two dictionaries."""
+    import zstandard
+
+    from terravane.llm.queries import op7_compression
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    train = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in known if fold(r["doc_id"]) != 1], "doc_id long, quality int")
+    model = compression.fit(docs, train)
+
+    def size(data, dictionary):
+        pressed = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(pressed.compress(data[i : i + compression.PIECE])) for i in range(0, len(data), compression.PIECE))
+
+    got = {r["doc_id"]: r for r in op7_compression(spark, folder).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        good, bad = size(data, model.good), size(data, model.bad)
+        x = (bad - good) / max(1, bad + good)
+        score = 1 / (1 + np.exp(-(model.slope * x + model.intercept)))
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=2e-3)
+        assert got[r["doc_id"]]["held_out"] == (fold(r["doc_id"]) == 1) and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5)

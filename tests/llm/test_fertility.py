@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 
 import public_tokenizers
@@ -60,3 +61,53 @@ def test_edges(spark):
 @pytest.mark.parametrize(("text", "script"), [("abc", "Latin"), ("привет", "Cyrillic"), ("123", "Other"), ("漢字 a", "Han")])
 def test_script(text, script):
     assert fertility.script_of(text) == script
+
+
+def test_verdicts_as_counted_plainly(spark):
+    """All figures, bands and verdicts of a table, by the libraries and plain arithmetic over sorted lists."""
+    import sentencepiece
+    import tiktoken
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text").collect()
+    noise = " ".join(f"{i * 7919 % 99991:x}\U0001f9ff" for i in range(60))
+    docs = [(r["doc_id"], r["lang"], r["text"], 0) for r in rows] + [(10**6, rows[0]["lang"], noise, 0), (10**6 + 1, "zz", None, 0)]
+    bpe = tiktoken.Encoding("t", pat_str=PATHS[1], mergeable_ranks=fertility.bpe.ranks(PATHS[0]), special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PATHS[2])
+    figures, passed = {}, {}
+    for i, lang, text, _ in docs:
+        n, *_, repeated = base(text)
+        passed[i] = not (n < 20 or 100 * repeated > 30 * n)
+        if n:
+            ids, parts = bpe.encode_ordinary(text), pieces.encode(text)
+            shares = [ids.count(t) / len(ids) for t in set(ids)]
+            figures[i] = (len(text) / len(ids), len(text) / len(parts), sum(pieces.is_byte(p) for p in parts) / len(parts), -sum(p * math.log2(p) for p in shares))
+    groups = {}
+    for i, lang, text, _ in docs:
+        if passed[i]:
+            for g in (("lang", lang), ("script", fertility.script_of(text))):
+                groups.setdefault(g, []).append(i)
+    bands = {}
+    for g, members in groups.items():
+        if g[1] is None or len(members) < fertility.LEAST_ROWS:
+            continue
+        bands[g] = []
+        for k, rule in enumerate(fertility.BANDS.values()):
+            x = sorted(figures[i][k] for i in members)
+            low, middle, high = (x[max(0, math.ceil(q * len(x)) - 1)] for q in (0.25, 0.5, 0.75))
+            half = max(rule.spreads * (high - low) / 1.349, rule.least_share * abs(middle), rule.least)
+            bands[g].append((middle - half if rule.below else -math.inf, middle + half if rule.above else math.inf))
+    found = measured(spark, docs)
+    got = {r["doc_id"]: r for r in fertility.judge(found, fertility.bands(found)).collect()}
+    assert any(g[0] == "lang" for g in bands) and any(g[0] == "script" for g in bands)
+    for i, lang, text, _ in docs:
+        if i in figures:
+            assert [got[i][m] for m in fertility.BANDS] == pytest.approx(list(figures[i]))
+        band = bands.get(("lang", lang), bands.get(("script", fertility.script_of(text or "")), []))
+        inside = all(a <= f <= b for f, (a, b) in zip(figures.get(i, ()), band, strict=False))
+        assert (got[i]["base_failed"], got[i]["kept"]) == (not passed[i], passed[i] and inside), i
+
+
+def test_columns_named_as_the_bands(spark):
+    found = measured(spark, [(1, "en", "word " * 30, 0)]).selectExpr("*", "1 AS lang_band", "2 AS script_band", "3 AS lang_limits")
+    row = fertility.judge(found, fertility.bands(found)).first()
+    assert (row["lang_band"], row["script_band"], row["lang_limits"]) == (1, 2, 3)

@@ -120,3 +120,36 @@ def test_run(spark, tmp_path, empty):
     assert out.columns == ["doc_id", "source", "lang", "token_ids", "n_tokens"]
     assert out.count() == 0 if empty else 0 < out.count() < 3 * docs.count()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_by_brute_force(spark):
+    """Rules, pseudonyms and tokens of the stages, each text by itself; near-duplicates and mixing have tests of their own."""
+    import public_tokenizers
+    import tiktoken
+
+    from terravane.llm import bpe, pseudonyms
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = docs.collect()
+    kept = corpus_pipeline.quality(spark, docs, FOLDER)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    for r in kept.collect():
+        words = (r["text"] or "").split()
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)} if len(words) < 2000 else ()
+        assert len(words) >= 20 and 100 * len(covered) <= 30 * len(words)
+    rewritten = {r["doc_id"]: r for r in corpus_pipeline.pii(spark, docs, FOLDER).collect()}
+    assert len(rewritten) == len(rows)
+    plain = pseudonyms.Pseudonyms(corpus_pipeline.DEMONSTRATION_KEY)
+    for r in rows:
+        new = None if r["text"] is None else plain.rewrite(r["text"])[0]
+        assert (rewritten[r["doc_id"]]["text"], rewritten[r["doc_id"]]["n_chars"]) == (new, None if new is None else len(new))
+    path = public_tokenizers.path(corpus_pipeline.BPE)
+    want = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    ids = {r["doc_id"]: (r["token_ids"], r["n_tokens"], r["source"], r["lang"]) for r in corpus_pipeline.encode(spark, docs, FOLDER).collect()}
+    assert ids == {r["doc_id"]: (t := want.encode_ordinary(r["text"] or ""), len(t), r["source"], r["lang"]) for r in rows}
+
+
+def test_columns_named_as_the_helpers(spark):
+    rows = spark.createDataFrame([(1, "a b c", "x", 5, 6), (2, "d e f", "y", 7, 8)], "doc_id long, text string, own_text string, own_key int, spot int")
+    assert sorted(tuple(r) for r in simhash.representatives(rows).collect()) == [(1, "a b c", "x", 5, 6), (2, "d e f", "y", 7, 8)]

@@ -75,3 +75,26 @@ def test_table(spark):
     assert [r.text for r in got if r.doc_id in (2, 3)] == [None, ""]
     assert [len(r.spans) for r in got if r.doc_id == 4] == [1]
     assert P.pseudonymise(df.where("false"), KEY).count() == 0
+
+
+def test_query_is_undone_and_keeps_links(spark):
+    """Every text of the query with its pseudonyms put back is the old text; equal values have equal pseudonyms, different ones different."""
+    from terravane.llm import pseudonyms as P
+    from terravane.llm.queries import DEMONSTRATION_KEY, op5_pseudonyms
+
+    folder = "/root/testdata/sf0.01"
+    old = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    met, back = {}, {}
+    for r in op5_pseudonyms(spark, folder).collect():
+        text, new, shift, end, parts = old[r["doc_id"]], r["text"], 0, 0, []
+        assert r["n_values"] == len(r["spans"])
+        for s in r["spans"]:
+            value = text[s["start"] : s["start"] + s["length"]]
+            other = P.KINDS[s["kind"]](value, DEMONSTRATION_KEY)
+            at = s["start"] + shift
+            assert new[at : at + len(other)] == other and P.restore(other, s["kind"], DEMONSTRATION_KEY) == value
+            assert met.setdefault((s["kind"], value), other) == other and back.setdefault((s["kind"], other), value) == value
+            parts += [new[end:at], value]
+            shift, end = shift + len(other) - len(value), at + len(other)
+        assert text is None if new is None else "".join([*parts, new[end:]]) == text
+    assert len(met) > 50
