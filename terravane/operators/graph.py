@@ -12,7 +12,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that each node of the edges reaches.
 
     Every round a node takes the smallest label among its neighbours' and then that label's own label, so
-    chains shorten by doubling. Minima are pre-aggregated; labels are stored between rounds.
+    chains shorten by doubling. Minima are pre-aggregated; labels are stored between rounds. A node with very many
+    edges, and a label of very many nodes, are split by the skew-join rule: both sides of these joins are stored tables.
     """
     both = checkpointed(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct())
     labels = checkpointed(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))

@@ -44,7 +44,18 @@ def tm35_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
-@query("geodesic_round_trip")
+_F, _B = f"{geo.FLATTENING!r}::DOUBLE", f"{geo.A * (1 - geo.FLATTENING)!r}::DOUBLE"
+_ARC = "bb * sin(s) * (cos(2 * start + s) + bb / 4 * (cos(s) * (2 * cos(2 * start + s) ** 2 - 1) - bb / 6 * cos(2 * start + s) * (4 * sin(s) ** 2 - 3) * (4 * cos(2 * start + s) ** 2 - 3)))"
+_GEODESIC = f"""WITH base AS ({views.GEO_BASE}), a AS (SELECT id, lat, lon, radians((id * 7 % 360)::DOUBLE) AS az, atan((1 - {_F}) * tan(radians(lat))) AS u1, 1000.0::DOUBLE + id * 10 AS len FROM base),
+b AS (SELECT *, atan2(tan(u1), cos(az)) AS start, cos(u1) * sin(az) AS sa, 1 - (cos(u1) * sin(az)) ** 2 AS c2 FROM a), c AS (SELECT *, c2 * ({geo.A!r}::DOUBLE ** 2 - {_B} ** 2) / {_B} ** 2 AS u2 FROM b),
+d AS (SELECT *, 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))) AS aa, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) AS bb FROM c), s0 AS (SELECT *, len / ({_B} * aa) AS plain, len / ({_B} * aa) AS s FROM d),
+{", ".join(f"s{k} AS (SELECT * REPLACE (plain + {_ARC} AS s) FROM s{k - 1})" for k in range(1, 9))},
+e AS (SELECT *, sin(u1) * sin(s) - cos(u1) * cos(s) * cos(az) AS x, cos(2 * start + s) AS m, {_F} / 16 * c2 * (4 + {_F} * (4 - 3 * c2)) AS c FROM s8)
+SELECT id, round(degrees(atan2(sin(u1) * cos(s) + cos(u1) * sin(s) * cos(az), (1 - {_F}) * sqrt(sa * sa + x * x))), 6) AS lat,
+round(lon + degrees(atan2(sin(s) * sin(az), cos(u1) * cos(s) - sin(u1) * sin(s) * cos(az)) - (1 - c) * {_F} * sa * (s + c * sin(s) * (m + c * cos(s) * (2 * m * m - 1)))), 6) AS lon, 0.0::DOUBLE AS off_m FROM e"""
+
+
+@query("geodesic_round_trip", _GEODESIC)
 def geodesic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vincenty's direct and inverse solution; the differences are zero to the micrometre and the microdegree."""
     base = views.geo_base(spark, sf_dir).withColumn("bearing", F.pmod(F.col("id") * 7, F.lit(360)).cast("double")).withColumn("length", 1000.0 + F.col("id") * 10)
