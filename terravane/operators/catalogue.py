@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
-from terravane.operators import fuse, spatial
+from terravane.operators import fuse, raster, spatial
 from terravane.session import checkpointed
 from terravane.sources import registers
 
@@ -44,6 +46,23 @@ def position_key(lat: Column, lon: Column) -> Column:
     return F.format_string("%.6f,%.6f", lat, lon)
 
 
+def window_heights(points: DataFrame, cells: DataFrame, half: float = 32.0, cell: float = 1.0, unit: float = 0.1) -> DataFrame:
+    """(id, h): the highest value above ground in the square around points (id, e, n), in metres; null where no cell is known.
+
+    cells: (row, col, v) of a surface model in decimetres, counted from the grid's anchor. Points meet cells by blocks as wide as the square.
+    """
+    block = ceil(2 * half / cell)
+    low_r, high_r = (F.floor((raster.ANCHOR_NORTH - F.col("n") + x) / cell) for x in (-half, half))
+    low_c, high_c = (F.floor((F.col("e") + x) / cell) for x in (-half, half))
+    # Cells from the first that the square touches to the last that it reaches into.
+    own = points.select("id", low_r.alias("r0"), (high_r - 1).alias("r1"), low_c.alias("c0"), (high_c - 1).alias("c1"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block), F.floor(F.col(b) / block)))
+    around = own.withColumn("br", span("r0", "r1")).withColumn("bc", span("c0", "c1"))
+    placed = cells.where("v IS NOT NULL").select("row", "col", "v", F.floor(F.col("row") / block).alias("br"), F.floor(F.col("col") / block).alias("bc"))
+    met = around.join(placed, ["br", "bc"]).where(F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")))
+    return points.select("id").join(met.groupBy("id").agg((F.max("v") * unit).alias("h")), "id", "left")
+
+
 def lidar_samples(newest: DataFrame, older: DataFrame, key: str = "key", height: str = "h", least: float = LIDAR_LEAST_M) -> DataFrame:
     """(key, h): the newest survey's height where it tells one, else the older one's; null where neither does."""
     told = lambda df, c: df.groupBy(key).agg(F.max(F.when(F.col(height) >= least, F.col(height))).alias(c))

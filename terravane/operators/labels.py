@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.functions import geo
 from terravane.operators import spatial
 from terravane.operators.graph import components
 
@@ -56,6 +57,12 @@ def busiest(counts: DataFrame, observer: str = "observer", crowded: int = 5) ->
     return counts.groupBy(observer).agg(best, F.count_if(F.col("n") >= crowded).alias("crowded")).select(observer, "b.*", "crowded")
 
 
+def islands(shores: DataFrame, eye: float) -> DataFrame:
+    """(id, from, to): the bearings between which an island (id, centre, bearings, top, d) lies; those under the sea's line are left out."""
+    seen = shores.where(F.tan(F.radians(geo.elevation(F.col("top"), F.lit(eye), F.col("d")))) > geo.dip_tangent(F.lit(eye)))
+    return seen.select("id", geo.bearing_span(F.col("bearings"), F.col("centre")).alias("s")).select("id", "s.*")
+
+
 def budget(seen: DataFrame, observer: str = "observer", window: float = WINDOW_DEG, most: int = BUDGET) -> DataFrame:
     """The labels (observer, id, bearing, size) that fit: by size, unless a window already has its budget.
 

@@ -141,3 +141,15 @@ def packed(profile: DataFrame, bins: int = BINS) -> DataFrame:
     centi = profile.select("id", "bin", F.rint(F.col("angle") * 100).cast("short").alias("c"))
     held = centi.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("held"))
     return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at("held", b)).alias("profile"))
+
+
+#: Bins of the profiles that are kept for saved viewpoints.
+VIEWPOINT_BINS = 1440
+
+
+def viewpoints(observers: DataFrame, tiles: DataFrame, index: DataFrame, bins: int = VIEWPOINT_BINS, bands=BANDS, rings=RINGS) -> DataFrame:
+    """(id, hobs, profile) of saved viewpoints (id, lat, lon, eye, override): all are swept at once, each ray a group of its own."""
+    e, n = geo.to_grid(F.col("lat"), F.col("lon"))
+    seen = eyes(observers.withColumn("e", e).withColumn("n", n), tiles, rings)
+    steps = skylines(seen, bearings(seen, rings[-1][0], bins), tiles, index, bands, rings)
+    return seen.select("id", "hobs").join(packed(profile(steps), bins), "id")

@@ -137,7 +137,7 @@ def histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upper_median", "SELECT seg AS cat, max(v) AS median FROM (SELECT c_mktsegment AS seg, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) // 2 AS m FROM customer WHERE c_acctbal IS NOT NULL) WHERE k = m GROUP BY 1")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value at place n / 2 of the sorted ones: counts by value, then a running sum, so that no group is gathered."""
+    """The value at place n / 2 of the sorted ones: counts by value, then a running sum. A category's distinct values meet in one task, its rows don't."""
     counts = table(spark, sf_dir, "customer").where("c_acctbal IS NOT NULL").groupBy(F.col("c_mktsegment").alias("cat"), F.col("c_acctbal").alias("v")).agg(F.count("*").alias("c"))
     upto = Window.partitionBy("cat").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("half", F.floor(F.sum("c").over(Window.partitionBy("cat")) / 2))
@@ -157,9 +157,29 @@ def group_having_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.groupBy("i", "j").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1 OR first_id % 2 = 0")
 
 
-@query("lang_explode_count", "SELECT lang, count(*) AS n FROM (SELECT unnest([lang, source]) AS lang FROM documents) GROUP BY lang")
+@query("lang_explode_count", "SELECT lang, count(*) AS n FROM (SELECT unnest(list_concat([lang], CASE WHEN n_chars % 2 = 0 THEN [source] ELSE [] END)) AS lang FROM documents) GROUP BY lang")
 def lang_explode_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(F.array("lang", "source")).alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
+    """Languages of all names; places have one or two."""
+    one, two = F.struct(F.col("lang")), F.struct(F.col("source").alias("lang"))
+    names = F.when(F.col("n_chars") % 2 == 0, F.array(one, two)).otherwise(F.array(one))
+    return registers.languages(table(spark, sf_dir, "documents").select(names.alias("names")))
+
+
+@query("mark_order", "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_mktsegment, CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_custkey END, c_custkey)::BIGINT AS place FROM customer WHERE c_custkey <= 9 OR c_custkey % 9 <> 0")
+def mark_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks by collection and id, a missing id first: their places."""
+    rows = table(spark, sf_dir, "customer").where("c_custkey <= 9 OR c_custkey % 9 <> 0")
+    marks = rows.select("c_custkey", F.col("c_mktsegment").alias("_collection"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey")).alias("id"))
+    sorted_ = registers.in_order(marks)
+    order = Window.orderBy("_collection", F.coalesce("id", F.lit(0)), "c_custkey")
+    return sorted_.select(F.col("c_custkey").alias("id"), F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("sparse_records", """SELECT s_suppkey AS id, '{"id":' || s_suppkey || ',"name":"' || s_name || '"' || CASE WHEN s_suppkey % 2 = 0 THEN ',"rank":' || s_nationkey ELSE '' END || '}' AS record FROM supplier""")
+def sparse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without their nulls, as JSON."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("rank"))
+    return rows.select("id", sinks.sparse(["id", "name", "rank"]).alias("record"))
 
 
 @query(

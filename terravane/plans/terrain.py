@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
-from terravane.operators import raster, skyline, sweep, terrain
+from terravane.operators import catalogue, raster, sweep, terrain
 from terravane.plans import views
 from terravane.plans.registry import query
 from terravane.plans.views import LAND, OBSERVERS, PLACES, SMALL_CELLS, table
@@ -109,6 +109,18 @@ def ground_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.ground_in_window(points, windows, 10.0)
 
 
+@query(
+    "lidar_windows",
+    f"""WITH land AS ({LAND}), p AS {_POINTS}
+    SELECT p.id, max(v) * 0.1::DOUBLE AS h FROM p LEFT JOIN land ON row >= floor(({_N} - n - 40) / 10) AND row <= floor(({_N} - n + 40) / 10) - 1 AND col >= floor((e - 40) / 10) AND col <= floor((e + 40) / 10) - 1 AND v IS NOT NULL GROUP BY p.id""",
+)
+def lidar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest of the square around each point, in cells of 10 m; values are decimetres."""
+    k = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(k.alias("id"), (k * F.lit(37.25)).alias("e"), (F.lit(float(raster.ANCHOR_NORTH)) - (k * F.lit(53.5)) % 900).alias("n"))
+    return catalogue.window_heights(points, views.land(spark, sf_dir), 40.0, 10.0)
+
+
 def _search(radius: int, places: str) -> str:
     d = f"sqrt(((col + 0.5::DOUBLE) * 10 - x) ** 2 + (({_N} - (row + 0.5::DOUBLE) * 10) - y) ** 2)"
     return f"""SELECT id, round(v, 1) AS top, round((col + 0.5::DOUBLE) * 10, 1) AS x, round({_N} - (row + 0.5::DOUBLE) * 10, 1) AS y, round(dd, 1) AS d, dd > {radius} - 15 AS open

@@ -140,3 +140,18 @@ def packed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angles as 16-bit hundredths."""
     top = skyline.ray_top(views.rays(spark, sf_dir), "bin", "d", "h").withColumn("angle", F.col("top") / 10)
     return skyline.packed_angles(top).select("bin", F.col("centidegrees").cast("int").alias("centidegrees"))
+
+
+@query(
+    "island_spans",
+    f"""WITH c AS (SELECT s_suppkey AS id, s_suppkey * 3.6::DOUBLE AS centre, 1.0::DOUBLE + s_suppkey % 12 AS top, 10000.0::DOUBLE + s_suppkey * 211 AS d, [(s_suppkey * 3.6::DOUBLE + x + 360) % 360 for x in [-1.25, 0.5, 2.0]] AS b FROM supplier),
+    u AS (SELECT id, centre, [((x - centre + 180) % 360 + 360) % 360 - 180 for x in b] AS t FROM c WHERE (top - {_EYE}::DOUBLE - d * d / (2 * {_R})) / d > -sqrt(2 * {_EYE}::DOUBLE / {_R}))
+    SELECT id, round(centre + list_min(t), 6) AS low, round(centre + list_max(t), 6) AS high FROM u""",
+)
+def island_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of the islands that rise over the sea's line."""
+    k = F.col("s_suppkey")
+    centre = k * F.lit(3.6)
+    shores = table(spark, sf_dir, "supplier").select(k.alias("id"), centre.alias("centre"), F.array(*(F.pmod(centre + x, F.lit(360.0)) for x in (-1.25, 0.5, 2.0))).alias("bearings"), (F.lit(1.0) + k % 12).alias("top"), (F.lit(10_000.0) + k * 211).alias("d"))
+    found = labels.islands(shores, _EYE)
+    return found.select("id", F.round("from", 6).alias("low"), F.round("to", 6).alias("high"))

@@ -119,7 +119,7 @@ def sea_mark_features(spark: SparkSession, collections: dict[str, str], kinds: t
         at = F.when(F.col("f.geometry.type") == "MultiPoint", F.get(many, 0)).otherwise(one)
         rows = rows.select("f.properties.*", F.lit(name).alias("_collection"), at.alias("_lonlat")).where(F.size("_lonlat") >= 2)
         found = rows if found is None else found.unionByName(rows)
-    return found.orderBy("_collection", F.coalesce("id", F.lit(0)))
+    return in_order(found)
 
 
 def sea_marks(spark: SparkSession, path: str, least: float = TAIL_LEAST_M) -> DataFrame:
@@ -174,6 +174,16 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("x IS NOT NULL AND y IS NOT NULL AND size(names) > 0").withColumn("name", F.col("names")[0]["n"]).withColumn("kind", text.kind_of(F.col("name")))
 
 
+def languages(names: DataFrame, column: str = "names") -> DataFrame:
+    """(lang, n): how many names (n, lang, ...) of all places are in each language."""
+    return names.select(F.explode(column).alias("x")).groupBy(F.col("x.lang").alias("lang")).agg(F.count("*").alias("n"))
+
+
+def in_order(marks: DataFrame, collection: str = "_collection", key: str = "id") -> DataFrame:
+    """marks in the order of collection and id, a missing id as zero."""
+    return marks.orderBy(collection, F.coalesce(key, F.lit(0)))
+
+
 def notable(scale: Column, least: int) -> Column:
     """Whether a name is meant for maps of a scale, or coarser ones."""
     return F.coalesce(scale >= least, F.lit(False))

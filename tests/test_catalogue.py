@@ -165,3 +165,24 @@ def test_arrays_of_tiles(spark):
     pooled = v.reshape(4, 2, 4, 2).max(axis=(1, 3)) * 4
     pooled[3, 3] = 62 * 4
     assert got == {(x, y): pooled[2 * y : 2 * y + 2, 2 * x : 2 * x + 2].ravel().tolist() for x, y in ((0, 0), (0, 1), (1, 1))}
+
+
+def test_viewpoints(spark):
+    """A ridge to the north rises in the profiles of both viewpoints, and more in the nearer one's."""
+    rings, bands = ((1500, 10, 256),), ((1500, 10),)
+    where = spark.createDataFrame([(1, 60.0, 24.0, 2.0, None), (2, 60.002, 24.0, 2.0, None)], "id long, lat double, lon double, eye double, override double")
+    e, n = geo.to_grid(F.col("lat"), F.col("lon"))
+    spots = {r["id"]: (r["e"], r["n"]) for r in where.select("id", e.alias("e"), n.alias("n")).collect()}
+    tx, ty = int(spots[1][0] // 2560), int((terrain.ANCHOR_NORTH - spots[1][1]) // 2560)
+    rows = []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            north = terrain.ANCHOR_NORTH - ((ty + dy) * 256 + np.arange(256) + 0.5) * 10
+            v = np.repeat((np.abs(north - spots[1][1] - 900) < 20) * 400, 256)
+            rows.append((10, tx + dx, ty + dy, 256, 256, 4, v.tolist()))
+    tiles = spark.createDataFrame(rows, "cell int, tx long, ty long, width int, height int, scale int, v array<int>")
+    index = tiles.select("cell", "tx", "ty", (F.array_max("v") / F.col("scale")).alias("most_m"))
+    got = {r["id"]: (r["hobs"], r["profile"]) for r in sweep.viewpoints(where, tiles, index, 8, bands, rings).collect()}
+    assert got[1][0] == got[2][0] == 2.0
+    first, second = got[1][1], got[2][1]
+    assert first[0] > 550 and second[0] > first[0] and first[4] < 0 and second[4] < 0 and len(first) == 8
