@@ -39,7 +39,7 @@ REST = SLOTS - 1
 CONTEXTS = UNITS + 1 + CLASSES * SLOTS
 DIMENSION, CONTEXT = 16, 6
 #: Tokens of a step; noise samples that a step shares, and those that each token has within its class.
-BATCH, NOISE, INNER_NOISE, RATE = 2048, 32, 4, 0.1
+BATCH, NOISE, INNER_NOISE, RATE = 2048, 32, 2, 0.1
 #: Frequent words whose counts every task has; the others' counts are joined.
 FREQUENT = 1 << 18
 #: Texts of the first fit; rows of a chunk; models that are averaged in a task.
@@ -204,26 +204,29 @@ class Model:
 
     def log10(self, places: np.ndarray, before: np.ndarray, block: int = 512) -> np.ndarray:
         """The normalised log10 probability of each token's unit and, within a class, its slot after its context."""
-        out = np.empty(len(places))
+        out, predicted = np.empty(len(places)), np.empty((len(places), DIMENSION), np.float32)
         units, slots = parted(places)
         across, logits, ones = np.ascontiguousarray(self.vectors.T), np.empty((block, UNITS), np.float32), np.ones(UNITS, np.float32)
-        by_class, inner_biases = self.inner_vectors.reshape(CLASSES, SLOTS, DIMENSION), self.inner_biases.reshape(CLASSES, SLOTS)
         for i in range(0, len(units), block):
             own = units[i : i + block]
-            some, predicted = logits[: len(own)], self.predicted(before[i : i + block])
-            np.matmul(predicted, across, out=some)
+            some = logits[: len(own)]
+            predicted[i : i + block] = self.predicted(before[i : i + block])
+            np.matmul(predicted[i : i + block], across, out=some)
             some += self.biases
             np.clip(some, -60, 60, out=some)
             chosen = some[np.arange(len(own)), own]
             np.exp(some, out=some)
-            found = chosen - np.log(some @ ones)
-            at = np.flatnonzero(slots[i : i + block] >= 0)
-            slot = slots[i : i + block][at]
-            inside = np.matmul(by_class[slot // SLOTS], predicted[at, :, None])[:, :, 0] + inner_biases[slot // SLOTS]
-            np.clip(inside, 2 * ABSENT, 60, out=inside)
-            found[at] += inside[np.arange(len(at)), slot % SLOTS] - np.log(np.exp(inside).sum(axis=1))
-            out[i : i + block] = found / np.log(10)
-        return out
+            out[i : i + block] = chosen - np.log(some @ ones)
+        # Class by class, so that each class's slots are one matrix product.
+        inner = np.flatnonzero(slots >= 0)
+        inner = inner[np.argsort(slots[inner] // SLOTS, kind="stable")]
+        ends = np.searchsorted(slots[inner] // SLOTS, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            at = inner[ends[c] : ends[c + 1]]
+            rows = slice(c * SLOTS, (c + 1) * SLOTS)
+            inside = np.clip(predicted[at] @ self.inner_vectors[rows].T + self.inner_biases[rows], 2 * ABSENT, 60)
+            out[at] += inside[np.arange(len(at)), slots[at] % SLOTS] - np.log(np.exp(inside).sum(axis=1))
+        return out / np.log(10)
 
 
 def contexts(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -235,6 +238,8 @@ def contexts(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    # Of 16 bits, which are sorted by radix; CONTEXTS fits.
+    index = index.astype(np.uint16)
     order = np.argsort(index, kind="stable")
     sorted_ = index[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
@@ -251,7 +256,8 @@ class Trainer:
         self.model, self.rate, self.rng = model, rate, np.random.default_rng(seed)
         self.squares = [np.full_like(p, 1e-2) for p in model.parameters]
         self.cumulated = np.cumsum(np.exp(model.log_noise.astype(np.float64)))
-        self.inner_cumulated = np.cumsum(np.exp(model.inner_noise), axis=1)[:, :-1]
+        shares = np.exp(model.inner_noise.astype(np.float64))
+        self.inner_cumulated = (np.minimum(np.cumsum(shares, axis=1), 1)[:, :-1] + np.arange(CLASSES)[:, None]).ravel()
         self.seen = 0
         self.left: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint16), np.zeros((0, CONTEXT), np.uint16))
 
@@ -265,16 +271,18 @@ class Trainer:
     def _inner(self, slots: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Gradients within the classes: of what is predicted, and (slots, their vectors and biases)."""
         m = self.model
-        drawn = (self.inner_cumulated[slots // SLOTS][:, None, :] < self.rng.random((len(slots), INNER_NOISE, 1))).sum(axis=2)
+        # One search for all classes: the shares of class c are cumulated from c to c + 1.
+        classes = slots // SLOTS
+        drawn = np.searchsorted(self.inner_cumulated, classes[:, None] + self.rng.random((len(slots), INNER_NOISE))) - (classes * REST)[:, None]
         every = np.concatenate([slots[:, None], (slots - slots % SLOTS)[:, None] + drawn], axis=1)
         vectors = m.inner_vectors[every]
         shift = np.float32(np.log(INNER_NOISE))
-        found = np.matmul(vectors, predicted[:, :, None])[:, :, 0] + m.inner_biases[every] - m.inner_noise.ravel()[every] - shift
+        found = np.einsum("bkd,bd->bk", vectors, predicted) + m.inner_biases[every] - m.inner_noise.ravel()[every] - shift
         found = np.clip(found, -60, 60)
         pull = -1 / (1 + np.exp(-found))
         pull[:, 0] += 1
         values = np.concatenate([pull[:, :, None] * predicted[:, None, :], pull[:, :, None]], axis=2)
-        return np.matmul(pull[:, None, :], vectors)[:, 0, :], _summed(every.ravel(), values.reshape(-1, DIMENSION + 1))
+        return np.einsum("bk,bkd->bd", pull, vectors), _summed(every.ravel(), values.reshape(-1, DIMENSION + 1))
 
     def step(self, places: np.ndarray, before: np.ndarray) -> None:
         m = self.model
@@ -303,8 +311,9 @@ class Trainer:
         whole = slice(None)
         for p, s, g, where in zip(m.parameters, self.squares, gradients, (rows, whole, whole, whole, inner, inner), strict=True):
             g = g / np.sqrt(n)
-            s[where] += g * g
-            p[where] += self.rate * g / np.sqrt(s[where])
+            own = s[where] + g * g
+            s[where] = own
+            p[where] += self.rate * g / np.sqrt(own)
         self.seen += len(units)
 
 
