@@ -13,7 +13,10 @@ there they agree in at least `GRAM` bytes.
 2. The samples that are found twice are ranked by their first `REACH` bytes. A sample whose rank occurred earlier
    settles the ties of all strings that start in the PERIOD positions from it: they occurred earlier too. Long matches
    are thus decided by the ranks of the sample, without a look at their other suffixes.
-3. The strings that neither rule has decided (at the ends of matches, and first occurrences) are sorted themselves.
+3. Around samples near which strings are still undecided the `MIDDLE` bytes are sorted that the strings share which start within
+   `STEP` bytes. Where no other undecided place has them, these strings stand alone: the first occurrence of a string is
+   undecided too, so it would be found.
+4. The strings that no rule has decided (at the ends of matches) are sorted themselves.
 
 In each round a chunk of texts sends equal strings once, so a passage that stands everywhere meets itself as often as there
 are chunks. Strings are compared by the number of their bucket and 80 further bits of two independent hashes.
@@ -36,12 +39,16 @@ WIDTH = 100
 #: A perfect difference set: the residues' differences are every number under PERIOD once.
 PERIOD, COVER = 73, np.array([1, 2, 4, 8, 16, 32, 37, 55, 64])
 GRAM, REACH = WIDTH - PERIOD + 1, WIDTH + PERIOD - 1
+#: Strings that hold a sample at offsets from a multiple of STEP to the next one share MIDDLE bytes around it.
+STEP = (PERIOD - 1) // 4
+MIDDLE = WIDTH - STEP
 #: Bytes that are hashed at once; bounds of a chunk's bytes and of a bucket's strings, within which both grow with the corpus.
 BLOCK, CHUNK_BYTES, BUCKET_STRINGS = 1 << 20, (1 << 22, 1 << 25), (1 << 19, 1 << 23)
 #: The part of a chunk's size, or a bucket's, in the whole: many chunks and buckets, but cells of some size between them.
 PARTS = 1 << 12
-GRAM_BITS, SECOND_BYTES = 40, 2
-GRAMS, RANKS, STRINGS = 1, 2, 3
+#: Bits of hashes that only sift; those of ranks and strings have 64, and bytes of a second hash.
+SIFT_BITS, SECOND_BYTES = 48, 2
+GRAMS, RANKS, MIDDLES, STRINGS = 1, 2, 3, 4
 
 
 @lru_cache(maxsize=2)
@@ -88,6 +95,23 @@ def _first(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Sifted:
+    """Strings by the first bits of their hashes: in sorted order each once, which of these each string is, and how many are."""
+
+    known: np.ndarray
+    of: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def sort(cls, hashed: np.ndarray) -> Sifted:
+        return cls(*np.unique(hashed >> np.uint64(64 - SIFT_BITS), return_inverse=True, return_counts=True))
+
+    def twice(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Which strings are found twice, here or, as is said of each known one, elsewhere."""
+        return (elsewhere | (self.counts > 1))[self.of]
+
+
 @dataclass
 class Strings:
     """Strings of a chunk by hash: in sorted order those that stand first in the chunk, and for each string which of these equals it."""
@@ -131,29 +155,40 @@ class Chunk:
         counts = np.searchsorted(offsets, np.array([len(t) - GRAM if len(t) >= WIDTH else -1 for t in texts]), "right")
         self.samples = np.concatenate([np.zeros(0, np.int64), *(offsets[:n] + a for n, a in zip(counts, self.bounds, strict=False))])
         self.sample_text = np.repeat(np.arange(len(texts)), counts)
-        grams = hashes(self.data, self.samples, self.samples + GRAM, 0) >> np.uint64(64 - GRAM_BITS)
-        self.grams, self.gram_of, self.gram_counts = np.unique(grams, return_inverse=True, return_counts=True)
+        self.grams = Sifted.sort(hashes(self.data, self.samples, self.samples + GRAM, 0))
 
     def _strings(self, starts: np.ndarray, stops: np.ndarray, text: np.ndarray) -> Strings:
         low = hashes(self.data, starts, stops, 1) & np.uint64((1 << 8 * SECOND_BYTES) - 1)
         return Strings.sort(hashes(self.data, starts, stops, 0), low, text)
 
-    def rank(self, twice: np.ndarray) -> None:
-        """Take in which grams are found elsewhere; the samples of those found twice are candidates."""
-        some = (twice | (self.gram_counts > 1))[self.gram_of]
-        self.found, text = self.samples[some], self.sample_text[some]
-        self.reach = np.minimum(self.found + REACH, self.bounds[text + 1])
-        self.ranks = self._strings(self.found, self.reach, text)
-        self.found_text = text
+    def rank(self, elsewhere: np.ndarray) -> None:
+        """Take in which grams are found elsewhere; the samples of those found twice are ranked."""
+        some = self.grams.twice(elsewhere)
+        self.found, self.found_text = self.samples[some], self.sample_text[some]
+        self.reach = np.minimum(self.found + REACH, self.bounds[self.found_text + 1])
+        self.ranks = self._strings(self.found, self.reach, self.found_text)
 
     def decide(self, earlier: np.ndarray) -> None:
-        """Take in which ranks occurred elsewhere before: strings are repeated, once, or open."""
-        n = len(self.data)
+        """Take in which ranks occurred elsewhere before; what lies around samples near undecided strings is sifted."""
         later = (earlier[self.ranks.of] | ~self.ranks.leads) & (self.reach - self.found >= WIDTH)
-        self.repeated = _marked(n, self.found[later], self.reach[later] - WIDTH + 1)
-        low = np.maximum(self.found - PERIOD + 1, self.bounds[self.found_text])
-        high = np.minimum(self.found, self.bounds[self.found_text + 1] - WIDTH)
-        self.open = np.flatnonzero(_marked(n, low, np.maximum(low, high + 1)) & ~self.repeated)
+        self.repeated = _marked(len(self.data), self.found[later], self.reach[later] - WIDTH + 1)
+        # The places of middles, each once: several samples may share one. Strings around it start in [low, high].
+        steps = np.arange(0, PERIOD - 1, STEP)[:, None]
+        starts, text = (self.found - steps).ravel(), np.tile(self.found_text, len(steps))
+        inside = starts >= self.bounds[text]
+        starts, first = np.unique(starts[inside], return_index=True)
+        text = text[inside][first]
+        self.low, self.high = np.maximum(starts - STEP, self.bounds[text]), np.minimum(starts, self.bounds[text + 1] - WIDTH)
+        undecided = np.concatenate([[0], np.cumsum(~self.repeated)])
+        some = self.high >= self.low
+        some[some] = undecided[self.high[some] + 1] > undecided[self.low[some]]
+        starts, self.low, self.high = starts[some], self.low[some], self.high[some]
+        self.middles = Sifted.sort(hashes(self.data, starts, starts + MIDDLE, 0))
+
+    def narrow(self, elsewhere: np.ndarray) -> None:
+        """Take in which middles are found elsewhere; undecided strings around those found twice are open."""
+        some = self.middles.twice(elsewhere)
+        self.open = np.flatnonzero(_marked(len(self.data), self.low[some], self.high[some] + 1) & ~self.repeated)
         self.strings = self._strings(self.open, self.open + WIDTH, np.searchsorted(self.bounds, self.open, "right") - 1)
 
     def settle(self, earlier: np.ndarray) -> np.ndarray:
@@ -183,20 +218,32 @@ def _deal(chunk: int, bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, i
     return pa.table({"chunk": pa.array([chunk] * len(cells), pa.int64()), "bucket": pa.array(found, pa.int64()), **data})
 
 
-def _gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return (grams >> np.uint64(GRAM_BITS - 24)).astype(np.int64) * buckets >> 24
+def _sift_bucket(known: np.ndarray, buckets: int) -> np.ndarray:
+    return (known >> np.uint64(SIFT_BITS - 24)).astype(np.int64) * buckets >> 24
 
 
 def _bucket(high: np.ndarray, buckets: int) -> np.ndarray:
     return (high >> np.uint64(40)).astype(np.int64) * buckets >> 24
 
 
+def _steps(values: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, each bucket's first as it is."""
+    steps, firsts = np.diff(values, prepend=np.uint64(0)), np.flatnonzero(_first(bucket))
+    steps[firsts] = values[firsts]
+    return steps
+
+
+def _deal_sifted(number: int, sifted: Sifted, buckets: int) -> pa.Table:
+    bucket = _sift_bucket(sifted.known, buckets)
+    return _deal(number, bucket, {"known": (_steps(sifted.known, bucket), SIFT_BITS // 8)})
+
+
 def _deal_strings(chunk: Chunk, strings: Strings, buckets: int) -> pa.Table:
-    places = chunk.places[strings.text]
-    return _deal(chunk.number, _bucket(strings.high, buckets), {"high": (strings.high, 8), "low": (strings.low, SECOND_BYTES), "place": (places, 8)})
+    bucket = _bucket(strings.high, buckets)
+    return _deal(chunk.number, bucket, {"high": (_steps(strings.high, bucket), 8), "low": (strings.low, SECOND_BYTES), "place": (chunk.places[strings.text], 8)})
 
 
-DEALT_GRAMS, DEALT = "chunk long, bucket long, gram binary", "chunk long, bucket long, high binary, low binary, place binary"
+SIFTED, DEALT = "chunk long, bucket long, known binary", "chunk long, bucket long, high binary, low binary, place binary"
 ANSWER = "chunk long, kind int, bucket long, answer binary"
 
 
@@ -206,11 +253,14 @@ def _answer(table: pa.Table, kind: int, lengths: list[int], said: np.ndarray) ->
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table.column("bucket"), "answer": pa.array(parts, pa.binary())})
 
 
-def sort_grams(table: pa.Table) -> pa.Table:
-    """For each gram of a bucket: whether another chunk has it."""
-    parts = [np.cumsum(_numbers(x.as_py(), 5), dtype=np.uint64) for x in table.column("gram")]
-    _, of, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    return _answer(table, GRAMS, [len(p) for p in parts], (counts > 1)[of])
+def _sort_sifted(kind: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each string of a bucket: whether another chunk has it."""
+        parts = [np.cumsum(_numbers(x.as_py(), SIFT_BITS // 8), dtype=np.uint64) for x in table.column("known")]
+        _, of, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        return _answer(table, kind, [len(p) for p in parts], (counts > 1)[of])
+
+    return run
 
 
 def _sort_strings(kind: int):
@@ -218,7 +268,8 @@ def _sort_strings(kind: int):
         """For each string of a bucket: whether an equal one has an earlier place."""
         parts = [_numbers(x.as_py()) for x in table.column("place")]
         place = np.concatenate(parts).view(np.int64)
-        high, low = (np.concatenate([_numbers(x.as_py(), n) for x in table.column(c)]) for c, n in (("high", 8), ("low", SECOND_BYTES)))
+        high = np.concatenate([np.cumsum(_numbers(x.as_py()), dtype=np.uint64) for x in table.column("high")])
+        low = np.concatenate([_numbers(x.as_py(), SECOND_BYTES) for x in table.column("low")])
         order = np.lexsort((place, low, high))
         said = np.empty(len(order), bool)
         said[order] = ~_first(high[order], low[order])
@@ -240,11 +291,7 @@ def _said(answers: list[dict], kind: int, bucket: np.ndarray) -> np.ndarray:
 def _grams_kernel(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         chunk = Chunk(table)
-        bucket = _gram_bucket(chunk.grams, buckets)
-        steps = np.diff(chunk.grams, prepend=np.uint64(0))
-        firsts = np.flatnonzero(_first(bucket))
-        steps[firsts] = chunk.grams[firsts]
-        return _deal(chunk.number, bucket, {"gram": (steps, 5)})
+        return _deal_sifted(chunk.number, chunk.grams, buckets)
 
     return run
 
@@ -252,17 +299,23 @@ def _grams_kernel(buckets: int):
 def _told(table: pa.Table, answers: pa.Table, buckets: int, rounds: int) -> tuple[Chunk, list[dict]]:
     """A chunk that has taken in the answers of the first rounds."""
     chunk, said = Chunk(table), answers.to_pylist()
-    chunk.rank(_said(said, GRAMS, _gram_bucket(chunk.grams, buckets)))
+    chunk.rank(_said(said, GRAMS, _sift_bucket(chunk.grams.known, buckets)))
     if rounds > 1:
         chunk.decide(_said(said, RANKS, _bucket(chunk.ranks.high, buckets)))
+    if rounds > 2:
+        chunk.narrow(_said(said, MIDDLES, _sift_bucket(chunk.middles.known, buckets)))
     return chunk, said
 
 
 def _deal_kernel(buckets: int, rounds: int):
+    """What a chunk sends out after so many rounds: ranks, middles, strings."""
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({c: pa.array([], pa.int64() if c in ("chunk", "bucket") else pa.binary()) for c in ("chunk", "bucket", "high", "low", "place")})
+            return pa.table({c: pa.array([], pa.int64() if c in ("chunk", "bucket") else pa.binary()) for c in ("chunk", "bucket", *(("known",) if rounds == 2 else ("high", "low", "place")))})
         chunk, _ = _told(table, answers, buckets, rounds)
+        if rounds == 2:
+            return _deal_sifted(chunk.number, chunk.middles, buckets)
         return _deal_strings(chunk, chunk.ranks if rounds == 1 else chunk.strings, buckets)
 
     return run
@@ -275,7 +328,7 @@ def _removal_kernel(buckets: int, kept: list[str]):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         made = []
         if table.num_rows:
-            chunk, said = _told(table, answers, buckets, 2)
+            chunk, said = _told(table, answers, buckets, 3)
             gone = chunk.settle(_said(said, STRINGS, _bucket(chunk.strings.high, buckets)))
             edge = np.zeros(len(gone) + 1, bool)
             edge[chunk.bounds] = True
@@ -311,11 +364,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     place = F.coalesce("key_", F.lit(1 << 62) + F.shiftrightunsigned("ref", 2))
     rows = rows.select("key_", "ref", place.alias("place"), "data").withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("key_", "ref")), F.lit(chunks)))
     texts = rows.groupBy("chunk")
-    grams = texts.applyInArrow(_grams_kernel(buckets), DEALT_GRAMS).groupBy("bucket").applyInArrow(sort_grams, ANSWER)
-    ranks = texts.cogroup(grams.groupBy("chunk")).applyInArrow(_deal_kernel(buckets, 1), DEALT).groupBy("bucket").applyInArrow(_sort_strings(RANKS), ANSWER)
-    both = grams.unionByName(ranks)
-    strings = texts.cogroup(both.groupBy("chunk")).applyInArrow(_deal_kernel(buckets, 2), DEALT).groupBy("bucket").applyInArrow(_sort_strings(STRINGS), ANSWER)
-    every = both.unionByName(strings)
-    out = texts.cogroup(every.groupBy("chunk")).applyInArrow(_removal_kernel(buckets, ["key_"]), "key_ long, removed_spans array<struct<start: long, length: long>>, kept_bytes binary")
+    said = texts.applyInArrow(_grams_kernel(buckets), SIFTED).groupBy("bucket").applyInArrow(_sort_sifted(GRAMS), ANSWER)
+    for rounds, kind, schema in ((1, RANKS, DEALT), (2, MIDDLES, SIFTED), (3, STRINGS, DEALT)):
+        dealt = texts.cogroup(said.groupBy("chunk")).applyInArrow(_deal_kernel(buckets, rounds), schema)
+        said = said.unionByName(dealt.groupBy("bucket").applyInArrow(_sort_sifted(kind) if kind == MIDDLES else _sort_strings(kind), ANSWER))
+    out = texts.cogroup(said.groupBy("chunk")).applyInArrow(_removal_kernel(buckets, ["key_"]), "key_ long, removed_spans array<struct<start: long, length: long>>, kept_bytes binary")
     length = F.octet_length("kept_bytes") + F.coalesce(F.aggregate("removed_spans", F.lit(0).cast("long"), lambda s, x: s + x["length"]), F.lit(0))
     return out.select(F.col("key_").alias(key), length.cast("long").alias("n_bytes"), "removed_spans", "kept_bytes")

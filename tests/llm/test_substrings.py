@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from terravane.llm import substrings as S
 
@@ -49,6 +50,19 @@ def test_random_against_all_windows(spark, monkeypatch):
     compare(spark, rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_short_texts_side_by_side(spark, seed):
+    """Texts little longer than a string, cut out of a few passages at all offsets: matches of 100 to 180 bytes."""
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice("abcdefgh ij") for _ in range(260)) for _ in range(4)]
+    rows = []
+    for key in range(220):
+        p, n = rng.choice(passages), rng.randint(100, 180)
+        i = rng.randint(0, len(p) - n)
+        rows.append((key, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 30))) + p[i : i + n] + rng.choice(["", "q", "qr" * 20])))
+    compare(spark, rows)
+
+
 def test_null_key_and_small_blocks(spark):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefgh ") for _ in range(700))
