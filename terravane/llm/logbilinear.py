@@ -43,7 +43,7 @@ BATCH, NOISE, INNER_NOISE, RATE = 2048, 32, 2, 0.1
 #: Frequent words whose counts every task has; the others' counts are joined.
 FREQUENT = 1 << 18
 #: Texts of the first fit; rows of a chunk; models that are averaged in a task.
-FIRST_TEXTS, CHUNK, FAN = 1000, 512, 32
+FIRST_TEXTS, CHUNK, FAN = 1000, 512, 8
 
 
 def classes(endings: np.ndarray) -> np.ndarray:
