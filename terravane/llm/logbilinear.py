@@ -206,14 +206,17 @@ class Model:
         """The normalised log10 probability of each token's unit and, within a class, its slot after its context."""
         out, predicted = np.empty(len(places)), np.empty((len(places), DIMENSION), np.float32)
         units, slots = parted(places)
-        across, logits, ones = np.ascontiguousarray(self.vectors.T), np.empty((block, UNITS), np.float32), np.ones(UNITS, np.float32)
+        # The biases are one more dimension; logits are clipped only where the lengths of vectors let them be large.
+        across = np.ascontiguousarray(np.concatenate([self.vectors, self.biases[:, None]], axis=1).T)
+        logits, ones, longest = np.empty((block, UNITS), np.float32), np.ones(UNITS, np.float32), np.sqrt((across * across).sum(axis=0).max())
+        extended = np.ones((block, DIMENSION + 1), np.float32)
         for i in range(0, len(units), block):
             own = units[i : i + block]
-            some = logits[: len(own)]
-            predicted[i : i + block] = self.predicted(before[i : i + block])
-            np.matmul(predicted[i : i + block], across, out=some)
-            some += self.biases
-            np.clip(some, -60, 60, out=some)
+            some, left = logits[: len(own)], extended[: len(own)]
+            left[:, :DIMENSION] = predicted[i : i + block] = self.predicted(before[i : i + block])
+            np.matmul(left, across, out=some)
+            if longest * np.sqrt((left * left).sum(axis=1).max()) > 60:
+                np.clip(some, -60, 60, out=some)
             chosen = some[np.arange(len(own)), own]
             np.exp(some, out=some)
             out[i : i + block] = chosen - np.log(some @ ones)
