@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from terravane.llm.common import held, map_columns
 
 #: Distinct pieces, prefixes and pairs that a Python worker keeps before it starts anew.
-CACHE_PIECES, CACHE_PREFIXES, CACHE_PAIRS = 1 << 16, 1 << 17, 1 << 17
+CACHE_PIECES, CACHE_PREFIXES, CACHE_PAIRS = 1 << 17, 1 << 18, 1 << 18
 #: Bytes up to which the last tokens of a piece's prefixes are shared with other pieces.
 SHARED_BYTES = 64
 
