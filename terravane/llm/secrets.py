@@ -43,8 +43,8 @@ ODDS = math.log(10_000)
 #: Added to every count of a pair of characters.
 PRIOR = 0.5
 #: Bounds of the labelled samples: documents that ordinary words are taken from, and strings of a label.
-SAMPLE_DOCUMENTS = 2_000
-SAMPLE_STRINGS = 20_000
+SAMPLE_DOCUMENTS = 1_000
+SAMPLE_STRINGS = 5_000
 BLOCK = 256
 
 
@@ -144,8 +144,8 @@ def samples(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str =
 
     Label 1: what the fixed patterns found, and digests of the keys of the sampled documents written in hexadecimal, base 64
     and its variant for addresses. Label 0: the sampled documents' words and numbers outside these spans, alone and joined as
-    identifiers are (a_b, a-b, a/b, aB, with numbers). SAMPLE_DOCUMENTS documents, those of the smallest hashes, are
-    sampled, and SAMPLE_STRINGS strings of each of these kinds at most.
+    identifiers are (a_b, a-b, a/b, aB), and plain numbers from digests of the keys. SAMPLE_DOCUMENTS documents, those of
+    the smallest hashes, are sampled, and SAMPLE_STRINGS found strings and pairs of words at most.
     """
     known = spans.select(F.explode("base").alias("s")).select(
         F.when(F.col("s.rank") == 0, F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value")).alias("value")
@@ -158,8 +158,10 @@ def samples(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str =
     words = chosen.select(F.regexp_extract_all(clean, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
     two = F.zip_with("w", F.concat(F.slice("w", 2, F.size("w")), F.slice("w", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     a, b = F.col("p.a"), F.col("p.b")
-    ordinary = words.select(F.explode(two).alias("p")).distinct().select(F.explode(F.array(a, F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat_ws("/", a, b), F.concat(a, F.initcap(b)), F.concat(a, b))).alias("value"))
-    return _first(known).unionByName(_first(random)).withColumn("label", F.lit(1)).unionByName(_first(ordinary).withColumn("label", F.lit(0)))
+    pairs = words.select(F.explode(two).alias("p")).distinct().orderBy(F.md5(F.concat_ws(" ", a, b)), a, b).limit(SAMPLE_STRINGS)
+    joined = pairs.select(F.explode(F.array(a, F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat_ws("/", a, b), F.concat(a, F.initcap(b)), F.concat(a, b))).alias("value"))
+    numbers = ids.select(F.conv(F.substring(F.md5(F.concat(F.lit("number "), F.col("id"))), 1, 15), 16, 10).alias("value"))
+    return _first(known).unionByName(random).withColumn("label", F.lit(1)).unionByName(joined.unionByName(numbers).withColumn("label", F.lit(0)))
 
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
