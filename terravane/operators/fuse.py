@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators import spatial
-from terravane.operators.graph import components
+from terravane.session import Rounds, checkpointed
+
+LOG = logging.getLogger(__name__)
 
 # Trust in a height's source; a layer's radius in metres.
 TRUST = {"mtk": 3, "aip": 3, "vayla": 2, "osm": 1}
@@ -23,59 +26,106 @@ def trust(source: Column) -> Column:
     return F.coalesce(*(F.when(source == s, F.lit(r)) for s, r in TRUST.items()), F.lit(0))
 
 
-def _known(x) -> bool:
-    return x is not None and x == x and x != ""
+def _known(c: str, kind: str) -> Column:
+    """A column's value, null where it says nothing: not a number, or an empty text."""
+    if kind == "string":
+        return F.nullif(F.col(c), F.lit(""))
+    return F.when(~F.isnan(c), F.col(c)) if kind in ("double", "float") else F.col(c)
 
 
-def _absorb(into: dict, other: dict) -> None:
-    for c in (c for c in (*CARRIED, "ground_m", "name", "obst_id") if c in into):
-        if not _known(into[c]) and _known(other[c]):
-            into[c] = other[c]
-    if _known(other["height_m"]) and (not _known(into["height_m"]) or TRUST.get(other["src_h"], 0) > TRUST.get(into["src_h"], 0)):
-        into["height_m"], into["src_h"] = other["height_m"], other["src_h"]
-    into["srcs"] = sorted({*into["srcs"], *other["srcs"]})
+def _candidate_height(own: Column, own_trust: Column, states: Column, at: Column) -> Column:
+    """The height that an object has for a row that comes at `at`: of its own and of those absorbed before, the most trusted, then first."""
+    entry = lambda trust, when, h: F.struct(trust.alias("trust"), (-when).alias("first"), h.alias("h"))
+    mine = F.when(own.isNotNull(), F.array(entry(own_trust, F.lit(-(1 << 62)), own))).otherwise(F.array().cast("array<struct<trust:int,first:bigint,h:double>>"))
+    others = F.transform(F.filter(F.coalesce(states, F.array().cast("array<struct<trust:int,at:bigint,h:double>>")), lambda s: s["at"] < at), lambda s: entry(s["trust"], s["at"], s["h"]))
+    return F.array_max(F.concat(mine, others))["h"]
 
 
-def _may_merge(a: dict, b: dict) -> bool:
-    ha, hb = a["height_m"], b["height_m"]
-    return not _known(ha) or not _known(hb) or abs(ha - hb) <= max(spatial.VETO_M, spatial.VETO_SHARE * max(ha, hb))
+def settle(pairs: DataFrame, heights: DataFrame | None = None, sure: float = -1.0) -> DataFrame:
+    """(id, into): what each row of candidate pairs goes into when rows are taken in order; null if it stays.
 
+    pairs: a_id, b_id, b_stays (b is no row that may go), choice (the least is tried first), and with heights a_at, a_h, d; each b
+    comes before its a. A row goes to the first candidate that stays and, with heights (id, at, h, trust), whose height at
+    that time agrees or that is at most `sure` metres away. Absorbing a more trusted height changes an object's.
 
-def merge(base: DataFrame, incoming: DataFrame, radius: float) -> DataFrame:
+    All rows decide at once by what the others decided the round before, until nothing changes. As a row depends on earlier ones
+    only, that state is the one that taking them in order leads to. Only rows whose candidates changed decide
+    again. The rounds are the longest chain of decisions that overturn each other, logged at the end; no task
+    holds more than a row's candidates, or an object's heights by trust, of which there are as many as TRUST has levels.
+    """
+    kept = Rounds(pairs.sparkSession)
+    pairs = checkpointed(pairs)
+    decided = kept.keep(pairs.select(F.col("a_id").alias("id")).distinct().select("id", F.lit(None).cast("bigint").alias("into"), F.lit(None).cast("bigint").alias("old"), F.lit(True).alias("changed")))
+    rounds, active = 0, pairs
+    while not decided.where("changed").isEmpty():
+        if rounds:
+            moved = decided.where("changed").select(F.explode(F.array("id", "into", "old")).alias("b_id")).where("b_id IS NOT NULL").distinct()
+            again = pairs.join(moved, "b_id", "left_semi").select("a_id").distinct()
+            active = pairs.join(again, "a_id", "left_semi")
+        rounds += 1
+        met = active.join(decided.select(F.col("id").alias("b_id"), F.col("into").isNotNull().alias("gone")), "b_id", "left")
+        allowed = F.col("b_stays") | ~F.coalesce("gone", F.lit(False))
+        if heights is not None:
+            first = F.min_by(F.struct("trust", "at", "h"), "at").alias("s")
+            taken = decided.where("into IS NOT NULL").select("id", "into").join(heights.where("h IS NOT NULL"), "id").groupBy("into", "trust").agg(first)
+            states = taken.groupBy(F.col("into").alias("b_id")).agg(F.collect_list("s").alias("states"))
+            met = met.join(states, "b_id", "left")
+            height = _candidate_height(F.col("b_h"), F.col("b_trust"), F.col("states"), F.col("a_at"))
+            allowed = allowed & (spatial.heights_agree(F.col("a_h"), height) | (F.col("d") <= sure))
+        fresh = met.groupBy(F.col("a_id").alias("id")).agg(F.min_by("b_id", F.when(allowed, F.col("choice"))).alias("new"), F.lit(True).alias("again"))
+        now = F.when(F.col("again"), F.col("new")).otherwise(F.col("into"))
+        both = decided.select("id", "into").join(fresh, "id", "left")
+        decided = kept.keep(both.select("id", now.alias("into"), F.col("into").alias("old"), (~now.eqNullSafe(F.col("into"))).alias("changed")))
+        LOG.debug("round %d", rounds)
+    LOG.info("settled in %d rounds", rounds)
+    return kept.last(decided.select("id", "into"))
+
+
+def _folded(rows: DataFrame, decided: DataFrame, order: Column, first: list[str], more: dict[str, Column]) -> DataFrame:
+    """(into, first columns, more): of the rows that go into each object the first known value of each column, in order."""
+    kinds = dict(rows.dtypes)
+    taken = rows.join(decided.where("into IS NOT NULL"), "id").withColumn("_order", order)
+    picks = [F.min_by(_known(c, kinds[c]), F.when(_known(c, kinds[c]).isNotNull(), F.col("_order"))).alias(f"_{c}") for c in first]
+    return taken.groupBy(F.col("into").alias("id")).agg(*picks, *(v.alias(f"_{c}") for c, v in more.items()))
+
+
+def merge(base: DataFrame, incoming: DataFrame, radius: float, sure: float = -1.0) -> DataFrame:
     """base with incoming merged in: each incoming row, by seq, goes into the nearest compatible row or becomes one.
 
     Nearest means by exact distance, of equals the one met first in a walk over the cells around (spatial.scan_order).
     Rows have seq (long, unique over both, base first), id, cat, lat, lon, height_m, src_h, srcs and any of the
     carried fields; ids are longs, unique over both. Candidates are pairs within the radius with compatible categories; which of them
-    merge depends on the order, as heights change with every merge. Only rows of one component of the
-    candidate graph can affect each other: components are replayed in parallel, all other rows pass by.
-    A component spans the sites that touch within the radius; a site of very many registrations is one task.
+    merge depends on the order, as heights change with every merge: see `settle`. Within `sure` metres heights don't count.
     """
+    return merge_noting(base, incoming, radius, sure)[0]
+
+
+def merge_noting(base: DataFrame, incoming: DataFrame, radius: float, sure: float = spatial.SURE_M) -> tuple[DataFrame, DataFrame]:
+    """What `merge` gives, and (id, into, d, height_m, into_height_m): the rows merged although heights, as registered, disagree."""
     rows = base.withColumn("incoming", F.lit(False)).unionByName(incoming.withColumn("incoming", F.lit(True)), allowMissingColumns=True)
-    point = ["id", "seq", "lat", "lon", "cat"]
-    pairs = spatial.range_join(incoming.select(*point), rows.select(*point), radius)
-    edges = pairs.where((F.col("b_seq") < F.col("a_seq")) & spatial.compatible(F.col("a_cat"), F.col("b_cat")))
-    edges = edges.select("a_id", "b_id", "d", spatial.scan_order("a_lat", "a_lon", "b_lat", "b_lon", "b_seq").alias("scan"))
-    groups = components(edges, "a_id", "b_id").withColumnRenamed("node", "id")
-    near = edges.groupBy(F.col("a_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "scan", "b_id"))), lambda s: s["b_id"]).alias("near"))
-    placed = rows.join(groups, "id", "left").join(near, "id", "left")
-    alone = placed.where("component IS NULL").select(rows.columns)
-    names = rows.columns
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, dict] = {}
-        for row in pdf.sort_values("seq").to_dict("records"):
-            row["srcs"] = list(row["srcs"]) if row["srcs"] is not None else []
-            candidates = [] if row["near"] is None else [held[i] for i in row["near"] if i in held]
-            into = next((c for c in candidates if row["incoming"] and _may_merge(c, row)), None)
-            if into is None:
-                held[row["id"]] = row
-            else:
-                _absorb(into, row)
-        return pd.DataFrame(list(held.values()), columns=pdf.columns)[names]
-
-    touched = placed.where("component IS NOT NULL")
-    return alone.unionByName(touched.groupBy("component").applyInPandas(replay, rows.schema)).drop("incoming")
+    kinds = dict(rows.dtypes)
+    rows = checkpointed(rows)
+    point = rows.select("id", "seq", "lat", "lon", "cat", "incoming", _known("height_m", kinds["height_m"]).cast("double").alias("h"), trust(F.col("src_h")).alias("trust"))
+    pairs = spatial.range_join(point.where("incoming"), point, radius)
+    pairs = pairs.where((F.col("b_seq") < F.col("a_seq")) & spatial.compatible(F.col("a_cat"), F.col("b_cat")))
+    choice = F.struct("d", spatial.scan_order("a_lat", "a_lon", "b_lat", "b_lon", "b_seq").alias("scan"), "b_id").alias("choice")
+    pairs = checkpointed(pairs.select("a_id", "b_id", (~F.col("b_incoming")).alias("b_stays"), choice, F.col("a_seq").alias("a_at"), "a_h", "b_h", "b_trust", "d"))
+    decided = settle(pairs, point.select("id", F.col("seq").alias("at"), "h", "trust"), sure)
+    fields = [c for c in (*CARRIED, "ground_m", "name", "obst_id") if c in rows.columns]
+    height = F.struct(trust(F.col("src_h")).alias("t"), (-F.col("seq")).alias("first"), F.col("height_m").alias("h"), F.col("src_h").alias("s"))
+    known = _known("height_m", kinds["height_m"]).isNotNull()
+    more = {"height": F.max(F.when(known, height)), "srcs": F.flatten(F.collect_set(F.coalesce("srcs", F.array().cast("array<string>"))))}
+    folded = _folded(rows, decided, F.col("seq"), fields, more)
+    kept = rows.join(decided.where("into IS NOT NULL"), "id", "left_anti").join(folded, "id", "left")
+    better = F.col("_height").isNotNull() & (~F.coalesce(known, F.lit(False)) | (F.col("_height.t") > trust(F.col("src_h"))))
+    changed = {c: F.coalesce(_known(c, kinds[c]), F.col(f"_{c}"), F.col(c)) for c in fields}
+    changed |= {"height_m": F.when(better, F.col("_height.h")).otherwise(F.col("height_m")), "src_h": F.when(better, F.col("_height.s")).otherwise(F.col("src_h"))}
+    own = F.coalesce("srcs", F.array().cast("array<string>"))
+    changed["srcs"] = F.when(F.col("_srcs").isNotNull(), F.array_sort(F.array_distinct(F.concat(own, F.coalesce("_srcs", F.array().cast("array<string>")))))).otherwise(F.col("srcs"))
+    objects = kept.select(*(changed.get(c, F.col(c)).alias(c) for c in rows.columns if c != "incoming"))
+    went = decided.where("into IS NOT NULL").select(F.col("id").alias("a_id"), F.col("into").alias("b_id"))
+    odd = pairs.join(went, ["a_id", "b_id"]).where(spatial.near_conflict(F.col("a_h"), F.col("b_h"), F.col("d"), sure))
+    return objects, odd.select(F.col("a_id").alias("id"), F.col("b_id").alias("into"), "d", F.col("a_h").alias("height_m"), F.col("b_h").alias("into_height_m"))
 
 
 def collapse(marks: DataFrame, radius: float = COLLAPSE_M) -> DataFrame:
@@ -83,37 +133,21 @@ def collapse(marks: DataFrame, radius: float = COLLAPSE_M) -> DataFrame:
 
     Rows have id, lat, lon, vayla_type and the folded fields. In order of kind, then height, then id, each mark goes
     to a kept one within the radius, or is kept. Of several it is the first in a walk over the cells around, then
-    by kind, height and id; not the nearest. Replayed by component.
+    by kind, height and id; not the nearest. See `settle`.
     """
     hint = F.greatest(F.col("focal_agl_m"), F.col("daymark_agl_m"), F.col("focal_m"))
     rank = F.coalesce(*(F.when(F.col("vayla_type") == t, F.lit(r)) for t, r in MARK_RANK.items()), F.lit(0))
-    rows = marks.withColumn("rank", rank).withColumn("hint", F.coalesce(hint, F.lit(0.0)))
-    point = rows.select("id", "lat", "lon")
+    rows = checkpointed(marks.withColumn("_at", F.struct((-rank).alias("rank"), (-F.coalesce(hint, F.lit(0.0))).alias("hint"), "id")))
+    point = rows.select("id", "lat", "lon", F.col("_at").alias("at"))
     cell = lambda c: F.floor(F.col(c) / spatial.CELL_DEG)
-    pairs = spatial.range_join(point, point, radius).where("a_id != b_id")
-    pairs = pairs.select("a_id", "b_id", (cell("b_lat") - cell("a_lat")).alias("i"), (cell("b_lon") - cell("a_lon")).alias("j"))
-    groups = components(pairs, "a_id", "b_id").withColumnRenamed("node", "id")
-    near = pairs.groupBy(F.col("a_id").alias("id")).agg(F.collect_set(F.struct("i", "j", "b_id")).alias("near"))
-    placed = rows.join(groups, "id", "left").join(near, "id", "left")
-    names = marks.columns
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, dict] = {}
-        order: dict[int, int] = {}
-        for row in pdf.sort_values(["rank", "hint", "id"], ascending=[False, False, True]).to_dict("records"):
-            close = [] if row["near"] is None else [n for n in row["near"] if n["b_id"] in held]
-            into = held[min(close, key=lambda n: (n["i"], n["j"], order[n["b_id"]]))["b_id"]] if close else None
-            if into is None:
-                order[row["id"]] = len(held)
-                held[row["id"]] = row
-                continue
-            for c in FOLDED:
-                if not _known(into[c]) and _known(row[c]):
-                    into[c] = row[c]
-        return pd.DataFrame(list(held.values()), columns=pdf.columns)[names]
-
-    alone = placed.where("component IS NULL").select(marks.columns)
-    return alone.unionByName(placed.where("component IS NOT NULL").groupBy("component").applyInPandas(replay, marks.schema))
+    pairs = spatial.range_join(point, point, radius).where("b_at < a_at")
+    choice = F.struct((cell("b_lat") - cell("a_lat")).alias("i"), (cell("b_lon") - cell("a_lon")).alias("j"), "b_at").alias("choice")
+    decided = settle(pairs.select("a_id", "b_id", F.lit(False).alias("b_stays"), choice))
+    folded = _folded(rows, decided, F.col("_at"), list(FOLDED), {})
+    kinds = dict(rows.dtypes)
+    kept = rows.join(decided.where("into IS NOT NULL"), "id", "left_anti").join(folded, "id", "left")
+    changed = {c: F.coalesce(_known(c, kinds[c]), F.col(f"_{c}"), F.col(c)) for c in FOLDED}
+    return kept.select(*(changed.get(c, F.col(c)).alias(c) for c in marks.columns))
 
 
 def focal_height(agl: Column, daymark: Column, water: Column, ground: Column) -> tuple[Column, Column]:
