@@ -7,7 +7,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,53 +101,118 @@ def tile_cover(observers: DataFrame, rings=RINGS) -> DataFrame:
     return found
 
 
-def _encode(row) -> bytes | None:
-    v = np.array([np.nan if x is None else x for x in row.v], float).reshape(row.height, row.width)
-    live = ~np.isnan(v)
+def pooled(a: np.ndarray, k: int) -> np.ndarray:
+    """Maxima of k by k blocks of an array as a view of k-strided axes; nan is nodata, and what fills no block is dropped."""
+    rows, cols = a.shape[0] // k, a.shape[1] // k
+    return np.fmax.reduce(np.fmax.reduce(a[: rows * k, : cols * k].reshape(rows, k, cols, k), axis=3), axis=1)
+
+
+def numbers(values: pa.Array) -> np.ndarray:
+    """An Arrow array of numbers as doubles, null as nan."""
+    return values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as one Arrow array of lists, nan as null."""
+    flat = np.concatenate([np.zeros(0), *(a.ravel() for a in arrays)])
+    gaps = np.isnan(flat)
+    values = pa.array(np.where(gaps, 0, flat), pa.float64()).cast(kind)
+    if gaps.any():
+        values = pc.if_else(pa.array(gaps), pa.scalar(None, kind), values)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(a.size for a in arrays)]), pa.int32()), values)
+
+
+def scattered(rows: DataFrame, keys: list[str], at: str, value: str, size: int, kind: str = "double", out: str = "v") -> DataFrame:
+    """(keys, out): for each key an array of `size` with the values at their places and null elsewhere.
+
+    Places outside are dropped; of equal places the greatest value counts. A key's rows meet in one task and become one array there.
+    """
+    parts = rows.select(*keys, F.col(at).cast("long").alias("_at"), F.col(value).cast("double").alias("_value"))
+    # Two keys may differ in kind; all rows of a group have the same.
+    schema = parts.select(*keys, F.lit(None).cast(f"array<{kind}>").alias(out)).schema
+    to = {"int": pa.int32(), "short": pa.int16(), "float": pa.float32()}.get(kind, pa.float64())
+
+    def fill(group: pa.Table) -> pa.Table:
+        place, found = group.column("_at").to_numpy(), numbers(group.column("_value").combine_chunks())
+        inside = (place >= 0) & (place < size)
+        filled = np.full(size, np.nan)
+        np.fmax.at(filled, place[inside], found[inside])
+        first = [group.column(c).slice(0, 1).combine_chunks() for c in keys]
+        return pa.Table.from_arrays([*first, listed([filled], to)], [*keys, out])
+
+    return parts.groupBy(*keys).applyInArrow(fill, schema)
+
+
+def blocks(cells: DataFrame, edge: int) -> DataFrame:
+    """(level, bx, by, v): cells (level, row, col, v), counted from the anchor, as square arrays of `edge` cells; nodata is null."""
+    at = F.pmod("row", F.lit(edge)) * edge + F.pmod("col", F.lit(edge))
+    placed = cells.where("v IS NOT NULL").select("level", F.floor(F.col("col") / edge).alias("bx"), F.floor(F.col("row") / edge).alias("by"), at.alias("k"), "v")
+    return scattered(placed, ["level", "bx", "by"], "k", "v", edge * edge)
+
+
+def encoded(a: np.ndarray, cell: int, tx: int, ty: int, pooled: bool) -> bytes | None:
+    """A tile's bytes: header, then its quantised rows as deflated differences; None without a live cell."""
+    live = ~np.isnan(a)
     if not live.any():
         return None
-    q = np.where(live, np.clip(np.rint(np.where(live, v, 0) * SCALE), -32767, 32767), NODATA).astype(np.int16)
-    delta = np.diff(q, axis=1, prepend=np.zeros((row.height, 1), np.int16))
+    height, width = a.shape
+    q = np.where(live, np.clip(np.rint(np.where(live, a, 0) * SCALE), -32767, 32767), NODATA).astype(np.int16)
+    delta = np.diff(q, axis=1, prepend=np.zeros((height, 1), np.int16))
     body = zlib.compress(delta.astype("<i2").tobytes(), 9)
-    flags = int(row.pooled) | 2 * int(not live.all())
+    flags = int(pooled) | 2 * int(not live.all())
     least, most = int(q[live].min()), int(q[live].max())
-    west, north = row.tx * row.cell * row.width, ANCHOR_NORTH - row.ty * row.cell * row.height
-    return struct.pack(HEADER, MAGIC, HEADER_BYTES, INT16, DELTA, west, north, row.cell, row.width, row.height, SCALE, NODATA, DEFLATE, flags, len(body), least, most) + body
+    west, north = tx * cell * width, ANCHOR_NORTH - ty * cell * height
+    return struct.pack(HEADER, MAGIC, HEADER_BYTES, INT16, DELTA, west, north, cell, width, height, SCALE, NODATA, DEFLATE, flags, len(body), least, most) + body
 
 
 def encode_tiles(tiles: DataFrame) -> DataFrame:
     """(cell, tx, ty, content) of tiles (cell, tx, ty, width, height, pooled, v); those without a live cell are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [_encode(r) for r in b.itertuples()]
-            yield b[["cell", "tx", "ty"]].assign(content=made).dropna(subset=["content"])
+            for k in range(b.num_rows):
+                cell, tx, ty, width, height, was_pooled = (b.column(i)[k].as_py() for i in range(6))
+                made = encoded(numbers(b.column(6)[k].values).reshape(height, width), cell, tx, ty, was_pooled)
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([tx], pa.int32()), pa.array([ty], pa.int32()), pa.array([made], pa.binary())], ["cell", "tx", "ty", "content"])
+
+    columns = tiles.select("cell", F.col("tx").cast("int"), F.col("ty").cast("int"), "width", "height", "pooled", F.col("v").cast("array<double>").alias("v"))
+    return columns.mapInArrow(run, "cell int, tx int, ty int, content binary")
 
-    columns = tiles.select("cell", "tx", "ty", "width", "height", "pooled", F.col("v").cast("array<double>").alias("v"))
-    return columns.mapInPandas(run, "cell int, tx int, ty int, content binary")
+
+def header(data: bytes) -> tuple:
+    """(cell, tx, ty, width, height, pooled, scale, least, most, start, bytes of the payload, nodata) of a tile's first HEADER_BYTES bytes."""
+    magic, start, _, _, west, north, cell, width, height, scale, nodata, _, flags, size, least, most = struct.unpack_from(HEADER, data)
+    if magic != MAGIC:
+        raise ValueError("not a terrain tile")
+    return cell, west // (cell * width), (ANCHOR_NORTH - north) // (cell * height), width, height, bool(flags & 1), scale, least, most, start, size, nodata
+
+
+def decoded(data: bytes) -> np.ndarray:
+    """A tile's stored units as doubles, nodata nan."""
+    _, _, _, width, height, _, _, _, _, start, size, nodata = header(data)
+    delta = np.frombuffer(zlib.decompress(data[start : start + size]), "<i2").reshape(height, width)
+    q = np.cumsum(delta, axis=1, dtype=np.int16)
+    return np.where(q == nodata, np.nan, q.astype(float))
 
 
 def decode_tiles(files: DataFrame, header_only: bool = False) -> DataFrame:
-    """Tiles of a column content; v in stored units, nodata null. With header_only v is null and only 36 bytes are read."""
+    """Tiles of a column content; v in stored units, nodata null. With header_only v is null and only the header is looked at.
+
+    `sinks.tile_headers` reads no more than the headers from files.
+    """
+    kinds = [pa.int32()] * 5 + [pa.bool_()] + [pa.int32()] * 3
+    names = ["cell", "tx", "ty", "width", "height", "pooled", "scale", "least", "most", "v"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for data in b["content"]:
-                magic, start, _, _, west, north, cell, width, height, scale, nodata, _, flags, size, least, most = struct.unpack_from(HEADER, data)
-                if magic != MAGIC:
-                    raise ValueError("not a terrain tile")
-                tx, ty = west // (cell * width), (ANCHOR_NORTH - north) // (cell * height)
-                v = None
-                if not header_only:
-                    delta = np.frombuffer(zlib.decompress(data[start : start + size]), "<i2").reshape(height, width)
-                    q = np.cumsum(delta, axis=1, dtype=np.int16).ravel()
-                    v = [None if x == nodata else int(x) for x in q]
-                rows.append((cell, tx, ty, width, height, bool(flags & 1), scale, least, most, v))
-            yield pd.DataFrame(rows, columns=["cell", "tx", "ty", "width", "height", "pooled", "scale", "least", "most", "v"])
+            for data in b.column(0):
+                data = data.as_py()
+                v = pa.nulls(1, pa.list_(pa.int32())) if header_only else listed([decoded(data)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(header(data)[:9], kinds, strict=True)), v], names)
 
     content = F.substring("content", 1, HEADER_BYTES).alias("content") if header_only else F.col("content")
-    return files.select(content).mapInPandas(run, TILE_SCHEMA)
+    return files.select(content).mapInArrow(run, TILE_SCHEMA)
 
 
 def tile_index(tiles: DataFrame) -> DataFrame:

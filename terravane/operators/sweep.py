@@ -139,8 +139,7 @@ def skyline_at(objects: DataFrame, profile: DataFrame, bins: int = BINS) -> Data
 def packed(profile: DataFrame, bins: int = BINS) -> DataFrame:
     """(id, profile): an observer's skyline as an array of hundredths of degrees, one for each bin; bins without one are null."""
     centi = profile.select("id", "bin", F.rint(F.col("angle") * 100).cast("short").alias("c"))
-    held = centi.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("held"))
-    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at("held", b)).alias("profile"))
+    return raster.scattered(centi, ["id"], "bin", "c", bins, "short", "profile")
 
 
 #: Bins of the profiles that are kept for saved viewpoints.

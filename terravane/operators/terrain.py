@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,45 +63,75 @@ def ring_totals(cover: DataFrame, index: DataFrame) -> DataFrame:
     return met.rollup("cell").agg(F.count("*").alias("tiles"), F.count("bytes").alias("held"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
-def cut_tiles(wanted: DataFrame, source: DataFrame, edges: dict[int, int] = EDGES, refined: dict[int, int] = REFINED) -> DataFrame:
-    """(cell, tx, ty, row, col, v): the cells of wanted tiles (cell, tx, ty), pooled by their maxima where a finer level is refined.
+#: Cells along the edge of a source block, where cells come one by one.
+BLOCK_EDGE = 256
 
-    source: (level, row, col, v), cells of each level counted from the grid's anchor; nodata is null. A tile whose level
-    has no cell there comes back without rows.
+
+def _blocks_of_tiles(tiles: DataFrame, edges: dict[int, int], refined: dict[int, int], block: int) -> DataFrame:
+    """tiles (cell, tx, ty) with a row for each source block (level, bx, by) that they overlap."""
+    pick = lambda of: F.coalesce(*(F.when(F.col("cell") == c, F.lit(of(c))) for c in edges))
+    sized = tiles.select("cell", "tx", "ty", pick(lambda c: refined.get(c, c)).alias("level"), pick(lambda c: edges[c] * (c // refined.get(c, c))).alias("span"))
+    reach = lambda t: F.explode(F.sequence(F.floor(F.col(t) * F.col("span") / block), F.floor(((F.col(t) + 1) * F.col("span") - 1) / block)))
+    return sized.withColumn("bx", reach("tx")).withColumn("by", reach("ty")).drop("span")
+
+
+def build_from_blocks(wanted: DataFrame, done: DataFrame, source: DataFrame, block: int, edges: dict[int, int] = EDGES, refined: dict[int, int] = REFINED) -> DataFrame:
+    """(cell, tx, ty, content) of the wanted tiles that are not done (cell, tx, ty) yet; tiles without a live cell are left out.
+
+    source: (level, bx, by, v), square arrays of `block` cells of each level, counted from the grid's anchor; nodata is null.
+    Blocks meet tiles by number; a tile's few blocks are put side by side, pooled by maxima where a finer level is
+    refined, quantised and encoded in one kernel. Tiles that are done are taken away before any block is read.
     """
-    found = None
-    for cell, edge in edges.items():
-        level = refined.get(cell, cell)
-        if cell % level:
-            raise ValueError(f"cells of {level} m do not fill one of {cell} m")
-        k = cell // level
-        own = source.where(F.col("level") == level).select(F.floor(F.col("row") / k).alias("r"), F.floor(F.col("col") / k).alias("c"), "v")
-        placed = own.select(F.lit(cell).alias("cell"), F.floor(F.col("c") / edge).alias("tx"), F.floor(F.col("r") / edge).alias("ty"), "r", "c", "v")
-        tiles = wanted.where(F.col("cell") == cell).select("cell", F.col("tx").cast("long"), F.col("ty").cast("long"))
-        # Tiles first: what isn't wanted is never pooled.
-        pooled = placed.join(tiles, ["cell", "tx", "ty"], "left_semi").groupBy("cell", "tx", "ty", "r", "c").agg(F.max("v").alias("v"))
-        cells = pooled.select("cell", "tx", "ty", (F.col("r") % edge).alias("row"), (F.col("c") % edge).alias("col"), "v")
-        found = cells if found is None else found.unionByName(cells)
-    return found
+    for cell in edges:
+        if cell % refined.get(cell, cell):
+            raise ValueError(f"cells of {refined[cell]} m do not fill one of {cell} m")
+    todo = wanted.select("cell", "tx", "ty").distinct().join(done.select("cell", "tx", "ty"), ["cell", "tx", "ty"], "left_anti")
+    parts = _blocks_of_tiles(todo, edges, refined, block).join(source.select("level", "bx", "by", F.col("v").cast("array<double>").alias("v")), ["level", "bx", "by"])
+    rows = parts.select(*(F.col(c).cast("long") for c in ("cell", "tx", "ty", "level", "bx", "by")), "v")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        cell, tx, ty = (k.as_py() for k in key)
+        k = cell // refined.get(cell, cell)
+        span = edges[cell] * k
+        whole = np.full((span, span), np.nan)
+        for i in range(group.num_rows):
+            bx, by = group.column("bx")[i].as_py(), group.column("by")[i].as_py()
+            a = raster.numbers(group.column("v")[i].values).reshape(block, block)
+            # Where the block begins, counted from the tile's first cell.
+            r, c = by * block - ty * span, bx * block - tx * span
+            part = a[max(0, -r) : max(0, span - r), max(0, -c) : max(0, span - c)]
+            whole[max(0, r) : max(0, r) + part.shape[0], max(0, c) : max(0, c) + part.shape[1]] = part
+        content = raster.encoded(raster.pooled(whole, k), cell, tx, ty, k > 1)
+        made = [(cell, tx, ty, content)] if content else []
+        columns = zip(*made, strict=True) if made else ([], [], [], [])
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], ["cell", "tx", "ty", "content"])
+
+    return rows.groupBy("cell", "tx", "ty").applyInArrow(run, "cell int, tx int, ty int, content binary")
 
 
 def build_tiles(wanted: DataFrame, done: DataFrame, source: DataFrame, edges: dict[int, int] = EDGES, refined: dict[int, int] = REFINED) -> DataFrame:
-    """(cell, tx, ty, content) of the wanted tiles that are not done (cell, tx, ty) yet; tiles without a live cell are left out.
+    """build_from_blocks of a source (level, row, col, v) that comes cell by cell, counted from the grid's anchor; nodata is null.
 
-    Tiles that are done are taken away before any cell is read. A tile's cells meet in one task: a bounded number.
+    Only cells of blocks that a tile needs are put into blocks.
     """
-    todo = wanted.select("cell", "tx", "ty").join(done.select("cell", "tx", "ty"), ["cell", "tx", "ty"], "left_anti")
-    edge = F.coalesce(*(F.when(F.col("cell") == c, F.lit(e)) for c, e in edges.items()))
-    pooled = F.coalesce(*(F.when(F.col("cell") == c, F.lit(refined.get(c, c) < c)) for c in edges))
-    cells = cut_tiles(todo, source, edges, refined).where("v IS NOT NULL")
-    at = F.struct((F.col("row") * edge + F.col("col")).cast("int").alias("k"), F.col("v").alias("v"))
-    tiles = cells.groupBy("cell", "tx", "ty").agg(F.map_from_entries(F.collect_list(at)).alias("held"))
-    numbers = F.sequence(F.lit(0), (edge * edge - 1).cast("int"))
-    shaped = tiles.select(
-        F.col("cell").cast("int").alias("cell"), F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), edge.cast("int").alias("width"), edge.cast("int").alias("height"),
-        pooled.alias("pooled"), F.transform(numbers, lambda k: F.try_element_at("held", k)).alias("v"),
-    )
-    return raster.encode_tiles(shaped)
+    todo = wanted.select("cell", "tx", "ty").distinct().join(done.select("cell", "tx", "ty"), ["cell", "tx", "ty"], "left_anti")
+    needed = _blocks_of_tiles(todo, edges, refined, BLOCK_EDGE).select("level", "bx", "by").distinct()
+    numbered = source.withColumns({"bx": F.floor(F.col("col") / BLOCK_EDGE), "by": F.floor(F.col("row") / BLOCK_EDGE)})
+    cells = numbered.join(needed, ["level", "bx", "by"], "left_semi").select("level", "row", "col", "v")
+    return build_from_blocks(todo, done.limit(0), raster.blocks(cells, BLOCK_EDGE), BLOCK_EDGE, edges, refined)
+
+
+def tiles_of_source(source: DataFrame, edges: dict[int, int] = EDGES, refined: dict[int, int] = REFINED) -> DataFrame:
+    """(cell, tx, ty): the tiles in which a source (level, row, col, v) has a live cell."""
+    found = None
+    for cell, edge in edges.items():
+        level = refined.get(cell, cell)
+        span = edge * (cell // level)
+        own = source.where((F.col("level") == level) & F.col("v").isNotNull())
+        tiles = own.select(F.lit(cell).alias("cell"), F.floor(F.col("col") / span).alias("tx"), F.floor(F.col("row") / span).alias("ty")).distinct()
+        found = tiles if found is None else found.unionByName(tiles)
+    return found
 
 
 def tile_cells(tiles: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geo
 from terravane.operators import catalogue, raster, sweep, terrain
+from terravane.operators import prominence as prominence_of
 from terravane.plans import views
 from terravane.plans.registry import query
 from terravane.plans.views import LAND, OBSERVERS, PLACES, SMALL_CELLS, table
@@ -30,7 +31,6 @@ def full_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES, _REFINED = {10: 16, 20: 16}, {10: 5}
-_WANTED = "(SELECT unnest([10, 20]) AS cell)"
 _CUT = f"""land AS ({LAND}), c10 AS (SELECT 10 AS cell, col // 2 AS c, row // 2 AS r, max(v) AS v FROM land GROUP BY ALL), c20 AS (SELECT 20 AS cell, col AS c, row AS r, v FROM land),
 cut AS (SELECT cell, c // 16 AS tx, r // 16 AS ty, r % 16 AS row, c % 16 AS col, v FROM (SELECT * FROM c10 UNION ALL SELECT * FROM c20))"""
 
@@ -41,35 +41,72 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str, done: DataFrame) -> DataFrame:
-    wanted = _source(spark, sf_dir).select(F.explode(F.array(F.lit(10), F.lit(20))).alias("cell"), (F.col("col") % 16).alias("tx"), (F.col("row") % 4).alias("ty")).distinct()
-    return terrain.build_tiles(wanted, done, _source(spark, sf_dir), _EDGES, _REFINED)
+    source = _source(spark, sf_dir)
+    return terrain.build_tiles(terrain.tiles_of_source(source, _EDGES, _REFINED), done, source, _EDGES, _REFINED)
 
 
-@query(
-    "tile_build",
-    f"""WITH {_CUT}, q AS (SELECT cell, tx, ty, greatest(-32767, least(32767, round_even(v * 4, 0)))::BIGINT AS q FROM cut WHERE tx < 16 AND ty < 4 AND NOT (tx = 1 AND ty = 0))
-    SELECT cell::INT AS cell, tx::INT AS tx, ty::INT AS ty, min(q)::INT AS least, max(q)::INT AS most, count(*) AS live, sum(q)::BIGINT AS total, cell = 10 AS pooled FROM q GROUP BY cell, tx, ty""",
-)
-def tile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles that are not done yet, pooled, quantised and encoded, then decoded again: their headers and sums."""
-    done = spark.range(1).select(F.explode(F.array(F.lit(10), F.lit(20))).alias("cell"), F.lit(1).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"))
-    decoded = raster.decode_tiles(_built(spark, sf_dir, done))
+def _figures(built: DataFrame) -> DataFrame:
+    decoded = raster.decode_tiles(built)
     live = F.filter("v", lambda x: x.isNotNull())
     return decoded.select("cell", "tx", "ty", "least", "most", F.size(live).cast("long").alias("live"), F.aggregate(live, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), "pooled")
 
 
+_QUANTISED = f"WITH {_CUT}, q AS (SELECT cell, tx, ty, greatest(-32767, least(32767, round_even(v * 4, 0)))::BIGINT AS q FROM cut)"
+_FIGURES = "cell::INT AS cell, tx::INT AS tx, ty::INT AS ty, min(q)::INT AS least, max(q)::INT AS most, count(*) AS live, sum(q)::BIGINT AS total, cell = 10 AS pooled FROM q"
+
+
+@query("tile_build", f"{_QUANTISED} SELECT {_FIGURES} WHERE NOT (tx = 1 AND ty = 0) GROUP BY cell, tx, ty")
+def tile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiles of the land that are not done yet, pooled, quantised and encoded, then decoded again: their headers and sums."""
+    done = spark.range(1).select(F.explode(F.array(F.lit(10), F.lit(20))).alias("cell"), F.lit(1).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"))
+    return _figures(_built(spark, sf_dir, done))
+
+
+_NEAR = ((400, 10, 16), (1500, 20, 16))
+
+
+def _cover_sql(outer: int, inner: int, cell: int) -> str:
+    s = cell * 16
+    near = f"greatest(tx * {s} - e, e - (tx + 1) * {s}, 0) ** 2 + greatest(ty * {s} - ({_N} - n), {_N} - n - (ty + 1) * {s}, 0) ** 2"
+    far = f"greatest(abs(tx * {s} - e), abs((tx + 1) * {s} - e)) ** 2 + greatest(abs(ty * {s} - ({_N} - n)), abs((ty + 1) * {s} - ({_N} - n))) ** 2"
+    return f"SELECT cell, tx, ty FROM held, o WHERE cell = {cell} AND {near} <= {outer} ** 2 AND {far} > {inner} ** 2"
+
+
+@query(
+    "observer_build",
+    f"""{_QUANTISED}, o AS ({OBSERVERS}), held AS (SELECT DISTINCT cell, tx, ty FROM q), w AS (SELECT DISTINCT * FROM ({_cover_sql(400, 0, 10)} UNION ALL {_cover_sql(1500, 400, 20)}))
+    SELECT {_FIGURES} JOIN w USING (cell, tx, ty) GROUP BY cell, tx, ty""",
+)
+def observer_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of the rings around observers, built from the land's own levels."""
+    cover = terrain.observer_cover(views.observers(spark, sf_dir), _NEAR)
+    empty = spark.createDataFrame([], "cell int, tx long, ty long")
+    return _figures(terrain.build_tiles(cover, empty, _source(spark, sf_dir), _EDGES, _REFINED))
+
+
+@query("national_build", f"{_QUANTISED}, t AS (SELECT {_FIGURES} GROUP BY cell, tx, ty) SELECT cell, count(*) AS tiles, sum(live)::BIGINT AS live, sum(total)::BIGINT AS total, min(least) AS least, max(most) AS most FROM t GROUP BY cell")
+def national_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiles that meet the land's extent, dealt to shards and built: figures by cell size."""
+    east, south = _source(spark, sf_dir).where("level = 20").agg(F.max("col"), F.max("row")).first()
+    extent = (0, raster.ANCHOR_NORTH - 20 * ((south or 0) + 1), 20 * ((east or 0) + 1), raster.ANCHOR_NORTH)
+    cover = terrain.full_cover(spark, extent, {c: e for c, e in _EDGES.items()}, shards=16)
+    empty = spark.createDataFrame([], "cell int, tx long, ty long")
+    built = _figures(terrain.build_tiles(cover, empty, _source(spark, sf_dir), _EDGES, _REFINED))
+    return built.groupBy("cell").agg(F.count("*").alias("tiles"), F.sum("live").alias("live"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 @query(
     "tile_index_totals",
-    f"""WITH {_CUT}, t AS (SELECT DISTINCT cell, tx, ty FROM cut WHERE tx < 16 AND ty < 4), w AS (SELECT cell, x AS tx, y AS ty FROM {_WANTED}, (SELECT unnest(range(0, 8)) AS x), (SELECT unnest(range(0, 4)) AS y))
-    SELECT w.cell, count(*) AS tiles, count(t.tx) AS held, count(t.tx) = (SELECT count(*) FROM t WHERE t.tx < 8 AND (t.cell = w.cell OR w.cell IS NULL)) AS complete FROM w LEFT JOIN t USING (cell, tx, ty) GROUP BY ROLLUP (w.cell)""",
+    f"""WITH {_CUT}, t AS (SELECT DISTINCT cell, tx, ty FROM cut), w AS (SELECT DISTINCT cell, tx + d AS tx, ty FROM t, (SELECT unnest([0, 1]) AS d))
+    SELECT w.cell, count(*) AS tiles, count(t.tx) AS held, count(t.tx) = (SELECT count(*) FROM t WHERE t.cell = w.cell OR w.cell IS NULL) AS complete FROM w LEFT JOIN t USING (cell, tx, ty) GROUP BY ROLLUP (w.cell)""",
 )
 def tile_index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the tiles wanted, how many of each cell size, and in all, an index of what was built holds."""
+    """Of the tiles wanted, the land's and their eastern neighbours, how many of each cell size, and in all, an index of what was built holds."""
     index = _built(spark, sf_dir, spark.createDataFrame([], "cell int, tx long, ty long")).select("cell", "tx", "ty", F.octet_length("content").alias("bytes"))
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    wanted = spark.range(1).select(F.explode(F.array(F.lit(10), F.lit(20))).alias("cell")).withColumn("tx", span(8)).withColumn("ty", span(4))
+    tiles = terrain.tiles_of_source(_source(spark, sf_dir), _EDGES, _REFINED)
+    wanted = tiles.withColumn("tx", F.explode(F.array(F.col("tx"), F.col("tx") + 1))).distinct()
     totals = terrain.ring_totals(wanted, index)
-    held = index.where("tx < 8").rollup("cell").agg(F.count("*").alias("n"))
+    held = index.rollup("cell").agg(F.count("*").alias("n"))
     return totals.alias("t").join(held.alias("h"), F.col("t.cell").eqNullSafe(F.col("h.cell")), "left").select("t.cell", "tiles", "held", (F.col("held") == F.coalesce("n", F.lit(0))).alias("complete"))
 
 
@@ -175,6 +212,12 @@ def max_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("level").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("total"), F.max("v").alias("most"))
 
 
+@query("prominence")
+def prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of the land with 30 m of prominence and more, by merge trees of its tiles; those at its edge are open."""
+    return prominence_of.prominences(views.land(spark, sf_dir), 64, 30.0)
+
+
 _BINS = 36
 _SWEEP = f"""WITH c AS ({SMALL_CELLS}), o AS ({OBSERVERS}),
 g AS (SELECT o.id, arg_min(q / 4.0::DOUBLE, cell) AS ground FROM o JOIN c ON floor(e / cell) = tx * 64 + col AND floor(({_N} - n) / cell) = ty * 64 + row GROUP BY o.id),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane.operators import raster
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,10 +93,9 @@ OBSERVERS = """SELECT r_regionkey::BIGINT AS id, 323.0::DOUBLE + r_regionkey * 2
 def small_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, tx, ty, width, height, scale, v) of the small country, v in quarter metres; cells that aren't there are null."""
     q = F.greatest(F.lit(-32767), F.least(F.lit(32767), F.rint(F.col("v") / 400 * 4))).cast("int")
-    cells = grid(spark, sf_dir).select("tile", (F.col("row") * 64 + F.col("col")).cast("int").alias("k"), q.alias("q"))
-    held = cells.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("held"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), lambda k: F.try_element_at("held", k))
-    return held.select(F.explode(F.array(F.lit(10), F.lit(20))).alias("cell"), F.col("tile").alias("tx"), F.lit(0).cast("long").alias("ty"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.lit(4).alias("scale"), v.alias("v"))
+    cells = grid(spark, sf_dir).select("tile", (F.col("row") * 64 + F.col("col")).alias("k"), q.alias("q"))
+    held = raster.scattered(cells, ["tile"], "k", "q", 64 * 64, "int")
+    return held.select(F.explode(F.array(F.lit(10), F.lit(20))).alias("cell"), F.col("tile").alias("tx"), F.lit(0).cast("long").alias("ty"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.lit(4).alias("scale"), "v")
 
 
 SMALL_CELLS = f"SELECT unnest([10, 20]) AS cell, tile AS tx, 0::BIGINT AS ty, row, col, greatest(-32767, least(32767, round_even(v / 400 * 4, 0)))::INT AS q FROM ({GRID})"
