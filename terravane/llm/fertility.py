@@ -2,9 +2,9 @@
 
 Public vocabularies measure each text: characters per byte-level BPE token, characters per piece and
 the share of byte-fallback pieces of a sentence-piece vocabulary, and the entropy of the BPE tokens. A
-text is rejected if a figure lies outside the band of its language, or of its script where the language
-is rare or unknown. Bands are the corpus's own: median plus or minus a multiple of the spread between
-its quartiles, and never narrower than a share of the median.
+text is rejected if a figure lies outside the band of its language, or of its script where the language is
+unknown; the quartiles of rare ones are drawn toward the script's. Bands are the corpus's own: median plus or minus a
+multiple of the spread between its quartiles, and never narrower than a share of the median.
 """
 
 from __future__ import annotations
@@ -15,20 +15,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terravane.llm import bpe
-from terravane.llm.common import free_name, held, map_columns
+from terravane.llm.common import checkpointed, free_name, held, map_columns
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW_WORDS = 8
-#: Languages that get a band of their own, most rows first; the rest is judged by script.
-LANGUAGES = 512
-#: Rows that a language or script needs for a band of its own.
-LEAST_ROWS = 50
+#: Rows of the wider group that a language's and a script's quartiles are drawn toward.
+BORROWED = 50
+#: Languages that are broadcast; with more the join is shuffled. The same rows come back either way.
+BROADCAST_LANGUAGES = 10_000
 
 MEASURES = {
     "n_words": "long",
@@ -171,59 +170,68 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def bands(measured: DataFrame, lang: str = "lang") -> list[dict]:
-    """The bands of the LANGUAGES most frequent languages and of all scripts: at most so many rows, on the driver.
+def _limits(quartiles: dict[str, Column]) -> Column:
+    """A struct of the bounds of each figure (null: none), from its quartiles <figure>_0 to <figure>_2."""
+    sides = []
+    for m, rule in BANDS.items():
+        low, middle, high = (quartiles[f"{m}_{k}"] for k in range(3))
+        half = F.greatest(rule.spreads * (high - low) / 1.349, rule.least_share * F.abs(middle), F.lit(float(rule.least)))
+        none = F.lit(None).cast("double")
+        sides += [(middle - half if rule.below else none).alias(f"{m}_from"), (middle + half if rule.above else none).alias(f"{m}_to")]
+    return F.struct(*sides)
 
-    They are taken over all rows that pass the base rules. Groups of fewer than LEAST_ROWS rows have none.
+
+def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
+    """(kind, name, n, <figure>_0, _1, _2): quartiles of each language, of each script and of all rows that pass the base rules.
+
+    kind is lang, script or all. Figures are rounded to thousandths and counted, so that quartiles are exact and a rerun finds
+    the same ones; a group has as many distinct values as the figures' range has thousandths. No group is left out. Rows with a
+    null language count for their script and for all.
     """
-    rows = measured.where(~base_failed())
-    groups = F.explode(F.array(F.struct(F.lit("lang").alias("kind"), F.col(lang).cast("string").alias("name")), F.struct(F.lit("script").alias("kind"), F.col("script").alias("name"))))
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in BANDS]
-    found = (
-        rows.withColumn("g", groups)
-        .where("g.name IS NOT NULL")
-        .groupBy("g.kind", "g.name")
-        .agg(F.count("*").alias("n"), *quartiles)
-        .where(F.col("n") >= LEAST_ROWS)
-        .orderBy(F.desc("n"), "kind", "name")
-        .limit(LANGUAGES + len(SCRIPTS) + 1)
-        .collect()
-    )
-    out = []
-    for row in found:
-        band = {"kind": row["kind"], "name": row["name"]}
-        for m, rule in BANDS.items():
-            low, middle, high = row[m]
-            half = max(rule.spreads * (high - low) / 1.349, rule.least_share * abs(middle), rule.least)
-            band[f"{m}_from"] = middle - half if rule.below else None
-            band[f"{m}_to"] = middle + half if rule.above else None
-        out.append(band)
-    return out
-
-
-def judge(measured: DataFrame, found: list[dict], lang: str = "lang") -> DataFrame:
-    """measured with base_failed and kept.
-
-    A row whose language and script have no band is judged by the base rules alone. A figure that is
-    null is in every band. Columns of measured named base_failed or kept are replaced, others stay.
+    groups = F.explode(F.array(F.struct(F.lit("lang").alias("kind"), F.col(lang).cast("string").alias("name")), F.struct(F.lit("script").alias("kind"), F.col("script").alias("name")), F.struct(F.lit("all").alias("kind"), F.lit("").alias("name"))))
+    figures = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.floor(F.col(m) * 1000 + 0.5).alias("v")) for m in BANDS)))
+    rows = measured.where(~base_failed()).select(groups.alias("g"), *BANDS).where("g.name IS NOT NULL").select("g.kind", "g.name", figures.alias("f"))
+    counts = rows.where("f.v IS NOT NULL").groupBy("kind", "name", F.col("f.m").alias("m"), F.col("f.v").alias("v")).agg(F.count("*").alias("c"))
+    group = Window.partitionBy("kind", "name", "m")
+    placed = counts.withColumn("upto", F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(group))
+    found = placed.groupBy("kind", "name", "m").agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * q), F.col("v") / 1000)).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))))
+    own = [F.max(F.when(F.col("m") == m, F.col(f"q{k}"))).alias(f"{m}_{k}") for m in BANDS for k in range(3)]
+    return found.groupBy("kind", "name").agg(F.max("n").alias("n"), *own)
+
+
+def judge(measured: DataFrame, found: DataFrame, lang: str = "lang") -> DataFrame:
+    """measured with base_failed and kept, by the quartiles that bands found.
+
+    A script's quartiles are drawn toward those of all rows, and a language's toward its row's script's, as if each had
+    BORROWED rows of these: a group's own count however few its rows are, and no row more or less makes another rule
+    apply. Rows with a null language are judged by their script. A figure that is null is in every band. Columns of
+    measured named base_failed or kept are replaced, others stay. Repeated rows each come back; an empty table gives
+    an empty result.
     """
-    sides = [f"{m}_{side}" for m in BANDS for side in ("from", "to")]
-    schema = T.StructType([T.StructField("band_name", T.StringType()), *(T.StructField(s, T.DoubleType()) for s in sides)])
-    spark = measured.sparkSession
-
+    found = checkpointed(found)
+    quartiles = [f"{m}_{k}" for m in BANDS for k in range(3)]
+    all_rows = found.where("kind = 'all'").first()
+    failed = base_failed()
+    if all_rows is None:  # no row passes
+        return measured.withColumn("base_failed", failed).withColumn("kept", F.lit(False))
     names = {kind: (free_name(measured, f"{kind}_band"), free_name(measured, f"{kind}_limits")) for kind in ("lang", "script")}
-
-    def of(kind: str) -> DataFrame:
-        rows = [(b["name"], *(b[s] for s in sides)) for b in found if b["kind"] == kind]
-        band, limits = names[kind]
-        return F.broadcast(spark.createDataFrame(rows, schema).select(F.col("band_name").alias(band), F.struct(*sides).alias(limits)))
-
     joined = measured
-    for kind, column in (("lang", lang), ("script", "script")):
-        joined = joined.join(of(kind), F.col(f"`{column}`").cast("string") == F.col(names[kind][0]), "left")
-    limits = F.coalesce(*(n[1] for n in names.values()))
+    for kind, column, most in (("lang", lang, BROADCAST_LANGUAGES), ("script", "script", len(SCRIPTS) + 1)):
+        band, held_ = names[kind]
+        side = found.where(F.col("kind") == kind).select(F.col("name").alias(band), F.struct("n", *quartiles).alias(held_))
+        side = F.broadcast(side) if side.limit(most + 1).count() <= most else side
+        joined = joined.join(side, F.col(f"`{column}`").cast("string") == F.col(band), "left")
+
+    def drawn(kind: str, toward: dict[str, Column]) -> dict[str, Column]:
+        own = F.col(f"`{names[kind][1]}`")
+        n = own["n"].cast("double")
+        return {q: F.coalesce((n * own[q] + BORROWED * toward[q]) / (n + BORROWED), toward[q]) for q in quartiles}
+
+    script = drawn("script", {q: F.lit(all_rows[q]).cast("double") for q in quartiles})
+    limits = free_name(joined, "limits")
     inside = F.lit(True)
     for m in BANDS:
-        inside = inside & F.coalesce(F.col(m) >= limits[f"{m}_from"], F.lit(True)) & F.coalesce(F.col(m) <= limits[f"{m}_to"], F.lit(True))
-    failed = base_failed()
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop(*(c for n in names.values() for c in n))
+        at = F.col(f"`{limits}`")
+        inside = inside & F.coalesce(F.col(m) >= at[f"{m}_from"], F.lit(True)) & F.coalesce(F.col(m) <= at[f"{m}_to"], F.lit(True))
+    judged = joined.withColumn(limits, _limits(drawn("lang", script)))
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop(limits, *(c for n in names.values() for c in n))

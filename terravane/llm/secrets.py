@@ -142,19 +142,19 @@ def _first(strings: DataFrame) -> DataFrame:
 def samples(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Labelled strings (value, label) of a corpus, for `train`; spans is docs' base_spans in a column `base`.
 
-    Label 1: what the fixed patterns found, and digests of the keys of the sampled documents written in hexadecimal, base 64
-    and its variant for addresses. Label 0: the sampled documents' words and numbers outside these spans, alone and joined as
-    identifiers are (a_b, a-b, a/b, aB), and plain numbers from digests of the keys. SAMPLE_DOCUMENTS documents, those of
+    Label 1: what the fixed patterns found, and digests of the keys of the sampled documents written in hexadecimal of either case, base 64
+    and its variant for addresses. Label 0: the sampled documents' words and numbers outside these spans and outside what the models
+    would judge, alone and joined as identifiers are (a_b, a-b, a/b, aB), and plain numbers from digests of the keys. SAMPLE_DOCUMENTS documents, those of
     the smallest hashes, are sampled, and SAMPLE_STRINGS found strings and pairs of words at most.
     """
     known = spans.select(F.explode("base").alias("s")).select(
         F.when(F.col("s.rank") == 0, F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value")).alias("value")
     )
-    ids = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id")).distinct().orderBy(F.md5("id"), "id").limit(SAMPLE_DOCUMENTS)
+    ids = docs.select(F.coalesce(F.col(key).cast("string"), F.md5(text), F.lit("")).alias("id")).distinct().orderBy(F.md5("id"), "id").limit(SAMPLE_DOCUMENTS)
     digest = F.base64(F.unhex(F.sha2(F.concat(F.lit("random "), F.col("id")), 256)))
-    random = ids.select(F.explode(F.array(F.sha1("id"), digest, F.translate(digest, "+/=", "-_"), F.regexp_replace(digest, "[+/=]", ""))).alias("value"))
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ASSIGN, " "), f"{ACCESS}|[0-9a-f]{{{HEX_CHARS},}}", " ")
-    chosen = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    random = ids.select(F.explode(F.array(F.sha1("id"), F.upper(F.sha1("id")), digest, F.translate(digest, "+/=", "-_"), F.regexp_replace(digest, "[+/=]", ""))).alias("value"))
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ASSIGN, " "), TOKEN, " ")
+    chosen = docs.select(F.coalesce(F.col(key).cast("string"), F.md5(text), F.lit("")).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
     words = chosen.select(F.regexp_extract_all(clean, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
     two = F.zip_with("w", F.concat(F.slice("w", 2, F.size("w")), F.slice("w", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     a, b = F.col("p.a"), F.col("p.b")

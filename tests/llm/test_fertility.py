@@ -86,24 +86,29 @@ def test_verdicts_as_counted_plainly(spark):
         if passed[i]:
             for g in (("lang", lang), ("script", fertility.script_of(text))):
                 groups.setdefault(g, []).append(i)
-    bands = {}
-    for g, members in groups.items():
-        if g[1] is None or len(members) < fertility.LEAST_ROWS:
-            continue
-        bands[g] = []
-        for k, rule in enumerate(fertility.BANDS.values()):
-            x = sorted(figures[i][k] for i in members)
-            low, middle, high = (x[max(0, math.ceil(q * len(x)) - 1)] for q in (0.25, 0.5, 0.75))
+    groups["all", ""] = [i for i in passed if passed[i]]
+    rounded = lambda x: math.floor(x * 1000 + 0.5) / 1000
+    quartiles = {g: [[sorted(rounded(figures[i][k]) for i in members)[max(0, math.ceil(q * len(members)) - 1)] for q in (0.25, 0.5, 0.75)] for k in range(len(fertility.BANDS))] for g, members in groups.items()}
+
+    def drawn(g, toward):
+        if g not in quartiles:
+            return toward
+        n, more = len(groups[g]), fertility.BORROWED
+        return [[(n * x + more * y) / (n + more) for x, y in zip(own, wide, strict=True)] for own, wide in zip(quartiles[g], toward, strict=True)]
+
+    def band(lang, text):
+        out = []
+        for (low, middle, high), rule in zip(drawn(("lang", lang), drawn(("script", fertility.script_of(text)), quartiles["all", ""])), fertility.BANDS.values(), strict=True):
             half = max(rule.spreads * (high - low) / 1.349, rule.least_share * abs(middle), rule.least)
-            bands[g].append((middle - half if rule.below else -math.inf, middle + half if rule.above else math.inf))
+            out.append((middle - half if rule.below else -math.inf, middle + half if rule.above else math.inf))
+        return out
+
     found = measured(spark, docs)
     got = {r["doc_id"]: r for r in fertility.judge(found, fertility.bands(found)).collect()}
-    assert any(g[0] == "lang" for g in bands) and any(g[0] == "script" for g in bands)
     for i, lang, text, _ in docs:
         if i in figures:
             assert [got[i][m] for m in fertility.BANDS] == pytest.approx(list(figures[i]))
-        band = bands.get(("lang", lang), bands.get(("script", fertility.script_of(text or "")), []))
-        inside = all(a <= f <= b for f, (a, b) in zip(figures.get(i, ()), band, strict=False))
+        inside = all(a <= f <= b for f, (a, b) in zip(figures.get(i, ()), band(lang, text or ""), strict=False))
         assert (got[i]["base_failed"], got[i]["kept"]) == (not passed[i], passed[i] and inside), i
 
 
@@ -111,3 +116,23 @@ def test_columns_named_as_the_bands(spark):
     found = measured(spark, [(1, "en", "word " * 30, 0)]).selectExpr("*", "1 AS lang_band", "2 AS script_band", "3 AS lang_limits")
     row = fertility.judge(found, fertility.bands(found)).first()
     assert (row["lang_band"], row["script_band"], row["lang_limits"]) == (1, 2, 3)
+
+
+def test_many_languages_and_a_rare_script(spark):
+    """Six hundred languages and a script of one text more than none: each has quartiles, none is judged by chance of its rank."""
+    rows = [(k, f"l{k % 600}", " ".join(f"word{(k * 31 + j) % 97}" for j in range(40)), 0) for k in range(1800)]
+    rows += [(5000 + k, None, "ภาษา ไทย " * 30, 0) for k in range(3)] + [(6000, "l1", " ".join(f"{j * 7919 % 99991:x}\U0001f9ff" for j in range(60)), 0)]
+    found = measured(spark, rows)
+    bands = {(r["kind"], r["name"]): r["n"] for r in fertility.bands(found).collect()}
+    assert sum(kind == "lang" for kind, _ in bands) == 600
+    assert ("script", "Latin") in bands and ("all", "") in bands and bands["lang", "l7"] == 3
+    few = {r["doc_id"]: r["kept"] for r in fertility.judge(found, fertility.bands(found)).collect()}
+    assert all(few[k] for k in range(1800)) and not few[6000]
+    again = {r["doc_id"]: r["kept"] for r in fertility.judge(found.repartition(7), fertility.bands(found.repartition(3))).collect()}
+    assert few == again
+
+
+def test_no_row_passes(spark):
+    found = measured(spark, [(1, "en", "few words", 0), (2, None, None, 0)])
+    assert [r["kept"] for r in fertility.judge(found, fertility.bands(found)).collect()] == [False, False]
+    assert fertility.judge(found.limit(0), fertility.bands(found.limit(0))).count() == 0
