@@ -13,8 +13,17 @@ BINS, FLOOR_DEG, SPACING_DEG = 3600, -6.0, 0.02
 SKIP_FROM_M = 15_000.0
 
 
+def distance_list(bands=BANDS, reach: float | None = None) -> list[int]:
+    """The distances at which a ray is sampled, up to its reach."""
+    start, found = 0, []
+    for to, step in bands:
+        found += range(start + step, (to if reach is None else min(to, int(reach))) + 1, step)
+        start = to
+    return found
+
+
 def distances(bands=BANDS, reach: float | None = None) -> Column:
-    """The distances at which a ray is sampled, up to its reach, as an array of doubles."""
+    """distance_list as an array of doubles."""
     start, parts = 0, []
     for to, step in bands:
         last = to if reach is None else min(to, int(reach))
@@ -53,7 +62,9 @@ def thinned(steps: DataFrame, ray: str = "bin", order: str = "d", angle: str = "
     rises = lambda kept, s: (F.size(kept) == 0) | (s["a"] > F.when(F.size(kept) > 0, last(kept)["a"]) + spacing)
     kept = F.aggregate(typed, none, lambda kept, s: F.when(rises(kept, s), F.array_append(kept, s)).otherwise(kept))
     end = F.element_at(typed, -1)
-    whole = F.when(F.rint(last(kept)["a"] * 100) != F.rint(end["a"] * 100), F.array_append(kept, end)).otherwise(kept)
+    # Halves up, as the steps are stored.
+    centi = lambda a: F.floor(a * 100 + 0.5)
+    whole = F.when(centi(last(kept)["a"]) != centi(end["a"]), F.array_append(kept, end)).otherwise(kept)
     return sorted_.select(ray, F.explode(whole).alias("s")).select(ray, F.col("s.d").alias(order), F.col("s.a").alias(angle))
 
 
