@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from terravane.llm.common import map_columns
+from terravane.llm.spelling import CRC32_SQL, crc32_sql
 from terravane.llm.words import POWERS, mixed
 
 LEAST_LENGTH = 6
@@ -121,3 +122,24 @@ def find_runs(df: DataFrame, text: str = "text", least_length: int = LEAST_LENGT
         return {runs: pa.array(spans, kind), collapsed: pa.array(left, pa.string())}
 
     return map_columns(df, [text], {runs: "array<struct<start:long,length:long,period:long>>", collapsed: "string"}, rows, without)
+
+
+#: The query's rows: equal words a period apart, in stretches of consecutive places.
+ORACLE = f"""
+WITH {CRC32_SQL},
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {crc32_sql("coalesce(doc_id::VARCHAR, '')")}::BIGINT AS h FROM documents, crc),
+sized AS (SELECT *, len(w)::BIGINT AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM docs),
+planted AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized),
+words AS (SELECT r, n, unnest(range(n)) AS i, unnest(CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END) AS word FROM planted),
+equal AS (SELECT x.r, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // {LEAST_EXPONENT}),
+placed AS (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS g FROM equal),
+stretches AS (SELECT r, p, min(i) AS start, count(*) + p AS length FROM placed GROUP BY r, p, g HAVING count(*) + p >= greatest({LEAST_LENGTH}, {LEAST_EXPONENT} * p)),
+runs AS (SELECT r, start, length, min(p) AS period FROM stretches GROUP BY ALL),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, t.start::BIGINT AS start, t.length::BIGINT AS length, t.period::BIGINT AS period, (1000 * t.length // t.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l USING (r) LEFT JOIN top t USING (r) LEFT JOIN kept k USING (r)
+"""

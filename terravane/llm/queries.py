@@ -158,4 +158,4 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_logbilinear": op1_logbilinear, "op2_fertility": op2_fertility, "op3_rotated_codes": op3_rotated_codes, "op4_conversations": op4_conversations, "op5_pseudonyms": op5_pseudonyms, "op6_mixing": op6_mixing, "op7_compression": op7_compression, "op8_simhash": op8_simhash, "op9_byte_bpe": op9_byte_bpe, "op10_substrings": op10_substrings, "op11_spelling": op11_spelling, "op12_periodic": op12_periodic, "op13_secrets": op13_secrets}
-ORACLE_SQL = {"op3_rotated_codes": rotated.ORACLE, "op4_conversations": conversations.ORACLE, "op6_mixing": mixing.ORACLE, "op11_spelling": spelling.ORACLE}
+ORACLE_SQL = {"op3_rotated_codes": rotated.ORACLE, "op4_conversations": conversations.ORACLE, "op6_mixing": mixing.ORACLE, "op11_spelling": spelling.ORACLE, "op12_periodic": periodic.ORACLE, "op13_secrets": secrets.ORACLE}

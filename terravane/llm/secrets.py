@@ -195,3 +195,52 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
     """docs without the text, with base and spans (see `add_spans`); without a model one is trained on the corpus itself."""
     spans = found(docs, text)
     return add_spans(spans, model or train(samples(docs, spans, key, text)))
+
+
+def _places_sql(pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
+    """(r, start, rank, end_, value) of the matches of a pattern in docs (r, t): gaps and matches in turn, summed by a window."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT r, before + gap AS start, {kind} AS rank, before + gap + length(value) AS end_, value FROM (
+        SELECT r, value, length(part) AS gap, own, sum(length(part) + coalesce(length(value), 0)) OVER (PARTITION BY r ORDER BY k) - length(part) - coalesce(length(value), 0) AS before
+        FROM (SELECT r, unnest(range(len(parts))) AS k, unnest(parts) AS part, unnest(list_concat(found, [NULL])) AS value, unnest(list_concat(owns, [NULL])) AS own
+              FROM (SELECT r, string_split_regex(t, '{quoted}') AS parts, regexp_extract_all(t, '{quoted}') AS found, regexp_extract_all(t, '{quoted}', {group}) AS owns FROM docs)))
+        WHERE value IS NOT NULL AND length(own) >= {least}"""
+
+
+def _listed_sql(rows: str) -> str:
+    names = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))
+    return f"(SELECT r, string_agg(CASE rank {names} END || ':' || start::BIGINT || ':' || end_::BIGINT, ',' ORDER BY start, rank, end_) AS listed FROM {rows} GROUP BY r)"
+
+
+def _chosen_sql(key: str = "doc_id", text: str = "text") -> str:
+    return f"coalesce({key}::VARCHAR, md5({text}), '')"
+
+
+_WIDTH = len(SYMBOLS) + 1
+#: The query's rows, the models counted from the same samples.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_chosen_sql()} AS id FROM documents),
+base AS ({_places_sql(ASSIGN, 0, 2, ASSIGN_CHARS)} UNION ALL {_places_sql(ACCESS, 1, 0, ACCESS_CHARS)} UNION ALL {_places_sql(HEX, 2, 0, HEX_CHARS)}),
+tokens AS ({_places_sql(TOKEN, 3)}),
+known AS (SELECT DISTINCT CASE WHEN rank = 0 THEN regexp_extract(value, '{ASSIGN.replace("'", "''")}', 2) ELSE value END AS value FROM base),
+ids AS (SELECT DISTINCT id, md5(id) AS m FROM docs ORDER BY m, id LIMIT {SAMPLE_DOCUMENTS}),
+digests AS (SELECT id, base64(unhex(sha256('random ' || id))) AS d FROM ids),
+random AS (SELECT unnest([sha1(id), upper(sha1(id)), d, replace(translate(d, '+/', '-_'), '=', ''), regexp_replace(d, '[+/=]', '', 'g')]) AS value FROM digests),
+words AS (SELECT r, regexp_extract_all(regexp_replace(regexp_replace(t, '{ASSIGN.replace("'", "''")}', ' ', 'g'), '{TOKEN}', ' ', 'g'), '[A-Za-z]+|[0-9]+') AS w FROM docs SEMI JOIN ids USING (id)),
+pairs AS (SELECT DISTINCT unnest(w) AS a, unnest(list_concat(w[2:], w[1:1])) AS b FROM words WHERE len(w) > 0),
+picked AS (SELECT a, b FROM pairs ORDER BY md5(a || ' ' || b), a, b LIMIT {SAMPLE_STRINGS}),
+ordinary AS (SELECT unnest([a, a || '_' || b, a || '-' || b, a || '/' || b, a || upper(b[1]) || lower(b[2:]), a || b]) AS value FROM picked
+             UNION ALL SELECT ('0x' || substr(md5('number ' || id), 1, 15))::BIGINT::VARCHAR FROM ids),
+labelled AS (SELECT DISTINCT value, label FROM (SELECT value, 1 AS label FROM (SELECT value FROM known ORDER BY md5(value), value LIMIT {SAMPLE_STRINGS}) UNION ALL SELECT value, 1 FROM random UNION ALL SELECT value, 0 FROM ordinary) WHERE length(value) > 0),
+symbols AS (SELECT label, list_transform(string_split(value, ''), lambda c: instr('{SYMBOLS}', c)) AS s FROM labelled),
+counted AS (SELECT label, a, b, count(*) AS n FROM (SELECT label, unnest(list_concat([0], s[:-2])) AS a, unnest(s) AS b FROM symbols) GROUP BY ALL),
+cells AS (SELECT y.label, x.a, z.b, coalesce(n, 0) + {PRIOR} AS n FROM (SELECT unnest([0, 1]) AS label) y, (SELECT unnest(range({_WIDTH})) AS a) x, (SELECT unnest(range({_WIDTH})) AS b) z LEFT JOIN counted c ON c.label = y.label AND c.a = x.a AND c.b = z.b),
+logs AS (SELECT label, a, b, ln(n::DOUBLE / sum(n::DOUBLE) OVER (PARTITION BY label, a)) AS l FROM cells),
+ratios AS (SELECT a, b, round(sum(CASE WHEN label = 1 THEN l ELSE -l END), 6) AS x FROM logs GROUP BY a, b),
+scored AS (SELECT v.value, sum(x) AS score FROM (SELECT value, unnest(list_concat([0], s[:-2])) AS a, unnest(s) AS b FROM (SELECT value, list_transform(string_split(value, ''), lambda c: instr('{SYMBOLS}', c)) AS s FROM (SELECT DISTINCT value FROM tokens))) v JOIN ratios USING (a, b) GROUP BY v.value),
+more AS (SELECT t.r, t.start, t.rank, t.end_ FROM tokens t JOIN scored s ON s.value = t.value AND s.score >= {ODDS!r} WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.start <= t.start AND t.end_ <= b.end_)),
+every AS (SELECT r, start, rank, end_ FROM base UNION ALL SELECT * FROM more),
+sums AS (SELECT r, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS c, count(*) FILTER (rank = 2) AS h FROM base GROUP BY r)
+SELECT d.doc_id, coalesce(s.a, 0)::BIGINT AS n_assign, coalesce(s.c, 0)::BIGINT AS n_access, coalesce(s.h, 0)::BIGINT AS n_hex, sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(e.listed, '') AS spans
+FROM docs d LEFT JOIN sums s USING (r) LEFT JOIN {_listed_sql("base")} b USING (r) LEFT JOIN {_listed_sql("every")} e USING (r)
+"""
