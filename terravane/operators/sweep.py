@@ -22,7 +22,8 @@ def bearings(observers: DataFrame, reach: float, bins: int = BINS) -> DataFrame:
     A ray is straight in the grid, from the observer to the end of the geodesic that leaves at its bearing.
     """
     rays = observers.select("id", "lat", "lon").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    rays = rays.withColumn("end", geo.direct(F.col("lat"), F.col("lon"), F.col("bin") * F.lit(360.0 / bins), F.lit(float(reach))))
+    # Stored, so that the geodesic and the projection of its end are expressions of their own: as one they are too long to compile.
+    rays = checkpointed(rays.withColumn("end", geo.direct(F.col("lat"), F.col("lon"), F.col("bin") * F.lit(360.0 / bins), F.lit(float(reach)))))
     e0, n0 = geo.to_grid(F.col("lat"), F.col("lon"))
     e1, n1 = geo.to_grid(F.col("end.lat"), F.col("end.lon"))
     return rays.select("id", "bin", e0.alias("e0"), n0.alias("n0"), ((e1 - e0) / reach).alias("ue"), ((n1 - n0) / reach).alias("un"))
@@ -227,6 +228,6 @@ VIEWPOINT_BINS = 1440
 def viewpoints(observers: DataFrame, tiles: DataFrame, index: DataFrame, bins: int = VIEWPOINT_BINS, bands=BANDS, rings=RINGS) -> DataFrame:
     """(id, hobs, profile) of saved viewpoints (id, lat, lon, eye, override): all are swept at once, each ray a group of its own."""
     e, n = geo.to_grid(F.col("lat"), F.col("lon"))
-    seen = eyes(observers.withColumn("e", e).withColumn("n", n), tiles, rings)
+    seen = checkpointed(eyes(checkpointed(observers).withColumn("e", e).withColumn("n", n), tiles, rings))
     steps = skylines(seen, bearings(seen, rings[-1][0], bins), tiles, index, bands, rings)
     return seen.select("id", "hobs").join(packed(profile(steps), bins), "id")

@@ -274,8 +274,25 @@ def skyline_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.skyline_at(objects, sweep.profile(_steps(spark, sf_dir)), _BINS).select("id", "observer", F.round("skyline", 6).alias("skyline"))
 
 
-@query("sweep_schedule", "SELECT ring, count(*) AS n, max(d) AS most FROM (SELECT d, CASE WHEN d <= 12000 THEN 10 WHEN d <= 35000 THEN 20 WHEN d <= 60000 THEN 50 ELSE 100 END AS ring FROM (SELECT unnest(range(10, 5001, 10))::DOUBLE AS d UNION ALL SELECT unnest(range(5025, 20001, 25)) UNION ALL SELECT unnest(range(20050, 60001, 50)) UNION ALL SELECT unnest(range(60100, 90001, 100)))) GROUP BY ring")
+@query(
+    "sweep_schedule",
+    f"""WITH d AS (SELECT unnest(range(10, 5001, 10))::DOUBLE AS d UNION ALL SELECT unnest(range(5025, 20001, 25)) UNION ALL SELECT unnest(range(20050, 60001, 50)) UNION ALL SELECT unnest(range(60100, 90001, 100)))
+    SELECT id, CASE WHEN d <= 12000 THEN 10 WHEN d <= 35000 THEN 20 WHEN d <= 60000 THEN 50 ELSE 100 END AS ring, count(*) AS n, max(d) AS most, round(max(e + d), 3) AS east FROM d, ({OBSERVERS}) GROUP BY 1, 2""",
+)
 def sweep_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples of a ray by the cell size of their ring."""
-    ray = spark.range(1).select(F.lit(0).alias("id"), F.lit(0).alias("bin"), *(F.lit(0.0).alias(c) for c in ("hobs", "e0", "n0", "ue", "un")))
-    return sweep.samples(ray).groupBy(F.col("cell").alias("ring")).agg(F.count("*").alias("n"), F.max("d").alias("most"))
+    """The samples of each observer's ray to the east by the cell size of their ring."""
+    ray = views.observers(spark, sf_dir).select("id", F.lit(900).alias("bin"), F.lit(0.0).alias("hobs"), F.col("e").alias("e0"), F.col("n").alias("n0"), F.lit(1.0).alias("ue"), F.lit(0.0).alias("un"))
+    return sweep.samples(ray).groupBy("id", F.col("cell").alias("ring")).agg(F.count("*").alias("n"), F.max("d").alias("most"), F.round(F.max("e"), 3).alias("east"))
+
+
+@query("viewpoint_profiles")
+def viewpoint_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skylines by geodesic bearings of all suppliers' places on the land as saved viewpoints, swept tile by tile; tests hold them against one observer at a time."""
+    k = F.col("s_suppkey")
+    e, n = F.lit(101.0) + (k * 29) % 1800, F.lit(float(raster.ANCHOR_NORTH)) - 33 - (k * 17) % 560
+    lat, lon = geo.to_degrees(e, n)
+    where = table(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), lat.alias("lat"), lon.alias("lon"), F.lit(2.0).alias("eye"), F.when(k % 10 == 3, F.lit(150.0)).alias("override"))
+    tiles = views.small_tiles(spark, sf_dir)
+    index = tiles.select("cell", "tx", "ty", (F.array_max("v") / F.col("scale")).alias("most_m"))
+    found = sweep.viewpoints(where, tiles, index, _BINS, views.SMALL_BANDS, views.SMALL_RINGS)
+    return found.select("id", F.round("hobs", 6).alias("hobs"), F.transform("profile", lambda x: x.cast("int")).alias("profile"))

@@ -42,6 +42,12 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark knows; one that is not there is fine."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Rounds:
     """The state of an iteration, written as Parquet in the shared folder in each round and read again.
 
@@ -53,19 +59,15 @@ class Rounds:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.k = spark, f"{_shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
 
-    def _remove(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
     def keep(self, df: DataFrame) -> DataFrame:
         self.k += 1
         path = f"{self.folder}/{self.k}"
         df.write.parquet(path)
         if self.k > 2:
-            self._remove(f"{self.folder}/{self.k - 2}")
+            remove(self.spark, f"{self.folder}/{self.k - 2}")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def last(self, df: DataFrame) -> DataFrame:
         held = checkpointed(df)
-        self._remove(self.folder)
+        remove(self.spark, self.folder)
         return held
