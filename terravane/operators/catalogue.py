@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
-from terravane.operators import fuse, raster, spatial
+from terravane.operators import fuse, order, raster, spatial
 from terravane.session import checkpointed
 from terravane.sources import registers
 
@@ -131,8 +131,8 @@ def closest_pairs(points: DataFrame, radius: float, most: int = 6) -> DataFrame:
 
 def imputed(objects: DataFrame, by: str = "cat", value: str = "height_m") -> DataFrame:
     """objects whose unknown values are the median of their class, with estimated saying where."""
-    medians = objects.groupBy(by).agg(F.median(value).alias("class_median"))
-    joined = objects.join(F.broadcast(medians), by, "left")
+    medians = order.quantiles(objects, by, value, {"class_median": 0.5})
+    joined = objects.join(medians, by, "left")
     missing = F.col(value).isNull() & F.col("class_median").isNotNull()
     return joined.withColumn("estimated", missing).withColumn(value, F.coalesce(value, "class_median")).drop("class_median")
 
@@ -205,9 +205,9 @@ def tier_medians(rows: DataFrame, rank: str, value: str) -> DataFrame:
     """
     counts = rows.groupBy(F.col(rank).alias("r"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
     ranks = counts.select(F.col("r").alias("rank")).distinct()
-    upto = counts.join(F.broadcast(ranks), F.col("r") >= F.col("rank")).groupBy("rank", "v").agg(F.sum("c").alias("c"))
+    upto = counts.join(ranks, F.col("r") >= F.col("rank")).groupBy("rank", "v").agg(F.sum("c").alias("c"))
     size = upto.groupBy("rank").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).alias("known"))
     running = Window.partitionBy("rank").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = upto.where("v IS NOT NULL").withColumn("upto", F.sum("c").over(running)).join(F.broadcast(size), "rank")
+    placed = upto.where("v IS NOT NULL").withColumn("upto", F.sum("c").over(running)).join(size, "rank")
     medians = placed.where(F.col("upto") > F.floor(F.col("known") / 2)).groupBy("rank").agg(F.min("v").alias("median"))
     return size.join(medians, "rank", "left").select("rank", "n", "median")

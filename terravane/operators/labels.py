@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
-from terravane.operators import spatial
+from terravane.operators import order, spatial
 from terravane.operators.graph import components
 
 # Least distance, least visible part, window and labels in it, distance within a farm.
@@ -43,7 +43,7 @@ def table(seen: DataFrame, categories: list[str] | None = None, most_m: float |
     rows = rows if most_m is None else rows.where(F.col("d") <= most_m)
     rows = rows.where(F.col("label") != "") if named else rows
     rows = rows if confidence is None else rows.where(F.col("conf").isin(*confidence))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("altitude"), "id")))
+    return order.numbered(rows, F.desc("altitude"), "id", number="rank")
 
 
 def window_counts(seen: DataFrame, observer: str = "observer", window: float = WINDOW_DEG) -> DataFrame:

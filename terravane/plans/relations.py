@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo, text
-from terravane.operators import catalogue, fuse, labels, spatial, terrain
+from terravane.operators import catalogue, fuse, labels, order, spatial, terrain
 from terravane.plans import views
 from terravane.plans.registry import query
 from terravane.plans.views import GEO_BASE, GEO_IN, METRES, PAIRS, table
@@ -137,11 +137,10 @@ def histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upper_median", "SELECT seg AS cat, max(v) AS median FROM (SELECT c_mktsegment AS seg, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) // 2 AS m FROM customer WHERE c_acctbal IS NOT NULL) WHERE k = m GROUP BY 1")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value at place n / 2 of the sorted ones: counts by value, then a running sum. A category's distinct values meet in one task, its rows don't."""
-    counts = table(spark, sf_dir, "customer").where("c_acctbal IS NOT NULL").groupBy(F.col("c_mktsegment").alias("cat"), F.col("c_acctbal").alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("cat").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("half", F.floor(F.sum("c").over(Window.partitionBy("cat")) / 2))
-    return placed.where("upto > half").groupBy("cat").agg(F.min("v").alias("median"))
+    """The value at place n / 2 of the sorted ones, by ranges that are looked into again and again."""
+    rows = table(spark, sf_dir, "customer").where("c_acctbal IS NOT NULL").select(F.col("c_mktsegment").alias("cat"), F.col("c_acctbal").alias("median"))
+    places = rows.groupBy("cat").agg(F.floor(F.count("*") / 2).alias("place"))
+    return order.selected(rows, ["cat"], "median", places).select("cat", "median")
 
 
 @query("cumulative_tiers", "SELECT p_size AS tier, sum(count(*)) OVER (ORDER BY p_size DESC)::BIGINT AS n FROM part GROUP BY p_size")
@@ -170,9 +169,8 @@ def mark_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks by collection and id, a missing id first: their places."""
     rows = table(spark, sf_dir, "customer").where("c_custkey <= 9 OR c_custkey % 9 <> 0")
     marks = rows.select("c_custkey", F.col("c_mktsegment").alias("_collection"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey")).alias("id"))
-    sorted_ = registers.in_order(marks)
-    order = Window.orderBy("_collection", F.coalesce("id", F.lit(0)), "c_custkey")
-    return sorted_.select(F.col("c_custkey").alias("id"), F.row_number().over(order).cast("long").alias("place"))
+    placed = order.numbered(registers.in_order(marks), "_collection", F.coalesce("id", F.lit(0)), "c_custkey", number="place")
+    return placed.select(F.col("c_custkey").alias("id"), F.col("place").cast("long").alias("place"))
 
 
 @query("sparse_records", """SELECT s_suppkey AS id, '{"id":' || s_suppkey || ',"name":"' || s_name || '"' || CASE WHEN s_suppkey % 2 = 0 THEN ',"rank":' || s_nationkey ELSE '' END || '}' AS record FROM supplier""")
