@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geo, text
 from terravane.operators import fuse
+from terravane.sources import archive
 
 FOOT_M = 0.3048
 # Categories of the registers' types.
@@ -158,8 +159,10 @@ def ranked(names: Column) -> Column:
 
 
 def places(spark: SparkSession, path: str) -> DataFrame:
-    """The gazetteer: one row for each place of the chosen types with a position and a name; the first name counts most."""
-    raw = spark.read.text(path, lineSep=PLACE_END).withColumnRenamed("value", "x")
+    """The gazetteer, plain or zipped: one row for each place of the chosen types with a position and a name; the first name counts most."""
+    zipped = path.endswith(".zip")
+    raw = archive.zip_records(spark, path, PLACE_END, ".xml", PLACE_TYPES) if zipped else spark.read.text(path, lineSep=PLACE_END)
+    raw = raw.select(F.col("value").alias("x"))
     x, field = F.col("x"), lambda n: text.tag(F.col("x"), n)
     raw = raw.where(x.contains(PLACE_TYPES[0]) | x.contains(PLACE_TYPES[1])).where(field("placeType").isin(*PLACE_TYPES))
     parts = F.regexp_extract_all(x, F.lit(r"(?s)<(?:\w+:)?Name(?:\s[^>]*)?>(.*?)</(?:\w+:)?Name>"), F.lit(1))
