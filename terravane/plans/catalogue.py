@@ -186,15 +186,23 @@ def near_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(spatial.near_conflict(F.col("a_height_m"), F.col("b_height_m"), F.col("d"), 55.0)).select("a_id", "b_id", F.round("d", 3).alias("d"))
 
 
+_KINDS = ("mast", "obstower", "lighthouse", "building", "pylon")
+
+
 @query(
     "category_matrix",
-    "WITH k AS (SELECT unnest(['mast', 'obstower', 'lighthouse', 'building', 'pylon']) AS c) SELECT a.c AS a, b.c AS b, (a.c = b.c AND a.c <> 'pylon') OR (a.c <> b.c AND a.c IN ('obstower', 'lighthouse', 'building') AND b.c IN ('obstower', 'lighthouse', 'building')) AS fits FROM k a, k b",
+    f"""WITH k AS (SELECT {list(_KINDS)!r} AS kinds), x AS (SELECT a.c AS a, b.c AS b FROM (SELECT c_nationkey AS n, kinds[c_custkey % 5 + 1] AS c FROM customer, k) a JOIN (SELECT s_nationkey AS n, kinds[s_suppkey % 5 + 1] AS c FROM supplier, k) b USING (n)),
+    y AS (SELECT *, (a = b AND a <> 'pylon') OR (a <> b AND a IN ('obstower', 'lighthouse', 'building') AND b IN ('obstower', 'lighthouse', 'building')) AS fits FROM x)
+    SELECT a, b, fits, count(*) AS n FROM y GROUP BY ALL""",
 )
 def category_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which categories may be one object; one that isn't listed merges with none."""
-    kinds = F.array(*map(F.lit, ("mast", "obstower", "lighthouse", "building", "pylon")))
-    pairs = spark.range(1).select(F.explode(kinds).alias("a")).withColumn("b", F.explode(kinds))
-    return pairs.select("a", "b", spatial.compatible(F.col("a"), F.col("b")).alias("fits"))
+    """Pairs of objects of a nation by their categories, and whether these may be one object; a category that isn't listed merges with none."""
+    kinds = F.array(*map(F.lit, _KINDS))
+    of = lambda name, key, nation, c: table(spark, sf_dir, name).select(F.col(nation).alias("nation"), F.get(kinds, (F.col(key) % 5).cast("int")).alias(c))
+    # By nation and category first, so that pairs are counted, not made.
+    left, right = (of(*x).groupBy("nation", x[3]).agg(F.count("*").alias(f"n_{x[3]}")) for x in (("customer", "c_custkey", "c_nationkey", "a"), ("supplier", "s_suppkey", "s_nationkey", "b")))
+    pairs = left.join(right, "nation").groupBy("a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+    return pairs.select("a", "b", spatial.compatible(F.col("a"), F.col("b")).alias("fits"), "n")
 
 
 @query(

@@ -247,6 +247,15 @@ def spatial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "cat", F.round("height_m", 2).alias("height_m"), "src_h", "name", fuse.provenance(F.col("srcs")).alias("srcs"))
 
 
+@query("merge_conflicts")
+def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows merged because they are nearer than 15 m although heights disagree, with what they went into; tests hold it against the sequential rule."""
+    base = _layer(views.geo_base(spark, sf_dir), "obstower", "osm", 0)
+    incoming = _layer(views.geo_in(spark, sf_dir).withColumn("lat", F.col("lat") + F.lit(0.00003)), "building", "aip", 1 << 40)
+    _, noted = fuse.merge_noting(base, incoming, 150.0)
+    return noted.select("id", "into", F.round("d", 3).alias("d"), F.round("height_m", 2).alias("height_m"), F.round("into_height_m", 2).alias("into_height_m"))
+
+
 @query("colocated_collapse")
 def colocated_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, fuse.MARK_RANK))

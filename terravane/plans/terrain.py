@@ -15,19 +15,6 @@ from terravane.sources import registers
 
 _R = f"{geo.effective_radius()!r}::DOUBLE"
 _N = f"{raster.ANCHOR_NORTH}.0::DOUBLE"
-_SIZES = "(SELECT unnest([10, 20, 50, 100]) AS cell, unnest([5120, 10240, 12800, 25600]) AS s)"
-
-
-@query(
-    "full_cover",
-    f"""WITH k AS (SELECT cell, s, (800000 - 1) // s AS x1, (7800000 - 6600000 - 1) // s AS y1 FROM {_SIZES}),
-    t AS (SELECT cell, s, x1, y1, unnest(range(0, y1 + 1)) AS ty FROM k)
-    SELECT cell, (ty * (x1 + 1) + tx) % 16 AS shard, count(*) AS n, sum(tx * 7 + ty)::BIGINT AS checksum FROM (SELECT cell, x1, ty, unnest(range(0, x1 + 1)) AS tx FROM t) GROUP BY 1, 2""",
-)
-def full_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tiles of the whole country, dealt to sixteen shards: how many each has."""
-    tiles = terrain.full_cover(spark, shards=16)
-    return tiles.groupBy("cell", F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum(F.col("tx") * 7 + F.col("ty")).alias("checksum"))
 
 
 _EDGES, _REFINED = {10: 16, 20: 16}, {10: 5}
@@ -62,6 +49,25 @@ def tile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _figures(_built(spark, sf_dir, done))
 
 
+def _land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles that the land's extent meets, dealt to sixteen shards."""
+    east, south = _source(spark, sf_dir).where("level = 20").agg(F.max("col"), F.max("row")).first()
+    extent = (0, raster.ANCHOR_NORTH - 20 * ((south or 0) + 1), 20 * ((east or 0) + 1), raster.ANCHOR_NORTH)
+    return terrain.full_cover(spark, extent, _EDGES, shards=16)
+
+
+@query(
+    "full_cover",
+    f"""WITH land AS ({LAND}), e AS (SELECT 20 * (max(col) + 1) AS east, 20 * (max(row) + 1) AS south FROM land), k AS (SELECT cell, (east - 1) // (cell * 16) AS x1, (south - 1) // (cell * 16) AS y1 FROM e, (SELECT unnest([10, 20]) AS cell)),
+    t AS (SELECT cell, x1, unnest(range(0, y1 + 1)) AS ty FROM k)
+    SELECT cell, (ty * (x1 + 1) + tx) % 16 AS shard, count(*) AS n, sum(tx * 7 + ty)::BIGINT AS checksum FROM (SELECT cell, x1, ty, unnest(range(0, x1 + 1)) AS tx FROM t) GROUP BY 1, 2""",
+)
+def full_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiles that meet the land, dealt to sixteen shards: how many each has."""
+    tiles = _land_cover(spark, sf_dir)
+    return tiles.groupBy("cell", F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum(F.col("tx") * 7 + F.col("ty")).alias("checksum"))
+
+
 _NEAR = ((400, 10, 16), (1500, 20, 16))
 
 
@@ -87,9 +93,7 @@ def observer_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("national_build", f"{_QUANTISED}, t AS (SELECT {_FIGURES} GROUP BY cell, tx, ty) SELECT cell, count(*) AS tiles, sum(live)::BIGINT AS live, sum(total)::BIGINT AS total, min(least) AS least, max(most) AS most FROM t GROUP BY cell")
 def national_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tiles that meet the land's extent, dealt to shards and built: figures by cell size."""
-    east, south = _source(spark, sf_dir).where("level = 20").agg(F.max("col"), F.max("row")).first()
-    extent = (0, raster.ANCHOR_NORTH - 20 * ((south or 0) + 1), 20 * ((east or 0) + 1), raster.ANCHOR_NORTH)
-    cover = terrain.full_cover(spark, extent, {c: e for c, e in _EDGES.items()}, shards=16)
+    cover = _land_cover(spark, sf_dir)
     empty = spark.createDataFrame([], "cell int, tx long, ty long")
     built = _figures(terrain.build_tiles(cover, empty, _source(spark, sf_dir), _EDGES, _REFINED))
     return built.groupBy("cell").agg(F.count("*").alias("tiles"), F.sum("live").alias("live"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
