@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger(__name__)
+
 
 def catalogue(objects: DataFrame, path: str, licence: str = "CC BY 4.0") -> None:
     """Objects as compressed JSON lines, highest first (unknown as zero, then by id), with a header beside them."""
     with_top = objects.withColumn("top_m", F.round(F.col("ground_m") + F.col("height_m"), 1))
-    with_top.orderBy(F.desc(F.coalesce("top_m", F.lit(0.0))), "id").write.mode("errorifexists").json(f"{path}/objects", compression="gzip")
-    header = with_top.agg(F.count("*").alias("n")).select(F.lit(1).alias("format"), F.current_date().alias("made"), F.lit(licence).alias("licence"), "n")
+    # Counted in the pass that writes, behind the sort, whose sampling would count too.
+    written = Observation()
+    in_order = with_top.orderBy(F.desc(F.coalesce("top_m", F.lit(0.0))), "id")
+    in_order.observe(written, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(f"{path}/objects", compression="gzip")
+    header = objects.sparkSession.range(1).select(F.lit(1).alias("format"), F.current_date().alias("made"), F.lit(licence).alias("licence"), F.lit(written.get["n"]).cast("long").alias("n"))
     header.coalesce(1).write.json(f"{path}/header")
 
 
@@ -37,13 +43,18 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def extend(work: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+def extend(work: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame], schema: str, parts: int = 1) -> DataFrame:
     """All results of work: those stored at a path, and those of the keys that have none, computed and appended there.
 
-    A run that breaks off leaves only whole parts behind; the next one goes on from them.
+    The work is done in parts by the hash of its key, each stored before the next one begins: a run that breaks off loses
+    one part at most, and the next run goes on with what has no result yet. What a part wrote is logged, counted as it is written.
     """
     spark = work.sparkSession
-    compute(resume(work, stored(spark, path, schema), key)).write.mode("append").parquet(path)
+    for k in range(parts):
+        todo = work.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) if parts > 1 else work
+        written = Observation()
+        compute(resume(todo, stored(spark, path, schema), key)).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+        LOG.info("part %d of %d: %d rows", k + 1, parts, written.get["n"])
     return stored(spark, path, schema)
 
 

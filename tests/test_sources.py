@@ -176,6 +176,24 @@ def test_hills_sink(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "h/header")).first()["min_scale"] == 100_000
 
 
+def test_a_run_that_breaks_off_loses_one_part(spark, tmp_path, caplog):
+    schema, path = "id long, twice long", str(tmp_path / "w")
+
+    def double(rows, broken=False):
+        fails = F.when(F.col("id") == 77, F.raise_error(F.lit("broken off")).cast("long")) if broken else F.lit(None).cast("long")
+        return rows.select("id", F.coalesce(fails, F.col("id") * 2).alias("twice"))
+
+    with pytest.raises(Exception, match="broken off"):
+        sinks.extend(spark.range(100), path, "id", lambda rows: double(rows, True), schema, parts=8)
+    kept = {r["id"] for r in sinks.stored(spark, path, schema).collect()}
+    part = spark.range(100).where(F.pmod(F.xxhash64("id"), F.lit(8)) < F.pmod(F.xxhash64(F.lit(77).cast("long")), F.lit(8)))
+    assert kept == {r["id"] for r in part.collect()}
+    with caplog.at_level("INFO", logger="terravane.sources.sinks"):
+        out = sinks.extend(spark.range(100), path, "id", double, schema, parts=8)
+    assert sorted((r["id"], r["twice"]) for r in out.collect()) == [(i, 2 * i) for i in range(100)]
+    assert sum(int(m.rsplit(" ", 2)[1]) for m in (r.getMessage() for r in caplog.records)) == 100 - len(kept)
+
+
 def test_blocks_and_windows(spark, tmp_path):
     cells = spark.range(4096).selectExpr("id DIV 64 AS row", "id % 64 AS col", "CASE WHEN id = 70 THEN -9999.0D ELSE CAST(id AS double) END AS v")
     path = str(tmp_path / "r")
