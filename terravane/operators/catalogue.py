@@ -87,17 +87,21 @@ def trusted_sample(sample: Column, known: Column, share: float = LIDAR_SHARE) ->
     return F.when(known.isNull() | (sample >= share * known), sample)
 
 
-def with_ground(objects: DataFrame, cells: DataFrame, cell: float, west: float, north: float) -> DataFrame:
+def with_ground(objects: DataFrame, cells: DataFrame, cell: float, west: float, north: float, block: int | None = None) -> DataFrame:
     """objects whose unknown ground is that of the elevation model's cell they lie in; a lighthouse outside it stands at sea level.
 
     cells: (row, col, v) of the model, rows from the north; null and values outside GROUND_M say nothing. Objects meet
-    cells by row and column, a hash join of both.
+    cells by row and column, a hash join of both; with block, cells are the model's blocks (bx, by, v) of so many cells, and objects meet these.
     """
     e, n = geo.to_grid(F.col("lat"), F.col("lon"))
     # Toward zero, as only points inside the model count.
     placed = objects.withColumn("g_row", F.floor((north - n) / cell).cast("long")).withColumn("g_col", F.floor((e - west) / cell).cast("long"))
-    valid = cells.where((F.col("v") >= GROUND_M[0]) & (F.col("v") <= GROUND_M[1])).select(F.col("row").cast("long").alias("g_row"), F.col("col").cast("long").alias("g_col"), F.col("v").alias("g_v"))
-    met = placed.join(valid, ["g_row", "g_col"], "left")
+    if block:
+        found = raster.block_values(placed, cells, block, "g_row", "g_col", "g_v")
+        met = found.withColumn("g_v", F.when(F.col("g_v").between(*GROUND_M), F.col("g_v")))
+    else:
+        valid = cells.where((F.col("v") >= GROUND_M[0]) & (F.col("v") <= GROUND_M[1])).select(F.col("row").cast("long").alias("g_row"), F.col("col").cast("long").alias("g_col"), F.col("v").alias("g_v"))
+        met = placed.join(valid, ["g_row", "g_col"], "left")
     needs = F.col("ground_m").isNull()
     source = F.when(needs & F.col("g_v").isNotNull(), "dem100").when(needs & (F.col("cat") == "lighthouse"), "sea").otherwise(F.col("src_g"))
     ground = F.when(needs, F.coalesce(F.round("g_v", 1), F.when(F.col("cat") == "lighthouse", F.lit(0.0)))).otherwise(F.col("ground_m"))

@@ -150,6 +150,17 @@ def blocks(cells: DataFrame, edge: int) -> DataFrame:
     return scattered(placed, ["level", "bx", "by"], "k", "v", edge * edge)
 
 
+def block_values(points: DataFrame, level: DataFrame, edge: int, row: str = "row", col: str = "col", out: str = "v") -> DataFrame:
+    """points with the value of the cell (row, col) they name, from one level's blocks (bx, by, v) of `edge` cells; null where it is not known.
+
+    Points meet blocks by number, and a value is picked from its block by place: the raster is not taken apart, however few the points are.
+    """
+    block = level.select(F.col("bx").alias("_bx"), F.col("by").alias("_by"), F.col("v").alias("_v"))
+    where = (F.floor(F.col(col) / edge) == F.col("_bx")) & (F.floor(F.col(row) / edge) == F.col("_by"))
+    at = (F.pmod(F.col(row), F.lit(edge)) * edge + F.pmod(F.col(col), F.lit(edge))).cast("int")
+    return points.join(block, where, "left").withColumn(out, F.get("_v", at)).drop("_bx", "_by", "_v")
+
+
 def encoded(a: np.ndarray, cell: int, tx: int, ty: int, pooled: bool) -> bytes | None:
     """A tile's bytes: header, then its quantised rows as deflated differences; None without a live cell."""
     live = ~np.isnan(a)

@@ -162,6 +162,21 @@ def ground_at(points: DataFrame, tiles: DataFrame, model: DataFrame, model_cell:
     return both.select("id", F.round(F.coalesce("tile_v", "model_v"), 2).alias("ground"))
 
 
+def ground_from_tiles(points: DataFrame, tiles: DataFrame, model: DataFrame, model_cell: float = 100.0, model_edge: int = BLOCK_EDGE, edges: dict[int, int] = EDGES, finest: int = POINT_CELL) -> DataFrame:
+    """ground_at of tiles as arrays (cell, tx, ty, width, scale, v) and a model as blocks (bx, by, v) of model_edge cells: points meet tiles and blocks, not cells."""
+    near = _in_tiles(points.select("id", "e", "n"), tuple(c for c in edges if c <= finest), edges)
+    own = F.get("v", (F.col("row") * F.col("width") + F.col("col")).cast("int")) / F.col("scale")
+    known = near.join(tiles.select("cell", "tx", "ty", "width", "scale", "v"), ["cell", "tx", "ty"]).select("id", "cell", own.alias("x")).where("x IS NOT NULL")
+    met = known.groupBy("id").agg(F.min_by("x", "cell").alias("tile_v"))
+    y, x = (ANCHOR_NORTH - F.col("n")) / model_cell - 0.5, F.col("e") / model_cell - 0.5
+    corners = F.array(*(F.struct((F.floor(y) + i).alias("row"), (F.floor(x) + j).alias("col")) for i in (0, 1) for j in (0, 1)))
+    spots = points.select("id", y.alias("y"), x.alias("x"), F.explode(corners).alias("k")).select("id", "k.row", "k.col", ((1 - F.abs(F.col("y") - F.col("k.row"))) * (1 - F.abs(F.col("x") - F.col("k.col")))).alias("w"))
+    around = raster.block_values(spots, model, model_edge).where("v IS NOT NULL")
+    between = around.groupBy("id").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("model_v"))
+    both = points.select("id").join(met, "id", "left").join(between, "id", "left")
+    return both.select("id", F.round(F.coalesce("tile_v", "model_v"), 2).alias("ground"))
+
+
 def ground_in_window(points: DataFrame, windows: DataFrame, cell: float) -> DataFrame:
     """(id, ground): the cell a point (id, e, n) lies in of its own window (id, west, north, row, col, v), else the mean of its valid cells."""
     met = points.select("id", "e", "n").join(windows, "id")

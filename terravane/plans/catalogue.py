@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.operators import catalogue, spatial
+from terravane.operators import catalogue, raster, spatial
 from terravane.plans import views
 from terravane.plans.registry import query
 from terravane.plans.scalars import GRID_FORWARD
@@ -86,7 +86,8 @@ def lidar_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ground_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown ground from an elevation model; lighthouses outside it stand at the sea."""
     base, _ = layers(spark, sf_dir)
-    return catalogue.with_ground(base, model(spark, sf_dir), MODEL_CELL, MODEL_WEST, MODEL_NORTH).select("id", "ground_m", "src_g")
+    blocks = raster.blocks(model(spark, sf_dir).withColumn("level", F.lit(100)), 256)
+    return catalogue.with_ground(base, blocks, MODEL_CELL, MODEL_WEST, MODEL_NORTH, 256).select("id", "ground_m", "src_g")
 
 
 @query(

@@ -129,8 +129,10 @@ def ground_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elevation at points: a tile's cell where one knows it, else a model of 25 m between its cells."""
     k = F.col("s_suppkey")
     points = table(spark, sf_dir, "supplier").select(k.alias("id"), (k * F.lit(37.25)).alias("e"), (F.lit(float(raster.ANCHOR_NORTH)) - (k * F.lit(53.5)) % 900).alias("n"))
-    cells = terrain.tile_cells(views.small_tiles(spark, sf_dir)).where((F.col("row") + F.col("col")) % 3 != 0)
-    return terrain.ground_at(points, cells, views.land(spark, sf_dir), 25.0, {10: 64, 20: 64})
+    tiles = views.small_tiles(spark, sf_dir)
+    tiles = tiles.withColumn("v", F.transform("v", lambda v, i: F.when((F.floor(i / 64) + i % 64) % 3 != 0, v)))
+    model = raster.blocks(views.land(spark, sf_dir).withColumn("level", F.lit(25)), 64)
+    return terrain.ground_from_tiles(points, tiles, model, 25.0, 64, {10: 64, 20: 64})
 
 
 @query(
