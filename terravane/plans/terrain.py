@@ -11,6 +11,7 @@ from terravane.operators import prominence as prominence_of
 from terravane.plans import views
 from terravane.plans.registry import query
 from terravane.plans.views import LAND, OBSERVERS, PLACES, SMALL_CELLS, table
+from terravane.session import checkpointed
 from terravane.sources import registers
 
 _R = f"{geo.effective_radius()!r}::DOUBLE"
@@ -246,7 +247,7 @@ prof AS (SELECT id, bin, degrees(atan(max(t))) AS angle, arg_max(d, t) AS d FROM
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = views.small_tiles(spark, sf_dir)
+    tiles = checkpointed(views.small_tiles(spark, sf_dir))
     seen = sweep.eyes(views.observers(spark, sf_dir), tiles, views.SMALL_RINGS)
     angle = F.radians(F.col("bin") * F.lit(360.0 / _BINS))
     rays = seen.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(_BINS - 1)))).select("id", "bin", F.col("e").alias("e0"), F.col("n").alias("n0"), F.round(F.sin(angle), 9).alias("ue"), F.round(F.cos(angle), 9).alias("un"))
@@ -298,7 +299,7 @@ def viewpoint_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = F.lit(101.0) + (k * 29) % 1800, F.lit(float(raster.ANCHOR_NORTH)) - 33 - (k * 17) % 560
     lat, lon = geo.to_degrees(e, n)
     where = table(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), lat.alias("lat"), lon.alias("lon"), F.lit(2.0).alias("eye"), F.when(k % 10 == 3, F.lit(150.0)).alias("override"))
-    tiles = views.small_tiles(spark, sf_dir)
+    tiles = checkpointed(views.small_tiles(spark, sf_dir))
     index = tiles.select("cell", "tx", "ty", (F.array_max("v") / F.col("scale")).alias("most_m"))
     found = sweep.viewpoints(where, tiles, index, _BINS, views.SMALL_BANDS, views.SMALL_RINGS)
     return found.select("id", F.round("hobs", 6).alias("hobs"), F.transform("profile", lambda x: x.cast("int")).alias("profile"))
