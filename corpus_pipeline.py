@@ -41,11 +41,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
-    Candidates share a segment of one of fourteen fingerprints of their sets of five-word shingles, at most eleven
-    bits apart; a pair is linked if the sets are at least 0.8 alike. Null, empty and wordless texts are one group.
+    Candidates share a deletion variant of a segment of one of ten fingerprints of their sets of five-word shingles, at most
+    eleven bits apart; a pair is linked if the sets are at least 0.8 alike. Null, empty and wordless texts are one group.
     A null id counts as the largest; of rows that repeat id and text one stays. An empty table gives an empty result.
     """
-    return simhash.representatives(docs, bits=11, prints=14, shingle=5, similarity=0.8)
+    return simhash.representatives(docs, bits=11, prints=10, shingle=5, similarity=0.8)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ the variants, with the difference checked in the join condition, finds every pai
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import accumulate
 from operator import and_
@@ -127,11 +128,7 @@ def shingle_sets(df: DataFrame, text: str = "text", words: int = 5, out: str = "
 
 def segments(bits: int) -> list[tuple[int, int]]:
     """(start, length) of the fewest segments of which one must differ in at most one bit: 2 * number > bits."""
-    return cut(bits // 2 + 1)
-
-
-def cut(number: int) -> list[tuple[int, int]]:
-    """(start, length) of so many segments."""
+    number = bits // 2 + 1
     ends = [round(BITS * k / number) for k in range(number + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -212,16 +209,6 @@ def _sizes_near(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def _may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """Whether the sets may be so alike, by their sizes and parities: false only if they are not.
-
-    Sets differ in at least as many elements as parities, and may differ in (1 - s) / (1 + s) of their sizes' sum.
-    """
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITIES), F.lit(0))
-    sizes = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return _sizes_near(*sizes, similarity) & (differ <= (1 - similarity) / (1 + similarity) * (sizes[0] + sizes[1]) + 1e-9)
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (low, high) of texts whose sets of shingles are at least so alike (Jaccard)."""
     n = lambda side: F.size(f"{side}_set")
@@ -270,63 +257,140 @@ def _contracted(links: DataFrame) -> DataFrame:
     return hung.distinct()
 
 
-#: Texts of a bucket with which all others are compared first, besides the most central one.
-DRAWN = 4
+#: Bits by which the first pass widens segments.
+WIDER = 5
+#: A candidate's segments: of fingerprints that differ in up to so many bits one differs in at most one bit.
+SEGMENTS = segments(5)
+#: Bits of a half segment, at most.
+HALF = max(length - length // 2 for _, length in SEGMENTS)
+#: (start, length) of what is equal, of what may lack a bit, and of both, for each half of each segment.
+HALVES = [(half, rest, (start, length)) for start, length in SEGMENTS for low in [(start, length // 2)] for high in [(start + length // 2, length - length // 2)] for half, rest in ((low, high), (high, low))]
+#: Rows that a task looks at once, whole buckets aside; pairs that it compares at once.
+ROWS, PAIRS = 1 << 16, 1 << 20
 
 
-#: Segments of a fingerprint of which candidates share one, and the bits by which the first pass widens them.
-SEGMENTS, WIDER = 4, 10
-
-
-def _pieces(slots: DataFrame, wider: int) -> DataFrame:
-    """slots with a row for each segment: `bucket` has its number, its slot's and its bits."""
-    found = []
-    for k, (start, length) in enumerate(cut(SEGMENTS)):
-        start, length = min(start, BITS - length - wider), length + wider
-        bits = F.shiftrightunsigned(F.col("value").bitwiseAND(_mask(start, length)), start)
-        found.append(bits + (F.col("slot").cast("long") * SEGMENTS + k) * (1 << length))
+def _dealt(slots: DataFrame, pieces: list[tuple[int, int]], width: int) -> DataFrame:
+    """slots with a row for each piece: `bucket` has its slot's number, its own and, in `width` bits, the fingerprint's there."""
+    found = [
+        F.shiftrightunsigned(F.col("value").bitwiseAND(_mask(start, length)), start) + (F.col("slot").cast("long") * len(pieces) + k) * (1 << width)
+        for k, (start, length) in enumerate(pieces)
+    ]
     return slots.withColumn("bucket", F.explode(F.array(*found)))
 
 
 def _stars(slots: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of candidates (see groups): each text with a few of its buckets.
+    """Pairs (a, b) of candidates (see groups): each text with at most one other.
 
-    A bucket holds the texts of which a segment and the bits beside it are equal, so its pairs are some of
-    those that share a segment. The few are the text that shares buckets with most texts, hence the one that
-    copies with different edits were made from, and DRAWN more by hash.
+    A bucket holds the texts of which a segment and the bits beside it are equal, so its pairs are candidates. Its
+    centre is the text that shares buckets with most texts, hence the one that copies with different edits were
+    made from; a text is paired with the centre of its buckets that shares with most.
     """
-    rows = _pieces(slots, WIDER).select("id", "size", "value", "bucket")
+    wide = [(min(start, BITS - length - WIDER), length + WIDER) for start, length in SEGMENTS]
+    rows = _dealt(slots, wide, max(length for _, length in wide)).select("id", "size", "value", "bucket")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = checkpointed(rows.join(sizes, "bucket"))
     scores = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    most = F.max(F.struct("score", "id", "value", "size"))
-    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("score"), "id", "value", "size")) for k in range(DRAWN)]
-    first = shared.join(scores, "id").groupBy("bucket").agg(F.array_distinct(F.array(most, *drawn)).alias("firsts"))
-    first = first.select("bucket", F.explode("firsts").alias("first"))
+    first = shared.join(scores, "id").groupBy("bucket").agg(F.max(F.struct("score", "id", "value", "size")).alias("first"))
     near = (F.bit_count(F.col("value").bitwiseXOR(F.col("first.value"))) <= bits) & _sizes_near(F.col("size"), F.col("first.size"), similarity)
-    return shared.join(first, "bucket").where(near).select(F.col("id").alias("a"), F.col("first.id").alias("b"))
+    met = shared.join(first, "bucket").where(near & (F.col("id") != F.col("first.id")))
+    return met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("first.score", "first.id")).alias("first")).select("a", F.col("first.id").alias("b"))
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) for each element of sorted columns: of the run of equal ones that it is in."""
+    new = reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    lengths = np.diff(starts, append=len(columns[0]))
+    return np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
+
+
+def _apart(key: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of places with equal keys and different roots, in blocks; those with the same root are not walked."""
+    order = np.argsort(key)
+    start, end = _runs(key[order])
+    order = order[end - start > 1]
+    order = order[np.lexsort((root[order], key[order]))]
+    if not len(order):
+        return
+    others = _runs(key[order], root[order])[1]
+    number = _runs(key[order])[1] - others
+    at = np.flatnonzero(number)
+    for block in np.split(at, np.flatnonzero(np.diff(np.cumsum(number[at]) // PAIRS)) + 1):
+        n = number[block]
+        second = np.repeat(others[block] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield order[np.repeat(block, n)], order[second]
+
+
+def _met(rows: dict[str, np.ndarray], bits: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids in whole buckets of half segments: with different roots, deletion variants of the segment in common, at most
+    `bits` bits apart, and not ruled out by sizes or parities."""
+    kinds = (rows["bucket"] >> HALF) % len(HALVES)
+    for kind, (_, (start, length), (whole, both)) in enumerate(HALVES):
+        own = {c: v[kinds == kind] for c, v in rows.items()}
+        value = own["value"].view(np.uint64)
+        rest = (value >> np.uint64(start)).astype(np.int64) & ((1 << length) - 1)
+        for position in range(length):
+            for a, b in _apart(own["bucket"] << HALF | rest & ~(1 << position), own["root"]):
+                differ = value[a] ^ value[b]
+                near = np.bitwise_count(differ) <= bits
+                if position or kind % 2:
+                    # Equal segments have every variant in common and count at the first.
+                    near &= (differ >> np.uint64(whole)) & np.uint64((1 << both) - 1) != 0
+                a, b = a[near], b[near]
+                x, y = own["size"][a].astype(np.int64), own["size"][b].astype(np.int64)
+                odd = sum(np.bitwise_count(own[c][a].view(np.uint64) ^ own[c][b].view(np.uint64)).astype(np.int64) for c in PARITIES)
+                may = (np.minimum(x, y) >= similarity * np.maximum(x, y)) & (odd <= (1 - similarity) / (1 + similarity) * (x + y) + 1e-9)
+                yield own["id"][a[may]], own["id"][b[may]]
 
 
 def _candidates(slots: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """All pairs (a, b) of candidates (see groups) with different roots that may be similar, as often as they share a segment."""
-    rows = _pieces(slots, 0).select("id", "root", "size", *PARITIES, "value", "bucket")
-    a, b = rows.alias("a"), rows.alias("b")
-    met = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root"))
-    near = (F.bit_count(F.col("a.value").bitwiseXOR(F.col("b.value"))) <= bits) & _may_be_similar("a", "b", similarity)
-    return a.join(b, met & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-
+    """All pairs (a, b) of candidates (see groups) with different roots that may be similar, as often as they share a variant.
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 11, prints: int = 14, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    Of segments that differ in at most one bit a half is equal. So rows are dealt out by slot and half, two for a
+    segment, and the variants of the other half, each of its bits left out once, are made and met where they are:
+    half and variant are the segment's deletion variant, as `links` has it. A task holds ROWS rows and one bucket at a time.
+    """
+    columns = ["bucket", "id", "root", "value", "size", *PARITIES]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, number
+            rows = {c: np.concatenate([h.column(k).to_numpy() for h in held]) for k, c in enumerate(columns)}
+            # The last bucket may go on in the next batch.
+            whole = number if last else int(np.searchsorted(rows["bucket"], rows["bucket"][-1]))
+            for a, b in _met({c: v[:whole] for c, v in rows.items()}, bits, similarity) if whole else ():
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = [pa.RecordBatch.from_arrays([pa.array(rows[c][whole:]) for c in columns], columns)]
+            number -= whole
+
+        due = ROWS
+        for batch in batches:
+            held.append(batch)
+            number += batch.num_rows
+            if number >= due:
+                yield from flush(last=False)
+                due = max(ROWS, 2 * number)
+        if number:
+            yield from flush(last=True)
+
+    rows = _dealt(slots, [half for half, _, _ in HALVES], HALF).select(columns)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 11, prints: int = 10, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row (tid, root, low_key) for each different text: its id, its group's, and the smallest key that has it.
 
-    Texts are candidates if in one of `prints` fingerprints they share one of SEGMENTS segments and differ in at
-    most `bits` bits; candidates link if their sets of `shingle`-word shingles are at least `similarity`
+    Texts are candidates if in one of `prints` fingerprints they share a deletion variant of one of SEGMENTS, that is,
+    differ there in at most one bit, and differ in at most `bits` bits in all; candidates link if their sets of `shingle`-word shingles are at least `similarity`
     alike; groups are what links reach. The fingerprints are of the same sets. Sets of Jaccard similarity s
     have cosine 2 s / (1 + s) at least, and a bit differs with a chance of acos(cosine) / pi whatever the edit:
-    at most 0.152 at 0.8, where 98 % of pairs are candidates.
+    at most 0.152 at 0.8, where 98.7 % of pairs are candidates. Pairs at most five bits apart in any fingerprint always are.
 
-    First each text is compared with a few of those that share a segment; then all candidates that are still
-    in different groups, but those whose parities prove that they are not similar. A large group is thus joined by about
+    First each text is compared with one of those that share a segment; then all candidates that are still
+    in different groups, but those whose parities prove that they are not similar. A large group is thus joined by at most
     as many comparisons as it has texts, and no link between different groups is lost: the first pass compares only
     candidates too, and parities rule out only pairs that the comparison would.
     """

@@ -104,3 +104,57 @@ def test_parities_prove_no_similar_pair_away():
             differ = len(set(a.tolist()) ^ set(b.tolist()))
             odd = sum(int(x).bit_count() for x in (S._parities(a) ^ S._parities(b)).view(np.uint64))
             assert odd <= differ and (shared < 1 or odd == 0) and (not 0 < differ < 40 or odd > differ / 2)
+
+
+def near_prints(slots, seed):
+    """(slot, id, root, value) rows: clouds of fingerprints up to 13 bits apart, some clouds with one root."""
+    rng, rows = random.Random(seed), []
+    for slot in range(slots):
+        number = 0
+        for cloud in range(25):
+            centre = rng.getrandbits(64)
+            for _ in range(rng.choice([1, 4, 12])):
+                value = centre
+                for b in rng.sample(range(64), rng.randint(0, 7)):
+                    value ^= 1 << b
+                rows.append((slot, number, -1 - cloud if cloud % 3 == 0 else number // 2, value))
+                number += 1
+    return rows
+
+
+def test_candidates_against_all_pairs(spark):
+    """Texts meet if in a fingerprint one segment lacks at most one equal bit; no 16 bits in a row need be equal."""
+    rows = near_prints(2, 3)
+    every = sum(1 << b for b in (4, 12, 24, 36, 50, 60))
+    rows += [(0, 9000, 9000, 5 << 40), (0, 9001, 9001, (5 << 40) ^ every ^ (1 << 60)), (1, 9000, 9000, 0), (1, 9001, 9001, (1 << 64) - 1)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(s, i, r, signed(v), 40, 0, 0, 0, 0) for s, i, r, v in rows], "slot int, id long, root long, value long, size int, " + ", ".join(f"{c} long" for c in S.PARITIES))
+    got = {tuple(sorted((r.a, r.b))) for r in S._candidates(df, 11, 0.8).collect()}
+    shares = lambda d: d.bit_count() <= 11 and any((d >> a & (1 << n) - 1).bit_count() <= 1 for a, n in S.segments(5))
+    want = {(min(i, j), max(i, j)) for k, (s, i, r, v) in enumerate(rows) for t, j, q, w in rows[:k] if s == t and r != q and shares(v ^ w)}
+    assert got == want and (9000, 9001) in want and len(want) > 100
+
+
+def test_pairs_of_a_large_bucket_in_blocks(monkeypatch):
+    monkeypatch.setattr(S, "PAIRS", 7)
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 2, 90):
+        key, root = rng.integers(0, 6, size), rng.integers(0, 4, size)
+        got = sorted((min(a, b), max(a, b)) for x, y in S._apart(key, root) for a, b in zip(x.tolist(), y.tolist(), strict=True))
+        assert got == [(i, j) for i in range(size) for j in range(i + 1, size) if key[i] == key[j] and root[i] != root[j]]
+
+
+def test_first_pass_grows_with_the_texts(spark):
+    """400 copies of a text, each with edits of its own: at most one pair for each is compared first."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for _ in range(400):
+        copy = list(words)
+        for k in rng.sample(range(300), 3):
+            copy[k] = f"e{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+    df = S.several_fingerprints(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 10)
+    slots = df.selectExpr("id", "size", *S.PARITIES, "posexplode(prints) AS (slot, value)")
+    pairs = S._stars(slots, 11, 0.8).collect()
+    assert 300 <= len(pairs) <= 400 and len({r.a for r in pairs}) == len(pairs)
