@@ -200,14 +200,16 @@ class Model:
         return self
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        return np.einsum("bnd,nd->bd", self.context[before], self.weights)
+        return np.einsum("bnd,nd->bd", self.context.take(before, axis=0), self.weights)
 
     def log10(self, places: np.ndarray, before: np.ndarray, block: int = 512) -> np.ndarray:
         """The normalised log10 probability of each token's unit and, within a class, its slot after its context."""
         out, predicted = np.empty(len(places)), np.empty((len(places), DIMENSION), np.float32)
         units, slots = parted(places)
         # The biases are one more dimension; logits are clipped only where the lengths of vectors let them be large.
-        across = np.ascontiguousarray(np.concatenate([self.vectors, self.biases[:, None]], axis=1).T)
+        # They are in units of log(2): powers of two take half the time of powers of e.
+        log2 = np.float32(np.log(2))
+        across = np.ascontiguousarray(np.concatenate([self.vectors, self.biases[:, None]], axis=1).T) / log2
         logits, ones, longest = np.empty((block, UNITS), np.float32), np.ones(UNITS, np.float32), np.sqrt((across * across).sum(axis=0).max())
         extended = np.ones((block, DIMENSION + 1), np.float32)
         for i in range(0, len(units), block):
@@ -215,10 +217,10 @@ class Model:
             some, left = logits[: len(own)], extended[: len(own)]
             left[:, :DIMENSION] = predicted[i : i + block] = self.predicted(before[i : i + block])
             np.matmul(left, across, out=some)
-            if longest * np.sqrt((left * left).sum(axis=1).max()) > 60:
-                np.clip(some, -60, 60, out=some)
-            chosen = some[np.arange(len(own)), own]
-            np.exp(some, out=some)
+            if longest * np.sqrt((left * left).sum(axis=1).max()) > 60 / log2:
+                np.clip(some, -60 / log2, 60 / log2, out=some)
+            chosen = some[np.arange(len(own)), own] * log2
+            np.exp2(some, out=some)
             out[i : i + block] = chosen - np.log(some @ ones)
         # Class by class, so that each class's slots are one matrix product.
         inner = np.flatnonzero(slots >= 0)
@@ -246,7 +248,7 @@ def _summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(index, kind="stable")
     sorted_ = index[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return sorted_[starts], np.add.reduceat(values[order], starts, axis=0)
+    return sorted_[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0)
 
 
 class Trainer:
@@ -278,7 +280,7 @@ class Trainer:
         classes = slots // SLOTS
         drawn = np.searchsorted(self.inner_cumulated, classes[:, None] + self.rng.random((len(slots), INNER_NOISE))) - (classes * REST)[:, None]
         every = np.concatenate([slots[:, None], (slots - slots % SLOTS)[:, None] + drawn], axis=1)
-        vectors = m.inner_vectors[every]
+        vectors = m.inner_vectors.take(every, axis=0)
         shift = np.float32(np.log(INNER_NOISE))
         found = np.einsum("bkd,bd->bk", vectors, predicted) + m.inner_biases[every] - m.inner_noise.ravel()[every] - shift
         found = np.clip(found, -60, 60)
@@ -290,14 +292,14 @@ class Trainer:
     def step(self, places: np.ndarray, before: np.ndarray) -> None:
         m = self.model
         units, slots = parted(places)
-        inputs = m.context[before]
+        inputs = m.context.take(before, axis=0)
         predicted = np.einsum("bnd,nd->bd", inputs, m.weights)
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), UNITS - 1)
-        shift = np.float32(np.log(NOISE))
-        own = np.clip((predicted * m.vectors[units]).sum(axis=1) + m.biases[units] - m.log_noise[units] - shift, -60, 60)
+        shift, own_vectors = np.float32(np.log(NOISE)), m.vectors.take(units, axis=0)
+        own = np.clip(np.einsum("bd,bd->b", predicted, own_vectors) + m.biases[units] - m.log_noise[units] - shift, -60, 60)
         other = np.clip(predicted @ m.vectors[noise].T + m.biases[noise] - m.log_noise[noise] - shift, -60, 60)
         up, down = 1 / (1 + np.exp(own)), -1 / (1 + np.exp(-other))
-        to_predicted = up[:, None] * m.vectors[units] + down @ m.vectors[noise]
+        to_predicted = up[:, None] * own_vectors + down @ m.vectors[noise]
         at, values = _summed(units, np.concatenate([up[:, None] * predicted, up[:, None]], axis=1))
         to_units = np.zeros((UNITS, DIMENSION + 1), np.float32)
         to_units[at] = values

@@ -75,3 +75,21 @@ def test_edges(spark):
     empty = docs.limit(0)
     assert logbilinear.scored(empty, empty)[0].count() == 0
     assert logbilinear.scored(docs, empty)[0].where("n_known > 0").count() == 0
+
+
+def test_probabilities_of_units_by_powers_of_two(monkeypatch):
+    """Scores are those of a softmax in double precision, large logits too, without a power of e for each unit."""
+    from terravane.llm import logbilinear as L
+
+    rng = np.random.default_rng(5)
+    noise = np.log(rng.dirichlet(np.ones(L.UNITS))).astype(np.float32)
+    model = L.Model(noise, np.log(rng.dirichlet(np.ones(L.SLOTS), L.CLASSES)).astype(np.float32))
+    places, before = rng.integers(0, L.WORDS, 700).astype(np.uint16), rng.integers(0, L.CONTEXTS, (700, L.CONTEXT)).astype(np.uint16)
+    powers, exp = [], np.exp
+    monkeypatch.setattr(L.np, "exp", lambda x, *a, **b: (powers.append(np.size(x)), exp(x, *a, **b))[1])
+    for scale in (1, 40):
+        model.vectors *= scale
+        logits = np.clip((model.predicted(before).astype(np.float64)) @ model.vectors.T.astype(np.float64) + model.biases, -60, 60)
+        want = (logits[np.arange(700), places] - np.log(exp(logits).sum(axis=1))) / np.log(10)
+        assert np.allclose(model.log10(places, before), want, atol=1e-4)
+    assert sum(powers) < 700
