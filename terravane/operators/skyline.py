@@ -49,10 +49,11 @@ def ray_top(samples: DataFrame, ray: str, order: str, value: str) -> DataFrame:
     return samples.groupBy(ray).agg(F.max(value).alias("top"), F.max_by(order, F.struct(value, -F.col(order))).alias("at"))
 
 
-def thinned(steps: DataFrame, ray: str = "bin", order: str = "d", angle: str = "a", spacing: float = SPACING_DEG, floor: float = FLOOR_DEG) -> DataFrame:
+def thinned(steps: DataFrame, ray: str = "bin", order: str = "d", angle: str = "a", spacing: float = SPACING_DEG, floor: float = FLOOR_DEG, even: bool = False) -> DataFrame:
     """(ray, order, angle) of the record highs that rise by more than the spacing over the last one kept, and the last.
 
-    A ray has at most as many steps as the schedule has samples, so its steps fit an array.
+    The last one is left out if it is stored as the same hundredth as the last kept: of halves the one above, as a sweep's
+    staircase is stored, or with `even` the even one, as packed_angles stores them. A ray has at most as many steps as the schedule has samples, so its steps fit an array.
     """
     step = F.struct(F.col(order).alias("d"), F.col(angle).alias("a"))
     sorted_ = steps.where(F.col(angle) > floor).groupBy(ray).agg(F.array_sort(F.collect_list(step)).alias("steps"))
@@ -62,8 +63,7 @@ def thinned(steps: DataFrame, ray: str = "bin", order: str = "d", angle: str = "
     rises = lambda kept, s: (F.size(kept) == 0) | (s["a"] > F.when(F.size(kept) > 0, last(kept)["a"]) + spacing)
     kept = F.aggregate(typed, none, lambda kept, s: F.when(rises(kept, s), F.array_append(kept, s)).otherwise(kept))
     end = F.element_at(typed, -1)
-    # Halves up, as the steps are stored.
-    centi = lambda a: F.floor(a * 100 + 0.5)
+    centi = lambda a: F.rint(a * 100) if even else F.floor(a * 100 + 0.5)
     whole = F.when(centi(last(kept)["a"]) != centi(end["a"]), F.array_append(kept, end)).otherwise(kept)
     return sorted_.select(ray, F.explode(whole).alias("s")).select(ray, F.col("s.d").alias(order), F.col("s.a").alias(angle))
 

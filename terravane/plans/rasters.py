@@ -120,7 +120,7 @@ def ray_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def staircase_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = skyline.records(views.rays(spark, sf_dir), "bin", "d", "h").select("bin", "d", (F.col("h") / 100).alias("a"))
-    return skyline.thinned(steps, spacing=0.2)
+    return skyline.thinned(steps, spacing=0.2, even=True)
 
 
 @query(
