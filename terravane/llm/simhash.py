@@ -158,6 +158,8 @@ def links(prints: DataFrame, bits: int = 4, column: str = "fingerprint") -> Data
         rows = rows.select("value", (F.col("v.rest") * BITS + F.col("v.position")).alias("variant"))
     else:
         rows = rows.select("value", F.col("v.rest").alias("variant"), F.col("v.position").alias("position"))
+    # Spark sizes the rows as if the explode made none, and would broadcast what is 64 times as large.
+    rows = rows.hint("merge")
     a, b = rows.alias("a"), rows.alias("b")
     differ = F.col("a.value").bitwiseXOR(F.col("b.value"))
     few = [F.bit_count(differ.bitwiseAND(_mask(*s))) <= 1 for s in pieces]

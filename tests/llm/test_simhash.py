@@ -63,6 +63,15 @@ def test_links_against_all_pairs(spark, bits):
     assert got == want
 
 
+def test_links_are_not_broadcast(spark):
+    """3,000 fingerprints are far below the bound of a broadcast, which their 192,000 variants are sized by as well."""
+    prints = spark.range(3000).select(S.F.xxhash64("id").alias("fingerprint"))
+    found = S.links(prints, 4)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_table_against_brute_force(spark):
     rng = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
