@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.operators import spatial
+from terravane.functions import geo
+from terravane.operators import graph, spatial
 from terravane.session import Rounds, checkpointed
 
 LOG = logging.getLogger(__name__)
@@ -16,6 +20,9 @@ LOG = logging.getLogger(__name__)
 TRUST = {"mtk": 3, "aip": 3, "vayla": 2, "osm": 1}
 RADII = {"aip": 150.0, "osm": 60.0, "buildings": 30.0, "vayla": 70.0}
 CARRIED = ("focal_m", "focal_agl_m", "daymark_agl_m", "vayla_type", "vayla_id", "in_service", "owner")
+#: Components of places up to which one task takes their rows in order, and the rows and pairs of places that components put together have.
+COMPONENT = {"rows": 1 << 18, "spots": 1 << 14, "pairs": 1 << 17}
+TASK_WORK = 1 << 16
 # Co-location radius, and which kind of mark stands for several.
 COLLAPSE_M = 10.0
 MARK_RANK = {"Merimajakka": 6, "Tunnusmajakka": 5, "Reunamerkki": 4, "Sektoriloisto": 3, "Tutkamerkki": 2, "Apuloisto": 2, "Suuntaloisto": 2, "Linjamerkki": 1}
@@ -81,6 +88,114 @@ def settle(pairs: DataFrame, heights: DataFrame | None = None, sure: float = -1.
     return kept.last(decided.select("id", "into"))
 
 
+def _first(heights: np.ndarray, start: int, end: int, own: float) -> int:
+    """The first place from start to end with a height that agrees with a row's own, else end; unknown ones are nan. See spatial.heights_agree."""
+    size = 64
+    while start < end:
+        part = heights[start : min(end, start + size)]
+        fits = np.isnan(part) | (np.abs(part - own) <= np.maximum(spatial.VETO_M, spatial.VETO_SHARE * np.maximum(part, own)))
+        k = int(fits.argmax())
+        if fits[k]:
+            return start + k
+        start, size = start + size, 2 * size
+    return end
+
+
+def _taken_in_order(points: pa.Table, near: pa.Table, sure: float) -> pa.Table:
+    """(id, into) of the rows of whole components that go: each row by seq looks through what its place meets, place by place.
+
+    points: id, seq, h, trust, incoming, spot; near: a, b (spots), d, i, j, the order in which a's rows walk over places. Of
+    places that are equal in it the first row by seq counts. An object's height is the most trusted that it has met, then the first.
+    """
+    order = np.argsort(points.column("seq").to_numpy())
+    ids, spots, heights, trusts, incoming = (points.column(c).to_numpy()[order] for c in ("id", "spot", "h", "trust", "incoming"))
+    names, spot = np.unique(spots, return_inverse=True)
+    a, b = (np.searchsorted(names, near.column(c).to_numpy()) for c in "ab")
+    d, i, j = (near.column(c).to_numpy() for c in "dij")
+    walks: dict[int, list] = {}
+    last = None
+    for k in np.lexsort((j, i, d, a)):
+        if (at := (a[k], d[k], i[k], j[k])) != last:
+            walks.setdefault(int(a[k]), []).append((bool(d[k] <= sure), []))
+            last = at
+        walks[int(a[k])][-1][1].append(int(b[k]))
+    # The objects of a place lie side by side, as they came, from start to end.
+    start = np.concatenate([[0], np.cumsum(np.bincount(spot))])
+    first = int(incoming.argmax()) if incoming.any() else len(ids)
+    held = np.argsort(spot[:first], kind="stable")
+    have = np.bincount(spot[:first], minlength=len(names))
+    end = start[:-1] + have
+    place = np.arange(first) + np.repeat(start[:-1] - (np.cumsum(have) - have), have)
+    who, h, trust = np.zeros(len(ids), np.int64), np.full(len(ids), np.nan), np.full(len(ids), -1)
+    # An unknown height is trusted less than any.
+    own = np.where(np.isnan(heights), -1, trusts)
+    who[place], h[place], trust[place] = held, heights[held], own[held]
+    gone, into = [], []
+    for row in range(first, len(ids)):
+        x, found = heights[row], -1
+        for near_enough, others in walks.get(int(spot[row]), ()) if incoming[row] else ():
+            for s in others:
+                k = int(start[s]) if near_enough or np.isnan(x) else _first(h, int(start[s]), int(end[s]), x)
+                if k < end[s] and (found < 0 or who[k] < who[found]):
+                    found = k
+            if found >= 0:
+                break
+        if found >= 0:
+            gone.append(ids[row])
+            into.append(ids[who[found]])
+            if own[row] > trust[found]:
+                h[found], trust[found] = x, own[row]
+        else:
+            k = end[spot[row]]
+            who[k], h[k], trust[k] = row, x, own[row]
+            end[spot[row]] += 1
+    return pa.table({"id": pa.array(gone, pa.int64()), "into": pa.array(into, pa.int64())})
+
+
+def _merged_into(point: DataFrame, radius: float, sure: float) -> DataFrame:
+    """(id, into) of incoming rows that go into another one, for `merge`.
+
+    Rows of one position and category meet the same others in the same order, so positions are joined, not rows, and
+    a place with very many rows costs no pairs. What reaches no common place is independent: small components of places are
+    taken in order, some of them together in a task; in larger ones (see COMPONENT) rows are paired and settled in rounds.
+    """
+    place = ["lat", "lon", "cat"]
+    own = F.when(F.col("incoming"), F.col("seq"))
+    spots = checkpointed(point.groupBy(place).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("seq").alias("first"), F.max(own).alias("last")))
+    met = spatial.range_join(spots.where("last IS NOT NULL"), spots, radius).where((F.col("b_first") < F.col("a_last")) & spatial.compatible(F.col("a_cat"), F.col("b_cat")))
+    scan = spatial.scan_order("a_lat", "a_lon", "b_lat", "b_lon", "b_first")
+    near = checkpointed(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "d", scan["i"].alias("i"), scan["j"].alias("j")))
+    nodes = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    reached = graph.components(near.where("a != b"), "a", "b").withColumnRenamed("node", "id")
+    placed = checkpointed(spots.join(nodes, "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    pairs = near.join(placed.select(F.col("id").alias("a"), "component"), "a")
+    sizes = placed.groupBy("component").agg(F.sum("n").alias("rows"), F.count("*").alias("spots")).join(pairs.groupBy("component").agg(F.count("*").alias("pairs")), "component")
+    small = F.lit(True)
+    for c, most in COMPONENT.items():
+        small = small & (F.col(c) <= most)
+    sizes = checkpointed(sizes.withColumn("small", small))
+    some, work, whole = sizes.agg(F.count_if("small"), F.sum(F.when(F.col("small"), F.col("rows") + F.col("pairs"))), F.every("small")).first()
+    rows = point.join(placed.select(F.col("id").alias("spot"), "component", *place), place).join(sizes.select("component", "small"), "component")
+    found = []
+    if some:
+        tasks = max(int(point.sparkSession.conf.get("spark.sql.shuffle.partitions")), work // TASK_WORK + 1)
+        task = F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task")
+        theirs = rows.where("small").select(task, "id", "seq", "h", "trust", "incoming", "spot")
+        walks = pairs.join(sizes.where("small").select("component"), "component").select(task, "a", "b", "d", "i", "j")
+        run = lambda points, places: _taken_in_order(points, places, sure)
+        found.append(theirs.groupBy("task").cogroup(walks.groupBy("task")).applyInArrow(run, "id bigint, into bigint"))
+    if whole is False:
+        crowd = rows.where("NOT small").select(point.columns)
+        each = spatial.range_join(crowd.where("incoming"), crowd, radius)
+        each = each.where((F.col("b_seq") < F.col("a_seq")) & spatial.compatible(F.col("a_cat"), F.col("b_cat")))
+        choice = F.struct("d", spatial.scan_order("a_lat", "a_lon", "b_lat", "b_lon", "b_seq").alias("scan"), "b_id").alias("choice")
+        each = each.select("a_id", "b_id", (~F.col("b_incoming")).alias("b_stays"), choice, F.col("a_seq").alias("a_at"), "a_h", "b_h", "b_trust", "d")
+        found.append(settle(each, crowd.select("id", F.col("seq").alias("at"), "h", "trust"), sure).where("into IS NOT NULL"))
+    if not found:
+        return point.limit(0).select("id", F.col("id").alias("into"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _folded(rows: DataFrame, decided: DataFrame, order: Column, first: list[str], more: dict[str, Column]) -> DataFrame:
     """(into, first columns, more): of the rows that go into each object the first known value of each column, in order."""
     kinds = dict(rows.dtypes)
@@ -95,7 +210,7 @@ def merge(base: DataFrame, incoming: DataFrame, radius: float, sure: float = -1.
     Nearest means by exact distance, of equals the one met first in a walk over the cells around (spatial.scan_order).
     Rows have seq (long, unique over both, base first), id, cat, lat, lon, height_m, src_h, srcs and any of the
     carried fields; ids are longs, unique over both. Candidates are pairs within the radius with compatible categories; which of them
-    merge depends on the order, as heights change with every merge: see `settle`. Within `sure` metres heights don't count.
+    merge depends on the order, as heights change with every merge: see `_merged_into` and `settle`. Within `sure` metres heights don't count.
     """
     return merge_noting(base, incoming, radius, sure)[0]
 
@@ -106,11 +221,7 @@ def merge_noting(base: DataFrame, incoming: DataFrame, radius: float, sure: floa
     kinds = dict(rows.dtypes)
     rows = checkpointed(rows)
     point = rows.select("id", "seq", "lat", "lon", "cat", "incoming", _known("height_m", kinds["height_m"]).cast("double").alias("h"), trust(F.col("src_h")).alias("trust"))
-    pairs = spatial.range_join(point.where("incoming"), point, radius)
-    pairs = pairs.where((F.col("b_seq") < F.col("a_seq")) & spatial.compatible(F.col("a_cat"), F.col("b_cat")))
-    choice = F.struct("d", spatial.scan_order("a_lat", "a_lon", "b_lat", "b_lon", "b_seq").alias("scan"), "b_id").alias("choice")
-    pairs = checkpointed(pairs.select("a_id", "b_id", (~F.col("b_incoming")).alias("b_stays"), choice, F.col("a_seq").alias("a_at"), "a_h", "b_h", "b_trust", "d"))
-    decided = settle(pairs, point.select("id", F.col("seq").alias("at"), "h", "trust"), sure)
+    decided = checkpointed(_merged_into(point, radius, sure))
     fields = [c for c in (*CARRIED, "ground_m", "name", "obst_id") if c in rows.columns]
     height = F.struct(trust(F.col("src_h")).alias("t"), (-F.col("seq")).alias("first"), F.col("height_m").alias("h"), F.col("src_h").alias("s"))
     known = _known("height_m", kinds["height_m"]).isNotNull()
@@ -123,9 +234,11 @@ def merge_noting(base: DataFrame, incoming: DataFrame, radius: float, sure: floa
     own = F.coalesce("srcs", F.array().cast("array<string>"))
     changed["srcs"] = F.when(F.col("_srcs").isNotNull(), F.array_sort(F.array_distinct(F.concat(own, F.coalesce("_srcs", F.array().cast("array<string>")))))).otherwise(F.col("srcs"))
     objects = kept.select(*(changed.get(c, F.col(c)).alias(c) for c in rows.columns if c != "incoming"))
-    went = decided.where("into IS NOT NULL").select(F.col("id").alias("a_id"), F.col("into").alias("b_id"))
-    odd = pairs.join(went, ["a_id", "b_id"]).where(spatial.near_conflict(F.col("a_h"), F.col("b_h"), F.col("d"), sure))
-    return objects, odd.select(F.col("a_id").alias("id"), F.col("b_id").alias("into"), "d", F.col("a_h").alias("height_m"), F.col("b_h").alias("into_height_m"))
+    of = lambda side, key: point.select(F.col("id").alias(key), *(F.col(c).alias(f"{side}_{c}") for c in ("lat", "lon", "h")))
+    both = decided.where("into IS NOT NULL").join(of("a", "id"), "id").join(of("b", "into"), "into")
+    noted = both.withColumn("d", geo.flat_metres(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+    odd = noted.where(spatial.near_conflict(F.col("a_h"), F.col("b_h"), F.col("d"), sure))
+    return objects, odd.select("id", "into", "d", F.col("a_h").alias("height_m"), F.col("b_h").alias("into_height_m"))
 
 
 def collapse(marks: DataFrame, radius: float = COLLAPSE_M) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+import pytest
 
+from terravane.operators import fuse, spatial
 from terravane.plans.queries import ORACLE_SQL, QUERIES
+from tests.test_operators import LAYER, metres, walked
 from tests.test_queries import plain
+from tests.test_settle import plain as merged_rows
 
 
 def agrees(spark, folder, name, **tables):
@@ -25,3 +31,58 @@ def test_last_step_of_a_staircase_with_a_half(spark, tmp_path):
     rows = [(1, 1, 174.5), (1, 2, 175.09), (2, 1, 175.5), (2, 2, 176.4), (3, 1, 174.6), (3, 2, 175.2)]
     got = agrees(spark, tmp_path, "staircase_thinned", events=("user_id long, event_id long, value double", rows))
     assert len(got) == 4
+
+
+def counted(monkeypatch):
+    """The sizes of all joins by distance that follow."""
+    join, sizes = spatial.range_join, []
+
+    def counting(*args, **settings):
+        pairs = join(*args, **settings)
+        sizes.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "range_join", counting)
+    return sizes
+
+
+def crowd(rng, n, start, source):
+    """n sites at three places, of which the outer two aren't near each other."""
+    return [
+        dict(id=start + k, seq=start + k, cat=rng.choice(["building", "obstower"]), lat=60 + rng.randrange(3) * 0.0005, lon=25.0, height_m=rng.choice([None, 10.0, 30.0, 60.0, 100.0, 150.0]), src_h=source, name=rng.choice([None, f"n{k}"]), srcs=[source])
+        for k in range(n)
+    ]
+
+
+@pytest.mark.parametrize("most", [1 << 18, 100])
+def test_crowded_places_are_merged_without_pairs(spark, monkeypatch, most):
+    """Rows of few places, in order or in rounds: as in sequence; in order only pairs of places are made."""
+    rng = random.Random(2)
+    base, incoming = crowd(rng, 150, 0, "osm"), crowd(rng, 150, 1000, "aip")
+    far = [dict(incoming[0], id=5000, seq=5000, lat=61.0, name="far"), dict(incoming[0], id=5001, seq=5001, lat=61.0, name="too")]
+    monkeypatch.setitem(fuse.COMPONENT, "rows", most)
+    sizes = counted(monkeypatch)
+    objects, noted = fuse.merge_noting(spark.createDataFrame(base, LAYER), spark.createDataFrame(incoming + far, LAYER), 60.0, 10.0)
+    want, conflicts = merged_in_order(base, incoming + far, 60.0, 10.0)
+    assert merged_rows(objects.collect()) == want
+    assert {r["id"]: r["into"] for r in noted.collect()} == conflicts and conflicts
+    assert sizes[0] <= 100 and len(sizes) == (1 if most > 1000 else 2)
+
+
+def merged_in_order(base, incoming, radius, sure):
+    """The rule row by row over all objects, nearest first, of equals as a walk over cells meets them."""
+    held, noted = [dict(o) for o in base], {}
+    own = {o["id"]: o["height_m"] for o in (*base, *incoming)}
+    agree = lambda a, b: a is None or b is None or abs(a - b) <= max(10, 0.15 * max(a, b))
+    for r in incoming:
+        near = sorted((h for h in walked(r, held) if metres(r, h) <= radius and h["cat"] in spatial.COMPATIBLE[r["cat"]]), key=lambda h: metres(r, h))
+        h = next((h for h in near if agree(h["height_m"], r["height_m"]) or metres(r, h) <= sure), None)
+        if h is None:
+            held.append(dict(r))
+            continue
+        if metres(r, h) <= sure and not agree(own[h["id"]], own[r["id"]]):
+            noted[r["id"]] = h["id"]
+        if r["height_m"] is not None and (h["height_m"] is None or fuse.TRUST[r["src_h"]] > fuse.TRUST[h["src_h"]]):
+            h["height_m"], h["src_h"] = r["height_m"], r["src_h"]
+        h["name"], h["srcs"] = h["name"] or r["name"], sorted({*h["srcs"], *r["srcs"]})
+    return {h["id"]: (h["height_m"], h["src_h"], h["name"], tuple(h["srcs"])) for h in held}, noted
