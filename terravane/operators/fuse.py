@@ -247,15 +247,24 @@ def collapse(marks: DataFrame, radius: float = COLLAPSE_M) -> DataFrame:
     Rows have id, lat, lon, vayla_type and the folded fields. In order of kind, then height, then id, each mark goes
     to a kept one within the radius, or is kept. Of several it is the first in a walk over the cells around, then
     by kind, height and id; not the nearest. See `settle`.
+
+    Of a position only its first mark can be kept: the others meet it, or else what it went into. So first marks are
+    settled, and the others look only at those of them that are kept.
     """
     hint = F.greatest(F.col("focal_agl_m"), F.col("daymark_agl_m"), F.col("focal_m"))
     rank = F.coalesce(*(F.when(F.col("vayla_type") == t, F.lit(r)) for t, r in MARK_RANK.items()), F.lit(0))
     rows = checkpointed(marks.withColumn("_at", F.struct((-rank).alias("rank"), (-F.coalesce(hint, F.lit(0.0))).alias("hint"), "id")))
     point = rows.select("id", "lat", "lon", F.col("_at").alias("at"))
+    firsts = checkpointed(point.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(F.min("at").alias("at"), F.count("*").alias("n")).select("at.id", "lat", "lon", "at", "n"))
     cell = lambda c: F.floor(F.col(c) / spatial.CELL_DEG)
-    pairs = spatial.range_join(point, point, radius).where("b_at < a_at")
-    choice = F.struct((cell("b_lat") - cell("a_lat")).alias("i"), (cell("b_lon") - cell("a_lon")).alias("j"), "b_at").alias("choice")
-    decided = settle(pairs.select("a_id", "b_id", F.lit(False).alias("b_stays"), choice))
+    walk = [(cell("b_lat") - cell("a_lat")).alias("i"), (cell("b_lon") - cell("a_lon")).alias("j"), "b_at"]
+    near = checkpointed(spatial.range_join(firsts, firsts, radius).select("a_id", "a_lat", "a_lon", "a_at", "a_n", "b_id", "b_at", F.struct(*walk).alias("choice")))
+    of_firsts = settle(near.where("b_at < a_at").select("a_id", "b_id", F.lit(False).alias("b_stays"), "choice"))
+    gone = of_firsts.where("into IS NOT NULL")
+    # The kept ones that a position's other marks meet; its own first mark is one of them or has gone.
+    kept_near = near.where("a_n > 1").join(gone.select(F.col("id").alias("b_id")), "b_id", "left_anti").select(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), F.col("a_id").alias("own"), "b_id", "b_at", "choice")
+    others = point.join(kept_near, ["lat", "lon"]).where("id != own AND b_at < at").groupBy("id").agg(F.min_by("b_id", "choice").alias("into"))
+    decided = gone.select("id", "into").unionByName(others)
     folded = _folded(rows, decided, F.col("_at"), list(FOLDED), {})
     kinds = dict(rows.dtypes)
     kept = rows.join(decided.where("into IS NOT NULL"), "id", "left_anti").join(folded, "id", "left")

@@ -86,3 +86,22 @@ def merged_in_order(base, incoming, radius, sure):
             h["height_m"], h["src_h"] = r["height_m"], r["src_h"]
         h["name"], h["srcs"] = h["name"] or r["name"], sorted({*h["srcs"], *r["srcs"]})
     return {h["id"]: (h["height_m"], h["src_h"], h["name"], tuple(h["srcs"])) for h in held}, noted
+
+
+def test_crowded_places_collapse_without_pairs(spark, monkeypatch):
+    """400 marks at three places, of which the outer two are too far apart: as in sequence, from pairs of places. A null position meets nothing."""
+    rng = random.Random(6)
+    rows = [dict(id=k, lat=60.0099 + rng.randrange(3) * 0.00006, lon=25.0, vayla_type=rng.choice(list(fuse.MARK_RANK)), focal_m=rng.choice([None, 5.0, 9.0]), focal_agl_m=None, daymark_agl_m=None, name=rng.choice([None, f"n{k}"]), vayla_id=k) for k in range(400)]
+    lost = [dict(rows[0], id=k, lat=None) for k in (1000, 1001)]
+    held = []
+    for o in sorted((dict(r) for r in rows), key=lambda o: (-fuse.MARK_RANK[o["vayla_type"]], -(o["focal_m"] or 0), o["id"])):
+        into = next((h for h in walked(o, held) if metres(o, h) <= 10), None)
+        if into is None:
+            held.append(o)
+        else:
+            into |= {c: o[c] for c in fuse.FOLDED if into[c] is None}
+    sizes = counted(monkeypatch)
+    schema = "id long, lat double, lon double, vayla_type string, focal_m double, focal_agl_m double, daymark_agl_m double, name string, vayla_id long"
+    got = {r["id"]: tuple(r[c] for c in fuse.FOLDED) for r in fuse.collapse(spark.createDataFrame(rows + lost, schema)).collect()}
+    assert got == {h["id"]: tuple(h[c] for c in fuse.FOLDED) for h in held + lost}
+    assert sizes == [7]
