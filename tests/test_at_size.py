@@ -161,3 +161,13 @@ def test_summits_of_crowded_places(spark, monkeypatch, tmp_path):
     cells = spark.createDataFrame([(5, 5, 10.0), (5, 6, 12.0)], "row long, col long, v double")
     places = spark.createDataFrame([(1, 55.0, terrain.ANCHOR_NORTH - 55.0), (2, 55.0, terrain.ANCHOR_NORTH - 55.0), (3, None, None), (4, 9e5, 0.0)], "id long, x double, y double")
     assert {r["id"]: (r["pt"], r["top"], r["x"]) for r in terrain.summits(places, cells, 150.0).collect()} == {1: (10.0, 12.0, 65.0), 2: (10.0, 12.0, 65.0), 3: (None, None, None), 4: (None, None, None)}
+
+
+def test_hills_of_crowded_places(spark, monkeypatch, tmp_path):
+    """Hills of names that share positions are those of the SQL, from one search for each position."""
+    rng = random.Random(13)
+    supplier = ("s_suppkey long, s_name string, s_acctbal double, s_nationkey int", [(k + 2400 * i, f"n{k}", 1.0 * k, 0) for k in (1, 2, 4) for i in range(8)])
+    orders = ("o_orderkey long, o_totalprice double", [(k, round(130_000 + rng.random() * 9000, 2)) for k in range(8192)])
+    sizes = stored(monkeypatch)
+    assert len(agrees(spark, tmp_path, "hill_assembly", supplier=supplier, orders=orders)) == 16
+    assert sizes[0] == 2
